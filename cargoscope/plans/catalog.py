@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cargoscope.operators import dashboard as dash
+from cargoscope.operators import routing
 from cargoscope.sources.fixtures import AS_OF, Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,45 @@ def q_recent_telemetry(spark, sf_dir):
 @register("top_open_anomalies")
 def q_top_open_anomalies(spark, sf_dir):
     return dash.top_open_anomalies(_fx(spark, sf_dir).anomaly_events(), n=20)
+
+
+# ---------------------------------------------------------------- what-if routing
+
+
+def _flat_options(df: DataFrame) -> DataFrame:
+    """Array column as comma-joined text, so SQL engines can compare it."""
+    return df.withColumn("waypoints_text", F.array_join("waypoints", ",")).drop("waypoints")
+
+
+def _whatif(spark, sf_dir, grain):
+    fx = _fx(spark, sf_dir)
+    return routing.score_routes(fx.scenarios(), fx.routes(), fx.carriers(), fx.anomaly_events(),
+                                grain=grain)
+
+
+@register("whatif_routes")
+def q_whatif_routes(spark, sf_dir):
+    return _flat_options(_whatif(spark, sf_dir, "event"))
+
+
+@register("whatif_routes_by_route")
+def q_whatif_routes_by_route(spark, sf_dir):
+    return _flat_options(_whatif(spark, sf_dir, "route"))
+
+
+@register("whatif_route_display")
+def q_whatif_route_display(spark, sf_dir):
+    out = routing.route_options_display(_whatif(spark, sf_dir, "event"))
+    return _flat_options(out).select("scenario_id", "route_id", "event_id", "risk_band", "risk_pct",
+                                     "route_label")
+
+
+@register("route_risk_latest")
+def q_route_risk_latest(spark, sf_dir):
+    return routing.rolling_risk(_fx(spark, sf_dir).anomaly_events(), newest=1).drop("recency")
+
+
+@register("scenario_validation")
+def q_scenario_validation(spark, sf_dir):
+    out = routing.validate_scenarios(_fx(spark, sf_dir).scenarios())
+    return out.select("scenario_id", "reject_reason")

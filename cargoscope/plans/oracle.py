@@ -160,3 +160,90 @@ def _():
     return """
 SELECT * FROM anomaly_events WHERE NOT resolved
 ORDER BY anomaly_score DESC, event_id LIMIT 20"""
+
+
+# ---------------------------------------------------------------- what-if routing
+WHATIF_VIEWS = ["carriers", "anomaly_events", "routes_flat", "scenarios_flat"]
+
+
+def whatif_sql(grain: str = "event") -> str:
+    # Route x event rows with the rolling window over each route's full history.
+    latest_only = "WHERE newest = 1" if grain == "route" else ""
+    return f"""
+SELECT * FROM (
+WITH joined AS (
+  SELECT s.scenario_id, s.avoid_anomaly_routes, r.route_id, r.carrier_id, c.carrier_name,
+         r.estimated_transit_days, r.base_cost_usd + s.cargo_weight_kg * r.cost_per_kg_usd AS estimated_cost_usd,
+         COALESCE(AVG(a.anomaly_score) OVER (
+             PARTITION BY s.scenario_id, r.route_id ORDER BY a.event_time, a.event_id
+             ROWS BETWEEN 30 PRECEDING AND CURRENT ROW), 0.0) AS anomaly_risk_score,
+         ROW_NUMBER() OVER (PARTITION BY s.scenario_id, r.route_id
+                            ORDER BY a.event_time DESC, a.event_id DESC) AS newest,
+         COALESCE(r.waypoints_csv, '') AS waypoints_text, a.event_id, a.event_time,
+         r.origin_hub, r.destination_hub
+  FROM scenarios_flat s
+  JOIN routes_flat r ON r.origin_hub = s.origin_hub AND r.destination_hub = s.destination_hub
+  JOIN carriers c ON r.carrier_id = c.carrier_id
+  LEFT JOIN anomaly_events a ON a.route_id = r.route_id
+  WHERE r.estimated_transit_days <= s.max_transit_days
+    AND (s.any_carrier OR r.n_filter IS NULL OR r.n_filter = 0 OR r.carrier_id = 'C3')
+), grained AS (SELECT * FROM joined {latest_only}
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY scenario_id
+      ORDER BY estimated_cost_usd, route_id, event_time DESC, event_id DESC) AS rn
+  FROM grained
+), kept AS (
+  SELECT * FROM ranked WHERE rn <= 10 AND NOT (avoid_anomaly_routes AND anomaly_risk_score > 0.75)
+)
+SELECT scenario_id, route_id, carrier_id, carrier_name, estimated_transit_days, estimated_cost_usd,
+       anomaly_risk_score, waypoints_text, event_id, event_time, origin_hub, destination_hub,
+       (anomaly_risk_score < 0.5
+        AND estimated_cost_usd = MIN(estimated_cost_usd) OVER (PARTITION BY scenario_id)) AS is_recommended
+FROM kept) q"""
+
+
+@oracle("whatif_routes", WHATIF_VIEWS)
+def _():
+    return whatif_sql("event")
+
+
+@oracle("whatif_routes_by_route", WHATIF_VIEWS)
+def _():
+    return whatif_sql("route")
+
+
+@oracle("whatif_route_display", WHATIF_VIEWS)
+def _():
+    return f"""
+SELECT scenario_id, route_id, event_id,
+       CASE WHEN anomaly_risk_score > 0.75 THEN 'high' WHEN anomaly_risk_score > 0.5 THEN 'medium'
+            ELSE 'low' END AS risk_band,
+       ROUND(anomaly_risk_score * 100, 0) AS risk_pct,
+       CASE WHEN REPLACE(waypoints_text, ',', ' → ') <> '' THEN REPLACE(waypoints_text, ',', ' → ')
+            ELSE UPPER(origin_hub) || ' → ' || UPPER(destination_hub) END AS route_label
+FROM ({whatif_sql('event')}) w"""
+
+
+@oracle("route_risk_latest", ["anomaly_events"])
+def _():
+    return """
+SELECT route_id, event_id, event_time, anomaly_risk_score FROM (
+  SELECT route_id, event_id, event_time,
+         AVG(anomaly_score) OVER (PARTITION BY route_id ORDER BY event_time, event_id
+                                  ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS anomaly_risk_score,
+         ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY event_time DESC, event_id DESC) AS newest
+  FROM anomaly_events WHERE route_id IS NOT NULL) x
+WHERE newest = 1"""
+
+
+@oracle("scenario_validation", ["scenarios_flat"])
+def _():
+    return """
+SELECT CAST(scenario_id AS BIGINT) AS scenario_id,
+       CASE WHEN origin_hub IS NULL THEN 'origin_hub'
+            WHEN destination_hub IS NULL THEN 'destination_hub'
+            WHEN cargo_weight_kg IS NULL OR isnan(cargo_weight_kg) OR cargo_weight_kg < 0.1
+                 OR cargo_weight_kg > 50000 THEN 'cargo_weight_kg'
+            WHEN max_transit_days < 1 OR max_transit_days > 30 THEN 'max_transit_days'
+       END AS reject_reason
+FROM scenarios_flat"""
