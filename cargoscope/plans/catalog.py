@@ -140,3 +140,47 @@ def q_route_risk_latest(spark, sf_dir):
 def q_scenario_validation(spark, sf_dir):
     out = routing.validate_scenarios(_fx(spark, sf_dir).scenarios())
     return out.select("scenario_id", "reject_reason")
+
+
+# ---------------------------------------------------------------- ingest validation
+from cargoscope.operators import validate  # noqa: E402
+
+
+@register("telemetry_validation")
+def q_telemetry_validation(spark, sf_dir):
+    checked = validate.validate_telemetry(_fx(spark, sf_dir).telemetry(), as_of=AS_OF)
+    out = validate.ingest_result(checked, body_col=None)
+    return out.select("id", "reject_reason", "status_code", "error")
+
+
+def _rejection_counts(spark, sf_dir, check_stale):
+    checked = validate.validate_telemetry(_fx(spark, sf_dir).telemetry(), as_of=AS_OF,
+                                          check_stale=check_stale)
+    return checked.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("rejection_counts")
+def q_rejection_counts(spark, sf_dir):
+    return _rejection_counts(spark, sf_dir, True)
+
+
+@register("rejection_counts_no_stale")
+def q_rejection_counts_no_stale(spark, sf_dir):
+    return _rejection_counts(spark, sf_dir, False)
+
+
+@register("ingest_messages")
+def q_ingest_messages(spark, sf_dir):
+    msgs = _fx(spark, sf_dir).messages()
+    decoded = validate.decode_telemetry(msgs)
+    checked = validate.validate_telemetry(decoded, as_of=AS_OF, time_col="timestamp",
+                                          check_stale=False)
+    return validate.ingest_result(checked).select("message_id", "reject_reason", "status_code",
+                                                  "device_id", "lat", "lon", "timestamp")
+
+
+@register("scoring_decode")
+def q_scoring_decode(spark, sf_dir):
+    decoded = validate.decode_features(_fx(spark, sf_dir).messages())
+    return decoded.select("message_id", "decode_reason", "device_id", "lat", "lon", "temperature",
+                          "battery_pct")

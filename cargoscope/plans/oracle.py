@@ -247,3 +247,46 @@ SELECT CAST(scenario_id AS BIGINT) AS scenario_id,
             WHEN max_transit_days < 1 OR max_transit_days > 30 THEN 'max_transit_days'
        END AS reject_reason
 FROM scenarios_flat"""
+
+
+# ---------------------------------------------------------------- ingest validation
+def reason_sql(check_stale: bool = True) -> str:
+    stale = f"WHEN event_time < {TS} - INTERVAL 24 HOURS THEN 'stale'" if check_stale else ""
+    return f"""CASE
+  WHEN device_id IS NULL OR device_id = '' THEN 'device_id'
+  WHEN shipment_id IS NULL OR shipment_id = '' THEN 'shipment_id'
+  WHEN event_time IS NULL THEN 'timestamp'
+  {stale}
+  WHEN COALESCE(lat, 0.0) < -90 OR COALESCE(lat, 0.0) > 90 THEN 'lat'
+  WHEN COALESCE(lon, 0.0) < -180 OR COALESCE(lon, 0.0) > 180 THEN 'lon'
+  WHEN temperature < -100 OR temperature > 200 THEN 'temperature'
+  WHEN humidity < 0 OR humidity > 100 THEN 'humidity'
+  WHEN battery_pct < 0 OR battery_pct > 100 THEN 'battery_pct'
+END"""
+
+
+@oracle("telemetry_validation", ["telemetry"])
+def _():
+    return f"""
+SELECT id, reject_reason,
+       CASE WHEN reject_reason IS NULL THEN 202 WHEN reject_reason = 'content_type' THEN 415 ELSE 400 END
+           AS status_code,
+       CASE reject_reason
+         WHEN 'stale' THEN 'payload validation failed: stale timestamp — possible replay attack (device_id=' || device_id || ')'
+         WHEN 'lat' THEN printf('payload validation failed: invalid latitude: %f (must be -90..90)', lat)
+         WHEN 'lon' THEN printf('payload validation failed: invalid longitude: %f (must be -180..180)', lon)
+         WHEN 'temperature' THEN printf('payload validation failed: temperature out of physical range: %f', temperature)
+         WHEN 'humidity' THEN printf('payload validation failed: humidity out of range: %f', humidity)
+         WHEN 'battery_pct' THEN printf('payload validation failed: battery_pct out of range: %f', battery_pct)
+       END AS error
+FROM (SELECT *, {reason_sql(True)} AS reject_reason FROM telemetry) t"""
+
+
+@oracle("rejection_counts", ["telemetry"])
+def _():
+    return f"SELECT {reason_sql(True)} AS reject_reason, COUNT(*) AS n FROM telemetry GROUP BY 1"
+
+
+@oracle("rejection_counts_no_stale", ["telemetry"])
+def _():
+    return f"SELECT {reason_sql(False)} AS reject_reason, COUNT(*) AS n FROM telemetry GROUP BY 1"

@@ -161,3 +161,43 @@ class Fixtures:
 
     def shipment_updates(self) -> DataFrame:
         return self._sql("shipment_updates")
+
+    def messages(self) -> DataFrame:
+        """Gateway message envelopes: ``to_json`` of telemetry rows, with the
+        decode defects of the reference's tests injected by ``id % 50``."""
+        t = self.telemetry()
+        ts_text = F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+        body = F.to_json(F.struct(
+            "device_id", ts_text.alias("timestamp"), "lat", "lon", "temperature", "humidity",
+            "speed_kmh", "battery_pct", "shipment_id"))
+        k = F.col("id") % 50
+        dev_json = F.concat(F.lit('"device_id":"'), F.col("device_id"), F.lit('"'))
+        defects = [
+            (1, F.concat(body, F.lit(" trailing"))),
+            (2, F.regexp_replace(body, '"device_id":"D', '"device_id":')),
+            (3, F.regexp_replace(body, '"lat":(-?[0-9.E]+)', '"lat":"$1"')),
+            (4, F.regexp_replace(body, '"lat":-?[0-9.E]+,', "")),
+            (5, F.regexp_replace(body, '"lat":-?[0-9.E]+', '"lat":null')),
+            (6, F.regexp_replace(body, 'Z"', '"')),
+            (7, F.regexp_replace(body, 'T[0-9:.]+Z"', '"')),
+            (8, F.substring(body, 1, 40)),
+            (9, F.concat(body, body)),
+            (10, F.lit("")),
+            (11, F.lit("null")),
+            (12, F.concat(F.lit("["), body, F.lit("]"))),
+            (13, F.regexp_replace(body, '"', "'")),
+            (14, F.concat(F.lit("{"), dev_json, F.lit(","), F.substring(body, 2, 1 << 30))),
+            (15, F.regexp_replace(body, 'Z"', '+05:30"')),
+            (16, F.regexp_replace(body, '(\\.[0-9]{6})Z"', '$1123Z"')),
+            (17, F.regexp_replace(body, '"timestamp":"[^"]*"', '"timestamp":"0001-01-01T00:00:00Z"')),
+            (18, F.regexp_replace(body, '"lat":-?[0-9.E]+', '"lat":NaN')),
+        ]
+        value = body
+        for key, defect in defects:
+            value = F.when(k == key, defect).otherwise(value)
+        content_type = F.when(k == 0, F.lit("text/plain")).otherwise(F.lit("application/json"))
+        return t.select(
+            F.format_string("m%d", "id").alias("message_id"), value.alias("value"),
+            F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("shipment_id"),
+                         F.col("shipment_id"), F.lit("content_type"), content_type).alias("attributes"),
+            "id")
