@@ -184,3 +184,45 @@ def q_scoring_decode(spark, sf_dir):
     decoded = validate.decode_features(_fx(spark, sf_dir).messages())
     return decoded.select("message_id", "decode_reason", "device_id", "lat", "lon", "temperature",
                           "battery_pct")
+
+
+# ---------------------------------------------------------------- tables
+from cargoscope.operators import tables  # noqa: E402
+
+
+@register("shipments_upsert")
+def q_shipments_upsert(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return tables.upsert_shipments(fx.shipments(), fx.shipment_updates(), as_of=AS_OF)
+
+
+@register("orphan_telemetry")
+def q_orphan_telemetry(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    return tables.orphan_telemetry(fx.telemetry(), fx.shipments())
+
+
+@register("table_checks")
+def q_table_checks(spark, sf_dir):
+    fx = _fx(spark, sf_dir)
+    out = tables.check_table(fx.shipments(), "shipments")
+    for name, df in [("telemetry", fx.telemetry()), ("routes", fx.routes()),
+                     ("carriers", fx.carriers())]:
+        out = out.unionByName(tables.check_table(df, name))
+    return out
+
+
+@register("telemetry_retention")
+def q_telemetry_retention(spark, sf_dir):
+    return tables.apply_retention(_fx(spark, sf_dir).telemetry(), as_of=AS_OF, days=7)
+
+
+@register("anomaly_retention")
+def q_anomaly_retention(spark, sf_dir):
+    return tables.apply_retention(_fx(spark, sf_dir).anomaly_events(), as_of=AS_OF, days=1)
+
+
+@register("partition_range_violations")
+def q_partition_range_violations(spark, sf_dir):
+    return tables.partition_range_violations(_fx(spark, sf_dir).telemetry(), as_of=AS_OF).select(
+        "id", "event_time")

@@ -290,3 +290,83 @@ def _():
 @oracle("rejection_counts_no_stale", ["telemetry"])
 def _():
     return f"SELECT {reason_sql(False)} AS reject_reason, COUNT(*) AS n FROM telemetry GROUP BY 1"
+
+
+# ---------------------------------------------------------------- tables
+@oracle("shipments_upsert", ["shipments", "shipment_updates"])
+def _():
+    return f"""
+SELECT * FROM (
+WITH p AS (
+  SELECT shipment_id,
+         arg_min(origin_hub, seq) AS origin_hub, arg_min(destination_hub, seq) AS destination_hub,
+         arg_min(carrier_id, seq) AS carrier_id,
+         arg_max(COALESCE(status, 'in_transit'), seq) AS status,
+         arg_max(COALESCE(metadata, '{{}}'), seq) AS metadata
+  FROM shipment_updates GROUP BY shipment_id)
+SELECT COALESCE(c.shipment_id, p.shipment_id) AS shipment_id,
+       CASE WHEN c.shipment_id IS NOT NULL THEN c.origin_hub ELSE p.origin_hub END AS origin_hub,
+       CASE WHEN c.shipment_id IS NOT NULL THEN c.destination_hub ELSE p.destination_hub END AS destination_hub,
+       CASE WHEN c.shipment_id IS NOT NULL THEN c.carrier_id ELSE p.carrier_id END AS carrier_id,
+       CASE WHEN p.shipment_id IS NOT NULL THEN p.status ELSE c.status END AS status,
+       CASE WHEN c.shipment_id IS NOT NULL THEN c.created_at ELSE {TS} END AS created_at,
+       CASE WHEN p.shipment_id IS NOT NULL THEN {TS} ELSE c.updated_at END AS updated_at,
+       CASE WHEN p.shipment_id IS NOT NULL THEN p.metadata ELSE c.metadata END AS metadata
+FROM shipments c FULL OUTER JOIN p ON c.shipment_id = p.shipment_id) q"""
+
+
+@oracle("orphan_telemetry", ["shipments", "telemetry"])
+def _():
+    return """
+SELECT * FROM telemetry t
+WHERE NOT EXISTS (SELECT 1 FROM shipments s WHERE s.shipment_id = t.shipment_id)"""
+
+
+def _not_null_checks(table: str, cols: list[str]) -> str:
+    parts = [f"SELECT '{table}' AS table_name, 'not_null' AS check_name, '{c}' AS column_name, "
+             f"COUNT(*) FILTER (WHERE {c} IS NULL) AS violations FROM {table}" for c in cols]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _pk_check(table: str, key: list[str]) -> str:
+    k = ", ".join(key)
+    return (f"SELECT '{table}' AS table_name, 'primary_key' AS check_name, '{','.join(key)}' AS column_name, "
+            f"COUNT(*) AS violations FROM (SELECT {k} FROM {table} GROUP BY {k} HAVING COUNT(*) > 1) d")
+
+
+@oracle("table_checks", ["shipments", "telemetry", "routes_flat", "carriers"])
+def _():
+    parts = [
+        _not_null_checks("shipments", ["shipment_id", "origin_hub", "destination_hub", "carrier_id",
+                                       "status", "created_at", "updated_at"]),
+        "SELECT 'shipments', 'domain', 'status', COUNT(*) FILTER (WHERE status IS NOT NULL AND status NOT IN "
+        "('in_transit', 'delayed', 'delivered', 'anomaly')) FROM shipments",
+        _pk_check("shipments", ["shipment_id"]),
+        _not_null_checks("telemetry", ["id", "device_id", "shipment_id", "event_time", "lat", "lon"]),
+        _pk_check("telemetry", ["id", "event_time"]),
+        _not_null_checks("routes_flat", ["route_id", "origin_hub", "destination_hub", "carrier_id",
+                                         "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd",
+                                         "active"]).replace("'routes_flat' AS", "'routes' AS"),
+        _pk_check("routes_flat", ["route_id"]).replace("'routes_flat' AS", "'routes' AS"),
+        _not_null_checks("carriers", ["carrier_id", "carrier_name", "active"]),
+        _pk_check("carriers", ["carrier_id"]),
+    ]
+    return "SELECT * FROM (\n" + "\nUNION ALL\n".join(parts) + "\n) q"
+
+
+@oracle("telemetry_retention", ["telemetry"])
+def _():
+    return f"SELECT * FROM telemetry WHERE event_time >= {TS} - INTERVAL 7 DAYS"
+
+
+@oracle("anomaly_retention", ["anomaly_events"])
+def _():
+    return f"SELECT * FROM anomaly_events WHERE event_time >= {TS} - INTERVAL 1 DAYS"
+
+
+@oracle("partition_range_violations", ["telemetry"])
+def _():
+    return f"""
+SELECT id, event_time FROM telemetry
+WHERE event_time < DATE_TRUNC('month', {TS})
+   OR event_time >= DATE_TRUNC('month', {TS}) + INTERVAL 4 MONTHS"""
