@@ -226,3 +226,125 @@ def q_anomaly_retention(spark, sf_dir):
 def q_partition_range_violations(spark, sf_dir):
     return tables.partition_range_violations(_fx(spark, sf_dir).telemetry(), as_of=AS_OF).select(
         "id", "event_time")
+
+
+# ---------------------------------------------------------------- scoring
+from cargoscope.operators import evaluation, rates, scoring, training  # noqa: E402
+
+# A fixed column scorer (M4) with power-of-two weights, so every engine gets
+# the same doubles: 0.5 + t/128 + h/256 + speed/512 - battery/256.
+TEST_SCORER_WEIGHTS = [1 / 128, 1 / 256, 0.0, 0.0, 1 / 512, -1 / 256, 0.0]
+TEST_SCORER_BIAS = 0.5
+
+
+def _scored(spark, sf_dir):
+    tel = _fx(spark, sf_dir).telemetry()
+    scorer = scoring.linear_scorer(TEST_SCORER_WEIGHTS, TEST_SCORER_BIAS)
+    return scoring.flag_anomalies(scoring.score(tel, scorer))
+
+
+@register("feature_vectors")
+def q_feature_vectors(spark, sf_dir):
+    tel = _fx(spark, sf_dir).telemetry()
+    f = scoring.feature_vector(tel)
+    return f.select("id", *[F.col("features")[i].alias(f"f_{n}") for i, n in
+                            enumerate(scoring.FEATURE_COLS)])
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, sf_dir):
+    return _scored(spark, sf_dir).select("id", "device_id", "shipment_id", "anomaly_score",
+                                         "is_anomaly", "threshold")
+
+
+@register("anomaly_emissions")
+def q_anomaly_emissions(spark, sf_dir):
+    results = scoring.anomaly_results(
+        _scored(spark, sf_dir).withColumn("message_id", F.format_string("m%d", "id")))
+    messages, _ = scoring.emit_anomalies(results, as_of=AS_OF)
+    return messages.select("message_id", F.col("attributes")["device_id"].alias("device_id"),
+                           F.col("attributes")["anomaly_score"].alias("score_text"))
+
+
+@register("checkpoint_gaps")
+def q_checkpoint_gaps(spark, sf_dir):
+    tel = _fx(spark, sf_dir).telemetry()
+    return scoring.checkpoint_gap(tel).select("id", "shipment_id", "hours_since_last_checkpoint")
+
+
+@register("rate_violations")
+def q_rate_violations(spark, sf_dir):
+    # The fixture data is sparse: one-day windows and threshold 3 (FIXTURES.md).
+    ev = _fx(spark, sf_dir).table("events")
+    return rates.rate_violations(ev, "user_id", threshold=3, seconds=86400, time_col="ts")
+
+
+# ---------------------------------------------------------------- training & evaluation
+TRAIN_KEEP = ["event_id", "device_id", "event_time", "score"]
+SPLIT_ORDER = ["event_time", "device_id", "event_id"]
+
+
+def _training_set(spark, sf_dir):
+    raw = _fx(spark, sf_dir).training()
+    loaded = training.load_training(raw, as_of=AS_OF, time_col="event_time")
+    return training.select_features(loaded, keep=TRAIN_KEEP)
+
+
+def _split(spark, sf_dir):
+    return training.temporal_split(training.impute(_training_set(spark, sf_dir)), SPLIT_ORDER)
+
+
+def _test_part(spark, sf_dir):
+    return _split(spark, sf_dir).filter(F.col("split") == "test")
+
+
+@register("training_set")
+def q_training_set(spark, sf_dir):
+    return _training_set(spark, sf_dir)
+
+
+@register("imputed_training")
+def q_imputed_training(spark, sf_dir):
+    return training.impute(_training_set(spark, sf_dir))
+
+
+@register("temporal_split")
+def q_temporal_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("event_id", "row_pos", "split")
+
+
+@register("split_stats")
+def q_split_stats(spark, sf_dir):
+    return training.split_stats(_split(spark, sf_dir))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf_dir):
+    pred = evaluation.with_prediction(_test_part(spark, sf_dir), "score")
+    return evaluation.classification_report(pred, "anomaly_label")
+
+
+@register("roc_auc")
+def q_roc_auc(spark, sf_dir):
+    return evaluation.roc_auc(_test_part(spark, sf_dir), "anomaly_label", "score")
+
+
+@register("average_precision")
+def q_average_precision(spark, sf_dir):
+    return evaluation.average_precision(_test_part(spark, sf_dir), "anomaly_label", "score")
+
+
+@register("evaluation")
+def q_evaluation(spark, sf_dir):
+    return evaluation.evaluate(_test_part(spark, sf_dir), "anomaly_label", "score")
+
+
+@register("gbt_train_evaluate")
+def q_gbt_train_evaluate(spark, sf_dir):
+    """M1 + M2 + M5: fit the classifier (few rounds) on the train part, score
+    the test part with the fitted pipeline, evaluate at 0.75."""
+    split = _split(spark, sf_dir)
+    model = training.train(split, max_iter=5)
+    test = split.filter(F.col("split") == "test")
+    scored = scoring.score(test, model, out="model_score")
+    return evaluation.evaluate(scored, "anomaly_label", "model_score")

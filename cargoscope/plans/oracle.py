@@ -14,6 +14,8 @@ TS = f"TIMESTAMP '{AS_OF}'"
 
 
 def with_views(views: list[str], body: str) -> str:
+    if not views:
+        return body.strip()
     ctes = ",\n".join(f"{v} AS ({view_sql_for_oracle(v)})" for v in views)
     return f"WITH {ctes}\n{body.strip()}"
 
@@ -370,3 +372,186 @@ def _():
 SELECT id, event_time FROM telemetry
 WHERE event_time < DATE_TRUNC('month', {TS})
    OR event_time >= DATE_TRUNC('month', {TS}) + INTERVAL 4 MONTHS"""
+
+
+# ---------------------------------------------------------------- scoring
+def _or(col: str, default: float) -> str:
+    return f"CASE WHEN {col} IS NULL OR {col} = 0 THEN {default} ELSE {col} END"
+
+
+FEATURE_SQL = [("temperature", _or("temperature", "CAST(0.0 AS DOUBLE)")),
+               ("humidity", _or("humidity", "CAST(0.0 AS DOUBLE)")),
+               ("lat", "lat"), ("lon", "lon"),
+               ("speed_kmh", _or("speed_kmh", "CAST(0.0 AS DOUBLE)")),
+               ("battery_pct", _or("battery_pct", "CAST(100.0 AS DOUBLE)")),
+               ("hours_since_last_checkpoint", "CAST(0.0 AS DOUBLE)")]
+
+
+@oracle("feature_vectors", ["telemetry"])
+def _():
+    cols = ", ".join(f"{expr} AS f_{name}" for name, expr in FEATURE_SQL)
+    return f"SELECT id, {cols} FROM telemetry"
+
+
+def scored_sql() -> str:
+    f = dict(FEATURE_SQL)
+    raw = (f"((((CAST(0.5 AS DOUBLE) + CAST(0.0078125 AS DOUBLE) * ({f['temperature']})) "
+           f"+ CAST(0.00390625 AS DOUBLE) * ({f['humidity']})) "
+           f"+ CAST(0.001953125 AS DOUBLE) * ({f['speed_kmh']})) "
+           f"+ CAST(-0.00390625 AS DOUBLE) * ({f['battery_pct']}))")
+    return f"""
+SELECT id, device_id, shipment_id, anomaly_score, anomaly_score >= 0.75 AS is_anomaly,
+       CAST(0.75 AS DOUBLE) AS threshold
+FROM (SELECT *, GREATEST(CAST(0.0 AS DOUBLE), LEAST(CAST(1.0 AS DOUBLE), COALESCE({raw}, 0.0))) AS anomaly_score
+      FROM telemetry) t"""
+
+
+@oracle("anomaly_scores", ["telemetry"])
+def _():
+    return scored_sql()
+
+
+@oracle("anomaly_emissions", ["telemetry"])
+def _():
+    return f"""
+SELECT 'm' || CAST(id AS VARCHAR) AS message_id, device_id, CAST(anomaly_score AS VARCHAR) AS score_text
+FROM ({scored_sql()}) s WHERE is_anomaly"""
+
+
+@oracle("checkpoint_gaps", ["telemetry"])
+def _():
+    return """
+SELECT id, shipment_id,
+       CAST(EPOCH_US(event_time) - EPOCH_US(LAG(event_time) OVER (PARTITION BY shipment_id ORDER BY event_time, id))
+            AS DOUBLE) / 3.6e9 AS hours_since_last_checkpoint
+FROM telemetry"""
+
+
+@oracle("rate_violations", [])
+def _():
+    return """
+SELECT * FROM (
+SELECT DATE_TRUNC('day', ts) AS window_start, DATE_TRUNC('day', ts) + INTERVAL 1 DAY AS window_end,
+       user_id, COUNT(*) AS n
+FROM events GROUP BY 1, 2, 3 HAVING COUNT(*) > 3) q"""
+
+
+# ---------------------------------------------------------------- training & evaluation
+def training_set_sql() -> str:
+    return f"""
+SELECT event_id, device_id, event_time, score, temperature, humidity, lat, lon, speed_kmh, battery_pct,
+       CAST(0.0 AS DOUBLE) AS hours_since_last_checkpoint, anomaly_label
+FROM training WHERE anomaly_label IS NOT NULL AND event_time >= {TS} - INTERVAL 90 DAYS"""
+
+
+def imputed_sql() -> str:
+    cols = ["temperature", "humidity", "lat", "lon", "speed_kmh", "battery_pct",
+            "hours_since_last_checkpoint"]
+    filled = ", ".join(f"COALESCE({c}, AVG({c}) OVER ()) AS {c}" for c in cols)
+    return f"SELECT event_id, device_id, event_time, score, {filled}, anomaly_label FROM ({training_set_sql()}) t"
+
+
+def split_sql() -> str:
+    return f"""
+SELECT *, CASE WHEN row_pos < FLOOR(CAST(n AS DOUBLE) * 0.8) THEN 'train' ELSE 'test' END AS split
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY event_time, device_id, event_id) - 1 AS row_pos,
+             COUNT(*) OVER () AS n
+      FROM ({imputed_sql()}) i) r"""
+
+
+def test_sql() -> str:
+    return f"SELECT * FROM ({split_sql()}) s WHERE split = 'test'"
+
+
+@oracle("training_set", ["training"])
+def _():
+    return training_set_sql()
+
+
+@oracle("imputed_training", ["training"])
+def _():
+    return imputed_sql()
+
+
+@oracle("temporal_split", ["training"])
+def _():
+    return f"SELECT event_id, row_pos, split FROM ({split_sql()}) s"
+
+
+@oracle("split_stats", ["training"])
+def _():
+    return f"""
+SELECT split, COUNT(*) AS n_rows, AVG(CAST(anomaly_label AS DOUBLE)) AS anomaly_rate
+FROM ({split_sql()}) s GROUP BY split"""
+
+
+@oracle("classification_report", ["training"])
+def _():
+    return f"""
+SELECT * FROM (
+WITH c AS (
+  SELECT COUNT(*) FILTER (WHERE anomaly_label = 1 AND score >= 0.75) AS tp,
+         COUNT(*) FILTER (WHERE anomaly_label = 0 AND score >= 0.75) AS fp,
+         COUNT(*) FILTER (WHERE anomaly_label = 1 AND score < 0.75) AS fn,
+         COUNT(*) FILTER (WHERE anomaly_label = 0 AND score < 0.75) AS tn
+  FROM ({test_sql()}) t),
+m AS (
+  SELECT tp + fp + fn + tn AS n, tn + fp AS s0, tp + fn AS s1,
+         CASE WHEN tn + fn > 0 THEN CAST(tn AS DOUBLE) / CAST(tn + fn AS DOUBLE) ELSE 0.0 END AS p0,
+         CASE WHEN tn + fp > 0 THEN CAST(tn AS DOUBLE) / CAST(tn + fp AS DOUBLE) ELSE 0.0 END AS r0,
+         CASE WHEN 2 * tn + fn + fp > 0 THEN CAST(2 * tn AS DOUBLE) / CAST(2 * tn + fn + fp AS DOUBLE) ELSE 0.0 END AS f0,
+         CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE) ELSE 0.0 END AS p1,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE 0.0 END AS r1,
+         CASE WHEN 2 * tp + fp + fn > 0 THEN CAST(2 * tp AS DOUBLE) / CAST(2 * tp + fp + fn AS DOUBLE) ELSE 0.0 END AS f1,
+         CASE WHEN tp + fp + fn + tn > 0 THEN CAST(tp + tn AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) ELSE 0.0 END AS acc
+  FROM c)
+SELECT 'Normal' AS class_label, p0 AS precision, r0 AS recall, f0 AS f1_score, CAST(s0 AS BIGINT) AS support FROM m
+UNION ALL SELECT 'Anomaly', p1, r1, f1, s1 FROM m
+UNION ALL SELECT 'accuracy', NULL, NULL, acc, n FROM m
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM m
+UNION ALL SELECT 'weighted avg',
+    (CAST(s0 AS DOUBLE) * p0 + CAST(s1 AS DOUBLE) * p1) / CAST(n AS DOUBLE),
+    (CAST(s0 AS DOUBLE) * r0 + CAST(s1 AS DOUBLE) * r1) / CAST(n AS DOUBLE),
+    (CAST(s0 AS DOUBLE) * f0 + CAST(s1 AS DOUBLE) * f1) / CAST(n AS DOUBLE), n FROM m) q"""
+
+
+def auc_sql() -> str:
+    return f"""
+SELECT CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN
+         CAST(SUM(2 * pos * neg_below + pos * neg) AS DOUBLE)
+         / (CAST(SUM(pos) AS DOUBLE) * CAST(SUM(neg) AS DOUBLE) * 2) END AS roc_auc
+FROM (SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                AS neg_below
+      FROM (SELECT score, COUNT(*) FILTER (WHERE anomaly_label = 1) AS pos,
+                   COUNT(*) FILTER (WHERE anomaly_label = 0) AS neg
+            FROM ({test_sql()}) t GROUP BY score) h) c"""
+
+
+def ap_sql() -> str:
+    return f"""
+SELECT CASE WHEN SUM(pos) > 0 THEN
+         ROUND(SUM(CAST(pos AS DOUBLE) * CAST(cum_pos AS DOUBLE) / CAST(cum_pos + cum_neg AS DOUBLE))
+               / CAST(SUM(pos) AS DOUBLE), 12) END AS average_precision
+FROM (SELECT *, SUM(pos) OVER (ORDER BY score DESC) AS cum_pos, SUM(neg) OVER (ORDER BY score DESC) AS cum_neg
+      FROM (SELECT score, COUNT(*) FILTER (WHERE anomaly_label = 1) AS pos,
+                   COUNT(*) FILTER (WHERE anomaly_label = 0) AS neg
+            FROM ({test_sql()}) t GROUP BY score) h) c"""
+
+
+@oracle("roc_auc", ["training"])
+def _():
+    return auc_sql()
+
+
+@oracle("average_precision", ["training"])
+def _():
+    return ap_sql()
+
+
+@oracle("evaluation", ["training"])
+def _():
+    return f"""
+SELECT a.roc_auc, p.average_precision,
+       (SELECT CAST(COUNT(*) FILTER (WHERE (score >= 0.75) = (anomaly_label = 1)) AS DOUBLE)
+               / CAST(COUNT(*) AS DOUBLE) FROM ({test_sql()}) t) AS accuracy
+FROM ({auc_sql()}) a, ({ap_sql()}) p"""
