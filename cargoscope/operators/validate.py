@@ -81,14 +81,23 @@ def _is_number(t: Column) -> Column:
 def decode_telemetry(msgs: DataFrame, body_col: str = "value",
                      attributes_col: str | None = "attributes") -> DataFrame:
     """Strict decode of gateway messages (B1, B2). Adds the telemetry fields
-    and ``decode_reason`` (``content_type`` / ``malformed`` / null)."""
+    and ``decode_reason`` (``content_type`` / ``malformed`` / null).
+
+    The body is parsed once per row: the variant, then the field types, are
+    separate projections, which Catalyst keeps apart rather than inlining
+    the parse into every field expression.
+    """
+    fields = ["device_id", "shipment_id", "timestamp", "lat", "lon", *OPTIONAL_SENSORS]
     body = F.col(body_col)
-    v = _single_json_value(body)
-    vtype = F.schema_of_variant(v)
-    types = {f: _field_type(v, f) for f in
-             ["device_id", "shipment_id", "timestamp", "lat", "lon", *OPTIONAL_SENSORS]}
-    ts_text = F.try_variant_get(v, "$.timestamp", "string")
-    parsed_ts = F.try_to_timestamp(ts_text)
+    staged = msgs.withColumn("_v", _single_json_value(body))
+    v = F.col("_v")
+    staged = staged.select(
+        "*", F.schema_of_variant(v).alias("_vtype"),
+        F.try_variant_get(v, "$.timestamp", "string").alias("_ts_text"),
+        *[_field_type(v, f).alias(f"_t_{f}") for f in fields])
+    staged = staged.withColumn("_ts", F.try_to_timestamp(F.col("_ts_text")))
+    types = {f: F.col(f"_t_{f}") for f in fields}
+    ts_text, parsed_ts, vtype = F.col("_ts_text"), F.col("_ts"), F.col("_vtype")
 
     bad_types = F.lit(False)
     for f in ("device_id", "shipment_id"):
@@ -111,8 +120,8 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
     def dbl(f):
         return F.try_variant_get(v, f"$.{f}", "double")
 
-    out = msgs.select(
-        "*",
+    out = staged.select(
+        *[F.col(c) for c in msgs.columns],
         F.try_variant_get(v, "$.device_id", "string").alias("device_id"),
         F.try_variant_get(v, "$.shipment_id", "string").alias("shipment_id"),
         parsed_ts.alias("timestamp"),
@@ -129,8 +138,8 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     timestamp needed, numbers or numeric strings (or booleans) for floats,
     only strings for ids; missing ids or lat/lon reject. ``decode_reason``
     is ``malformed`` for skipped messages (they are still acknowledged, S18)."""
-    body = F.col(body_col)
-    v = _single_json_value(body)
+    staged = msgs.withColumn("_v", _single_json_value(F.col(body_col)))
+    v = F.col("_v")
     vtype = F.schema_of_variant(v)
 
     def as_float(f):
@@ -157,7 +166,8 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
         bad = bad | ~ok
         fields[f] = value
     reason = F.when(v.isNull() | ~vtype.startswith("OBJECT") | bad, "malformed")
-    return msgs.select("*", *[c.alias(n) for n, c in fields.items()], reason.alias("decode_reason"))
+    return staged.select(*[F.col(c) for c in msgs.columns], *[c.alias(n) for n, c in fields.items()],
+                         reason.alias("decode_reason"))
 
 
 # ---------------------------------------------------------------- validation

@@ -170,6 +170,8 @@ class Fixtures:
         body = F.to_json(F.struct(
             "device_id", ts_text.alias("timestamp"), "lat", "lon", "temperature", "humidity",
             "speed_kmh", "battery_pct", "shipment_id"))
+        t = t.withColumn("_body", body)
+        body = F.col("_body")
         k = F.col("id") % 50
         dev_json = F.concat(F.lit('"device_id":"'), F.col("device_id"), F.lit('"'))
         defects = [

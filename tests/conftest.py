@@ -17,6 +17,7 @@ def spark():
 
     session = (SparkSession.builder.master("local[*]")
                .config("spark.sql.shuffle.partitions", "8")
+               .config("spark.driver.memory", "8g")
                .config("spark.ui.enabled", "false")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.adaptive.enabled", "true")
