@@ -59,10 +59,22 @@ STATUS_ACCEPTED, STATUS_BAD_REQUEST, STATUS_UNSUPPORTED = 202, 400, 415
 # ------------------------------------------------------------------ decoding
 def _single_json_value(body: Column) -> Column:
     """The one JSON value of ``body`` as a variant, or null when the body is
-    not exactly one JSON value (trailing text, two values, empty, invalid)."""
-    arr = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))), "$",
-                            "array<variant>")
-    return F.when(F.size(arr) == 1, F.try_element_at(arr, F.lit(1)))
+    not exactly one JSON value (trailing text, two values, empty, invalid).
+
+    ``[`` body ``]`` must parse and hold exactly one element: ``$[0]`` present
+    and ``$[1]`` absent (a JSON null there is a variant null, not SQL NULL).
+    """
+    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    first = F.try_variant_get(wrapped, "$[0]", "variant")
+    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), first)
+
+
+# First non-blank character of a body that parsed: its JSON type.
+_LEADING_BLANKS = "^[ \\t\\n\\r]*"
+
+
+def _starts_with(body: Column, chars: str) -> Column:
+    return body.rlike(_LEADING_BLANKS + chars)
 
 
 def _field_type(value: Column, field: str) -> Column:
@@ -92,12 +104,14 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
     staged = msgs.withColumn("_v", _single_json_value(body))
     v = F.col("_v")
     staged = staged.select(
-        "*", F.schema_of_variant(v).alias("_vtype"),
+        "*",
         F.try_variant_get(v, "$.timestamp", "string").alias("_ts_text"),
         *[_field_type(v, f).alias(f"_t_{f}") for f in fields])
     staged = staged.withColumn("_ts", F.try_to_timestamp(F.col("_ts_text")))
     types = {f: F.col(f"_t_{f}") for f in fields}
-    ts_text, parsed_ts, vtype = F.col("_ts_text"), F.col("_ts"), F.col("_vtype")
+    ts_text, parsed_ts = F.col("_ts_text"), F.col("_ts")
+    # A parsed body is an object or JSON null exactly when it starts with { or n.
+    object_or_null = _starts_with(body, "[{n]")
 
     bad_types = F.lit(False)
     for f in ("device_id", "shipment_id"):
@@ -114,7 +128,7 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
                                 == CONTENT_TYPE, F.lit(False))
     reason = (F.when(body.isNull() | (F.octet_length(body) > MAX_BODY_BYTES), "malformed")
               .when(~content_ok, "content_type")
-              .when(v.isNull() | ~(vtype.startswith("OBJECT") | (vtype == "VOID")), "malformed")
+              .when(v.isNull() | ~object_or_null, "malformed")
               .when(bad_types | bad_ts, "malformed"))
 
     def dbl(f):
@@ -140,7 +154,7 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     is ``malformed`` for skipped messages (they are still acknowledged, S18)."""
     staged = msgs.withColumn("_v", _single_json_value(F.col(body_col)))
     v = F.col("_v")
-    vtype = F.schema_of_variant(v)
+    is_object = _starts_with(F.col(body_col), "[{]")
 
     def as_float(f):
         t = _field_type(v, f)
@@ -165,7 +179,7 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
         value, ok, _ = as_float(f)
         bad = bad | ~ok
         fields[f] = value
-    reason = F.when(v.isNull() | ~vtype.startswith("OBJECT") | bad, "malformed")
+    reason = F.when(v.isNull() | ~is_object | bad, "malformed")
     return staged.select(*[F.col(c) for c in msgs.columns], *[c.alias(n) for n, c in fields.items()],
                          reason.alias("decode_reason"))
 
