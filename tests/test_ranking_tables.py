@@ -140,3 +140,22 @@ def test_write_telemetry_partitions(spark, scratch):
     one_day = back.filter(F.col("event_date") == "2024-01-05")
     plan = one_day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and one_day.count() > 0
+
+
+def test_load_tables_and_training_scan(spark, scratch):
+    from cargoscope.sources import tables as src
+    from cargoscope.sources.fixtures import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    src.write_table(fx.shipments(), scratch, "shipments")
+    src.write_table(fx.carriers(), scratch, "carriers")
+    ships = src.read_table(spark, f"{scratch}/shipments", "shipments")
+    assert [f.name for f in ships.schema.fields] == [f.name for f in src.schemas.SHIPMENTS.fields]
+    assert ships.count() == fx.shipments().count()
+    # Day-partitioned warehouse table: the scan prunes days outside the window.
+    raw = fx.training().withColumnRenamed("event_time", "timestamp")
+    raw.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date") \
+        .parquet(f"{scratch}/raw")
+    got = src.read_training(spark, f"{scratch}/raw", as_of="2024-01-31 00:00:00", days=10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert got.count() == raw.filter("anomaly_label IS NOT NULL AND timestamp >= '2024-01-21'").count()
