@@ -175,8 +175,9 @@ def q_ingest_messages(spark, sf_dir):
     decoded = validate.decode_telemetry(msgs)
     checked = validate.validate_telemetry(decoded, as_of=AS_OF, time_col="timestamp",
                                           check_stale=False)
+    accepted_time = F.when(F.col("reject_reason").isNull(), F.col("timestamp")).alias("timestamp")
     return validate.ingest_result(checked).select("message_id", "reject_reason", "status_code",
-                                                  "device_id", "lat", "lon", "timestamp")
+                                                  "device_id", "lat", "lon", accepted_time)
 
 
 @register("scoring_decode")
@@ -348,3 +349,44 @@ def q_gbt_train_evaluate(spark, sf_dir):
     test = split.filter(F.col("split") == "test")
     scored = scoring.score(test, model, out="model_score")
     return evaluation.evaluate(scored, "anomaly_label", "model_score")
+
+
+# ---------------------------------------------------------------- streams
+import uuid  # noqa: E402
+
+from cargoscope.session import shared_path  # noqa: E402
+from cargoscope.streaming import ingest as ingest_stream  # noqa: E402
+from cargoscope.streaming import scoring as scoring_stream  # noqa: E402
+
+
+def _stream_source(spark, sf_dir) -> str:
+    """Table-derived messages written as JSON-lines files in a fresh folder
+    under the shared checkpoint location."""
+    base = shared_path(spark, "cargoscope-streams", uuid.uuid4().hex)
+    _fx(spark, sf_dir).messages().drop("id").write.json(f"{base}/src")
+    return base
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    """The ingest stream (availableNow) over the message files;
+    returns one row per message: published (reason null) or quarantined."""
+    base = _stream_source(spark, sf_dir)
+    ingest_stream.run_ingest(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt",
+                             as_of=AS_OF).awaitTermination()
+    published = ingest_stream.read_landed(spark, f"{base}/out", "published").select(
+        "message_id", F.lit(None).cast("string").alias("reject_reason"))
+    quarantined = ingest_stream.read_landed(spark, f"{base}/out", "quarantine").select(
+        "message_id", "reject_reason")
+    return published.unionByName(quarantined)
+
+
+@register("stream_scoring")
+def q_stream_scoring(spark, sf_dir):
+    """The scoring stream (availableNow) with the fixed column scorer;
+    returns the per-message results."""
+    base = _stream_source(spark, sf_dir)
+    scorer = scoring.linear_scorer(TEST_SCORER_WEIGHTS, TEST_SCORER_BIAS)
+    scoring_stream.run_scoring(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", scorer,
+                               as_of=AS_OF).awaitTermination()
+    return spark.read.parquet(f"{base}/out/results")
