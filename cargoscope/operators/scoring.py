@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import as_of_col, clamp_unit, python_or
@@ -121,10 +121,13 @@ def emit_anomalies(results: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame
 
 
 def checkpoint_gap(df: DataFrame, key: str = "shipment_id", time_col: str = "event_time",
-                   tie: str = "id") -> DataFrame:
+                   tie: str = "id", num_partitions: int | None = None) -> DataFrame:
     """Derived feature (X1): hours since the previous telemetry row of the
-    same shipment; null for a shipment's first row (scored as 0.0)."""
-    w = Window.partitionBy(key).orderBy(F.col(time_col), F.col(tie))
-    prev = F.lag(time_col).over(w)
-    hours = F.timestamp_diff("MICROSECOND", prev, F.col(time_col)).cast("double") / 3.6e9
-    return df.withColumn("hours_since_last_checkpoint", hours)
+    same shipment (order: time, then ``tie``); null for a shipment's first row
+    (scored as 0.0). The previous row comes from ``plans.ranking.with_previous``,
+    which splits a hot shipment across tasks instead of one window partition."""
+    from cargoscope.plans.ranking import with_previous
+    out = with_previous(df, key, [time_col, tie], name="_prev", num_partitions=num_partitions)
+    hours = F.timestamp_diff("MICROSECOND", F.col(f"_prev.{time_col}"), F.col(time_col)) \
+        .cast("double") / 3.6e9
+    return out.withColumn("hours_since_last_checkpoint", hours).drop("_prev")

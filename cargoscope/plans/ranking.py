@@ -83,3 +83,29 @@ def with_running_sums(df: DataFrame, order: list[Column], columns: list[str],
                   .withColumn(f"total_{c}", F.col(f"_total_{c}")))
     return out.drop("_pid", "_mono", *[f"_off_{c}" for c in columns],
                     *[f"_total_{c}" for c in columns])
+
+
+def with_previous(df: DataFrame, key: str, order: list[str], name: str = "prev",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Adds ``name`` = struct of the ``order`` columns of the previous row of
+    the same ``key`` (``lag`` over key ordered by ``order``), without putting
+    a hot key into one task.
+
+    Rows are range-partitioned on (key, order), so a key with a third of all
+    rows spans many partitions. Inside each (partition, key) piece the
+    previous row is a window lag; the first row of a piece takes the last row
+    ("tail") of the same key's piece in the preceding partition. Tails are one
+    row per piece (one partial-aggregated row per key per partition), and a
+    key spans at most ``num_partitions`` pieces.
+    """
+    cols = [F.col(c) for c in order]
+    staged = _staged(df, [F.col(key), *cols], num_partitions)
+    current = F.struct(*cols)
+    piece = Window.partitionBy("_pid", key).orderBy(*cols)
+    within = staged.withColumn("_prev_in", F.lag(current).over(piece))
+    tails = staged.groupBy("_pid", key).agg(F.max(current).alias("_tail"))
+    tails = tails.select("_pid", key, F.lag("_tail").over(Window.partitionBy(key).orderBy("_pid"))
+                         .alias("_prev_tail"))
+    out = within.join(tails, ["_pid", key])
+    return (out.withColumn(name, F.coalesce(F.col("_prev_in"), F.col("_prev_tail")))
+            .drop("_pid", "_mono", "_prev_in", "_prev_tail"))

@@ -159,3 +159,17 @@ def test_load_tables_and_training_scan(spark, scratch):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert got.count() == raw.filter("anomaly_label IS NOT NULL AND timestamp >= '2024-01-21'").count()
+
+
+def test_previous_row_with_hot_key_matches_lag(spark):
+    from pyspark.sql import Window
+    from cargoscope.plans.ranking import with_previous
+    rng = random.Random(11)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 50)}",
+             dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 500))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz")
+    got = {r.id: (r.prev.id if r.prev else None) for r in
+           with_previous(df, "key", ["ts", "id"], num_partitions=9).collect()}
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    expected = {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+    assert got == expected
