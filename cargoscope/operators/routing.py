@@ -43,6 +43,7 @@ DEFAULT_MAX_TRANSIT_DAYS = 7
 DEFAULT_AVOID_ANOMALY_ROUTES = True
 WEIGHT_MIN, WEIGHT_MAX = 0.1, 50000.0
 TRANSIT_MIN, TRANSIT_MAX = 1, 30
+WEIGHT_BUCKETS_PER_OCTAVE = 4
 
 
 def _empty() -> F.Column:
@@ -110,22 +111,79 @@ def rolling_risk(events: DataFrame, newest: int | None = None,
     return ev.select("route_id", "event_id", "event_time", "anomaly_risk_score", "recency")
 
 
-def candidate_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame) -> DataFrame:
-    """Scenario × route pairs on the same lane that pass the route filters
-    (C3, C6, B11, B12), with the scenario's cost (B13)."""
-    s = with_scenario_defaults(scenarios).select(
+def _scenario_groups(ids: F.Column) -> F.Column:
+    """Route groups a scenario may draw from (S8): every route when it lists
+    no carrier; else routes without an own filter list plus, per listed
+    carrier, the filtered routes of that carrier."""
+    ids = F.array_distinct(ids)
+    return F.when(F.size(ids) == 0, F.array(F.lit("all"))).otherwise(
+        F.concat(F.array(F.lit("open")), F.transform(ids, lambda c: F.concat(F.lit("filt:"), c))))
+
+
+def _route_groups(route_filter: F.Column, carrier: F.Column) -> F.Column:
+    own = F.when(route_filter.isNull() | (F.size(route_filter) == 0), F.lit("open")) \
+        .otherwise(F.concat(F.lit("filt:"), carrier))
+    return F.array(F.lit("all"), own)
+
+
+def candidate_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
+                     top_k: int = TOP_K, buckets_per_octave: int = WEIGHT_BUCKETS_PER_OCTAVE
+                     ) -> DataFrame:
+    """Scenario × route candidates that can reach a scenario's ``top_k``
+    cheapest routes (C3, C6, B11-B13), with the scenario's cost.
+
+    Exact pruning instead of every scenario × route pair of a lane: scenarios
+    are keyed by (lane, route group, max days, weight bucket); weight buckets
+    are ``buckets_per_octave`` per doubling. Within a bucket [lo, hi) a
+    route's cost lies in [base + lo·pk, base + hi·pk] (ends swapped for a
+    negative pk). Per key, T = the ``top_k``-th smallest upper end over the
+    eligible routes; a route whose lower end exceeds T has ``top_k`` routes
+    strictly cheaper for every weight in the bucket, so it cannot be in any
+    of the key's scenarios' top ``top_k``. Only routes with lower <= T meet
+    the scenarios. Days (1..30) and weights (0.1..50000) are bounded by the
+    request model, so a route is replicated over at most a fixed number of
+    keys per lane and group; invalid scenarios are refused (the API's 422).
+    """
+    valid = validate_scenarios(scenarios).filter(F.col("reject_reason").isNull())
+    per_octave = float(buckets_per_octave)
+    s = valid.select(
         "scenario_id", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
-        "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes")
+        "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes",
+        F.floor(F.log2("cargo_weight_kg") * per_octave).cast("int").alias("_bucket"),
+        F.explode(_scenario_groups(F.col("carrier_ids"))).alias("_group"))
+    key = ["_o", "_d", "_group", "max_transit_days", "_bucket"]
+    keys = s.select(*key).distinct()
+
     r = routes.select("route_id", "origin_hub", "destination_hub", "carrier_id",
                       "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd", "waypoints",
                       "carrier_ids_filter")
     rc = r.join(carriers.select("carrier_id", "carrier_name"), "carrier_id")
-    pairs = s.join(rc, (rc.origin_hub == s._o) & (rc.destination_hub == s._d))
-    pairs = pairs.filter((F.col("estimated_transit_days") <= F.col("max_transit_days"))
-                         & carrier_rule(F.col("carrier_ids"), F.col("carrier_ids_filter"),
-                                        F.col("carrier_id")))
+    rm = rc.select("*", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
+                   F.explode(_route_groups(F.col("carrier_ids_filter"), F.col("carrier_id")))
+                   .alias("_group"))
+    rk = (rm.join(keys, ["_o", "_d", "_group"])
+          .filter(F.col("estimated_transit_days") <= F.col("max_transit_days")))
+    # Bucket ends, widened by 1e-9 so float rounding never puts a weight outside.
+    lo = F.pow(F.lit(2.0), F.col("_bucket") / per_octave) * (1 - 1e-9)
+    hi = F.pow(F.lit(2.0), (F.col("_bucket") + 1) / per_octave) * (1 + 1e-9)
+    pk, base = F.col("cost_per_kg_usd"), F.col("base_cost_usd")
+    rk = (rk.withColumn("_lower", base + F.least(lo * pk, hi * pk))
+            .withColumn("_upper", base + F.greatest(lo * pk, hi * pk)))
+    by_upper = Window.partitionBy(*key).orderBy("_upper", "route_id")
+    threshold = (rk.select(*key, "_upper", F.row_number().over(by_upper).alias("_rn"))
+                 .filter(F.col("_rn") <= top_k)
+                 .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_upper").alias("_t")))
+    kept = (rk.join(threshold, key)
+            .filter((F.col("_n") < top_k) | (F.col("_lower") <= F.col("_t")))
+            .drop("_n", "_t", "_lower", "_upper", "origin_hub", "destination_hub"))
+    pairs = s.join(kept, key).filter(
+        carrier_rule(F.col("carrier_ids"), F.col("carrier_ids_filter"), F.col("carrier_id")))
     cost = F.col("base_cost_usd") + F.col("cargo_weight_kg") * F.col("cost_per_kg_usd")
-    return pairs.withColumn("estimated_cost_usd", cost).drop("_o", "_d")
+    return pairs.select(
+        "scenario_id", F.col("_o").alias("origin_hub"), F.col("_d").alias("destination_hub"),
+        "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes", "route_id",
+        "carrier_id", "carrier_name", "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd",
+        "waypoints", "carrier_ids_filter", cost.alias("estimated_cost_usd"))
 
 
 def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
@@ -137,7 +195,7 @@ def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
     """
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
-    pairs = candidate_routes(scenarios, routes, carriers)
+    pairs = candidate_routes(scenarios, routes, carriers, top_k=top_k)
 
     # Only the top_k cheapest routes of a scenario can place a row in its top_k.
     by_cost = Window.partitionBy("scenario_id").orderBy("estimated_cost_usd", "route_id")

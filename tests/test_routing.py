@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cargoscope.operators import routing
@@ -124,3 +126,43 @@ def test_at_most_ten_rows_per_scenario(spark):
     out = routing.score_routes(fx.scenarios(), fx.routes(), fx.carriers(), fx.anomaly_events())
     counts = out.groupBy("scenario_id").count().collect()
     assert all(c["count"] <= 10 for c in counts)
+
+
+def brute_force_top_routes(spark, scen_rows, route_rows, k=10):
+    """Every scenario x route pair of a lane, filtered, cheapest k per scenario."""
+    out = {}
+    for sid, o, d, w, ids, days, _ in scen_rows:
+        cands = []
+        for rid, ro, rd, carrier, tdays, base, pk, _, filt, _ in route_rows:
+            if (ro, rd) != (o, d) or tdays > days or carrier not in ("C1", "C2"):
+                continue
+            if not (len(ids) == 0 or filt is None or len(filt) == 0 or carrier in ids):
+                continue
+            cands.append((base + w * pk, rid))
+        out[sid] = sorted(cands)[:k]
+    return out
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.data())
+def test_pruned_candidates_match_all_pairs(spark, data):
+    rnd = data.draw(st.randoms(use_true_random=False))
+    routes = []
+    for i in range(rnd.randint(5, 80)):
+        filt = rnd.choice([None, [], ["C9"]])
+        routes.append((f"R{i:03d}", "A", rnd.choice(["B", "C"]), rnd.choice(["C1", "C2", "C7"]),
+                       float(rnd.randint(1, 12)), float(rnd.randint(0, 20)),
+                       rnd.choice([0.0, 0.5, 1.0, 2.0, rnd.uniform(-0.5, 3.0)]), None, filt, True))
+    scens = []
+    for j in range(rnd.randint(1, 12)):
+        w = rnd.choice([0.1, 1.0, 3.7, 100.0, rnd.uniform(0.1, 50000.0), 50000.0])
+        ids = rnd.choice([[], ["C1"], ["C2", "C1"], ["C2", "C2"]])
+        scens.append((j, "A", rnd.choice(["B", "C"]), w, ids, rnd.randint(1, 30), False))
+    r = spark.createDataFrame(routes, ROUTE_SCHEMA)
+    s = spark.createDataFrame(scens, SCEN_SCHEMA)
+    got = {}
+    for row in routing.score_routes(s, r, carriers(spark), events(spark, []), grain="route").collect():
+        got.setdefault(row.scenario_id, []).append((row.estimated_cost_usd, row.route_id))
+    expected = brute_force_top_routes(spark, scens, routes)
+    for sid, rows in expected.items():
+        assert sorted(got.get(sid, [])) == rows
