@@ -111,10 +111,15 @@ def evaluate(pred: DataFrame, label_col: str, score_col: str = "score",
              threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
     """One row: ROC AUC, average precision and accuracy at the threshold (M5)."""
     report = classification_report(with_prediction(pred, score_col, threshold), label_col)
-    acc = report.filter(F.col("class_label") == "accuracy").select(F.col("f1_score").alias("accuracy"))
-    auc = roc_auc(pred, label_col, score_col)
-    ap = average_precision(pred, label_col, score_col)
-    # Three one-row frames side by side: each join has exactly one row per side.
-    key = F.lit(1).alias("_k")
-    return (auc.select(key, "*").join(ap.select(key, "*"), "_k").join(acc.select(key, "*"), "_k")
-            .drop("_k"))
+    parts = [
+        roc_auc(pred, label_col, score_col).select(F.lit("roc_auc").alias("metric"),
+                                                   F.col("roc_auc").alias("value")),
+        average_precision(pred, label_col, score_col).select(
+            F.lit("average_precision").alias("metric"), F.col("average_precision").alias("value")),
+        report.filter(F.col("class_label") == "accuracy").select(
+            F.lit("accuracy").alias("metric"), F.col("f1_score").alias("value")),
+    ]
+    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # One aggregate turns the three one-row results into one wide row (no join).
+    return long.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
+                      for m in ("roc_auc", "average_precision", "accuracy")])
