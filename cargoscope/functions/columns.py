@@ -27,19 +27,37 @@ def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_of_col(as_of: str | _dt.datetime | Column | None) -> Column:
+def as_of_col(as_of: str | _dt.datetime | Column | None, zoned: bool = False) -> Column:
     """The "now" of an operator: a literal, a column, or the query start time.
 
-    String and datetime literals become ``timestamp_ntz`` so they compare with
-    the driver's ``timestamp_ntz`` columns without a time-zone shift.
+    String and datetime literals are wall-clock UTC. They become
+    ``timestamp_ntz`` (to compare with the driver's ``timestamp_ntz`` columns)
+    or, with ``zoned=True``, a ``timestamp`` instant (to compare with zoned
+    columns); neither depends on the session time zone.
     """
     if as_of is None:
         return F.current_timestamp()
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, _dt.datetime):
+        if as_of.tzinfo is not None:
+            as_of = as_of.astimezone(_dt.timezone.utc).replace(tzinfo=None)
         as_of = as_of.isoformat(sep=" ")
-    return F.lit(str(as_of)).cast("timestamp_ntz")
+    naive = F.lit(str(as_of)).cast("timestamp_ntz")
+    if zoned:
+        # UTC wall clock -> session wall clock -> instant: the same instant in any session.
+        return F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive).cast("timestamp")
+    return naive
+
+
+def is_zoned(df, column: str) -> bool:
+    """True when ``column`` is a zoned ``timestamp`` (not ``timestamp_ntz``)."""
+    return dict(df.dtypes).get(column) == "timestamp"
+
+
+def as_of_for(df, column: str, as_of) -> Column:
+    """``as_of`` typed like ``df[column]`` (see ``as_of_col``)."""
+    return as_of_col(as_of, zoned=is_zoned(df, column))
 
 
 def lookup(c: str | Column, mapping: dict, fallback) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cargoscope.functions.columns import (as_of_col, seconds_between, severity, status_color,
+from cargoscope.functions.columns import (as_of_for, seconds_between, severity, status_color,
                                           status_priority)
 from cargoscope.session import ensure_checkpoint_dir
 
@@ -142,7 +142,8 @@ def anomaly_feed(summary: DataFrame, mode: str = "all", limit: int = FEED_LIMIT,
     return (summary.filter(cond)
             .withColumn("priority", status_priority("status"))
             .withColumn("severity", severity("status"))
-            .withColumn("age_seconds", seconds_between("last_telemetry_at", as_of_col(as_of)))
+            .withColumn("age_seconds", seconds_between("last_telemetry_at",
+                                                       as_of_for(summary, "last_telemetry_at", as_of)))
             .orderBy("priority", F.col("updated_at").desc(), "shipment_id")
             .limit(limit))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargoscope.functions.columns import as_of_col
+from cargoscope.functions.columns import as_of_for
 from cargoscope.operators.scoring import ASSEMBLED, MODEL_INPUTS
 from cargoscope.plans.ranking import with_global_position
 from cargoscope.schemas import FEATURE_COLS, LABEL_COL
@@ -32,7 +32,7 @@ def load_training(df: DataFrame, as_of=None, days: int = TRAIN_WINDOW_DAYS,
     On a day-partitioned table the time filter prunes partitions; the label
     filter is pushed to the parquet scan.
     """
-    since = as_of_col(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    since = as_of_for(df, time_col, as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
     return df.filter(F.col(label_col).isNotNull() & (F.col(time_col) >= since))
 
 

@@ -191,16 +191,20 @@ def _out_of(c: Column, lo: float, hi: float) -> Column:
 
 
 def rejection_reason(as_of=None, time_col: str = "event_time", strict_gps: bool = False,
-                     check_stale: bool = True) -> Column:
-    """The ordered rule chain as one CASE expression."""
+                     check_stale: bool = True, zoned: bool = False) -> Column:
+    """The ordered rule chain as one CASE expression.
+
+    ``zoned`` says whether ``time_col`` is a zoned ``timestamp``; literals
+    are then UTC instants, else naive UTC wall-clock times.
+    """
     dev, ship, ts = F.col("device_id"), F.col("shipment_id"), F.col(time_col)
     lat, lon = F.col("lat"), F.col("lon")
-    zero_time = F.to_timestamp(F.lit("0001-01-01T00:00:00Z"))
+    zero_time = as_of_col("0001-01-01 00:00:00", zoned=zoned)
     chain = (F.when(dev.isNull() | (dev == ""), "device_id")
              .when(ship.isNull() | (ship == ""), "shipment_id")
-             .when(ts.isNull() | (ts.cast("timestamp") == zero_time), "timestamp"))
+             .when(ts.isNull() | (ts == zero_time), "timestamp"))
     if check_stale:
-        limit = as_of_col(as_of) - F.expr(f"INTERVAL {STALE_AFTER_HOURS} HOURS")
+        limit = as_of_col(as_of, zoned=zoned) - F.expr(f"INTERVAL {STALE_AFTER_HOURS} HOURS")
         chain = chain.when(ts < limit, "stale")
     if strict_gps:
         chain = chain.when(lat.isNull(), "lat").when(lon.isNull(), "lon")
@@ -216,7 +220,8 @@ def validate_telemetry(df: DataFrame, as_of=None, time_col: str = "event_time",
                        strict_gps: bool = False, check_stale: bool = True) -> DataFrame:
     """Adds ``reject_reason``; rows already refused by the decoder keep the
     decoder's reason. ``as_of`` defaults to the query start time."""
-    reason = rejection_reason(as_of, time_col, strict_gps, check_stale)
+    zoned = dict(df.dtypes).get(time_col) == "timestamp"
+    reason = rejection_reason(as_of, time_col, strict_gps, check_stale, zoned=zoned)
     if "decode_reason" in df.columns:
         decoded = F.col("decode_reason")
         reason = F.when(decoded.isNotNull(), decoded).otherwise(reason)
