@@ -7,14 +7,18 @@ The matching DuckDB SQL lives in ``plans.oracle``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoscope.operators import dashboard as dash
-from cargoscope.operators import routing
+from cargoscope.operators import evaluation, rates, routing, scoring, tables, training, validate
+from cargoscope.session import shared_path
 from cargoscope.sources.fixtures import AS_OF, Fixtures
+from cargoscope.streaming import ingest as ingest_stream
+from cargoscope.streaming import scoring as scoring_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -143,7 +147,6 @@ def q_scenario_validation(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- ingest validation
-from cargoscope.operators import validate  # noqa: E402
 
 
 @register("telemetry_validation")
@@ -188,7 +191,6 @@ def q_scoring_decode(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- tables
-from cargoscope.operators import tables  # noqa: E402
 
 
 @register("shipments_upsert")
@@ -230,7 +232,6 @@ def q_partition_range_violations(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- scoring
-from cargoscope.operators import evaluation, rates, scoring, training  # noqa: E402
 
 # A fixed column scorer (M4) with power-of-two weights, so every engine gets
 # the same doubles: 0.5 + t/128 + h/256 + speed/512 - battery/256.
@@ -352,11 +353,6 @@ def q_gbt_train_evaluate(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streams
-import uuid  # noqa: E402
-
-from cargoscope.session import shared_path  # noqa: E402
-from cargoscope.streaming import ingest as ingest_stream  # noqa: E402
-from cargoscope.streaming import scoring as scoring_stream  # noqa: E402
 
 
 def _stream_source(spark, sf_dir) -> str:

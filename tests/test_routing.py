@@ -166,3 +166,11 @@ def test_pruned_candidates_match_all_pairs(spark, data):
     expected = brute_force_top_routes(spark, scens, routes)
     for sid, rows in expected.items():
         assert sorted(got.get(sid, [])) == rows
+
+
+def test_risk_drop_is_strict(spark):
+    r = spark.createDataFrame([route("R1", 10.0), route("R2", 20.0)], ROUTE_SCHEMA)
+    ev = events(spark, [(1, "R1", 0.75, T0), (2, "R2", 0.875, T0)])
+    s = spark.createDataFrame([scen(avoid=True)], SCEN_SCHEMA)
+    out = routing.score_routes(s, r, carriers(spark), ev).collect()
+    assert [(x.route_id, x.anomaly_risk_score, x.is_recommended) for x in out] == [("R1", 0.75, False)]
