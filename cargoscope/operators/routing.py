@@ -92,22 +92,27 @@ def rolling_risk(events: DataFrame, newest: int | None = None,
 
     With ``newest`` set, only the newest ``newest`` events per route are
     returned (with ``recency`` 1 = newest); the frame still sees their 30
-    older neighbours because events are cut to ``newest + frame`` first.
-    Returns ``route_id, event_id, event_time, anomaly_risk_score, recency``.
+    older neighbours because events are cut to ``newest + frame`` first, a
+    map-side WindowGroupLimit. Without it every event gets its rolling risk
+    through ``plans.ranking.with_rolling_mean``, which splits a hot route
+    across tasks. Returns ``route_id, event_id, event_time,
+    anomaly_risk_score`` (and ``recency`` with ``newest``).
     """
     ev = events.filter(F.col("route_id").isNotNull()).select(
         "route_id", "event_id", "event_time", "anomaly_score")
+    if newest is None:
+        from cargoscope.plans.ranking import with_rolling_mean
+        out = with_rolling_mean(ev, "route_id", ["event_time", "event_id"], "anomaly_score",
+                                "anomaly_risk_score", frame)
+        return out.select("route_id", "event_id", "event_time", "anomaly_risk_score")
     newest_first = Window.partitionBy("route_id").orderBy(F.col("event_time").desc(),
                                                          F.col("event_id").desc())
-    ev = ev.withColumn("recency", F.row_number().over(newest_first))
-    if newest is not None:
-        ev = ev.filter(F.col("recency") <= newest + frame)
+    ev = (ev.withColumn("recency", F.row_number().over(newest_first))
+          .filter(F.col("recency") <= newest + frame))
     # Frame "30 preceding .. current" in time order = "current .. 30 following"
     # in newest-first order, so both windows share one sort.
     risk = F.avg("anomaly_score").over(newest_first.rowsBetween(0, frame))
-    ev = ev.withColumn("anomaly_risk_score", risk)
-    if newest is not None:
-        ev = ev.filter(F.col("recency") <= newest)
+    ev = ev.withColumn("anomaly_risk_score", risk).filter(F.col("recency") <= newest)
     return ev.select("route_id", "event_id", "event_time", "anomaly_risk_score", "recency")
 
 

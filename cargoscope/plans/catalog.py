@@ -386,3 +386,9 @@ def q_stream_scoring(spark, sf_dir):
     scoring_stream.run_scoring(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", scorer,
                                as_of=AS_OF).awaitTermination()
     return spark.read.parquet(f"{base}/out/results")
+
+
+@register("route_risk_all")
+def q_route_risk_all(spark, sf_dir):
+    """E1 over every anomaly event (no newest-n cut)."""
+    return routing.rolling_risk(_fx(spark, sf_dir).anomaly_events())

@@ -555,3 +555,12 @@ SELECT a.roc_auc, p.average_precision,
        (SELECT CAST(COUNT(*) FILTER (WHERE (score >= 0.75) = (anomaly_label = 1)) AS DOUBLE)
                / CAST(COUNT(*) AS DOUBLE) FROM ({test_sql()}) t) AS accuracy
 FROM ({auc_sql()}) a, ({ap_sql()}) p"""
+
+
+@oracle("route_risk_all", ["anomaly_events"])
+def _():
+    return """
+SELECT route_id, event_id, event_time,
+       AVG(anomaly_score) OVER (PARTITION BY route_id ORDER BY event_time, event_id
+                                ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS anomaly_risk_score
+FROM anomaly_events WHERE route_id IS NOT NULL"""

@@ -109,3 +109,37 @@ def with_previous(df: DataFrame, key: str, order: list[str], name: str = "prev",
     out = within.join(tails, ["_pid", key])
     return (out.withColumn(name, F.coalesce(F.col("_prev_in"), F.col("_prev_tail")))
             .drop("_pid", "_mono", "_prev_in", "_prev_tail"))
+
+
+def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, name: str,
+                      preceding: int, num_partitions: int | None = None) -> DataFrame:
+    """Adds ``name`` = mean of ``value`` over the ``preceding`` rows before each
+    row and the row itself, per ``key`` in ``order`` (a ROWS frame), without
+    putting a hot key into one task.
+
+    Rows are range-partitioned on (key, order); each (partition, key) piece
+    knows its first rank within the key from per-piece counts. The
+    ``preceding`` rows before a piece are fetched by an equi-join on
+    (key, rank), whose keys are unique, and the window runs per piece plus
+    that halo, so no task holds more than one partition and ``preceding`` rows.
+    """
+    cols = [F.col(c) for c in order]
+    staged = _staged(df, [F.col(key), *cols], num_partitions)
+    pieces = staged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"),
+                                             F.min("_mono").alias("_first_mono"))
+    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_first_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    ranked = (staged.join(pieces.select("_pid", key, "_first_mono", "_first_rank"), ["_pid", key])
+              .withColumn("_rank", F.col("_first_rank") + F.col("_mono") - F.col("_first_mono"))
+              .drop("_first_mono", "_first_rank"))
+    requests = (pieces.filter(F.col("_first_rank") > 0)
+                .select(key, F.col("_pid").alias("_target"),
+                        F.explode(F.sequence(F.greatest(F.col("_first_rank") - preceding, F.lit(0)),
+                                             F.col("_first_rank") - 1)).alias("_rank")))
+    halo = (ranked.select(key, "_rank", value).join(requests, [key, "_rank"])
+            .withColumn("_halo", F.lit(True)))
+    own = ranked.select(key, "_rank", value, F.col("_pid").alias("_target"), F.lit(False).alias("_halo"))
+    frame = Window.partitionBy("_target", key).orderBy("_rank").rowsBetween(-preceding, 0)
+    means = (own.unionByName(halo).withColumn(name, F.avg(value).over(frame))
+             .filter(~F.col("_halo")).select(key, "_rank", name))
+    return ranked.join(means, [key, "_rank"]).drop("_pid", "_mono", "_rank")

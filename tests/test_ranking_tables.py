@@ -173,3 +173,18 @@ def test_previous_row_with_hot_key_matches_lag(spark):
     w = Window.partitionBy("key").orderBy("ts", "id")
     expected = {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
     assert got == expected
+
+
+def test_rolling_mean_with_hot_key_matches_window(spark):
+    from pyspark.sql import Window
+    from cargoscope.plans.ranking import with_rolling_mean
+    rng = random.Random(5)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 30)}",
+             dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 300)), rng.randint(0, 64) / 64)
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz, v double")
+    got = {r.id: r.m for r in with_rolling_mean(df, "key", ["ts", "id"], "v", "m", 30,
+                                                num_partitions=13).collect()}
+    w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(-30, 0)
+    expected = {r.id: r.m for r in df.select("id", F.avg("v").over(w).alias("m")).collect()}
+    assert got == expected
