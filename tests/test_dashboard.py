@@ -92,3 +92,16 @@ def test_summary_without_telemetry_or_events(spark):
     ev = spark.createDataFrame([], "shipment_id string, resolved boolean")
     r = dashboard.shipments_summary(ships, tel, ev).first()
     assert r.open_anomalies == 0 and r.lat is None
+
+
+def test_summary_pushes_page_keys_into_scans(spark, scratch):
+    from cargoscope.sources.fixtures import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    fx.telemetry().write.parquet(f"{scratch}/tel")
+    fx.anomaly_events().write.parquet(f"{scratch}/ev")
+    tel, ev = spark.read.parquet(f"{scratch}/tel"), spark.read.parquet(f"{scratch}/ev")
+    out = dashboard.shipments_summary(fx.shipments(), tel, ev, limit=20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(shipment_id" in plan  # telemetry scan
+    assert "PushedFilters: [IsNotNull(resolved), In(shipment_id" in plan  # anomaly scan
+    assert out.count() == 20
