@@ -129,3 +129,20 @@ def test_split_fraction(spark):
     last_train = train_rows.agg(F.max("event_time")).first()[0]
     first_test = split.filter("split = 'test'").agg(F.min("event_time")).first()[0]
     assert last_train <= first_test
+
+
+def test_periodic_refresh_writes_page(spark, scratch):
+    import time
+
+    from cargoscope.streaming.refresh import start_refresh
+    fx = Fixtures(spark, SMOKE_DIR)
+    out = f"{scratch}/page"
+    q = start_refresh(spark, lambda: (fx.shipments(), fx.telemetry(), fx.anomaly_events()), out,
+                      f"{scratch}/ckpt", processing_time="1 second", limit=50)
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline and not os.path.exists(f"{out}/_SUCCESS"):
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert spark.read.parquet(out).count() == 50
