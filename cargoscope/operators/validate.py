@@ -4,8 +4,9 @@ Everything is a column expression over the message rows: no shuffle, no
 Python per row. ``reject_reason`` is null for accepted rows.
 
 Decode (``decode_telemetry``) reproduces the ingestion gateway:
+* content type must equal ``application/json`` exactly -> ``content_type``,
+  checked before the body is decoded (S17);
 * body over 1 MiB -> ``malformed`` (it is cut before decoding, S16);
-* content type must equal ``application/json`` exactly -> ``content_type`` (S17);
 * JSON must be one value with nothing after it (``[`` body ``]`` parsed as a
   variant array of size 1); an object or ``null`` (all fields absent);
   strings where strings are declared, numbers where numbers are declared, an
@@ -126,8 +127,10 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
     else:
         content_ok = F.coalesce(F.element_at(F.col(attributes_col), F.lit("content_type"))
                                 == CONTENT_TYPE, F.lit(False))
-    reason = (F.when(body.isNull() | (F.octet_length(body) > MAX_BODY_BYTES), "malformed")
-              .when(~content_ok, "content_type")
+    # The gateway reads at most 1 MiB (a longer body is cut, not refused), then
+    # checks the content type, then decodes: so 415 wins over any body defect.
+    reason = (F.when(~content_ok, "content_type")
+              .when(body.isNull() | (F.octet_length(body) > MAX_BODY_BYTES), "malformed")
               .when(v.isNull() | ~object_or_null, "malformed")
               .when(bad_types | bad_ts, "malformed"))
 

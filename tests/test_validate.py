@@ -176,3 +176,9 @@ def test_decode_features(spark, body, ok):
     msgs = spark.createDataFrame([("m", body)], "message_id string, value string")
     r = validate.decode_features(msgs).first()
     assert (r.decode_reason is None) == ok
+
+
+def test_content_type_wins_over_oversized_body(spark):
+    body = json.dumps(valid_payload(pad="x" * (1 << 20)))
+    [r] = run(spark, [body], attrs={"content_type": "text/plain"})
+    assert (r.reject_reason, r.status_code) == ("content_type", 415)
