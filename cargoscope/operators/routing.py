@@ -23,6 +23,10 @@ WindowGroupLimit, combined map-side, safe for a hot route), the rolling mean
 runs on that bounded set, and the scenario × route candidates are cut to the
 cheapest ``top_k`` routes per scenario before meeting the events. No step
 joins a scenario to a route's full event history.
+
+Candidates: up to 64 scenarios join their lane directly (at most 64 rows
+per route); beyond that an exact weight-bucket pruning (``pruned_candidates``)
+keeps the join from growing with scenarios × routes of a hot lane.
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ DEFAULT_AVOID_ANOMALY_ROUTES = True
 WEIGHT_MIN, WEIGHT_MAX = 0.1, 50000.0
 TRANSIT_MIN, TRANSIT_MAX = 1, 30
 WEIGHT_BUCKETS_PER_OCTAVE = 4
+DIRECT_SCENARIO_LIMIT = 64
 
 
 def _empty() -> F.Column:
@@ -132,10 +137,58 @@ def _route_groups(route_filter: F.Column, carrier: F.Column) -> F.Column:
 
 
 def candidate_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
-                     top_k: int = TOP_K, buckets_per_octave: int = WEIGHT_BUCKETS_PER_OCTAVE
-                     ) -> DataFrame:
+                     top_k: int = TOP_K, prune: bool | None = None) -> DataFrame:
+    """Scenario × route candidates for each scenario's ``top_k`` cheapest
+    routes (C3, C6, B11-B13), with the scenario's cost.
+
+    ``prune=None`` checks the scenario count first (``limit(n + 1).count()``,
+    a bounded job): up to ``DIRECT_SCENARIO_LIMIT`` scenarios join their
+    lane directly, at most that many rows per route; beyond it the exact
+    pruning of ``pruned_candidates`` keeps the join from growing with
+    scenarios × routes of a lane.
+    """
+    if prune is None:
+        prune = scenarios.limit(DIRECT_SCENARIO_LIMIT + 1).count() > DIRECT_SCENARIO_LIMIT
+    if prune:
+        return pruned_candidates(scenarios, routes, carriers, top_k)
+    return lane_candidates(scenarios, routes, carriers)
+
+
+def _routes_with_carriers(routes: DataFrame, carriers: DataFrame) -> DataFrame:
+    r = routes.select("route_id", "origin_hub", "destination_hub", "carrier_id",
+                      "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd", "waypoints",
+                      "carrier_ids_filter")
+    return r.join(carriers.select("carrier_id", "carrier_name"), "carrier_id")
+
+
+def _cost() -> F.Column:
+    return F.col("base_cost_usd") + F.col("cargo_weight_kg") * F.col("cost_per_kg_usd")
+
+
+CANDIDATE_COLUMNS = ["scenario_id", "origin_hub", "destination_hub", "cargo_weight_kg", "carrier_ids",
+                     "max_transit_days", "avoid_anomaly_routes", "route_id", "carrier_id",
+                     "carrier_name", "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd",
+                     "waypoints", "carrier_ids_filter", "estimated_cost_usd"]
+
+
+def lane_candidates(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame) -> DataFrame:
+    """Every route of a scenario's lane that passes the filters: the
+    reference's statement applied per scenario (for few scenarios)."""
+    valid = validate_scenarios(scenarios).filter(F.col("reject_reason").isNull())
+    s = valid.select("scenario_id", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
+                     "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes")
+    rc = _routes_with_carriers(routes, carriers)
+    pairs = (s.join(rc, (rc.origin_hub == s._o) & (rc.destination_hub == s._d))
+             .filter((F.col("estimated_transit_days") <= F.col("max_transit_days"))
+                     & carrier_rule(F.col("carrier_ids"), F.col("carrier_ids_filter"), F.col("carrier_id"))))
+    return pairs.withColumn("estimated_cost_usd", _cost()).select(*CANDIDATE_COLUMNS)
+
+
+def pruned_candidates(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
+                      top_k: int = TOP_K, buckets_per_octave: int = WEIGHT_BUCKETS_PER_OCTAVE
+                      ) -> DataFrame:
     """Scenario × route candidates that can reach a scenario's ``top_k``
-    cheapest routes (C3, C6, B11-B13), with the scenario's cost.
+    cheapest routes, with the scenario's cost.
 
     Exact pruning instead of every scenario × route pair of a lane: scenarios
     are keyed by (lane, route group, max days, weight bucket); weight buckets
@@ -159,10 +212,7 @@ def candidate_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFram
     key = ["_o", "_d", "_group", "max_transit_days", "_bucket"]
     keys = s.select(*key).distinct()
 
-    r = routes.select("route_id", "origin_hub", "destination_hub", "carrier_id",
-                      "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd", "waypoints",
-                      "carrier_ids_filter")
-    rc = r.join(carriers.select("carrier_id", "carrier_name"), "carrier_id")
+    rc = _routes_with_carriers(routes, carriers)
     rm = rc.select("*", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
                    F.explode(_route_groups(F.col("carrier_ids_filter"), F.col("carrier_id")))
                    .alias("_group"))
@@ -183,16 +233,13 @@ def candidate_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFram
             .drop("_n", "_t", "_lower", "_upper", "origin_hub", "destination_hub"))
     pairs = s.join(kept, key).filter(
         carrier_rule(F.col("carrier_ids"), F.col("carrier_ids_filter"), F.col("carrier_id")))
-    cost = F.col("base_cost_usd") + F.col("cargo_weight_kg") * F.col("cost_per_kg_usd")
-    return pairs.select(
-        "scenario_id", F.col("_o").alias("origin_hub"), F.col("_d").alias("destination_hub"),
-        "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes", "route_id",
-        "carrier_id", "carrier_name", "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd",
-        "waypoints", "carrier_ids_filter", cost.alias("estimated_cost_usd"))
+    return (pairs.withColumnRenamed("_o", "origin_hub").withColumnRenamed("_d", "destination_hub")
+            .withColumn("estimated_cost_usd", _cost()).select(*CANDIDATE_COLUMNS))
 
 
 def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
-                 events: DataFrame, grain: str = "event", top_k: int = TOP_K) -> DataFrame:
+                 events: DataFrame, grain: str = "event", top_k: int = TOP_K,
+                 prune: bool | None = None) -> DataFrame:
     """Route options per scenario (C6 with C3, C4, E1, E2, F2, F3, B11-B15).
 
     ``grain="event"`` is the reference's route × event grain; ``grain="route"``
@@ -200,7 +247,7 @@ def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
     """
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
-    pairs = candidate_routes(scenarios, routes, carriers, top_k=top_k)
+    pairs = candidate_routes(scenarios, routes, carriers, top_k=top_k, prune=prune)
 
     # Only the top_k cheapest routes of a scenario can place a row in its top_k.
     by_cost = Window.partitionBy("scenario_id").orderBy("estimated_cost_usd", "route_id")

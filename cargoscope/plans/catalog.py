@@ -112,10 +112,10 @@ def _flat_options(df: DataFrame) -> DataFrame:
     return df.withColumn("waypoints_text", F.array_join("waypoints", ",")).drop("waypoints")
 
 
-def _whatif(spark, sf_dir, grain):
+def _whatif(spark, sf_dir, grain, prune=None):
     fx = _fx(spark, sf_dir)
     return routing.score_routes(fx.scenarios(), fx.routes(), fx.carriers(), fx.anomaly_events(),
-                                grain=grain)
+                                grain=grain, prune=prune)
 
 
 @register("whatif_routes")
@@ -123,6 +123,13 @@ def q_whatif_routes(spark, sf_dir):
     return _flat_options(_whatif(spark, sf_dir, "event"))
 
 
+@register("whatif_routes_pruned")
+def q_whatif_routes_pruned(spark, sf_dir):
+    """The same what-if through the exact weight-bucket pruning path (the one
+    taken automatically beyond 64 scenarios)."""
+    return _flat_options(_whatif(spark, sf_dir, "event", prune=True))
+
+
 @register("whatif_routes_by_route")
 def q_whatif_routes_by_route(spark, sf_dir):
     return _flat_options(_whatif(spark, sf_dir, "route"))

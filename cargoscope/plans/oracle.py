@@ -209,6 +209,11 @@ def _():
     return whatif_sql("event")
 
 
+@oracle("whatif_routes_pruned", WHATIF_VIEWS)
+def _():
+    return whatif_sql("event")
+
+
 @oracle("whatif_routes_by_route", WHATIF_VIEWS)
 def _():
     return whatif_sql("route")

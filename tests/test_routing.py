@@ -160,12 +160,14 @@ def test_pruned_candidates_match_all_pairs(spark, data):
         scens.append((j, "A", rnd.choice(["B", "C"]), w, ids, rnd.randint(1, 30), False))
     r = spark.createDataFrame(routes, ROUTE_SCHEMA)
     s = spark.createDataFrame(scens, SCEN_SCHEMA)
-    got = {}
-    for row in routing.score_routes(s, r, carriers(spark), events(spark, []), grain="route").collect():
-        got.setdefault(row.scenario_id, []).append((row.estimated_cost_usd, row.route_id))
     expected = brute_force_top_routes(spark, scens, routes)
-    for sid, rows in expected.items():
-        assert sorted(got.get(sid, [])) == rows
+    for prune in (True, False):
+        got = {}
+        for row in routing.score_routes(s, r, carriers(spark), events(spark, []), grain="route",
+                                        prune=prune).collect():
+            got.setdefault(row.scenario_id, []).append((row.estimated_cost_usd, row.route_id))
+        for sid, rows in expected.items():
+            assert sorted(got.get(sid, [])) == rows
 
 
 def test_risk_drop_is_strict(spark):
