@@ -199,7 +199,8 @@ class Fixtures:
             value = F.when(k == key, defect).otherwise(value)
         content_type = F.when(k == 0, F.lit("text/plain")).otherwise(F.lit("application/json"))
         # A topic arrives in many partitions; the driver tables are single files.
-        t = t.repartition(self.spark.sparkContext.defaultParallelism, "id")
+        # No explicit count, so AQE sizes the partitions on a large cluster.
+        t = t.repartition("id")
         return t.select(
             F.format_string("m%d", "id").alias("message_id"), value.alias("value"),
             F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("shipment_id"),
