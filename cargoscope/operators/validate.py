@@ -154,35 +154,39 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     """Looser decode of the scoring service (B25): unknown fields ignored, no
     timestamp needed, numbers or numeric strings (or booleans) for floats,
     only strings for ids; missing ids or lat/lon reject. ``decode_reason``
-    is ``malformed`` for skipped messages (they are still acknowledged, S18)."""
+    is ``malformed`` for skipped messages (they are still acknowledged, S18).
+
+    Parse once, then field types, then values, in separate projections.
+    """
+    ids = ["device_id", "shipment_id"]
+    required = ["lat", "lon"]
+    optional = [*OPTIONAL_SENSORS, "hours_since_last_checkpoint"]
     staged = msgs.withColumn("_v", _single_json_value(F.col(body_col)))
     v = F.col("_v")
-    is_object = _starts_with(F.col(body_col), "[{]")
+    staged = staged.select("*", *[_field_type(v, f).alias(f"_t_{f}") for f in ids + required + optional])
 
     def as_float(f):
-        t = _field_type(v, f)
-        text = F.try_variant_get(v, f"$.{f}", "string")
+        t = F.col(f"_t_{f}")
         num = F.when(_is_number(t), F.try_variant_get(v, f"$.{f}", "double"))
-        from_text = F.when(t == "STRING", text.try_cast("double"))
+        from_text = F.when(t == "STRING", F.try_variant_get(v, f"$.{f}", "string").try_cast("double"))
         from_bool = F.when(t == "BOOLEAN", F.try_variant_get(v, f"$.{f}", "boolean").cast("double"))
         value = F.coalesce(num, from_text, from_bool)
-        ok = _absent_or_null(t) | value.isNotNull()
-        return value, ok, _absent_or_null(t)
+        return value, _absent_or_null(t) | value.isNotNull(), _absent_or_null(t)
 
-    fields, bad = {}, F.lit(False)
-    for f in ("device_id", "shipment_id"):
-        t = _field_type(v, f)
-        bad = bad | (t.isNull() | (t != "STRING"))
+    fields, bad = {}, ~_starts_with(F.col(body_col), "[{]")
+    for f in ids:
+        t = F.col(f"_t_{f}")
+        bad = bad | t.isNull() | (t != "STRING")
         fields[f] = F.try_variant_get(v, f"$.{f}", "string")
-    for f in ("lat", "lon"):
+    for f in required:
         value, ok, missing = as_float(f)
         bad = bad | ~ok | missing
         fields[f] = value
-    for f in (*OPTIONAL_SENSORS, "hours_since_last_checkpoint"):
+    for f in optional:
         value, ok, _ = as_float(f)
         bad = bad | ~ok
         fields[f] = value
-    reason = F.when(v.isNull() | ~is_object | bad, "malformed")
+    reason = F.when(v.isNull() | bad, "malformed")
     return staged.select(*[F.col(c) for c in msgs.columns], *[c.alias(n) for n, c in fields.items()],
                          reason.alias("decode_reason"))
 
