@@ -134,20 +134,26 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
               .when(v.isNull() | ~object_or_null, "malformed")
               .when(bad_types | bad_ts, "malformed"))
 
+    staged = staged.withColumn("decode_reason", reason)
+    decoded = F.col("decode_reason").isNull()
+
+    def field(value):
+        # A message that does not decode has no fields (the gateway stops there).
+        return F.when(decoded, value)
+
     def dbl(f):
         return F.try_variant_get(v, f"$.{f}", "double")
 
-    out = staged.select(
+    return staged.select(
         *[F.col(c) for c in msgs.columns],
-        F.try_variant_get(v, "$.device_id", "string").alias("device_id"),
-        F.try_variant_get(v, "$.shipment_id", "string").alias("shipment_id"),
-        parsed_ts.alias("timestamp"),
-        F.coalesce(dbl("lat"), F.lit(0.0)).alias("lat"),
-        F.coalesce(dbl("lon"), F.lit(0.0)).alias("lon"),
-        *[dbl(f).alias(f) for f in OPTIONAL_SENSORS],
-        reason.alias("decode_reason"),
+        field(F.try_variant_get(v, "$.device_id", "string")).alias("device_id"),
+        field(F.try_variant_get(v, "$.shipment_id", "string")).alias("shipment_id"),
+        field(parsed_ts).alias("timestamp"),
+        field(F.coalesce(dbl("lat"), F.lit(0.0))).alias("lat"),
+        field(F.coalesce(dbl("lon"), F.lit(0.0))).alias("lon"),
+        *[field(dbl(f)).alias(f) for f in OPTIONAL_SENSORS],
+        "decode_reason",
     )
-    return out
 
 
 def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:

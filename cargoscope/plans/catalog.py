@@ -185,7 +185,8 @@ def q_ingest_messages(spark, sf_dir):
     decoded = validate.decode_telemetry(msgs)
     checked = validate.validate_telemetry(decoded, as_of=AS_OF, time_col="timestamp",
                                           check_stale=False)
-    accepted_time = F.when(F.col("reject_reason").isNull(), F.col("timestamp")).alias("timestamp")
+    # Accepted times as epoch microseconds: no time zone enters the comparison.
+    accepted_time = F.when(F.col("reject_reason").isNull(), F.unix_micros("timestamp")).alias("ts_micros")
     return validate.ingest_result(checked).select("message_id", "reject_reason", "status_code",
                                                   "device_id", "lat", "lon", accepted_time)
 

@@ -569,3 +569,94 @@ SELECT route_id, event_id, event_time,
        AVG(anomaly_score) OVER (PARTITION BY route_id ORDER BY event_time, event_id
                                 ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS anomaly_risk_score
 FROM anomaly_events WHERE route_id IS NOT NULL"""
+
+
+# ---------------------------------------------------------------- strict decode (DuckDB JSON)
+MESSAGE_VIEWS = ["telemetry", "messages_flat"]
+RFC3339_SQL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+NUMBER_TYPES = "('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT', 'UHUGEINT')"
+
+
+def decoded_sql(check_stale: bool) -> str:
+    """The gateway's decode + rules written with DuckDB's JSON functions."""
+    def jt(f):
+        return f"json_type(jv, '$.{f}')"
+
+    def loose(f, ok):
+        return f"({jt(f)} IS NULL OR {jt(f)} = 'NULL' OR {jt(f)} IN {ok})"
+
+    type_ok = " AND ".join(
+        [loose("device_id", "('VARCHAR')"), loose("shipment_id", "('VARCHAR')")]
+        + [loose(f, NUMBER_TYPES) for f in ["lat", "lon", "temperature", "humidity", "speed_kmh",
+                                             "battery_pct"]]
+        + [f"({jt('timestamp')} IS NULL OR {jt('timestamp')} = 'NULL' OR ({jt('timestamp')} = 'VARCHAR'"
+           f" AND regexp_matches(json_extract_string(jv, '$.timestamp'), '{RFC3339_SQL}')"
+           f" AND TRY_CAST(json_extract_string(jv, '$.timestamp') AS TIMESTAMPTZ) IS NOT NULL))"])
+    stale = (f"WHEN ts < TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 24 HOURS THEN 'stale'"
+             if check_stale else "")
+    return f"""
+SELECT * FROM (
+WITH g AS (
+  -- JSON functions only ever see valid JSON (NULL otherwise).
+  SELECT message_id, value, content_type, CASE WHEN json_valid(value) THEN value END AS jv
+  FROM messages_flat),
+d AS (
+  SELECT message_id, value, jv, content_type,
+         CASE
+           WHEN content_type IS DISTINCT FROM 'application/json' THEN 'content_type'
+           WHEN value IS NULL OR strlen(value) > 1048576 THEN 'malformed'
+           WHEN jv IS NULL THEN 'malformed'
+           WHEN regexp_matches(jv, '[:,\[]\s*-?(NaN|Infinity)') THEN 'malformed'
+           WHEN json_type(jv) NOT IN ('OBJECT', 'NULL') THEN 'malformed'
+           WHEN json_type(jv) = 'OBJECT'
+                AND len(json_keys(jv)) <> len(list_distinct(json_keys(jv))) THEN 'malformed'
+           WHEN json_type(jv) = 'OBJECT' AND NOT ({type_ok}) THEN 'malformed'
+         END AS decode_reason
+  FROM g),
+f AS (
+  SELECT message_id, decode_reason,
+         CASE WHEN decode_reason IS NULL THEN json_extract_string(jv, '$.device_id') END AS device_id,
+         CASE WHEN decode_reason IS NULL THEN json_extract_string(jv, '$.shipment_id') END AS shipment_id,
+         CASE WHEN decode_reason IS NULL
+              THEN TRY_CAST(json_extract_string(jv, '$.timestamp') AS TIMESTAMPTZ) END AS ts,
+         CASE WHEN decode_reason IS NULL
+              THEN COALESCE(TRY_CAST(json_extract_string(jv, '$.lat') AS DOUBLE), 0.0) END AS lat,
+         CASE WHEN decode_reason IS NULL
+              THEN COALESCE(TRY_CAST(json_extract_string(jv, '$.lon') AS DOUBLE), 0.0) END AS lon,
+         CASE WHEN decode_reason IS NULL
+              THEN TRY_CAST(json_extract_string(jv, '$.temperature') AS DOUBLE) END AS temperature,
+         CASE WHEN decode_reason IS NULL
+              THEN TRY_CAST(json_extract_string(jv, '$.humidity') AS DOUBLE) END AS humidity,
+         CASE WHEN decode_reason IS NULL
+              THEN TRY_CAST(json_extract_string(jv, '$.battery_pct') AS DOUBLE) END AS battery_pct
+  FROM d)
+SELECT message_id, device_id, lat, lon, ts,
+       CASE
+         WHEN decode_reason IS NOT NULL THEN decode_reason
+         WHEN device_id IS NULL OR device_id = '' THEN 'device_id'
+         WHEN shipment_id IS NULL OR shipment_id = '' THEN 'shipment_id'
+         WHEN ts IS NULL OR ts = TIMESTAMPTZ '0001-01-01 00:00:00+00' THEN 'timestamp'
+         {stale}
+         WHEN lat < -90 OR lat > 90 THEN 'lat'
+         WHEN lon < -180 OR lon > 180 THEN 'lon'
+         WHEN temperature < -100 OR temperature > 200 THEN 'temperature'
+         WHEN humidity < 0 OR humidity > 100 THEN 'humidity'
+         WHEN battery_pct < 0 OR battery_pct > 100 THEN 'battery_pct'
+       END AS reject_reason
+FROM f) r"""
+
+
+@oracle("ingest_messages", MESSAGE_VIEWS)
+def _():
+    return f"""
+SELECT message_id, reject_reason,
+       CASE WHEN reject_reason IS NULL THEN 202 WHEN reject_reason = 'content_type' THEN 415 ELSE 400 END
+           AS status_code,
+       device_id, lat, lon,
+       CASE WHEN reject_reason IS NULL THEN epoch_us(ts) END AS ts_micros
+FROM ({decoded_sql(False)}) x"""
+
+
+@oracle("stream_ingest", MESSAGE_VIEWS)
+def _():
+    return f"SELECT message_id, reject_reason FROM ({decoded_sql(True)}) x"

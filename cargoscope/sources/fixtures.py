@@ -82,8 +82,53 @@ FROM {orders} WHERE o_orderkey % 10 IN (2, 3)
 UNION ALL
 SELECT 'S' || CAST(o_orderkey AS STRING), 'HZ', 'HZ', 'C2', 'delivered', '{{"n":2}}', 2
 FROM {orders} WHERE o_orderkey % 20 IN (2, 3)""",
+    # Gateway message bodies built from telemetry rows by plain text
+    # concatenation (identical bytes on both engines), with the decode defects
+    # of the reference's tests injected by id % 50.
+    "messages_flat": """
+SELECT id, 'm' || CAST(id AS STRING) AS message_id,
+       CASE WHEN id % 50 = 0 THEN 'text/plain' ELSE 'application/json' END AS content_type,
+       device_id, shipment_id,
+       CASE id % 50
+         WHEN 1 THEN body || ' trailing'
+         WHEN 8 THEN SUBSTRING(body, 1, 40)
+         WHEN 9 THEN body || body
+         WHEN 10 THEN ''
+         WHEN 11 THEN 'null'
+         WHEN 12 THEN '[' || body || ']'
+         WHEN 13 THEN REPLACE(body, '"', CHR(39))
+         WHEN 14 THEN '{{"device_id":"' || device_id || '",' || SUBSTRING(body, 2)
+         ELSE body END AS value
+FROM (
+  SELECT id, device_id, shipment_id,
+         '{{' ||
+         CASE WHEN id % 50 = 2 THEN '"device_id":' || SUBSTRING(device_id, 2)
+              ELSE '"device_id":"' || device_id || '"' END ||
+         ',"timestamp":"' ||
+         CASE id % 50 WHEN 6 THEN ts_text
+                      WHEN 7 THEN SUBSTRING(ts_text, 1, 10)
+                      WHEN 15 THEN ts_text || '+05:30'
+                      WHEN 16 THEN ts_text || '123Z'
+                      WHEN 17 THEN '0001-01-01T00:00:00Z'
+                      ELSE ts_text || 'Z' END || '"' ||
+         CASE id % 50 WHEN 3 THEN ',"lat":"' || CAST(lat AS STRING) || '"'
+                      WHEN 4 THEN ''
+                      WHEN 5 THEN ',"lat":null'
+                      WHEN 18 THEN ',"lat":NaN'
+                      ELSE ',"lat":' || CAST(lat AS STRING) END ||
+         ',"lon":' || CAST(lon AS STRING) ||
+         CASE WHEN temperature IS NULL THEN '' ELSE ',"temperature":' || CAST(temperature AS STRING) END ||
+         CASE WHEN humidity IS NULL THEN '' ELSE ',"humidity":' || CAST(humidity AS STRING) END ||
+         CASE WHEN speed_kmh IS NULL THEN '' ELSE ',"speed_kmh":' || CAST(speed_kmh AS STRING) END ||
+         CASE WHEN battery_pct IS NULL THEN '' ELSE ',"battery_pct":' || CAST(battery_pct AS STRING) END ||
+         ',"shipment_id":"' || shipment_id || '"}}' AS body
+  FROM (SELECT *, REPLACE(CAST(event_time AS STRING), ' ', 'T') AS ts_text FROM {telemetry}) t
+) b""",
 }
 
+# Views other views are built from (placeholders that are not driver tables).
+VIEW_DEPENDENCIES = {"messages_flat": ["telemetry"]}
+
 # The Spark-side view names are "routes" and "scenarios" (with array columns);
 # the flat forms are what SQL on both engines can express.
 VIEWS = ["carriers", "shipments", "telemetry", "anomaly_events", "routes", "scenarios",
@@ -91,8 +136,10 @@ VIEWS = ["carriers", "shipments", "telemetry", "anomaly_events", "routes", "scen
 
 
 def view_sql_for_oracle(name: str) -> str:
-    """Fixture SQL with plain driver-table names (DuckDB side)."""
-    return VIEW_SQL[name].format(**{t: t for t in DRIVER_TABLES}).strip()
+    """Fixture SQL with plain driver-table and view names (DuckDB side)."""
+    names = {t: t for t in DRIVER_TABLES}
+    names.update({v: v for v in VIEW_DEPENDENCIES.get(name, [])})
+    return VIEW_SQL[name].format(**names).strip()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +159,7 @@ class Fixtures:
     def _sql(self, name: str) -> DataFrame:
         sql = VIEW_SQL[name]
         needed = {t: self.table(t) for t in DRIVER_TABLES if "{" + t + "}" in sql}
+        needed.update({v: self._sql(v) for v in VIEW_DEPENDENCIES.get(name, [])})
         return self.spark.sql(sql, **needed)
 
     def carriers(self) -> DataFrame:
@@ -163,46 +211,14 @@ class Fixtures:
         return self._sql("shipment_updates")
 
     def messages(self) -> DataFrame:
-        """Gateway message envelopes: ``to_json`` of telemetry rows, with the
-        decode defects of the reference's tests injected by ``id % 50``."""
-        t = self.telemetry()
-        ts_text = F.concat(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
-        body = F.to_json(F.struct(
-            "device_id", ts_text.alias("timestamp"), "lat", "lon", "temperature", "humidity",
-            "speed_kmh", "battery_pct", "shipment_id"))
-        t = t.withColumn("_body", body)
-        body = F.col("_body")
-        k = F.col("id") % 50
-        dev_json = F.concat(F.lit('"device_id":"'), F.col("device_id"), F.lit('"'))
-        defects = [
-            (1, F.concat(body, F.lit(" trailing"))),
-            (2, F.regexp_replace(body, '"device_id":"D', '"device_id":')),
-            (3, F.regexp_replace(body, '"lat":(-?[0-9.E]+)', '"lat":"$1"')),
-            (4, F.regexp_replace(body, '"lat":-?[0-9.E]+,', "")),
-            (5, F.regexp_replace(body, '"lat":-?[0-9.E]+', '"lat":null')),
-            (6, F.regexp_replace(body, 'Z"', '"')),
-            (7, F.regexp_replace(body, 'T[0-9:.]+Z"', '"')),
-            (8, F.substring(body, 1, 40)),
-            (9, F.concat(body, body)),
-            (10, F.lit("")),
-            (11, F.lit("null")),
-            (12, F.concat(F.lit("["), body, F.lit("]"))),
-            (13, F.regexp_replace(body, '"', "'")),
-            (14, F.concat(F.lit("{"), dev_json, F.lit(","), F.substring(body, 2, 1 << 30))),
-            (15, F.regexp_replace(body, 'Z"', '+05:30"')),
-            (16, F.regexp_replace(body, '(\\.[0-9]{6})Z"', '$1123Z"')),
-            (17, F.regexp_replace(body, '"timestamp":"[^"]*"', '"timestamp":"0001-01-01T00:00:00Z"')),
-            (18, F.regexp_replace(body, '"lat":-?[0-9.E]+', '"lat":NaN')),
-        ]
-        value = body
-        for key, defect in defects:
-            value = F.when(k == key, defect).otherwise(value)
-        content_type = F.when(k == 0, F.lit("text/plain")).otherwise(F.lit("application/json"))
+        """Gateway message envelopes (``messages_flat`` with an attribute map)."""
+        flat = self._sql("messages_flat")
         # A topic arrives in many partitions; the driver tables are single files.
         # No explicit count, so AQE sizes the partitions on a large cluster.
-        t = t.repartition("id")
-        return t.select(
-            F.format_string("m%d", "id").alias("message_id"), value.alias("value"),
+        flat = flat.repartition("id")
+        return flat.select(
+            "message_id", "value",
             F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("shipment_id"),
-                         F.col("shipment_id"), F.lit("content_type"), content_type).alias("attributes"),
+                         F.col("shipment_id"), F.lit("content_type"), F.col("content_type"))
+            .alias("attributes"),
             "id")
