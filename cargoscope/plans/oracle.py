@@ -606,7 +606,7 @@ d AS (
            WHEN content_type IS DISTINCT FROM 'application/json' THEN 'content_type'
            WHEN value IS NULL OR strlen(value) > 1048576 THEN 'malformed'
            WHEN jv IS NULL THEN 'malformed'
-           WHEN regexp_matches(jv, '[:,\[]\s*-?(NaN|Infinity)') THEN 'malformed'
+           WHEN regexp_matches(jv, '[:,\\[]\\s*-?(NaN|Infinity)') THEN 'malformed'
            WHEN json_type(jv) NOT IN ('OBJECT', 'NULL') THEN 'malformed'
            WHEN json_type(jv) = 'OBJECT'
                 AND len(json_keys(jv)) <> len(list_distinct(json_keys(jv))) THEN 'malformed'
