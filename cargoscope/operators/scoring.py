@@ -131,3 +131,38 @@ def checkpoint_gap(df: DataFrame, key: str = "shipment_id", time_col: str = "eve
     hours = F.timestamp_diff("MICROSECOND", F.col(f"_prev.{time_col}"), F.col(time_col)) \
         .cast("double") / 3.6e9
     return out.withColumn("hours_since_last_checkpoint", hours).drop("_prev")
+
+
+REQUIRED_FEATURES = ("device_id", "shipment_id", "lat", "lon")
+OPTIONAL_FEATURES = ("temperature", "humidity", "speed_kmh", "battery_pct",
+                     "hours_since_last_checkpoint")
+
+
+class IncompleteFeatures(ValueError):
+    """A required feature is missing (the direct endpoint's 422)."""
+
+
+class ScoringFailed(RuntimeError):
+    """The scorer produced no score (the direct endpoint's 502)."""
+
+
+def score_direct(spark, features: dict, scorer, threshold: float = ANOMALY_THRESHOLD) -> dict:
+    """Single-row scoring (M3): one feature record in, one result record out.
+
+    Missing device_id, shipment_id, lat or lon raise ``IncompleteFeatures``;
+    a failed prediction raises ``ScoringFailed`` instead of scoring 0.0 (S3).
+    The row goes through the same ``score``/``flag_anomalies`` plan as batches.
+    """
+    missing = [f for f in REQUIRED_FEATURES if features.get(f) is None]
+    if missing:
+        raise IncompleteFeatures(f"missing required features: {', '.join(missing)}")
+    schema = ("device_id string, shipment_id string, lat double, lon double, "
+              + ", ".join(f"{f} double" for f in OPTIONAL_FEATURES))
+    row = tuple(features.get(f) for f in (*REQUIRED_FEATURES, *OPTIONAL_FEATURES))
+    row = row[:2] + tuple(None if v is None else float(v) for v in row[2:])
+    df = spark.createDataFrame([row], schema)
+    [result] = flag_anomalies(score(df, scorer, mode="direct"), threshold).select(
+        "device_id", "shipment_id", "anomaly_score", "is_anomaly", "threshold", "score_error").collect()
+    if result.score_error:
+        raise ScoringFailed("the scorer returned no prediction")
+    return {k: result[k] for k in ("device_id", "shipment_id", "anomaly_score", "is_anomaly", "threshold")}
