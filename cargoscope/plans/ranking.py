@@ -117,29 +117,36 @@ def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, nam
     row and the row itself, per ``key`` in ``order`` (a ROWS frame), without
     putting a hot key into one task.
 
-    Rows are range-partitioned on (key, order); each (partition, key) piece
-    knows its first rank within the key from per-piece counts. The
-    ``preceding`` rows before a piece are fetched by an equi-join on
-    (key, rank), whose keys are unique, and the window runs per piece plus
-    that halo, so no task holds more than one partition and ``preceding`` rows.
+    Rows are range-partitioned on (key, order) and checkpointed. Only a
+    partition's last key can continue into later partitions, so the rows a
+    partition's first key needs from before it are among the last
+    ``preceding`` rows of the last key of the ``preceding`` previous non-empty
+    partitions (each holds at least one row). Those boundary rows (at most
+    ``preceding`` per partition, so bounded by the partition count) are sent
+    to the partitions whose first key matches; own rows plus that halo are
+    range-partitioned on the target partition id (one id per partition, so
+    balanced) and the window runs per (target, key) with no further shuffle.
+    Extra older halo rows fall outside the frame and change nothing.
     """
     cols = [F.col(c) for c in order]
-    staged = _staged(df, [F.col(key), *cols], num_partitions)
-    pieces = staged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_n"),
-                                             F.min("_mono").alias("_first_mono"))
-    before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.withColumn("_first_rank", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ranked = (staged.join(pieces.select("_pid", key, "_first_mono", "_first_rank"), ["_pid", key])
-              .withColumn("_rank", F.col("_first_rank") + F.col("_mono") - F.col("_first_mono"))
-              .drop("_first_mono", "_first_rank"))
-    requests = (pieces.filter(F.col("_first_rank") > 0)
-                .select(key, F.col("_pid").alias("_target"),
-                        F.explode(F.sequence(F.greatest(F.col("_first_rank") - preceding, F.lit(0)),
-                                             F.col("_first_rank") - 1)).alias("_rank")))
-    halo = (ranked.select(key, "_rank", value).join(requests, [key, "_rank"])
-            .withColumn("_halo", F.lit(True)))
-    own = ranked.select(key, "_rank", value, F.col("_pid").alias("_target"), F.lit(False).alias("_halo"))
-    frame = Window.partitionBy("_target", key).orderBy("_rank").rowsBetween(-preceding, 0)
-    means = (own.unionByName(halo).withColumn(name, F.avg(value).over(frame))
-             .filter(~F.col("_halo")).select(key, "_rank", name))
-    return ranked.join(means, [key, "_rank"]).drop("_pid", "_mono", "_rank")
+    n = _partitions(df, num_partitions)
+    staged = _staged(df, [F.col(key), *cols], n)
+    # Non-empty partitions, densely numbered, with their first and last key (<= n rows).
+    ends = staged.groupBy("_pid").agg(F.min(key).alias("_first_key"), F.max(key).alias("_last_key"))
+    ends = F.broadcast(ends.withColumn("_seq", F.row_number().over(Window.orderBy("_pid"))))
+    last_rows = (staged.join(ends.select("_pid", F.col("_last_key").alias(key), "_seq"), ["_pid", key])
+                 .withColumn("_from_end", F.row_number().over(
+                     Window.partitionBy("_pid").orderBy(*[c.desc() for c in cols])))
+                 .filter(F.col("_from_end") <= preceding))
+    targets = ends.select(F.col("_pid").alias("_target"), F.col("_first_key").alias(key),
+                          F.col("_seq").alias("_target_seq"))
+    halo = (last_rows.select(key, *order, value, "_seq",
+                             F.explode(F.sequence(F.col("_seq") + 1, F.col("_seq") + preceding))
+                             .alias("_target_seq"))
+            .join(targets, [key, "_target_seq"])
+            .select("_target", key, *order, value, F.lit(True).alias("_halo")))
+    own = staged.withColumn("_target", F.col("_pid")).withColumn("_halo", F.lit(False))
+    combined = own.unionByName(halo, allowMissingColumns=True).repartitionByRange(n, "_target")
+    frame = Window.partitionBy("_target", key).orderBy(*cols).rowsBetween(-preceding, 0)
+    return (combined.withColumn(name, F.avg(value).over(frame)).filter(~F.col("_halo"))
+            .drop("_pid", "_mono", "_target", "_halo"))

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -175,16 +176,18 @@ def test_previous_row_with_hot_key_matches_lag(spark):
     assert got == expected
 
 
-def test_rolling_mean_with_hot_key_matches_window(spark):
+@pytest.mark.parametrize("partitions,n_rows", [(3, 1500), (13, 1500), (64, 400), (150, 300)])
+def test_rolling_mean_with_hot_key_matches_window(spark, partitions, n_rows):
+    """Tiny and empty range partitions make halos span many partitions."""
     from pyspark.sql import Window
     from cargoscope.plans.ranking import with_rolling_mean
     rng = random.Random(5)
     rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 30)}",
              dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 300)), rng.randint(0, 64) / 64)
-            for i in range(1500)]
+            for i in range(n_rows)]
     df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz, v double")
     got = {r.id: r.m for r in with_rolling_mean(df, "key", ["ts", "id"], "v", "m", 30,
-                                                num_partitions=13).collect()}
+                                                num_partitions=partitions).collect()}
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(-30, 0)
     expected = {r.id: r.m for r in df.select("id", F.avg("v").over(w).alias("m")).collect()}
     assert got == expected
