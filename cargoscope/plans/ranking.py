@@ -1,4 +1,5 @@
-"""Exact global positions and running totals without a single-task window.
+"""Exact global positions, running totals, previous rows and rolling means
+without a single-task window.
 
 An unpartitioned ``Window.orderBy`` moves every row into one task. Here the
 rows are range-partitioned on the (total) order instead, which splits even a
@@ -85,37 +86,10 @@ def with_running_sums(df: DataFrame, order: list[Column], columns: list[str],
                     *[f"_total_{c}" for c in columns])
 
 
-def with_previous(df: DataFrame, key: str, order: list[str], name: str = "prev",
-                  num_partitions: int | None = None) -> DataFrame:
-    """Adds ``name`` = struct of the ``order`` columns of the previous row of
-    the same ``key`` (``lag`` over key ordered by ``order``), without putting
-    a hot key into one task.
-
-    Rows are range-partitioned on (key, order), so a key with a third of all
-    rows spans many partitions. Inside each (partition, key) piece the
-    previous row is a window lag; the first row of a piece takes the last row
-    ("tail") of the same key's piece in the preceding partition. Tails are one
-    row per piece (one partial-aggregated row per key per partition), and a
-    key spans at most ``num_partitions`` pieces.
-    """
-    cols = [F.col(c) for c in order]
-    staged = _staged(df, [F.col(key), *cols], num_partitions)
-    current = F.struct(*cols)
-    piece = Window.partitionBy("_pid", key).orderBy(*cols)
-    within = staged.withColumn("_prev_in", F.lag(current).over(piece))
-    tails = staged.groupBy("_pid", key).agg(F.max(current).alias("_tail"))
-    tails = tails.select("_pid", key, F.lag("_tail").over(Window.partitionBy(key).orderBy("_pid"))
-                         .alias("_prev_tail"))
-    out = within.join(tails, ["_pid", key])
-    return (out.withColumn(name, F.coalesce(F.col("_prev_in"), F.col("_prev_tail")))
-            .drop("_pid", "_mono", "_prev_in", "_prev_tail"))
-
-
-def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, name: str,
-                      preceding: int, num_partitions: int | None = None) -> DataFrame:
-    """Adds ``name`` = mean of ``value`` over the ``preceding`` rows before each
-    row and the row itself, per ``key`` in ``order`` (a ROWS frame), without
-    putting a hot key into one task.
+def _halo_partitions(df: DataFrame, key: str, order: list[str], carry: list[str], preceding: int,
+                     num_partitions: int | None) -> tuple[DataFrame, list]:
+    """Range-partitioned rows plus, per partition, the ``preceding`` rows of
+    its first key that lie in earlier partitions (the halo).
 
     Rows are range-partitioned on (key, order) and checkpointed. Only a
     partition's last key can continue into later partitions, so the rows a
@@ -123,10 +97,12 @@ def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, nam
     ``preceding`` rows of the last key of the ``preceding`` previous non-empty
     partitions (each holds at least one row). Those boundary rows (at most
     ``preceding`` per partition, so bounded by the partition count) are sent
-    to the partitions whose first key matches; own rows plus that halo are
-    range-partitioned on the target partition id (one id per partition, so
-    balanced) and the window runs per (target, key) with no further shuffle.
-    Extra older halo rows fall outside the frame and change nothing.
+    to the partitions whose first key matches. Own rows and halo rows (flag
+    ``_halo``, carrying ``key``, ``order`` and ``carry`` only) are
+    range-partitioned on the target partition id, one id per partition, so a
+    window over (``_target``, key) needs no further shuffle and no task holds
+    more than one partition plus its halo. Extra older halo rows are harmless
+    to a frame of ``preceding`` rows.
     """
     cols = [F.col(c) for c in order]
     n = _partitions(df, num_partitions)
@@ -140,13 +116,37 @@ def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, nam
                  .filter(F.col("_from_end") <= preceding))
     targets = ends.select(F.col("_pid").alias("_target"), F.col("_first_key").alias(key),
                           F.col("_seq").alias("_target_seq"))
-    halo = (last_rows.select(key, *order, value, "_seq",
+    halo = (last_rows.select(key, *order, *carry, "_seq",
                              F.explode(F.sequence(F.col("_seq") + 1, F.col("_seq") + preceding))
                              .alias("_target_seq"))
             .join(targets, [key, "_target_seq"])
-            .select("_target", key, *order, value, F.lit(True).alias("_halo")))
+            .select("_target", key, *order, *carry, F.lit(True).alias("_halo")))
     own = staged.withColumn("_target", F.col("_pid")).withColumn("_halo", F.lit(False))
     combined = own.unionByName(halo, allowMissingColumns=True).repartitionByRange(n, "_target")
+    return combined, cols
+
+
+def _own_rows(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("_halo")).drop("_pid", "_mono", "_target", "_halo")
+
+
+def with_previous(df: DataFrame, key: str, order: list[str], name: str = "prev",
+                  num_partitions: int | None = None) -> DataFrame:
+    """Adds ``name`` = struct of the ``order`` columns of the previous row of
+    the same ``key`` (``lag`` over key ordered by ``order``), without putting
+    a hot key into one task: the lag runs per range partition with a one-row
+    halo (``_halo_partitions``)."""
+    combined, cols = _halo_partitions(df, key, order, [], 1, num_partitions)
+    piece = Window.partitionBy("_target", key).orderBy(*cols)
+    return _own_rows(combined.withColumn(name, F.lag(F.struct(*cols)).over(piece)))
+
+
+def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, name: str,
+                      preceding: int, num_partitions: int | None = None) -> DataFrame:
+    """Adds ``name`` = mean of ``value`` over the ``preceding`` rows before each
+    row and the row itself, per ``key`` in ``order`` (a ROWS frame), without
+    putting a hot key into one task: the window runs per range partition with
+    a ``preceding``-row halo (``_halo_partitions``)."""
+    combined, cols = _halo_partitions(df, key, order, [value], preceding, num_partitions)
     frame = Window.partitionBy("_target", key).orderBy(*cols).rowsBetween(-preceding, 0)
-    return (combined.withColumn(name, F.avg(value).over(frame)).filter(~F.col("_halo"))
-            .drop("_pid", "_mono", "_target", "_halo"))
+    return _own_rows(combined.withColumn(name, F.avg(value).over(frame)))

@@ -191,3 +191,17 @@ def test_rolling_mean_with_hot_key_matches_window(spark, partitions, n_rows):
     w = Window.partitionBy("key").orderBy("ts", "id").rowsBetween(-30, 0)
     expected = {r.id: r.m for r in df.select("id", F.avg("v").over(w).alias("m")).collect()}
     assert got == expected
+
+
+@pytest.mark.parametrize("partitions", [2, 9, 64])
+def test_previous_row_across_partition_layouts(spark, partitions):
+    from pyspark.sql import Window
+    from cargoscope.plans.ranking import with_previous
+    rng = random.Random(partitions)
+    rows = [(i, "hot" if i % 3 == 0 else f"k{rng.randint(0, 20)}",
+             dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randint(0, 200))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp_ntz")
+    got = {r.id: (r.prev.id if r.prev else None) for r in
+           with_previous(df, "key", ["ts", "id"], num_partitions=partitions).collect()}
+    w = Window.partitionBy("key").orderBy("ts", "id")
+    assert got == {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
