@@ -73,12 +73,15 @@ def with_running_sums(df: DataFrame, order: list[Column], columns: list[str],
     given numeric columns along ``order``.
 
     Within a range partition the running sum is a window partitioned by the
-    partition id (balanced by construction); the offsets come from step 3.
+    partition id, after a range shuffle on that id (one id per task); the
+    offsets come from step 3.
     """
-    staged = _staged(df, order, num_partitions)
+    n = _partitions(df, num_partitions)
+    staged = _staged(df, order, n)
     offsets = _offsets(staged, {c: F.sum(c) for c in columns})
     within = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = staged.join(offsets, "_pid")
+    # Range on the partition id keeps one id per task (a hash could pair two).
+    out = staged.repartitionByRange(n, "_pid").join(offsets, "_pid")
     for c in columns:
         out = (out.withColumn(f"{prefix}{c}", F.col(f"_off_{c}") + F.sum(c).over(within))
                   .withColumn(f"total_{c}", F.col(f"_total_{c}")))
