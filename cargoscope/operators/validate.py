@@ -192,9 +192,11 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
         value, ok, _ = as_float(f)
         bad = bad | ~ok
         fields[f] = value
-    reason = F.when(v.isNull() | bad, "malformed")
-    return staged.select(*[F.col(c) for c in msgs.columns], *[c.alias(n) for n, c in fields.items()],
-                         reason.alias("decode_reason"))
+    staged = staged.withColumn("decode_reason", F.when(v.isNull() | bad, "malformed"))
+    decoded = F.col("decode_reason").isNull()
+    # A skipped message has no fields.
+    return staged.select(*[F.col(c) for c in msgs.columns],
+                         *[F.when(decoded, c).alias(n) for n, c in fields.items()], "decode_reason")
 
 
 # ---------------------------------------------------------------- validation

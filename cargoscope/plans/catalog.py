@@ -393,7 +393,8 @@ def q_stream_scoring(spark, sf_dir):
     scorer = scoring.linear_scorer(TEST_SCORER_WEIGHTS, TEST_SCORER_BIAS)
     scoring_stream.run_scoring(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", scorer,
                                as_of=AS_OF).awaitTermination()
-    return spark.read.parquet(f"{base}/out/results")
+    return spark.read.parquet(f"{base}/out/results").select(
+        "message_id", "device_id", "shipment_id", "anomaly_score", "is_anomaly", "threshold")
 
 
 @register("route_risk_all")

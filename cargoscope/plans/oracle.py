@@ -660,3 +660,76 @@ FROM ({decoded_sql(False)}) x"""
 @oracle("stream_ingest", MESSAGE_VIEWS)
 def _():
     return f"SELECT message_id, reject_reason FROM ({decoded_sql(True)}) x"
+
+
+# ---------------------------------------------------------------- loose decode (scoring side)
+def features_sql() -> str:
+    """The scoring service's decode: one JSON object, string ids, floats as
+    numbers, numeric strings or booleans; lat/lon required (NaN and duplicate
+    keys refused, as documented)."""
+    def jt(f):
+        return f"json_type(jv, '$.{f}')"
+
+    def as_float(f):
+        return (f"CASE WHEN {jt(f)} IN {NUMBER_TYPES} THEN TRY_CAST(json_extract_string(jv, '$.{f}') AS DOUBLE)"
+                f" WHEN {jt(f)} = 'VARCHAR' THEN TRY_CAST(json_extract_string(jv, '$.{f}') AS DOUBLE)"
+                f" WHEN {jt(f)} = 'BOOLEAN' THEN CASE WHEN json_extract_string(jv, '$.{f}') = 'true'"
+                f" THEN 1.0 ELSE 0.0 END END")
+
+    floats = ["lat", "lon", "temperature", "humidity", "speed_kmh", "battery_pct",
+              "hours_since_last_checkpoint"]
+    values = ",\n         ".join(f"{as_float(f)} AS {f}" for f in floats)
+    ok_ids = " AND ".join(f"{jt(f)} = 'VARCHAR'" for f in ["device_id", "shipment_id"])
+    ok_required = " AND ".join(f"{f} IS NOT NULL" for f in ["lat", "lon"])
+    ok_optional = " AND ".join(
+        f"({jt(f)} IS NULL OR {jt(f)} = 'NULL' OR {f} IS NOT NULL)"
+        for f in ["temperature", "humidity", "speed_kmh", "battery_pct", "hours_since_last_checkpoint"])
+    return f"""
+SELECT * FROM (
+WITH g AS (
+  SELECT message_id, value, CASE WHEN json_valid(value) THEN value END AS jv FROM messages_flat),
+v AS (
+  SELECT message_id, jv,
+         jv IS NOT NULL AND json_type(jv) = 'OBJECT'
+           AND NOT regexp_matches(jv, '[:,\\[]\\s*-?(NaN|Infinity)')
+           AND len(json_keys(jv)) = len(list_distinct(json_keys(jv))) AS is_object
+  FROM g),
+x AS (
+  SELECT message_id, jv, is_object,
+         CASE WHEN is_object THEN json_extract_string(jv, '$.device_id') END AS device_id_raw,
+         CASE WHEN is_object THEN json_extract_string(jv, '$.shipment_id') END AS shipment_id_raw,
+         {values}
+  FROM v)
+SELECT message_id,
+       CASE WHEN is_object AND {ok_ids} AND {ok_required} AND {ok_optional} THEN NULL
+            ELSE 'malformed' END AS decode_reason,
+       device_id_raw, shipment_id_raw, lat, lon, temperature, humidity, speed_kmh, battery_pct
+FROM x) d"""
+
+
+@oracle("scoring_decode", MESSAGE_VIEWS)
+def _():
+    return f"""
+SELECT message_id, decode_reason,
+       CASE WHEN decode_reason IS NULL THEN device_id_raw END AS device_id,
+       CASE WHEN decode_reason IS NULL THEN lat END AS lat,
+       CASE WHEN decode_reason IS NULL THEN lon END AS lon,
+       CASE WHEN decode_reason IS NULL THEN temperature END AS temperature,
+       CASE WHEN decode_reason IS NULL THEN battery_pct END AS battery_pct
+FROM ({features_sql()}) f"""
+
+
+@oracle("stream_scoring", MESSAGE_VIEWS)
+def _():
+    def orz(c, d):
+        return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN CAST({d} AS DOUBLE) ELSE {c} END"
+    raw = (f"((((CAST(0.5 AS DOUBLE) + CAST(0.0078125 AS DOUBLE) * ({orz('temperature', '0.0')})) "
+           f"+ CAST(0.00390625 AS DOUBLE) * ({orz('humidity', '0.0')})) "
+           f"+ CAST(0.001953125 AS DOUBLE) * ({orz('speed_kmh', '0.0')})) "
+           f"+ CAST(-0.00390625 AS DOUBLE) * ({orz('battery_pct', '100.0')}))")
+    return f"""
+SELECT message_id, device_id_raw AS device_id, shipment_id_raw AS shipment_id, anomaly_score,
+       anomaly_score >= 0.75 AS is_anomaly, CAST(0.75 AS DOUBLE) AS threshold
+FROM (SELECT *, GREATEST(CAST(0.0 AS DOUBLE), LEAST(CAST(1.0 AS DOUBLE), COALESCE({raw}, 0.0)))
+                AS anomaly_score
+      FROM ({features_sql()}) f WHERE decode_reason IS NULL) s"""
