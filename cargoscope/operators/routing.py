@@ -49,6 +49,7 @@ WEIGHT_MIN, WEIGHT_MAX = 0.1, 50000.0
 TRANSIT_MIN, TRANSIT_MAX = 1, 30
 WEIGHT_BUCKETS_PER_OCTAVE = 4
 DIRECT_SCENARIO_LIMIT = 64
+ROUTE_BROADCAST_LIMIT = 100_000
 
 
 def _empty() -> F.Column:
@@ -254,6 +255,12 @@ def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
     cheapest = (pairs.withColumn("_route_rank", F.row_number().over(by_cost))
                 .filter(F.col("_route_rank") <= top_k).drop("_route_rank"))
 
+    # Only the candidate routes' events matter. When there are few of them (a
+    # bounded count, checked first), a broadcast semi-join cuts the events at
+    # the scan; otherwise every route is trimmed map-side, which is also exact.
+    routes_needed = cheapest.select("route_id").distinct()
+    if routes_needed.limit(ROUTE_BROADCAST_LIMIT + 1).count() <= ROUTE_BROADCAST_LIMIT:
+        events = events.join(F.broadcast(routes_needed), "route_id", "left_semi")
     per_route = top_k if grain == "event" else 1
     risk = rolling_risk(events, newest=per_route)
     rows = (cheapest.join(risk, "route_id", "left")
