@@ -15,8 +15,31 @@ DEFAULT_METADATA = "{}"
 DEFAULT_COST_PER_KG = 0.01
 
 
+UPSERT_BROADCAST_LIMIT = 1_000_000
+SHIPMENT_COLUMNS = ["shipment_id", "origin_hub", "destination_hub", "carrier_id", "status",
+                    "created_at", "updated_at", "metadata"]
+
+
+def _merge_columns(now: F.Column) -> list[F.Column]:
+    """Row values after the upsert, over ``c.*`` (current, may be absent) and
+    ``p.*`` (combined updates, may be absent)."""
+    updated = F.col("p.shipment_id").isNotNull()
+    existing = F.col("c.shipment_id").isNotNull()
+    return [
+        F.coalesce(F.col("c.shipment_id"), F.col("p.shipment_id")).alias("shipment_id"),
+        F.when(existing, F.col("c.origin_hub")).otherwise(F.col("p._first.origin_hub")).alias("origin_hub"),
+        F.when(existing, F.col("c.destination_hub")).otherwise(F.col("p._first.destination_hub"))
+         .alias("destination_hub"),
+        F.when(existing, F.col("c.carrier_id")).otherwise(F.col("p._first.carrier_id")).alias("carrier_id"),
+        F.when(updated, F.col("p._last.status")).otherwise(F.col("c.status")).alias("status"),
+        F.when(existing, F.col("c.created_at")).otherwise(now).alias("created_at"),
+        F.when(updated, now).otherwise(F.col("c.updated_at")).alias("updated_at"),
+        F.when(updated, F.col("p._last.metadata")).otherwise(F.col("c.metadata")).alias("metadata"),
+    ]
+
+
 def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
-                     seq_col: str = "seq") -> DataFrame:
+                     seq_col: str = "seq", broadcast_limit: int = UPSERT_BROADCAST_LIMIT) -> DataFrame:
     """Insert-or-partial-update of shipments.
 
     New keys are inserted with created_at = updated_at = ``as_of``. On a
@@ -24,11 +47,15 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
     metadata are overwritten and updated_at set to ``as_of``. An update without
     status means ``in_transit``, without metadata ``{}``. Several updates to one
     key apply in ``seq`` order: the first supplies the insert-only columns,
-    the last the overwritten ones.
+    the last the overwritten ones. Returns the whole new table.
 
     Updates are combined per key first (partial aggregation, so a key with a
-    third of the updates never reaches one task whole), then full-outer joined
-    to the table; the result is the whole new table.
+    third of the updates never reaches one task whole). If at most
+    ``broadcast_limit`` keys are updated (a bounded count, checked first), the
+    combined updates are broadcast and the table is never shuffled: untouched
+    rows pass a map-side anti-join, matched rows a map-side inner join, and
+    inserts are the updated keys that matched nothing. Beyond the bound, one
+    full-outer join.
     """
     now = as_of_for(current, "updated_at", as_of)
     u = updates
@@ -40,22 +67,27 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
     per_key = u.groupBy("shipment_id").agg(
         F.min_by(F.struct("origin_hub", "destination_hub", "carrier_id"), seq).alias("_first"),
         F.max_by(F.struct("status", "metadata"), seq).alias("_last"))
-    c = current.alias("c")
-    p = per_key.alias("p")
-    joined = c.join(p, F.col("c.shipment_id") == F.col("p.shipment_id"), "full_outer")
-    updated = F.col("p.shipment_id").isNotNull()
-    existing = F.col("c.shipment_id").isNotNull()
-    return joined.select(
-        F.coalesce(F.col("c.shipment_id"), F.col("p.shipment_id")).alias("shipment_id"),
-        F.when(existing, F.col("c.origin_hub")).otherwise(F.col("p._first.origin_hub")).alias("origin_hub"),
-        F.when(existing, F.col("c.destination_hub")).otherwise(F.col("p._first.destination_hub"))
-         .alias("destination_hub"),
-        F.when(existing, F.col("c.carrier_id")).otherwise(F.col("p._first.carrier_id")).alias("carrier_id"),
-        F.when(updated, F.col("p._last.status")).otherwise(F.col("c.status")).alias("status"),
-        F.when(existing, F.col("c.created_at")).otherwise(now).alias("created_at"),
-        F.when(updated, now).otherwise(F.col("c.updated_at")).alias("updated_at"),
-        F.when(updated, F.col("p._last.metadata")).otherwise(F.col("c.metadata")).alias("metadata"),
-    )
+    c = current.select(*SHIPMENT_COLUMNS).alias("c")
+    columns = _merge_columns(now)
+    if per_key.limit(broadcast_limit + 1).count() > broadcast_limit:
+        p = per_key.alias("p")
+        return c.join(p, F.col("c.shipment_id") == F.col("p.shipment_id"), "full_outer").select(*columns)
+    small = F.broadcast(per_key)
+    untouched = current.select(*SHIPMENT_COLUMNS).join(small.select("shipment_id"), "shipment_id", "left_anti")
+    matched = c.join(small.alias("p"), F.col("c.shipment_id") == F.col("p.shipment_id"))
+    matched_keys = matched.select(F.col("c.shipment_id").alias("shipment_id"))
+    inserted = small.join(matched_keys, "shipment_id", "left_anti")
+    return (untouched.unionByName(matched.select(*columns))
+            .unionByName(_inserted_rows(inserted, now)))
+
+
+def _inserted_rows(per_key: DataFrame, now: F.Column) -> DataFrame:
+    """New shipments from combined updates (no current row)."""
+    return per_key.select(
+        "shipment_id", F.col("_first.origin_hub").alias("origin_hub"),
+        F.col("_first.destination_hub").alias("destination_hub"),
+        F.col("_first.carrier_id").alias("carrier_id"), F.col("_last.status").alias("status"),
+        now.alias("created_at"), now.alias("updated_at"), F.col("_last.metadata").alias("metadata"))
 
 
 def with_defaults(df: DataFrame, table: str, as_of=None, id_offset: int = 0) -> DataFrame:
