@@ -52,9 +52,9 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
     Updates are combined per key first (partial aggregation, so a key with a
     third of the updates never reaches one task whole). If at most
     ``broadcast_limit`` keys are updated (a bounded count, checked first), the
-    combined updates are broadcast and the table is never shuffled: untouched
-    rows pass a map-side anti-join, matched rows a map-side inner join, and
-    inserts are the updated keys that matched nothing. Beyond the bound, one
+    combined updates are broadcast and the table is never shuffled: one
+    map-side left join yields untouched and merged rows, and inserts are the
+    updated keys that matched nothing. Beyond the bound, one
     full-outer join.
     """
     now = as_of_for(current, "updated_at", as_of)
@@ -73,12 +73,12 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
         p = per_key.alias("p")
         return c.join(p, F.col("c.shipment_id") == F.col("p.shipment_id"), "full_outer").select(*columns)
     small = F.broadcast(per_key)
-    untouched = current.select(*SHIPMENT_COLUMNS).join(small.select("shipment_id"), "shipment_id", "left_anti")
-    matched = c.join(small.alias("p"), F.col("c.shipment_id") == F.col("p.shipment_id"))
-    matched_keys = matched.select(F.col("c.shipment_id").alias("shipment_id"))
+    # One map-side left join (build side: the updates) gives untouched and matched rows.
+    joined = c.join(small.alias("p"), F.col("c.shipment_id") == F.col("p.shipment_id"), "left")
+    matched_keys = (joined.filter(F.col("p.shipment_id").isNotNull())
+                    .select(F.col("c.shipment_id").alias("shipment_id")))
     inserted = small.join(matched_keys, "shipment_id", "left_anti")
-    return (untouched.unionByName(matched.select(*columns))
-            .unionByName(_inserted_rows(inserted, now)))
+    return joined.select(*columns).unionByName(_inserted_rows(inserted, now))
 
 
 def _inserted_rows(per_key: DataFrame, now: F.Column) -> DataFrame:
