@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import percent, risk_band, route_label
+from cargoscope.session import ensure_checkpoint_dir
 
 TOP_K = 10
 FRAME_PRECEDING = 30
@@ -248,6 +249,11 @@ def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
     """
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
+    # One bounded count of the scenarios decides both size-dependent choices.
+    cap = max(DIRECT_SCENARIO_LIMIT, ROUTE_BROADCAST_LIMIT // top_k)
+    n_scenarios = scenarios.limit(cap + 1).count()
+    if prune is None:
+        prune = n_scenarios > DIRECT_SCENARIO_LIMIT
     pairs = candidate_routes(scenarios, routes, carriers, top_k=top_k, prune=prune)
 
     # Only the top_k cheapest routes of a scenario can place a row in its top_k.
@@ -255,11 +261,15 @@ def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
     cheapest = (pairs.withColumn("_route_rank", F.row_number().over(by_cost))
                 .filter(F.col("_route_rank") <= top_k).drop("_route_rank"))
 
-    # Only the candidate routes' events matter. When there are few of them (a
-    # bounded count, checked first), a broadcast semi-join cuts the events at
-    # the scan; otherwise every route is trimmed map-side, which is also exact.
-    routes_needed = cheapest.select("route_id").distinct()
-    if routes_needed.limit(ROUTE_BROADCAST_LIMIT + 1).count() <= ROUTE_BROADCAST_LIMIT:
+    # Only the candidate routes' events matter: at most top_k per scenario, so
+    # with few scenarios (counted above) their ids are a proven-small broadcast
+    # and a semi-join cuts the events at the scan; otherwise every route is
+    # trimmed map-side, which is also exact.
+    if n_scenarios * top_k <= ROUTE_BROADCAST_LIMIT:
+        # At most top_k rows per scenario: computed once, read by both uses.
+        ensure_checkpoint_dir(cheapest.sparkSession)
+        cheapest = cheapest.checkpoint(eager=True)
+        routes_needed = cheapest.select("route_id").distinct()
         events = events.join(F.broadcast(routes_needed), "route_id", "left_semi")
     per_route = top_k if grain == "event" else 1
     risk = rolling_risk(events, newest=per_route)

@@ -50,8 +50,8 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
     the last the overwritten ones. Returns the whole new table.
 
     Updates are combined per key first (partial aggregation, so a key with a
-    third of the updates never reaches one task whole). If at most
-    ``broadcast_limit`` keys are updated (a bounded count, checked first), the
+    third of the updates never reaches one task whole). If there are at most
+    ``broadcast_limit`` update rows (a bounded count, checked first), the
     combined updates are broadcast and the table is never shuffled: one
     map-side left join yields untouched and merged rows, and inserts are the
     updated keys that matched nothing. Beyond the bound, one
@@ -69,7 +69,8 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
         F.max_by(F.struct("status", "metadata"), seq).alias("_last"))
     c = current.select(*SHIPMENT_COLUMNS).alias("c")
     columns = _merge_columns(now)
-    if per_key.limit(broadcast_limit + 1).count() > broadcast_limit:
+    # Keys <= update rows: a bounded count of the raw updates proves the size.
+    if updates.limit(broadcast_limit + 1).count() > broadcast_limit:
         p = per_key.alias("p")
         return c.join(p, F.col("c.shipment_id") == F.col("p.shipment_id"), "full_outer").select(*columns)
     small = F.broadcast(per_key)
