@@ -298,3 +298,33 @@ def route_options_display(options: DataFrame) -> DataFrame:
             .withColumn("risk_band", risk_band("anomaly_risk_score"))
             .withColumn("risk_pct", percent("anomaly_risk_score"))
             .withColumn("route_label", route_label("waypoints", "origin_hub", "destination_hub")))
+
+
+class InvalidScenario(ValueError):
+    """A scenario outside the request model's bounds (the endpoint's 422)."""
+
+
+def simulate(spark, scenario: dict, routes: DataFrame, carriers: DataFrame, events: DataFrame,
+             grain: str = "event") -> list[dict]:
+    """One what-if request, as the endpoint answers it: at most 10 route
+    options ordered by cost, each with its waypoints list (null -> empty).
+
+    Runs the same ``score_routes`` plan on a one-row scenario frame; the
+    result is bounded by the top-10, so collecting it is safe.
+    """
+    row = (0, scenario.get("origin_hub"), scenario.get("destination_hub"),
+           None if scenario.get("cargo_weight_kg") is None else float(scenario["cargo_weight_kg"]),
+           list(scenario.get("carrier_ids") or []), scenario.get("max_transit_days"),
+           scenario.get("avoid_anomaly_routes"))
+    frame = spark.createDataFrame([row], "scenario_id long, origin_hub string, destination_hub string, "
+                                         "cargo_weight_kg double, carrier_ids array<string>, "
+                                         "max_transit_days int, avoid_anomaly_routes boolean")
+    [check] = validate_scenarios(frame).select("reject_reason").collect()
+    if check.reject_reason is not None:
+        raise InvalidScenario(f"invalid {check.reject_reason}")
+    options = (score_routes(frame, routes, carriers, events, grain=grain)
+               .orderBy("estimated_cost_usd", "route_id", F.col("event_time").desc(),
+                        F.col("event_id").desc())
+               .select("route_id", "carrier_id", "carrier_name", "estimated_transit_days",
+                       "estimated_cost_usd", "anomaly_risk_score", "waypoints", "is_recommended"))
+    return [r.asDict() for r in options.collect()]

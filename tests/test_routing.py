@@ -176,3 +176,20 @@ def test_risk_drop_is_strict(spark):
     s = spark.createDataFrame([scen(avoid=True)], SCEN_SCHEMA)
     out = routing.score_routes(s, r, carriers(spark), ev).collect()
     assert [(x.route_id, x.anomaly_risk_score, x.is_recommended) for x in out] == [("R1", 0.75, False)]
+
+
+def test_simulate_single_request(spark):
+    r = spark.createDataFrame([route("R1", 10.0, wp=["X"]), route("R2", 20.0)], ROUTE_SCHEMA)
+    ev = events(spark, [(1, "R2", 0.25, T0)])
+    out = routing.simulate(spark, {"origin_hub": "A", "destination_hub": "B", "cargo_weight_kg": 100.0},
+                           r, carriers(spark), ev)
+    assert [(o["route_id"], o["waypoints"], o["is_recommended"]) for o in out] == [
+        ("R1", ["X"], True), ("R2", [], False)]
+
+
+@pytest.mark.parametrize("bad", [{"cargo_weight_kg": 0.01}, {"cargo_weight_kg": 10.0, "max_transit_days": 31}])
+def test_simulate_refuses_invalid_requests(spark, bad):
+    r = spark.createDataFrame([route("R1", 10.0)], ROUTE_SCHEMA)
+    with pytest.raises(routing.InvalidScenario):
+        routing.simulate(spark, {"origin_hub": "A", "destination_hub": "B", **bad}, r, carriers(spark),
+                         events(spark, []))
