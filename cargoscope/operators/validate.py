@@ -266,3 +266,20 @@ def ingest_result(df: DataFrame, body_col: str | None = "value") -> DataFrame:
 def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by ``reject_reason`` (A4: rejects go to quarantine)."""
     return df.filter(F.col("reject_reason").isNull()), df.filter(F.col("reject_reason").isNotNull())
+
+
+def ingest_request(spark, body: str, content_type: str = CONTENT_TYPE, as_of=None,
+                   message_id: str = "request") -> tuple[int, dict]:
+    """One gateway request, as the handler answers it: ``(status, response)``.
+
+    202 with ``{"status": "accepted", "message_id", "device_id"}``, or 400/415
+    with ``{"error": text}``. Runs the same decode/validate/result plan as the
+    batch and the stream on a one-row frame.
+    """
+    msgs = spark.createDataFrame([(message_id, body, {"content_type": content_type})],
+                                 "message_id string, value string, attributes map<string,string>")
+    checked = validate_telemetry(decode_telemetry(msgs), as_of=as_of, time_col="timestamp")
+    [r] = ingest_result(checked).select("status_code", "error", "device_id").collect()
+    if r.status_code == STATUS_ACCEPTED:
+        return r.status_code, {"status": "accepted", "message_id": message_id, "device_id": r.device_id}
+    return r.status_code, {"error": r.error}

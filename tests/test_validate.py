@@ -182,3 +182,18 @@ def test_content_type_wins_over_oversized_body(spark):
     body = json.dumps(valid_payload(pad="x" * (1 << 20)))
     [r] = run(spark, [body], attrs={"content_type": "text/plain"})
     assert (r.reject_reason, r.status_code) == ("content_type", 415)
+
+
+def test_ingest_request_handler_cases(spark):
+    ok = json.dumps(valid_payload())
+    assert validate.ingest_request(spark, ok, as_of=AS_OF) == (
+        202, {"status": "accepted", "message_id": "request", "device_id": "device-001"})
+    missing = valid_payload()
+    del missing["device_id"]
+    status, resp = validate.ingest_request(spark, json.dumps(missing), as_of=AS_OF)
+    assert status == 400 and "device_id" in resp["error"]
+    assert validate.ingest_request(spark, json.dumps(valid_payload(lat=999)), as_of=AS_OF)[0] == 400
+    assert validate.ingest_request(spark, json.dumps(valid_payload(timestamp="2024-01-29T00:00:00Z")),
+                                   as_of=AS_OF)[0] == 400
+    assert validate.ingest_request(spark, ok, content_type="text/plain", as_of=AS_OF) == (
+        415, {"error": "Content-Type must be application/json"})
