@@ -60,3 +60,24 @@ def test_rows_only_queries_collect(spark, name):
     df = E.queries()[name](spark, SMOKE_DIR)
     rows = df.collect()  # the driver collects too: every value must convert
     assert len(rows) >= 0 and df.columns
+
+
+ZONE_SENSITIVE = ["telemetry_validation", "training_set", "temporal_split", "telemetry_retention",
+                  "anomaly_feed_all", "shipments_upsert", "ingest_messages", "stream_ingest",
+                  "checkpoint_gaps", "rate_violations"]
+
+
+@pytest.mark.parametrize("name", ZONE_SENSITIVE)
+def test_results_do_not_depend_on_session_zone(spark, duck, name):
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        sdf = E.queries()[name](spark, SMOKE_DIR)
+        srows = [r.asDict() for r in sdf.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)
+    cur = duck.execute(ORACLE[name])
+    dcols = [d[0] for d in cur.description]
+    drows = [dict(zip(dcols, r)) for r in cur.fetchall()]
+    cols = sorted(dcols)
+    assert _canon(srows, cols) == _canon(drows, cols)
