@@ -42,31 +42,37 @@ def _summary(fx: Fixtures, status=None, limit=dash.DEFAULT_LIMIT) -> DataFrame:
 # ---------------------------------------------------------------- dashboard
 @register("shipments_summary")
 def q_shipments_summary(spark, sf_dir):
+    """C1+C2+C5+F1: summary page of 100 (updated_at desc, shipment_id)."""
     return _summary(_fx(spark, sf_dir))
 
 
 @register("shipments_summary_delayed")
 def q_shipments_summary_delayed(spark, sf_dir):
+    """Summary filtered to status delayed, limit clamped at 500."""
     return _summary(_fx(spark, sf_dir), status="delayed", limit=500)
 
 
 @register("latest_telemetry")
 def q_latest_telemetry(spark, sf_dir):
+    """Newest telemetry row of every shipment (whole table)."""
     return dash.latest_telemetry(_fx(spark, sf_dir).telemetry())
 
 
 @register("open_anomaly_counts")
 def q_open_anomaly_counts(spark, sf_dir):
+    """Unresolved anomaly events per shipment (whole table)."""
     return dash.open_anomaly_counts(_fx(spark, sf_dir).anomaly_events())
 
 
 @register("fleet_metrics")
 def q_fleet_metrics(spark, sf_dir):
+    """Fleet counters over the dashboard's page of 200."""
     return dash.fleet_metrics(_summary(_fx(spark, sf_dir), limit=200))
 
 
 @register("feed_counts")
 def q_feed_counts(spark, sf_dir):
+    """Feed tab counts over the page of 200."""
     return dash.feed_counts(_summary(_fx(spark, sf_dir), limit=200))
 
 
@@ -76,31 +82,37 @@ def _feed(spark, sf_dir, mode):
 
 @register("anomaly_feed_all")
 def q_anomaly_feed_all(spark, sf_dir):
+    """Feed mode all (not delivered), top 50 by status priority."""
     return _feed(spark, sf_dir, "all")
 
 
 @register("anomaly_feed_anomaly")
 def q_anomaly_feed_anomaly(spark, sf_dir):
+    """Feed mode anomaly (status anomaly or open anomalies)."""
     return _feed(spark, sf_dir, "anomaly")
 
 
 @register("anomaly_feed_delayed")
 def q_anomaly_feed_delayed(spark, sf_dir):
+    """Feed mode delayed."""
     return _feed(spark, sf_dir, "delayed")
 
 
 @register("map_points")
 def q_map_points(spark, sf_dir):
+    """Plottable page rows with status color and alert flag."""
     return dash.map_points(_summary(_fx(spark, sf_dir), limit=200))
 
 
 @register("recent_telemetry")
 def q_recent_telemetry(spark, sf_dir):
+    """Five newest telemetry rows per device (whole table)."""
     return dash.recent_telemetry(_fx(spark, sf_dir).telemetry(), key="device_id", n=5)
 
 
 @register("top_open_anomalies")
 def q_top_open_anomalies(spark, sf_dir):
+    """Twenty highest-scoring unresolved anomaly events."""
     return dash.top_open_anomalies(_fx(spark, sf_dir).anomaly_events(), n=20)
 
 
@@ -120,6 +132,7 @@ def _whatif(spark, sf_dir, grain, prune=None):
 
 @register("whatif_routes")
 def q_whatif_routes(spark, sf_dir):
+    """25 scenarios, route x event grain."""
     return _flat_options(_whatif(spark, sf_dir, "event"))
 
 
@@ -132,11 +145,13 @@ def q_whatif_routes_pruned(spark, sf_dir):
 
 @register("whatif_routes_by_route")
 def q_whatif_routes_by_route(spark, sf_dir):
+    """The what-if with grain='route' (newest row per route before the top-10)."""
     return _flat_options(_whatif(spark, sf_dir, "route"))
 
 
 @register("whatif_route_display")
 def q_whatif_route_display(spark, sf_dir):
+    """Risk band, percent and route label of the what-if options."""
     out = routing.route_options_display(_whatif(spark, sf_dir, "event"))
     return _flat_options(out).select("scenario_id", "route_id", "event_id", "risk_band", "risk_pct",
                                      "route_label")
@@ -144,11 +159,13 @@ def q_whatif_route_display(spark, sf_dir):
 
 @register("route_risk_latest")
 def q_route_risk_latest(spark, sf_dir):
+    """Newest event's 31-row rolling risk per route."""
     return routing.rolling_risk(_fx(spark, sf_dir).anomaly_events(), newest=1).drop("recency")
 
 
 @register("scenario_validation")
 def q_scenario_validation(spark, sf_dir):
+    """Request-model bounds of every scenario."""
     out = routing.validate_scenarios(_fx(spark, sf_dir).scenarios())
     return out.select("scenario_id", "reject_reason")
 
@@ -158,6 +175,7 @@ def q_scenario_validation(spark, sf_dir):
 
 @register("telemetry_validation")
 def q_telemetry_validation(spark, sf_dir):
+    """Ordered rules, reason, status code and error text per row."""
     checked = validate.validate_telemetry(_fx(spark, sf_dir).telemetry(), as_of=AS_OF)
     out = validate.ingest_result(checked, body_col=None)
     return out.select("id", "reject_reason", "status_code", "error")
@@ -171,16 +189,19 @@ def _rejection_counts(spark, sf_dir, check_stale):
 
 @register("rejection_counts")
 def q_rejection_counts(spark, sf_dir):
+    """Rows per rejection reason (stale rule on)."""
     return _rejection_counts(spark, sf_dir, True)
 
 
 @register("rejection_counts_no_stale")
 def q_rejection_counts_no_stale(spark, sf_dir):
+    """Rows per rejection reason without the stale rule."""
     return _rejection_counts(spark, sf_dir, False)
 
 
 @register("ingest_messages")
 def q_ingest_messages(spark, sf_dir):
+    """Strict decode + rules over table-derived message bodies."""
     msgs = _fx(spark, sf_dir).messages()
     decoded = validate.decode_telemetry(msgs)
     checked = validate.validate_telemetry(decoded, as_of=AS_OF, time_col="timestamp",
@@ -193,6 +214,7 @@ def q_ingest_messages(spark, sf_dir):
 
 @register("scoring_decode")
 def q_scoring_decode(spark, sf_dir):
+    """The scoring service's loose decode over the same bodies."""
     decoded = validate.decode_features(_fx(spark, sf_dir).messages())
     return decoded.select("message_id", "decode_reason", "device_id", "lat", "lon", "temperature",
                           "battery_pct")
@@ -203,18 +225,21 @@ def q_scoring_decode(spark, sf_dir):
 
 @register("shipments_upsert")
 def q_shipments_upsert(spark, sf_dir):
+    """Insert-or-partial-update with repeated keys."""
     fx = _fx(spark, sf_dir)
     return tables.upsert_shipments(fx.shipments(), fx.shipment_updates(), as_of=AS_OF)
 
 
 @register("orphan_telemetry")
 def q_orphan_telemetry(spark, sf_dir):
+    """Telemetry rows whose shipment does not exist."""
     fx = _fx(spark, sf_dir)
     return tables.orphan_telemetry(fx.telemetry(), fx.shipments())
 
 
 @register("table_checks")
 def q_table_checks(spark, sf_dir):
+    """NOT NULL, primary-key and status-domain violations of four tables."""
     fx = _fx(spark, sf_dir)
     out = tables.check_table(fx.shipments(), "shipments")
     for name, df in [("telemetry", fx.telemetry()), ("routes", fx.routes()),
@@ -225,16 +250,19 @@ def q_table_checks(spark, sf_dir):
 
 @register("telemetry_retention")
 def q_telemetry_retention(spark, sf_dir):
+    """Telemetry within the 7-day retention at as_of."""
     return tables.apply_retention(_fx(spark, sf_dir).telemetry(), as_of=AS_OF, days=7)
 
 
 @register("anomaly_retention")
 def q_anomaly_retention(spark, sf_dir):
+    """Anomaly events within the 1-day subscription retention."""
     return tables.apply_retention(_fx(spark, sf_dir).anomaly_events(), as_of=AS_OF, days=1)
 
 
 @register("partition_range_violations")
 def q_partition_range_violations(spark, sf_dir):
+    """Rows outside the current and next three monthly partitions."""
     return tables.partition_range_violations(_fx(spark, sf_dir).telemetry(), as_of=AS_OF).select(
         "id", "event_time")
 
@@ -255,6 +283,7 @@ def _scored(spark, sf_dir):
 
 @register("feature_vectors")
 def q_feature_vectors(spark, sf_dir):
+    """The seven-feature vector with the `x or default` rules."""
     tel = _fx(spark, sf_dir).telemetry()
     f = scoring.feature_vector(tel)
     return f.select("id", *[F.col("features")[i].alias(f"f_{n}") for i, n in
@@ -263,12 +292,14 @@ def q_feature_vectors(spark, sf_dir):
 
 @register("anomaly_scores")
 def q_anomaly_scores(spark, sf_dir):
+    """Column-scorer scores, clamp (S3) and the >= 0.75 flag."""
     return _scored(spark, sf_dir).select("id", "device_id", "shipment_id", "anomaly_score",
                                          "is_anomaly", "threshold")
 
 
 @register("anomaly_emissions")
 def q_anomaly_emissions(spark, sf_dir):
+    """A3: anomaly messages with the score attribute as text."""
     results = scoring.anomaly_results(
         _scored(spark, sf_dir).withColumn("message_id", F.format_string("m%d", "id")))
     messages, _ = scoring.emit_anomalies(results, as_of=AS_OF)
@@ -278,12 +309,14 @@ def q_anomaly_emissions(spark, sf_dir):
 
 @register("checkpoint_gaps")
 def q_checkpoint_gaps(spark, sf_dir):
+    """Hours since the previous telemetry row of the same shipment."""
     tel = _fx(spark, sf_dir).telemetry()
     return scoring.checkpoint_gap(tel).select("id", "shipment_id", "hours_since_last_checkpoint")
 
 
 @register("rate_violations")
 def q_rate_violations(spark, sf_dir):
+    """Users over 3 events per one-day window (sparse fixture parameters)."""
     # The fixture data is sparse: one-day windows and threshold 3 (FIXTURES.md).
     ev = _fx(spark, sf_dir).table("events")
     return rates.rate_violations(ev, "user_id", threshold=3, seconds=86400, time_col="ts")
@@ -310,42 +343,50 @@ def _test_part(spark, sf_dir):
 
 @register("training_set")
 def q_training_set(spark, sf_dir):
+    """Labelled rows of the last 90 days, seven features."""
     return _training_set(spark, sf_dir)
 
 
 @register("imputed_training")
 def q_imputed_training(spark, sf_dir):
+    """Mean imputation fitted on all rows."""
     return training.impute(_training_set(spark, sf_dir))
 
 
 @register("temporal_split")
 def q_temporal_split(spark, sf_dir):
+    """exact 80/20 split in (time, device, id) order."""
     return _split(spark, sf_dir).select("event_id", "row_pos", "split")
 
 
 @register("split_stats")
 def q_split_stats(spark, sf_dir):
+    """Rows and anomaly rate per split."""
     return training.split_stats(_split(spark, sf_dir))
 
 
 @register("classification_report")
 def q_classification_report(spark, sf_dir):
+    """Report on the test part at score >= 0.75."""
     pred = evaluation.with_prediction(_test_part(spark, sf_dir), "score")
     return evaluation.classification_report(pred, "anomaly_label")
 
 
 @register("roc_auc")
 def q_roc_auc(spark, sf_dir):
+    """Tie-correct ROC AUC on the test part."""
     return evaluation.roc_auc(_test_part(spark, sf_dir), "anomaly_label", "score")
 
 
 @register("average_precision")
 def q_average_precision(spark, sf_dir):
+    """Average precision on the test part."""
     return evaluation.average_precision(_test_part(spark, sf_dir), "anomaly_label", "score")
 
 
 @register("evaluation")
 def q_evaluation(spark, sf_dir):
+    """M5: AUC, average precision and accuracy in one row."""
     return evaluation.evaluate(_test_part(spark, sf_dir), "anomaly_label", "score")
 
 
