@@ -56,3 +56,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder (for lineage-cutting tables)."""
     return os.path.join(ensure_checkpoint_dir(spark), *parts)
+
+
+def plan_text(df) -> str:
+    """The physical plan as ``df.explain()`` prints it (for checks and reports)."""
+    import contextlib
+    import io
+
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain(mode="extended")
+    return buf.getvalue()

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 
 from cargoscope.operators import dashboard
+from cargoscope.session import plan_text
 
 NOW = dt.datetime(2026, 1, 1, 12)
 DEMO = [  # shipment, status, open anomalies (the dashboard's fallback rows)
@@ -101,7 +102,7 @@ def test_summary_pushes_page_keys_into_scans(spark, scratch):
     fx.anomaly_events().write.parquet(f"{scratch}/ev")
     tel, ev = spark.read.parquet(f"{scratch}/tel"), spark.read.parquet(f"{scratch}/ev")
     out = dashboard.shipments_summary(fx.shipments(), tel, ev, limit=20)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(out)
     assert "PushedFilters: [In(shipment_id" in plan  # telemetry scan
     assert "PushedFilters: [IsNotNull(resolved), In(shipment_id" in plan  # anomaly scan
     assert out.count() == 20

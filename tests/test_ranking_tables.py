@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.operators import evaluation, tables
 from cargoscope.plans.ranking import with_global_position, with_running_sums
+from cargoscope.session import plan_text
 
 
 def test_global_position_matches_sort(spark):
@@ -139,7 +140,7 @@ def test_write_telemetry_partitions(spark, scratch):
     back = spark.read.parquet(f"{scratch}/tel")
     assert back.count() == tel.count()
     one_day = back.filter(F.col("event_date") == "2024-01-05")
-    plan = one_day._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(one_day)
     assert "PartitionFilters" in plan and one_day.count() > 0
 
 
@@ -157,7 +158,7 @@ def test_load_tables_and_training_scan(spark, scratch):
     raw.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date") \
         .parquet(f"{scratch}/raw")
     got = src.read_training(spark, f"{scratch}/raw", as_of="2024-01-31 00:00:00", days=10)
-    plan = got._jdf.queryExecution().executedPlan().toString()
+    plan = plan_text(got)
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert got.count() == raw.filter("anomaly_label IS NOT NULL AND timestamp >= '2024-01-21'").count()
 
