@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import decontaminate, quality_rules
+from cargoscope.llm import decontaminate, quality_rules, secrets, token_counts
 from cargoscope.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,28 @@ def _sql_list(values) -> str:
 WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 
+def _digest(spans: Column) -> Column:
+    """kind:start:end of each span, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+@register("op4_secrets")
+def op4_secrets(spark, sf_dir):
+    """Secret spans of every document."""
+    found = secrets.find_secrets(tables(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 keep=["doc_id"])
+
+    def n(kind):
+        return F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+
+    base = F.filter("secrets", lambda x: x["kind"] != "literal")
+    return found.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"),
+        n("hex").alias("n_hex"), F.sha2(_digest(base).cast("binary"), 256).alias("base_sha256"),
+        _digest(F.col("secrets")).alias("spans"))
+
+
 @register("op7_decontaminate")
 def op7_decontaminate(spark, sf_dir):
     """Benchmark windows of ten words found in every document."""
@@ -45,6 +67,20 @@ def op7_decontaminate(spark, sf_dir):
         .cast("long").alias("longest_match"))
 
 
+TOKEN_LIMIT = 512
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    """Tokens of every document by the public byte-level vocabulary."""
+    import public_tokenizers
+
+    counts = token_counts.count_tokens(
+        tables(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 OP9_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
