@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import decontaminate, quality_rules, secrets, token_counts
+from cargoscope.llm import decontaminate, mixing, quality_rules, secrets, token_counts
 from cargoscope.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,14 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept")
+
+
+@register("op10_mixing")
+def op10_mixing(spark, sf_dir):
+    """Words that the mix takes from every document."""
+    mixed = mixing.mix(tables(spark, sf_dir, "documents").select("doc_id", "source", "text"),
+                       keep=["doc_id", "source"])
+    return mixed.select("doc_id", "size", "source_size", "target",
+                        (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
+                        F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")),
+                                     ",").alias("shards"))
