@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import decontaminate, mixing, quality_rules, secrets, token_counts
+from cargoscope.llm import (decontaminate, html_extract, mixing, quality_rules, secrets,
+                            token_counts)
 from cargoscope.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,13 @@ def op4_secrets(spark, sf_dir):
         _digest(F.col("secrets")).alias("spans"))
 
 
+@register("op6_html_extract")
+def op6_html_extract(spark, sf_dir):
+    """Main text of every page."""
+    return html_extract.extract(tables(spark, sf_dir, "pages").select("page_id", "url", "html"),
+                                keep=["page_id", "url"])
+
+
 @register("op7_decontaminate")
 def op7_decontaminate(spark, sf_dir):
     """Benchmark windows of ten words found in every document."""
