@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import (decontaminate, html_extract, mixing, quality_rules, secrets,
-                            token_counts)
+from cargoscope.llm import (decontaminate, html_extract, license_scan, mixing, quality_rules,
+                            secrets, token_counts)
 from cargoscope.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,22 @@ def _sql_list(values) -> str:
 WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 
+@register("op1_license_scan")
+def op1_license_scan(spark, sf_dir):
+    """Licence passages of every document, with the best Dice coefficient."""
+    found = license_scan.find_licenses(tables(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       keep=["doc_id"])
+    ids = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"])))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_passages"),
+        F.array_join(ids, ",").alias("licenses"),
+        F.coalesce(F.array_max(F.transform("licenses", lambda x: x["dice"])), F.lit(0.0))
+        .alias("best_dice"),
+        F.array_join(F.transform("licenses", lambda x: F.concat_ws(
+            ":", x["license"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+        .alias("spans"))
+
+
 def _digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
