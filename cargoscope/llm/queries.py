@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import (decontaminate, html_extract, license_scan, mixing, quality_rules,
-                            secrets, token_counts)
+from cargoscope.llm import (decontaminate, html_extract, license_scan, mixing, near_dup,
+                            quality_rules, secrets, token_counts)
 from cargoscope.llm.common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,13 @@ def op1_license_scan(spark, sf_dir):
         .alias("spans"))
 
 
+@register("op2_near_dup")
+def op2_near_dup(spark, sf_dir):
+    """Components of documents linked by four-word shingles."""
+    return near_dup.near_duplicates(tables(spark, sf_dir, "documents").select("doc_id", "text"),
+                                    shingle=4)
+
+
 def _digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
