@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoscope.llm import (decontaminate, html_extract, license_scan, mixing, near_dup,
-                            quality_rules, secrets, token_counts)
-from cargoscope.llm.common import tables
+                            quality_knn, quality_rules, secrets, token_counts)
+from cargoscope.llm.common import crc_mod, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,6 +54,23 @@ def op2_near_dup(spark, sf_dir):
                                     shingle=4)
 
 
+def _held_out(mod: int, rest: int) -> Column:
+    return F.coalesce(crc_mod("doc_id", mod) == rest, F.lit(False))
+
+
+QUALITY_FROM = 0.3
+
+
+@register("op3_quality_knn")
+def op3_quality_knn(spark, sf_dir):
+    """Quality of every document, learnt from the labels outside the held-out fifth."""
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_knn.fit(docs, tables(spark, sf_dir, "labels"), use=~_held_out(5, 0))
+    return quality_knn.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "score",
+        (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
 def _digest(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(
