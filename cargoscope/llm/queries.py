@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import (decontaminate, html_extract, license_scan, mixing, near_dup,
+from cargoscope.llm import (decontaminate, html_extract, katz, license_scan, mixing, near_dup,
                             quality_knn, quality_rules, secrets, token_counts)
 from cargoscope.llm.common import crc_mod, tables
 
@@ -93,6 +93,15 @@ def op4_secrets(spark, sf_dir):
         _digest(F.col("secrets")).alias("spans"))
 
 
+@register("op5_katz")
+def op5_katz(spark, sf_dir):
+    """Katz and add-one scores of every document, learnt outside the held-out seventh."""
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = katz.fit_and_score(docs, ~_held_out(7, 2)).scores
+    return scores.select("doc_id", _held_out(7, 2).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 @register("op6_html_extract")
 def op6_html_extract(spark, sf_dir):
     """Main text of every page."""
