@@ -274,36 +274,65 @@ def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(out)
 
 
+def _cut_until_clean(text: str, matcher: Matcher, min_span_words: int) -> str:
+    """Cuts hit spans again and again: what a cut joins may hit once more."""
+    while True:
+        spans = [(a, n) for a, n, _ in matcher.match(normalized_words(text))[0]
+                 if n >= min_span_words]
+        if not spans:
+            return text
+        text = cut_spans(text, spans)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10,
                   min_span_words: int = 1, max_coverage: float = 0.5, text_col: str = "text",
-                  **options) -> DataFrame:
+                  max_block_words: int = 1_000_000, item_id_col: str = "item_id",
+                  item_text_col: str = "text") -> DataFrame:
     """Removes benchmark passages from the documents.
 
-    A hit span of at least ``min_span_words`` words is cut from the text; a
-    document with more than ``max_coverage`` of its words hit is dropped.
-    Documents without hits come back unchanged, and all columns stay
-    (``n_chars`` follows a changed text where the table has it).
+    A document with more than ``max_coverage`` of its words hit is dropped; a
+    hit span of at least ``min_span_words`` words is cut from the others,
+    until none is left. Documents without hits come back unchanged, and all
+    columns stay (``n_chars`` follows a changed text where the table has it).
     """
+    spark = docs.sparkSession
     own, place = set_aside(docs, [n for n in ("n_words", "hits", "items") if n != text_col])
-    hit = find_hits(own, benchmark, window, text_col=text_col, **options)
+    flag = free_name(own, "hit")
+    hit = find_hits(own, benchmark, window, max_block_words, text_col, None, item_id_col,
+                    item_text_col)
     covered = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, h: acc + h["len"])
-    hit = hit.filter(covered <= F.col("n_words") * max_coverage)
-    flag = free_name(own, "cut")
-
-    def make():
-        def run(texts, hits):
-            kept, changed = [], []
-            for text, spans in zip(texts, hits):
-                long = [(h["start"], h["len"]) for h in spans if h["len"] >= min_span_words]
-                kept.append(cut_spans(text, long) if long else text)
-                changed.append(bool(long))
-            return [kept, changed]
-        return run
-
-    cut = annotate(hit, make, f"`{text_col}` string, `{flag}` boolean", text_col,
-                   [c for c in own.columns if c != text_col], given=["hits"])
+    out = hit.filter(covered <= F.col("n_words") * max_coverage).select(
+        *[F.col(f"`{c}`") for c in own.columns], (F.size("hits") > 0).alias(flag))
+    others = [c for c in own.columns if c != text_col] + [flag]
+    moved = free_name(out, "moved")
+    while True:
+        blocks = 0
+        for block in item_blocks(benchmark, window, max_block_words, item_id_col, item_text_col):
+            out = staged(out, "decontaminate") if blocks else out
+            blocks += 1
+            items = spark.sparkContext.broadcast(block)
+
+            def make(items=items):
+                matcher = Matcher(items.value, window)
+
+                def run(texts, flags, before):
+                    clean = [_cut_until_clean(t, matcher, min_span_words) if f else t
+                             for t, f in zip(texts, flags)]
+                    return [clean, [bool(m) or c != t
+                                    for m, c, t in zip(before, clean, texts)]]
+                return run
+
+            earlier = out if blocks > 1 else out.withColumn(moved, F.lit(False))
+            out = annotate(earlier, make, f"`{text_col}` string, `{moved}` boolean", text_col,
+                           others, given=[flag, moved])
+        if blocks == 1:
+            break
+        # A cut for one block may join words that hit another: sweep until nothing moves.
+        out = staged(out, "decontaminate")
+        if not out.filter(moved).head(1):
+            break
     for c in docs.columns:
         if c.lower() == "n_chars":
-            cut = cut.withColumn(c, F.when(F.col(flag), F.length(f"`{text_col}`"))
+            out = out.withColumn(c, F.when(F.col(flag), F.length(f"`{text_col}`"))
                                  .otherwise(F.col(f"`{c}`")).cast(docs.schema[c].dataType))
-    return cut.select(*[F.col(f"`{place[c]}`").alias(c) for c in docs.columns])
+    return out.select(*[F.col(f"`{place[c]}`").alias(c) for c in docs.columns])

@@ -87,6 +87,20 @@ def test_spans_leave_and_clean_rows_stay(spark):
     assert out[(3, None)]["text"] == "one two three" and out[(1, "en")]["text"] is None
 
 
+@pytest.mark.parametrize("block", [1_000_000, 13])
+def test_nothing_is_left_after_cuts(spark, block):
+    items = [(1, " ".join(f"a{i}" for i in range(12))), (2, " ".join(f"b{i}" for i in range(12)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    a, b = (t.split() for _, t in items)
+    noise = " ".join(f"n{i}" for i in range(60))
+    texts = [" ".join([noise, *a[:6], *b, *a[6:], noise]), noise, " ".join([*a, noise, *b])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in dec.decontaminate(df, bench, max_block_words=block).collect()}
+    assert out[1] == noise and len(out) == 3
+    assert all(not brute(t, items)[1] for t in out.values())
+    assert out[0].split() == (noise + " " + noise).split()
+
+
 def test_query_equals_brute_force(spark):
     import __spark_entry__ as E
     items = [tuple(r) for r in spark.read.parquet(f"{SMOKE_DIR}/benchmark.parquet").collect()]
