@@ -141,22 +141,28 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         latent: int = 64, neighbours: int = 15, power: float = 8.0) -> Model:
     """Fits on a hashed sample of the rows of ``labels`` that satisfy ``use``."""
     chosen = labels if use is None else labels.filter(use)
-    order = Window.partitionBy(F.col("label") >= 0.5).orderBy(F.xxhash64("id"), "id")
-    taught = (chosen.select(F.col(f"`{id_col}`").alias("id"),
-                            F.col(f"`{label_col}`").cast("double").alias("label"))
-              .dropna().groupBy("id").agg(F.avg("label").alias("label"))
+    known = (chosen.select(F.col(f"`{id_col}`").alias("id"),
+                           F.col(f"`{label_col}`").cast("double").alias("label"))
+             .dropna().groupBy("id").agg(F.avg("label").alias("label")))
+    side = F.col("label") >= 0.5
+    # A hashed share of about twice the bound first, so that what is ranked is bounded as well.
+    sizes = {r["side"]: r["n"] for r in known.groupBy(side.alias("side")).agg(
+        F.count("*").alias("n")).collect()}
+    share = F.when(side, 2 * per_class / sizes.get(True, 1)).otherwise(
+        2 * per_class / sizes.get(False, 1))
+    order = Window.partitionBy(side).orderBy(F.xxhash64("id"), "id")
+    taught = (known.filter(F.pmod(F.xxhash64("id"), 1 << 20) < share * (1 << 20))
               .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class))
+    # At most 2 * per_class rows. Of several rows of one id, the one of least text hash.
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(
-        taught, "id")
+        F.broadcast(taught), "id").groupBy("id", "label", "k").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def make():
         return lambda texts: [[term_counts(t).astype(np.float16).tobytes() for t in texts]]
 
-    vectors = annotate(rows, make, "terms binary", "text", ["id", "label"])
-    order = Window.partitionBy(F.col("label") >= 0.5).orderBy(F.xxhash64("id"), "id", "terms")
-    found = (vectors.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_class)
-             .select("label", "terms", "k").toArrow())
-    found = found.sort_by([("k", "ascending"), ("label", "ascending"), ("terms", "ascending")])
+    found = annotate(rows, make, "terms binary", "text", ["label", "k"]).toArrow()
+    found = found.sort_by([("k", "ascending"), ("label", "ascending")])
     terms = np.frombuffer(b"".join(found["terms"].to_pylist()), dtype=np.float16)
     terms = terms.reshape(-1, TERMS).astype(np.float32)
     if not len(terms):
