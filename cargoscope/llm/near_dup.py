@@ -15,10 +15,11 @@ all 32 with probability 5e-8. A bucket first links its members to its least
 member, so a bucket of n gives n - 1 candidates. Candidates whose sketches
 agree on fewer than ``MIN_AGREE`` of the bins are dropped (probability below
 1e-6 at similarity 0.8); the rest are confirmed on the full sets. Buckets that
-still hold several components are searched again in blocks: sketches of
-members of different components are compared block against block, and only
-pairs that agree often enough are emitted and confirmed. So no link between
-different components of a bucket is lost, and no group emits all its pairs.
+still hold several components are searched again in blocks: members outside
+the largest component are compared with all others, and a group emits at most
+one link for each merge of two components, which is then confirmed. So no
+link between different components of a bucket is lost, and no group emits
+its pairs.
 
 Components are labelled by repeated least-neighbour labels with shortcuts;
 every round is a written table, nothing but counts reaches the driver.
@@ -138,38 +139,45 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a binary, b binary")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
-               size: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    chosen = staged(nodes.join(ends, "fp").select("fp", "key"), "dedup-chosen")
+def _with_sets(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str,
+               size: int) -> DataFrame:
+    """Adds each class's full set (``items``) and the upper halves of its hashes."""
     own = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("t"))
-    keys = chosen.select(F.col("key").alias("wanted")).distinct()
+    keys = nodes.select(F.col("key").alias("wanted")).distinct()
     texts = own.join(keys, own["key"].eqNullSafe(keys["wanted"]), "left_semi")
 
     def make():
         def run(values):
             sets = [shingles(t, size) for t in values]
-            return [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    [s.tobytes() for s in sets]]
+            return [[xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                    [s.tobytes() for s in sets], [_halves(s).tobytes() for s in sets]]
         return run
 
     # A key may stand for rows of several texts: the set's own digest tells them apart.
-    sets = annotate(texts, make, "fp binary, items binary", "t", [])
-    sets = staged(sets.join(chosen.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-                  .select("fp", "items"), "dedup-sets")
-    full = pairs.join(sets.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(
-        sets.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
+    sets = annotate(texts, make, "fp binary, items binary, halves binary", "t", [])
+    return nodes.join(sets.dropDuplicates(["fp"]), "fp")
+
+
+def _halves(items: np.ndarray) -> np.ndarray:
+    return np.unique((items >> np.uint64(32)).astype(np.uint32))
+
+
+def _similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets reach the similarity."""
+    full = pairs.join(nodes.select(F.col("fp").alias("a"), F.col("items").alias("x")), "a").join(
+        nodes.select(F.col("fp").alias("b"), F.col("items").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ok = []
-                for x, y in zip(part.column("x"), part.column("y")):
-                    p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(p) + len(q) - both))
+                ok = [_similar(*(np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in xy), percent)
+                      for xy in zip(part.column("x"), part.column("y"))]
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")],
                                                  ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -202,43 +210,62 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(entries: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket but different components whose sketches agree.
+    """Links between the components of a bucket, one for each two it joins.
 
     A bucket of several components is dealt into blocks of about ``BLOCK``
-    members; each pair of blocks is one group.
+    members; each pair of blocks is one group (:func:`_joins`).
     """
     member = entries.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     mixed = member.groupBy("band").agg(F.count("*").alias("members"), F.min("comp").alias("lo"),
                                        F.max("comp").alias("hi")).filter("lo < hi")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     dealt = (member.join(mixed.select("band", blocks.alias("blocks")), "band")
-             .join(nodes.select("fp", "n", "sig"), "fp")
+             .join(nodes.select("fp", "n", "sig", "bands", "halves"), "fp")
              .withColumn("own", F.pmod(F.hash("fp"), "blocks"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("band", F.least("own", "other").alias("i"),
-                     F.greatest("own", "other").alias("j"), "own", "fp", "comp", "n", "sig"))
-
-    def search(pdf):
-        pdf = pdf.sort_values("fp")
-        sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(-1, BINS)
-        n = pdf["n"].to_numpy()
-        comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
-        own, fp = pdf["own"].to_numpy(), pdf["fp"].to_numpy()
-        two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        a, b = [], []
-        for k in range(len(fp) - 1):
-            rest = slice(k + 1, None)
-            open_ = (comp[rest] != comp[k]) & (
-                np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent)
-            if two:
-                open_ &= own[rest] != own[k]
-            at = np.flatnonzero(open_) + k + 1
-            at = at[(sig[at] == sig[k]).sum(axis=1) >= MIN_AGREE]
-            a += [fp[k]] * len(at)
-            b += list(fp[at])
-        return pd.DataFrame({"a": a, "b": b})
-
-    return dealt.groupBy("band", "i", "j").applyInPandas(search, "a binary, b binary").distinct()
+                     F.greatest("own", "other").alias("j"), "own", "fp", "comp", "n", "sig",
+                     "bands", "halves"))
+    return dealt.groupBy("band", "i", "j").applyInPandas(
+        lambda pdf: _joins(pdf, percent), "a binary, b binary").distinct()
+
+
+def _joins(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links found between different components of one group.
+
+    Members outside the group's largest component are compared with all
+    others: set sizes, sketches, whether this is the first bucket the two
+    share, then the sets (by half hashes; links are confirmed afterwards). A
+    link merges two components here, so their other pairs need no look.
+    """
+    comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)[1]
+    order = np.lexsort((pdf["fp"].to_numpy(), comp == np.bincount(comp).argmax()))
+    pdf, comp = pdf.iloc[order], comp[order]
+    small = int((comp != np.bincount(comp).argmax()).sum())
+    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint16).reshape(-1, BINS)
+    bands = np.stack(pdf["bands"].to_numpy())
+    n, own, fp = (pdf[c].to_numpy() for c in ("n", "own", "fp"))
+    halves = [np.frombuffer(h, dtype=np.uint32) for h in pdf["halves"]]
+    two = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+    here = int(np.flatnonzero(bands[0] == pdf["band"].iloc[0])[0])
+    a, b = [], []
+    for k in range(small):
+        open_ = (comp[k + 1:] != comp[k]) & (
+            np.minimum(n[k + 1:], n[k]) * 100 >= np.maximum(n[k + 1:], n[k]) * percent)
+        if two:
+            open_ &= own[k + 1:] != own[k]
+        at = np.flatnonzero(open_) + k + 1
+        agree = (sig[at] == sig[k]).sum(axis=1)
+        at, agree = at[agree >= MIN_AGREE], agree[agree >= MIN_AGREE]
+        at = at[np.argsort(-agree, kind="stable")]
+        if here:
+            at = at[~(bands[at, :here] == bands[k, :here]).any(axis=1)]
+        for m in at:
+            if comp[m] != comp[k] and _similar(halves[k], halves[m], percent):
+                a.append(min(fp[k], fp[m]))
+                b.append(max(fp[k], fp[m]))
+                comp[comp == comp[m]] = comp[k]
+    return pd.DataFrame({"a": a, "b": b})
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
@@ -258,18 +285,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     buckets = entries.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).filter(
         "a < z")
     shared = staged(entries.join(buckets.select("band", "a"), "band"), "dedup-shared")
-    nodes = staged(some.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(
-        F.min("id").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig")),
-        "dedup-nodes")
-    args = (nodes, docs, id_col, text_col, shingle, percent)
+    classes = some.join(shared.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(
+        F.min("id").alias("key"), *[F.first(c).alias(c) for c in ("n", "sig", "bands")])
+    nodes = staged(_with_sets(staged(classes, "dedup-classes"), docs, id_col, text_col, shingle),
+                   "dedup-nodes")
     star = shared.filter("fp > a").select("a", F.col("fp").alias("b")).distinct()
-    links = _confirmed(staged(_agreeing(star, nodes, percent), "dedup-pairs"), *args)
+    links = _confirmed(_agreeing(star, nodes, percent), nodes, percent)
     labels = components(links)
-    cross = staged(_across(shared.select("band", "fp"), nodes, labels, percent), "dedup-cross")
+    cross = _confirmed(_across(shared.select("band", "fp"), nodes, labels, percent), nodes, percent)
     if cross.head(1):
-        more = _confirmed(cross, *args)
-        if more.head(1):
-            labels = components(links.union(more))
+        labels = components(links.union(cross))
     rows = some.select("id", "n", "fp").join(labels, "fp", "left").select(
         "id", "n", F.coalesce("comp", "fp").alias("comp"))
     least = rows.groupBy("comp").agg(F.min("id").alias("component_id"))
