@@ -75,6 +75,15 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
 
 
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys by their gaps."""
+    return pack(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of a text, and of the end token."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
@@ -194,7 +203,8 @@ def _requests(shards: DataFrame, buckets: int) -> DataFrame:
                 s = Shard(row)
                 for level, counts in ((UNIGRAM, s.word_counts), (BIGRAM, s.pair_counts)):
                     keys = s.keys(level)
-                    out = [(level, b, row["shard"], pack(keys[p]), pack(counts[p].astype(np.uint32)))
+                    out = [(level, b, row["shard"], pack_sorted(keys[p]),
+                            pack(counts[p].astype(np.uint32)))
                            for b, p in stretches(keys, buckets)]
                     if out:
                         yield make(out)
@@ -208,7 +218,7 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     n-gram in sums over types) and the counts of counts."""
     level, bucket = int(pdf["level"].iloc[0]), int(pdf["bucket"].iloc[0])
     pdf = pdf.sort_values("shard")
-    keys = [unpack(k, np.uint64) for k in pdf["keys"]]
+    keys = [unpack_sorted(k) for k in pdf["keys"]]
     counts = np.concatenate([unpack(c, np.uint32) for c in pdf["counts"]]).astype(np.int64)
     distinct, group = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(group, weights=counts).astype(np.int64)
@@ -218,7 +228,7 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
     answer = np.minimum(total, (1 << 31) - 1).astype(np.uint32)[group] | (stands << np.uint32(31))
     some = total > 0
     of = np.bincount(np.minimum(total[some], K + 2), minlength=K + 3)
-    rows = [("counts", level, bucket, None, pack(distinct[some]), pack(total[some]),
+    rows = [("counts", level, bucket, None, pack_sorted(distinct[some]), pack(total[some]),
              [int(some.sum()), int(total.sum()), *of[1:K + 2].tolist()])]
     at = 0
     for shard, k in zip(pdf["shard"], keys):
@@ -317,7 +327,7 @@ def _parts(shards: DataFrame, replies: DataFrame, totals: Totals, buckets: int)
             histories, 1)
         inside = np.bincount(s.history[own], chance[s.word[own]], n)
         used = np.flatnonzero(np.bincount(s.history[own], minlength=n))
-        out = [("sum", b, row["shard"], pack(s.history_keys[used[p]]), pack(lost[used[p]]),
+        out = [("sum", b, row["shard"], pack_sorted(s.history_keys[used[p]]), pack(lost[used[p]]),
                 pack(inside[used[p]]), *none) for b, p in stretches(s.history_keys[used], buckets)]
         # scores
         seen = pairs > 0
@@ -349,7 +359,7 @@ def _parts(shards: DataFrame, replies: DataFrame, totals: Totals, buckets: int)
             lo, hi = np.searchsorted(place, [first, first + len(p)])
             mine = order[lo:hi]
             pairs_at = np.concatenate([place[lo:hi] - first, text[mine]]).astype(np.uint32)
-            out.append(("need", b, row["shard"], pack(keys[p]), pack(pairs_at),
+            out.append(("need", b, row["shard"], pack_sorted(keys[p]), pack(pairs_at),
                         pack(times[mine].astype(np.uint32)), *none))
             first += len(p)
         for i in range(0, len(out), 64):
@@ -374,41 +384,38 @@ def _weigh(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["kind", "shard"])
     sums, needs = pdf[pdf["kind"] == "sum"], pdf[pdf["kind"] == "need"]
     keys, group = np.unique(np.concatenate([np.empty(0, np.uint64)] + [
-        unpack(k, np.uint64) for k in sums["keys"]]), return_inverse=True)
+        unpack_sorted(k) for k in sums["keys"]]), return_inverse=True)
 
     def added(col):
         return np.bincount(group, np.concatenate([np.empty(0)] + [
             unpack(x, np.float64) for x in sums[col]]), len(keys))
 
     alpha = np.log10(added("a") / np.maximum(1 - added("b"), 1e-300))
-    rows = [("backoff", bucket, None, pack(keys), pack(alpha))] if len(keys) else []
+    rows = [("backoff", bucket, None, pack_sorted(keys), pack(alpha))] if len(keys) else []
     for shard, need in zip(needs["shard"], needs["keys"]):
         rows.append(("answer", bucket, int(shard), None,
-                     pack(alpha[np.searchsorted(keys, unpack(need, np.uint64))])))
+                     pack(alpha[np.searchsorted(keys, unpack_sorted(need))])))
     return pd.DataFrame(rows, columns=["kind", "bucket", "shard", "keys", "weights"])
 
 
 def _backed_off(parts: DataFrame, weights: DataFrame) -> DataFrame:
-    """(shard, place, extra): what back-off weights add to each text's score."""
+    """(shard, place, extra): what back-off weights add to each text's score,
+    added up shard by shard."""
     need = parts.filter("kind = 'need'").select("shard", "bucket", "a", "b")
     joined = need.join(weights.filter("kind = 'answer'").select("shard", "bucket", "weights"),
                        ["shard", "bucket"])
-    schema = "shard long, place int, extra double"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
 
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                spot, text = unpack(row["a"], np.uint32).reshape(2, -1)
-                cost = unpack(row["weights"], np.float64)[spot] * unpack(row["b"], np.uint32)
-                places, which = np.unique(text, return_inverse=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(places), row["shard"])),
-                     pa.array(places.astype(np.int32)), pa.array(np.bincount(which, cost))],
-                    schema=arrow)
-
-    return joined.select("shard", "a", "b", "weights").mapInArrow(run, schema).groupBy(
-        "shard", "place").agg(F.sum("extra").alias("extra"))
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        texts, costs = [], []
+        for a, b, w in zip(pdf["a"], pdf["b"], pdf["weights"]):
+            spot, text = unpack(a, np.uint32).reshape(2, -1)
+            texts.append(text)
+            costs.append(unpack(w, np.float64)[spot] * unpack(b, np.uint32))
+        places, which = np.unique(np.concatenate(texts), return_inverse=True)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "place": places.astype(np.int32),
+                             "extra": np.bincount(which, np.concatenate(costs))})
+
+    return joined.groupBy("shard").applyInPandas(add, "shard long, place int, extra double")
 
 
 @dataclass(frozen=True)
