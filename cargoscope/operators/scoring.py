@@ -102,8 +102,9 @@ def emit_anomalies(results: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame
     """Anomalies as (topic messages, ``anomaly_events`` rows) (A3).
 
     Messages carry the JSON result and attributes device_id, shipment_id and
-    the score as text; table rows get a new UUID, event time ``as_of`` and
-    the result JSON as details.
+    the score as text; table rows get event time ``as_of`` and the result JSON
+    as details. A row's id is a digest of its message id in UUID form, the same
+    for every replay (a random one where there is no message id).
     """
     hits = results.filter(F.col("is_anomaly"))
     payload = F.to_json(F.struct("device_id", "shipment_id", "anomaly_score", "is_anomaly",
@@ -113,7 +114,9 @@ def emit_anomalies(results: DataFrame, as_of=None) -> tuple[DataFrame, DataFrame
                          F.col("anomaly_score").cast("string"))
     messages = hits.select(F.coalesce(F.col("message_id"), F.expr("uuid()")).alias("message_id"),
                            payload.alias("value"), attrs.alias("attributes"))
-    events = hits.select(F.expr("uuid()").alias("event_id"), "device_id", "shipment_id",
+    digest = F.regexp_replace(F.md5("message_id"), "^(.{8})(.{4})(.{4})(.{4})(.{12})$",
+                              "$1-$2-$3-$4-$5")
+    events = hits.select(F.coalesce(digest, F.expr("uuid()")).alias("event_id"), "device_id", "shipment_id",
                          F.lit(None).cast("string").alias("route_id"), "anomaly_score",
                          as_of_col(as_of).alias("event_time"), F.lit(False).alias("resolved"),
                          F.lit(None).cast("timestamp").alias("resolved_at"), payload.alias("details"))

@@ -6,14 +6,15 @@ Python per row. ``reject_reason`` is null for accepted rows.
 Decode (``decode_telemetry``) reproduces the ingestion gateway:
 * content type must equal ``application/json`` exactly -> ``content_type``,
   checked before the body is decoded (S17);
-* body over 1 MiB -> ``malformed`` (it is cut before decoding, S16);
-* JSON must be one value with nothing after it (``[`` body ``]`` parsed as a
-  variant array of size 1); an object or ``null`` (all fields absent);
-  strings where strings are declared, numbers where numbers are declared, an
-  RFC 3339 timestamp with offset (S14, S15); else ``malformed``;
+* only the first 1 MiB of a body is decoded (S16);
+* the body must be one JSON object or ``null`` (all fields absent) with
+  nothing after it, else ``malformed`` (S15);
+* keys match without case; of several the last wins, where null leaves plain
+  fields as they were and clears optional ones; every one must have the
+  declared type: strings, finite numbers, an RFC 3339 timestamp with offset
+  (S14), any number of fraction digits, offsets up to 23:59;
 * absent or null lat/lon decode as 0.0 and are accepted (S11).
-Known deviations: duplicate keys are refused (the gateway keeps the last),
-keys match case-sensitively (the gateway matches case-insensitively).
+Known deviation: duplicate keys inside a nested, unknown object are refused.
 
 Rules (``validate_telemetry``, S12/S13): first failing rule wins, in the
 order device_id, shipment_id, timestamp, stale, lat, lon, temperature,
@@ -30,7 +31,12 @@ from cargoscope.functions.columns import as_of_col, col_of, snippet
 MAX_BODY_BYTES = 1 << 20
 CONTENT_TYPE = "application/json"
 STALE_AFTER_HOURS = 24
-RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+# Groups: local time, fraction, offset, its sign, hours and minutes.
+RFC3339 = (r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})(\.\d+)?"
+           r"(Z|([+-])([01]\d|2[0-3]):([0-5]\d))$")
+# Texts that the scoring service's float fields accept.
+FLOAT_TEXT = (r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?"
+              r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")
 NUMERIC_TYPES = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 OPTIONAL_SENSORS = ["temperature", "humidity", "speed_kmh", "battery_pct"]
 
@@ -55,40 +61,71 @@ ERROR_TEXT = {
     "battery_pct": "payload validation failed: battery_pct out of range: %f",
 }
 STATUS_ACCEPTED, STATUS_BAD_REQUEST, STATUS_UNSUPPORTED = 202, 400, 415
+STATUS_SERVER_ERROR = 500  # a failed publish
 
 
 # ------------------------------------------------------------------ decoding
-def _single_json_value(body: Column) -> Column:
-    """The one JSON value of ``body`` as a variant, or null when the body is
-    not exactly one JSON value (trailing text, two values, empty, invalid).
+_STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
-    ``[`` body ``]`` must parse and hold exactly one element: ``$[0]`` present
-    and ``$[1]`` absent (a JSON null there is a variant null, not SQL NULL).
+
+def _entries(body: Column) -> Column:
+    """Key-value pairs (in text order, repeats kept) of a body that is exactly
+    one JSON object; an empty array for ``null``; null for anything else.
+
+    The body is parsed as the first of two array elements. The second is a
+    sentinel that names the body's digest, so a body that closes the array
+    itself, or is followed by more text, cannot pass.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
-    first = F.try_variant_get(wrapped, "$[0]", "variant")
-    return F.when(F.try_variant_get(wrapped, "$[1]", "variant").isNull(), first)
+    digest = F.sha2(body.cast("binary"), 256)
+    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit(',{"'), digest, F.lit('":0}]')),
+                          "array<map<string,variant>>", _STRICT_JSON)
+    alone = (F.size(wrapped) == 2) & F.map_contains_key(F.get(wrapped, F.lit(1)), digest)
+    first = F.get(wrapped, F.lit(0))
+    return (F.when(alone & first.isNotNull(), F.map_entries(first))
+            .when(alone & body.rlike("^[ \\t\\n\\r]*null[ \\t\\n\\r]*$"),
+                  F.array().cast("array<struct<key:string,value:variant>>")))
+
+
+def _values(name: str, any_case: bool) -> Column:
+    """The values of a key, in text order."""
+    def same(e):
+        return (F.lower(e["key"]) if any_case else e["key"]) == name
+    return F.transform(F.filter("_e", same), lambda e: e["value"])
 
 
-# First non-blank character of a body that parsed: its JSON type.
-_LEADING_BLANKS = "^[ \\t\\n\\r]*"
+def _last(values: Column, skip_null: bool = False) -> Column:
+    if skip_null:
+        values = F.filter(values, lambda v: ~F.is_variant_null(v))
+    return F.get(values, F.size(values) - 1)
 
 
-def _starts_with(body: Column, chars: str) -> Column:
-    return body.rlike(_LEADING_BLANKS + chars)
+def _is_number(value: Column) -> Column:
+    number = F.try_variant_get(value, "$", "double")
+    return (F.schema_of_variant(value).rlike(NUMERIC_TYPES) & number.isNotNull()
+            & (F.abs(number) < float("inf")))
 
 
-def _field_type(value: Column, field: str) -> Column:
-    """Variant type name of a field: null if absent, ``VOID`` if JSON null."""
-    return F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+def _is_string(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
-def _absent_or_null(t: Column) -> Column:
-    return t.isNull() | (t == "VOID")
+def _instant(text: Column) -> Column:
+    """RFC 3339 text as a timestamp: fraction cut to microseconds, offset by
+    arithmetic; null if it is no such text or no such date."""
+    def part(group):
+        return F.regexp_extract(text, RFC3339, group)
 
+    local = F.try_to_timestamp(F.concat(part(1), F.substring(F.rpad(part(2), 7, "0"), 1, 7),
+                                        F.lit("Z")))
+    whole = F.try_to_timestamp(F.concat(part(1), F.lit("Z")))
+    minutes = (F.coalesce(part(5).try_cast("int"), F.lit(0)) * 60
+               + F.coalesce(part(6).try_cast("int"), F.lit(0)))
+    offset = F.make_dt_interval(mins=F.when(part(4) == "-", -minutes).otherwise(minutes))
+    return F.when(text.rlike(RFC3339), F.when(part(2) == "", whole).otherwise(local) - offset)
 
-def _is_number(t: Column) -> Column:
-    return t.rlike(NUMERIC_TYPES)
+
+def _is_instant(value: Column) -> Column:
+    return _is_string(value) & _instant(F.try_variant_get(value, "$", "string")).isNotNull()
 
 
 def decode_telemetry(msgs: DataFrame, body_col: str = "value",
@@ -96,103 +133,90 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
     """Strict decode of gateway messages (B1, B2). Adds the telemetry fields
     and ``decode_reason`` (``content_type`` / ``malformed`` / null).
 
-    The body is parsed once per row: the variant, then the field types, are
-    separate projections, which Catalyst keeps apart rather than inlining
-    the parse into every field expression.
+    The body is parsed once per row: entries, then the values of each field,
+    are separate projections, which Catalyst keeps apart.
     """
-    fields = ["device_id", "shipment_id", "timestamp", "lat", "lon", *OPTIONAL_SENSORS]
     body = F.col(body_col)
-    staged = msgs.withColumn("_v", _single_json_value(body))
-    v = F.col("_v")
-    staged = staged.select(
-        "*",
-        F.try_variant_get(v, "$.timestamp", "string").alias("_ts_text"),
-        *[_field_type(v, f).alias(f"_t_{f}") for f in fields])
-    staged = staged.withColumn("_ts", F.try_to_timestamp(F.col("_ts_text")))
-    types = {f: F.col(f"_t_{f}") for f in fields}
-    ts_text, parsed_ts = F.col("_ts_text"), F.col("_ts")
-    # A parsed body is an object or JSON null exactly when it starts with { or n.
-    object_or_null = _starts_with(body, "[{n]")
-
-    bad_types = F.lit(False)
-    for f in ("device_id", "shipment_id"):
-        bad_types = bad_types | ~(_absent_or_null(types[f]) | (types[f] == "STRING"))
-    bad_ts = ~(_absent_or_null(types["timestamp"])
-               | ((types["timestamp"] == "STRING") & ts_text.rlike(RFC3339) & parsed_ts.isNotNull()))
-    for f in ("lat", "lon", *OPTIONAL_SENSORS):
-        bad_types = bad_types | ~(_absent_or_null(types[f]) | _is_number(types[f]))
-
+    cut = F.when(F.octet_length(body) > MAX_BODY_BYTES,
+                 F.substring(body.cast("binary"), 1, MAX_BODY_BYTES).cast("string")).otherwise(body)
     if attributes_col is None:
         content_ok = F.lit(True)
     else:
         content_ok = F.coalesce(F.element_at(F.col(attributes_col), F.lit("content_type"))
                                 == CONTENT_TYPE, F.lit(False))
-    # The gateway reads at most 1 MiB (a longer body is cut, not refused), then
-    # checks the content type, then decodes: so 415 wins over any body defect.
+    kinds = {"device_id": _is_string, "shipment_id": _is_string, "timestamp": _is_instant,
+             **{f: _is_number for f in ("lat", "lon", *OPTIONAL_SENSORS)}}
+    staged = msgs.withColumn("_e", _entries(cut))
+    staged = staged.select("*", *[_values(f, any_case=True).alias(f"_a_{f}") for f in kinds])
+
+    def null_or(kind):
+        return lambda v: F.is_variant_null(v) | kind(v)
+
+    typed = F.lit(True)
+    for f, kind in kinds.items():
+        typed = typed & F.forall(f"_a_{f}", null_or(kind))
+    # The gateway checks the content type first, so 415 wins over any body defect.
     reason = (F.when(~content_ok, "content_type")
-              .when(body.isNull() | (F.octet_length(body) > MAX_BODY_BYTES), "malformed")
-              .when(v.isNull() | ~object_or_null, "malformed")
-              .when(bad_types | bad_ts, "malformed"))
-
+              .when(F.col("_e").isNull() | ~F.coalesce(typed, F.lit(False)), "malformed"))
     staged = staged.withColumn("decode_reason", reason)
     decoded = F.col("decode_reason").isNull()
 
-    def field(value):
+    def field(name, as_type, skip_null=True):
         # A message that does not decode has no fields (the gateway stops there).
-        return F.when(decoded, value)
-
-    def dbl(f):
-        return F.try_variant_get(v, f"$.{f}", "double")
+        value = _last(F.col(f"_a_{name}"), skip_null)
+        return F.when(decoded, F.try_variant_get(value, "$", as_type))
 
     return staged.select(
         *[F.col(c) for c in msgs.columns],
-        field(F.try_variant_get(v, "$.device_id", "string")).alias("device_id"),
-        field(F.try_variant_get(v, "$.shipment_id", "string")).alias("shipment_id"),
-        field(parsed_ts).alias("timestamp"),
-        field(F.coalesce(dbl("lat"), F.lit(0.0))).alias("lat"),
-        field(F.coalesce(dbl("lon"), F.lit(0.0))).alias("lon"),
-        *[field(dbl(f)).alias(f) for f in OPTIONAL_SENSORS],
+        field("device_id", "string").alias("device_id"),
+        field("shipment_id", "string").alias("shipment_id"),
+        _instant(field("timestamp", "string")).alias("timestamp"),
+        *[F.when(decoded, F.coalesce(field(f, "double"), F.lit(0.0))).alias(f)
+          for f in ("lat", "lon")],
+        *[field(f, "double", skip_null=False).alias(f) for f in OPTIONAL_SENSORS],
         "decode_reason",
     )
 
 
 def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     """Looser decode of the scoring service (B25): unknown fields ignored, no
-    timestamp needed, numbers or numeric strings (or booleans) for floats,
-    only strings for ids; missing ids or lat/lon reject. ``decode_reason``
-    is ``malformed`` for skipped messages (they are still acknowledged, S18).
+    timestamp needed, numbers, numeric strings (:data:`FLOAT_TEXT`) or booleans
+    for floats, only strings for ids; missing ids or lat/lon reject. Of
+    several equal keys the last wins. ``decode_reason`` is ``malformed`` for
+    skipped messages (they are still acknowledged, S18).
 
-    Parse once, then field types, then values, in separate projections.
+    Parse once, then last values, in separate projections.
     """
     ids = ["device_id", "shipment_id"]
     required = ["lat", "lon"]
     optional = [*OPTIONAL_SENSORS, "hours_since_last_checkpoint"]
-    staged = msgs.withColumn("_v", _single_json_value(F.col(body_col)))
-    v = F.col("_v")
-    staged = staged.select("*", *[_field_type(v, f).alias(f"_t_{f}") for f in ids + required + optional])
-
-    def as_float(f):
-        t = F.col(f"_t_{f}")
-        num = F.when(_is_number(t), F.try_variant_get(v, f"$.{f}", "double"))
-        from_text = F.when(t == "STRING", F.try_variant_get(v, f"$.{f}", "string").try_cast("double"))
-        from_bool = F.when(t == "BOOLEAN", F.try_variant_get(v, f"$.{f}", "boolean").cast("double"))
-        value = F.coalesce(num, from_text, from_bool)
-        return value, _absent_or_null(t) | value.isNotNull(), _absent_or_null(t)
-
-    fields, bad = {}, ~_starts_with(F.col(body_col), "[{]")
+    staged = msgs.withColumn("_e", _entries(F.col(body_col)))
+    staged = staged.select("*", *[_last(_values(f, any_case=False)).alias(f"_l_{f}")
+                                  for f in ids + required + optional])
+    staged = staged.select("*", *[F.schema_of_variant(f"_l_{f}").alias(f"_t_{f}")
+                                  for f in ids + required + optional])
+
+    def value(f):
+        v, t = F.col(f"_l_{f}"), F.col(f"_t_{f}")
+        text = F.try_variant_get(v, "$", "string")
+        return F.coalesce(
+            F.when(t.rlike(NUMERIC_TYPES), F.try_variant_get(v, "$", "double")),
+            F.when((t == "STRING") & text.rlike(FLOAT_TEXT), F.trim(text).try_cast("double")),
+            F.when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")))
+
+    def missing(f):
+        return F.col(f"_t_{f}").isNull() | (F.col(f"_t_{f}") == "VOID")
+
+    # An empty entry list is JSON null or {}: either lacks the required fields.
+    bad = F.col("_e").isNull()
+    fields = {}
     for f in ids:
-        t = F.col(f"_t_{f}")
-        bad = bad | t.isNull() | (t != "STRING")
-        fields[f] = F.try_variant_get(v, f"$.{f}", "string")
-    for f in required:
-        value, ok, missing = as_float(f)
-        bad = bad | ~ok | missing
-        fields[f] = value
-    for f in optional:
-        value, ok, _ = as_float(f)
-        bad = bad | ~ok
-        fields[f] = value
-    staged = staged.withColumn("decode_reason", F.when(v.isNull() | bad, "malformed"))
+        bad = bad | missing(f) | (F.col(f"_t_{f}") != "STRING")
+        fields[f] = F.try_variant_get(F.col(f"_l_{f}"), "$", "string")
+    for f in required + optional:
+        fields[f] = value(f)
+        bad = bad | (fields[f].isNull() if f in required else ~missing(f) & fields[f].isNull())
+    staged = staged.withColumn("decode_reason", F.when(bad, "malformed"))
     decoded = F.col("decode_reason").isNull()
     # A skipped message has no fields.
     return staged.select(*[F.col(c) for c in msgs.columns],

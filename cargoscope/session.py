@@ -7,11 +7,13 @@ DataFrames belong to. ``build_session`` is for tests, the bench and scripts.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+ROCKSDB_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
@@ -30,6 +32,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Stream state outside the heap, written as change logs (the id dedup of the streams).
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB_STATE)
+        .config("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     )
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
@@ -42,14 +47,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a fresh scratch folder is made.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder: executors
+    do not see each other's disks, so an unset folder raises. Only a local
+    master gets a fresh scratch folder. The context's own checkpoint folder is
+    set once.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
+    context = spark.sparkContext
     if not current:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="cargoscope-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current
 
 

@@ -31,10 +31,11 @@ SELECT 'S' || CAST(o_orderkey AS STRING) AS shipment_id,
        CASE WHEN o_orderstatus = 'F' THEN 'delivered' WHEN o_orderstatus = 'O' THEN 'in_transit'
             WHEN o_orderpriority = '1-URGENT' THEN 'anomaly' ELSE 'delayed' END AS status,
        o_orderdate AS created_at, o_orderdate AS updated_at, CAST(NULL AS STRING) AS metadata
-FROM {orders} WHERE o_orderkey % 10 <> 3""",
+FROM {orders}""",
     "telemetry": """
 SELECT event_id AS id, 'D' || CAST(user_id AS STRING) AS device_id,
-       'S' || CAST(user_id * 100 + event_id % 20 AS STRING) AS shipment_id, ts AS event_time,
+       CASE WHEN event_id % 10 = 7 THEN 'T' ELSE 'S' END || CAST(user_id * 100 + event_id % 20 AS STRING)
+         AS shipment_id, ts AS event_time,
        CAST(event_id % 727 AS DOUBLE) / 4 - 90 AS lat, CAST(event_id % 1455 AS DOUBLE) / 4 - 181 AS lon,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS temperature,
        CAST(event_id % 102 AS DOUBLE) AS humidity,
@@ -58,13 +59,33 @@ SELECT 'R' || CAST(p_partkey AS STRING) AS route_id, 'H' || CAST(p_partkey % 5 A
        CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 6 = 1 THEN 0 ELSE 1 END AS n_filter,
        p_size % 9 <> 0 AS active
 FROM {part}""",
+    # One scenario per order; a few of each kind leave the request model's bounds.
     "scenarios_flat": """
-SELECT a.r_regionkey * 5 + b.r_regionkey AS scenario_id,
-       'H' || CAST(a.r_regionkey AS STRING) AS origin_hub, 'H' || CAST(b.r_regionkey AS STRING) AS destination_hub,
-       CAST(100 * (a.r_regionkey * 5 + b.r_regionkey + 1) AS DOUBLE) AS cargo_weight_kg,
-       (a.r_regionkey * 5 + b.r_regionkey) % 3 = 0 AS any_carrier,
-       5 + a.r_regionkey * 5 + b.r_regionkey AS max_transit_days, b.r_regionkey % 2 = 0 AS avoid_anomaly_routes
-FROM {region} a CROSS JOIN {region} b""",
+SELECT o_orderkey AS scenario_id,
+       CASE WHEN o_orderkey % 97 = 1 THEN NULL ELSE 'H' || CAST(o_orderkey % 5 AS STRING) END AS origin_hub,
+       CASE WHEN o_orderkey % 97 = 2 THEN NULL ELSE 'H' || CAST(o_custkey % 5 AS STRING) END AS destination_hub,
+       CASE WHEN o_orderkey % 97 = 3 THEN CAST(0.0625 AS DOUBLE) WHEN o_orderkey % 97 = 4 THEN CAST(50000.5 AS DOUBLE)
+            WHEN o_orderkey % 97 = 5 THEN NULL
+            ELSE CAST(1 + o_custkey % 4000 AS DOUBLE) / 8 END AS cargo_weight_kg,
+       o_orderkey % 3 = 0 AS any_carrier,
+       CASE WHEN o_orderkey % 97 = 6 THEN 0 WHEN o_orderkey % 97 = 7 THEN 31
+            ELSE 5 + o_custkey % 25 END AS max_transit_days,
+       o_custkey % 2 = 0 AS avoid_anomaly_routes
+FROM {orders}""",
+    # Rows that break each declared constraint of a table, by key.
+    "dirty_shipments": """
+SELECT CASE WHEN o_orderkey % 31 = 1 THEN NULL ELSE 'S' || CAST(o_orderkey - o_orderkey % 2 AS STRING) END AS shipment_id,
+       CASE WHEN o_orderkey % 31 = 2 THEN NULL ELSE 'H1' END AS origin_hub, 'H2' AS destination_hub, 'C1' AS carrier_id,
+       CASE WHEN o_orderkey % 31 = 3 THEN NULL WHEN o_orderkey % 31 = 4 THEN 'lost' ELSE 'delayed' END AS status,
+       o_orderdate AS created_at, CAST(NULL AS STRING) AS metadata
+FROM {orders}""",
+    "dirty_events": """
+SELECT CAST(event_id - event_id % 3 AS STRING) AS event_id,
+       CASE WHEN event_id % 17 = 1 THEN NULL ELSE 'D1' END AS device_id, 'S1' AS shipment_id,
+       CAST(NULL AS STRING) AS route_id,
+       CASE WHEN event_id % 17 = 2 THEN NULL ELSE CAST(0.5 AS DOUBLE) END AS anomaly_score,
+       CASE WHEN event_id % 17 = 3 THEN NULL ELSE ts END AS event_time, event_id % 2 = 0 AS resolved
+FROM {events}""",
     "training": """
 SELECT 'D' || CAST(user_id AS STRING) AS device_id, ts AS event_time, event_id,
        CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(event_id % 161 AS DOUBLE) / 4 END AS temperature,
@@ -76,11 +97,13 @@ SELECT 'D' || CAST(user_id AS STRING) AS device_id, ts AS event_time, event_id,
        CAST((event_id * 7) % 65 AS DOUBLE) / 64 AS score
 FROM {events}""",
     "shipment_updates": """
-SELECT 'S' || CAST(o_orderkey AS STRING) AS shipment_id, 'HX' AS origin_hub, 'HY' AS destination_hub,
+SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'N' ELSE 'S' END || CAST(o_orderkey AS STRING) AS shipment_id,
+       'HX' AS origin_hub, 'HY' AS destination_hub,
        'C1' AS carrier_id, 'delayed' AS status, '{{"n":1}}' AS metadata, 1 AS seq
 FROM {orders} WHERE o_orderkey % 10 IN (2, 3)
 UNION ALL
-SELECT 'S' || CAST(o_orderkey AS STRING), 'HZ', 'HZ', 'C2', 'delivered', '{{"n":2}}', 2
+SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'N' ELSE 'S' END || CAST(o_orderkey AS STRING),
+       'HZ', 'HZ', 'C2', 'delivered', '{{"n":2}}', 2
 FROM {orders} WHERE o_orderkey % 20 IN (2, 3)""",
     # Gateway message bodies built from telemetry rows by plain text
     # concatenation (identical bytes on both engines), with the decode defects
@@ -98,11 +121,16 @@ SELECT id, 'm' || CAST(id AS STRING) AS message_id,
          WHEN 12 THEN '[' || body || ']'
          WHEN 13 THEN REPLACE(body, '"', CHR(39))
          WHEN 14 THEN '{{"device_id":"' || device_id || '",' || SUBSTRING(body, 2)
+         WHEN 19 THEN body || '] xyz'
+         WHEN 20 THEN body || '],{{"a":1}}'
+         WHEN 25 THEN '{{"device_id":"first","lat":1,' || SUBSTRING(body, 2)
+         WHEN 26 THEN CASE WHEN id % 5000 = 26 THEN body || REPEAT(' ', 1048576) || 'x' ELSE body END
          ELSE body END AS value
 FROM (
   SELECT id, device_id, shipment_id,
          '{{' ||
          CASE WHEN id % 50 = 2 THEN '"device_id":' || SUBSTRING(device_id, 2)
+              WHEN id % 50 = 24 THEN '"Device_ID":"' || device_id || '"'
               ELSE '"device_id":"' || device_id || '"' END ||
          ',"timestamp":"' ||
          CASE id % 50 WHEN 6 THEN ts_text
@@ -110,16 +138,24 @@ FROM (
                       WHEN 15 THEN ts_text || '+05:30'
                       WHEN 16 THEN ts_text || '123Z'
                       WHEN 17 THEN '0001-01-01T00:00:00Z'
+                      WHEN 22 THEN SUBSTRING(ts_text, 1, 19) || '.1234567891Z'
+                      WHEN 23 THEN SUBSTRING(ts_text, 1, 19) || '+19:00'
+                      WHEN 31 THEN SUBSTRING(ts_text, 1, 19) || '.5-00:30'
+                      WHEN 32 THEN SUBSTRING(ts_text, 1, 19) || '+24:00'
                       ELSE ts_text || 'Z' END || '"' ||
          CASE id % 50 WHEN 3 THEN ',"lat":"' || CAST(lat AS STRING) || '"'
                       WHEN 4 THEN ''
                       WHEN 5 THEN ',"lat":null'
                       WHEN 18 THEN ',"lat":NaN'
+                      WHEN 27 THEN ',"lat":"28d"'
+                      WHEN 28 THEN ',"lat":"0x1p3"'
+                      WHEN 29 THEN ',"lat":" 12.5 "'
+                      WHEN 30 THEN ',"lat":5,"lat":null'
                       ELSE ',"lat":' || CAST(lat AS STRING) END ||
          ',"lon":' || CAST(lon AS STRING) ||
          CASE WHEN temperature IS NULL THEN '' ELSE ',"temperature":' || CAST(temperature AS STRING) END ||
          CASE WHEN humidity IS NULL THEN '' ELSE ',"humidity":' || CAST(humidity AS STRING) END ||
-         CASE WHEN speed_kmh IS NULL THEN '' ELSE ',"speed_kmh":' || CAST(speed_kmh AS STRING) END ||
+         CASE WHEN id % 50 = 21 THEN ',"speed_kmh":1e400' WHEN speed_kmh IS NULL THEN '' ELSE ',"speed_kmh":' || CAST(speed_kmh AS STRING) END ||
          CASE WHEN battery_pct IS NULL THEN '' ELSE ',"battery_pct":' || CAST(battery_pct AS STRING) END ||
          ',"shipment_id":"' || shipment_id || '"}}' AS body
   FROM (SELECT *, REPLACE(CAST(event_time AS STRING), ' ', 'T') AS ts_text FROM {telemetry}) t
@@ -204,6 +240,12 @@ class Fixtures:
             "avoid_anomaly_routes",
         )
 
+    def dirty_shipments(self) -> DataFrame:
+        return self._sql("dirty_shipments")
+
+    def dirty_events(self) -> DataFrame:
+        return self._sql("dirty_events")
+
     def training(self) -> DataFrame:
         return self._sql("training")
 
@@ -213,9 +255,6 @@ class Fixtures:
     def messages(self) -> DataFrame:
         """Gateway message envelopes (``messages_flat`` with an attribute map)."""
         flat = self._sql("messages_flat")
-        # A topic arrives in many partitions; the driver tables are single files.
-        # No explicit count, so AQE sizes the partitions on a large cluster.
-        flat = flat.repartition("id")
         return flat.select(
             "message_id", "value",
             F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("shipment_id"),

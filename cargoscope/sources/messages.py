@@ -20,34 +20,62 @@ TELEMETRY_FIELDS = ["device_id", "timestamp", "lat", "lon", "temperature", "humi
 RFC3339_MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
-def read_messages(spark: SparkSession, path: str, streaming: bool = False,
-                  max_files_per_trigger: int | None = None, fmt: str = "json",
+#: The file source forgets files older than this against its newest one. Its
+#: default of a week would skip late copies and replays without a trace.
+MAX_FILE_AGE = "3650d"
+FILES_PER_TRIGGER, OFFSETS_PER_TRIGGER = 1000, 10_000_000
+
+
+def read_messages(spark: SparkSession, path: str | None, streaming: bool = False,
+                  max_files_per_trigger: int | None = FILES_PER_TRIGGER, fmt: str = "json",
                   options: dict | None = None) -> DataFrame:
     """Message envelopes from JSON-lines files (or ``fmt="kafka"`` with options).
 
-    The streaming form adds ``arrival_time`` from the file modification time,
-    which the exactly-once dedup watermarks on (G4).
+    Streams are bounded per trigger. ``arrival_time`` records the file's
+    modification time or the broker's timestamp; nothing is dropped by it.
     """
     if fmt == "kafka":
+        defaults = {"maxOffsetsPerTrigger": str(OFFSETS_PER_TRIGGER)} if streaming else {}
         reader = spark.readStream if streaming else spark.read
-        raw = reader.format("kafka").options(**(options or {})).load()
-        return raw.select(
-            F.concat_ws("-", "topic", "partition", "offset").alias("message_id"),
-            F.col("value").cast("string").alias("value"),
-            F.map_from_entries(F.transform(
-                F.coalesce(F.col("headers"), F.array().cast("array<struct<key:string,value:binary>>")),
-                lambda h: F.struct(h["key"], h["value"].cast("string")))).alias("attributes"),
-            F.col("timestamp").alias("arrival_time"))
+        raw = reader.format("kafka").options(**defaults, **{"includeHeaders": "true"},
+                                             **(options or {})).load()
+        return kafka_envelopes(raw)
     if streaming:
-        reader = spark.readStream.schema(schemas.MESSAGE)
+        reader = (spark.readStream.schema(schemas.MESSAGE).option("maxFileAge", MAX_FILE_AGE)
+                  .options(**(options or {})))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         df = reader.json(path)
     else:
-        df = spark.read.schema(schemas.MESSAGE).json(path)
+        df = spark.read.options(**(options or {})).schema(schemas.MESSAGE).json(path)
     return df.withColumn("arrival_time", F.col("_metadata.file_modification_time"))
 
 
+def kafka_envelopes(raw: DataFrame) -> DataFrame:
+    """The connector's columns as envelopes; a ``message_id`` header, which
+    survives redelivery, before the record's position."""
+    headers = F.map_from_entries(F.transform(
+        F.coalesce(F.col("headers"), F.array().cast("array<struct<key:string,value:binary>>")),
+        lambda h: F.struct(h["key"], h["value"].cast("string"))))
+    place = F.concat_ws("-", "topic", F.col("partition").cast("string"),
+                        F.col("offset").cast("string"))
+    return raw.withColumn("attributes", headers).select(
+        F.coalesce(F.col("attributes")["message_id"], place).alias("message_id"),
+        F.col("value").cast("string").alias("value"), "attributes",
+        F.col("timestamp").alias("arrival_time"))
+
+
+def kafka_records(messages: DataFrame) -> DataFrame:
+    """Envelopes as the connector's key, value and headers columns."""
+    headers = F.concat(
+        F.array(F.struct(F.lit("message_id").alias("key"),
+                         F.col("message_id").cast("binary").alias("value"))),
+        F.coalesce(F.transform(F.map_entries("attributes"), lambda e: F.struct(
+            e["key"].alias("key"), e["value"].cast("binary").alias("value"))),
+            F.array().cast("array<struct<key:string,value:binary>>")))
+    return messages.select(F.col("message_id").alias("key"), "value", headers.alias("headers"))
+
+
 def pull(messages: DataFrame, max_messages: int = DEFAULT_PULL) -> DataFrame:
     """A bounded batch pull of 1..200 messages."""
     if not 1 <= int(max_messages) <= MAX_PULL:
@@ -80,6 +108,12 @@ def quarantine_frame(rejected: DataFrame, body_col: str = "value", attempts: int
                            F.col(body_col).alias("body"), F.lit(attempts).alias("attempts"))
 
 
-def write_messages(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Write envelopes as JSON lines (batch sink of A2/A3)."""
-    df.select("message_id", "value", "attributes").write.mode(mode).json(path)
+def write_messages(df: DataFrame, path: str | None, mode: str = "append", fmt: str = "json",
+                   options: dict | None = None) -> None:
+    """Writes envelopes as JSON lines, or to a broker (``fmt="kafka"``) with
+    the id as key and header, so a consumer can drop what a retry repeats."""
+    out = df.select("message_id", "value", "attributes")
+    if fmt == "kafka":
+        kafka_records(out).write.format("kafka").options(**(options or {})).save()
+    else:
+        out.write.mode(mode).json(path)

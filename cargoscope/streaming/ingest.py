@@ -1,66 +1,139 @@
 """Ingest stream (G1, G3, G4, G5): messages -> decode -> validate -> sinks.
 
 * Exactly-once (G4): the source offsets live in the checkpoint; each sink
-  writes to ``<sink>/batch_id=N`` in overwrite mode, so a replayed batch
-  replaces its own output instead of appending twice. Redelivered messages
-  are dropped by ``dropDuplicatesWithinWatermark(message_id)`` with a 24 h
-  watermark on the *arrival* time - never on the telemetry time, since
-  future timestamps are accepted and would push the watermark ahead.
-* Late data (G3) is a rule with a recorded reason (``stale``), not a
-  watermark: nothing is dropped silently.
-* Rejected messages go to the quarantine sink with reason, snippet and
-  attempt count (G5, A4); task retries are Spark's.
+  writes its batch's own folder or partitions in overwrite mode, so a replayed
+  batch replaces its output. Redelivered message ids are dropped within
+  ``DEDUP_WINDOW``, measured by the time the stream itself reads a message.
+  That time never runs back, so no message is ever late for the watermark,
+  whatever its file's age, its broker timestamp or its telemetry time.
+* Late data (G3) is a rule with a recorded reason (``stale``).
+* Delivery attempts (G5): publishing is retried with doubling pauses. What
+  still fails after ``MAX_ATTEMPTS`` goes to the dead-letter folder with that
+  count and a result of 500, and the stream goes on. Rejected messages go to
+  the quarantine sink with reason and snippet.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargoscope import schemas
 from cargoscope.operators import tables, validate
 from cargoscope.sources import messages as msgsrc
 
-DEDUP_WATERMARK = "24 hours"
-TELEMETRY_COLUMNS = ["message_id", "device_id", "shipment_id", "event_time", "lat", "lon",
-                     "temperature", "humidity", "speed_kmh", "battery_pct"]
+DEDUP_WINDOW = "24 hours"
+MAX_ATTEMPTS = 5  # deliveries before a message counts as dead (fixed value)
+FIRST_PAUSE_S = 1.0
+PUBLISH_FAILED = "publish_failed"
 
 
-def deduplicated(messages: DataFrame, watermark: str = DEDUP_WATERMARK) -> DataFrame:
-    """Drop redelivered message ids seen within the arrival-time watermark."""
-    return (messages.withWatermark("arrival_time", watermark)
+def deduplicated(messages: DataFrame, window: str = DEDUP_WINDOW) -> DataFrame:
+    """Drops message ids that the stream has read within ``window``."""
+    return (messages.withColumn("read_time", F.current_timestamp())
+            .withWatermark("read_time", window)
             .dropDuplicatesWithinWatermark(["message_id"]))
 
 
-def process_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, as_of=None) -> None:
-    """One micro-batch: decode, validate, then the three idempotent sinks."""
+def landed_telemetry(accepted: DataFrame) -> DataFrame:
+    """Accepted messages as rows of the telemetry table (declared schema and
+    types). The id is a digest of the message id, so a replay lands the same
+    rows; ``message_id`` follows the declared columns."""
+    row_id = F.conv(F.substring(F.md5("message_id"), 1, 15), 16, 10).cast("long")
+    rows = accepted.withColumn("id", row_id).withColumn("event_time", F.col("timestamp"))
+    return tables.with_defaults(rows, "telemetry").select(
+        *[F.col(f.name).cast(f.dataType) for f in schemas.TELEMETRY.fields], "message_id")
+
+
+def publish(write: Callable[[], None], attempts: int = MAX_ATTEMPTS,
+            pause_s: float = FIRST_PAUSE_S) -> int | None:
+    """Runs an idempotent ``write`` up to ``attempts`` times, pausing twice as
+    long after each failure. Returns the attempts used, None if all failed."""
+    for attempt in range(1, attempts + 1):
+        try:
+            write()
+            return attempt
+        except Exception:  # noqa: BLE001 - any sink error counts as a failed delivery
+            if attempt < attempts:
+                time.sleep(pause_s * 2 ** (attempt - 1))
+    return None
+
+
+def process_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, as_of=None,
+                         sink: Callable[[DataFrame, int], None] | None = None,
+                         attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S) -> None:
+    """One micro-batch: decode, validate, then the idempotent sinks.
+
+    ``sink(messages, batch_id)`` publishes elsewhere than to files, e.g. to a
+    broker. The checked batch is written once and read by every sink.
+    """
+    target = f"batch_id={batch_id}"
+    checked_dir = f"{out_dir}/checked/{target}"
     decoded = validate.decode_telemetry(batch)
-    checked = validate.validate_telemetry(decoded, as_of=as_of, time_col="timestamp").persist()
-    try:
-        accepted, rejected = validate.split_valid(checked)
-        target = f"batch_id={batch_id}"
+    checked = validate.validate_telemetry(decoded, as_of=as_of, time_col="timestamp")
+    validate.ingest_result(checked).drop("body_snippet").write.mode("overwrite").parquet(checked_dir)
+    checked = batch.sparkSession.read.parquet(checked_dir)
+    if checked.isEmpty():  # a trigger that only moves the dedup window
+        return
+    accepted, rejected = validate.split_valid(checked)
+
+    def files():
         msgsrc.publish_frame(accepted).write.mode("overwrite").json(f"{out_dir}/published/{target}")
-        (msgsrc.quarantine_frame(rejected).write.mode("overwrite")
-         .parquet(f"{out_dir}/quarantine/{target}"))
-        landed = accepted.withColumn("event_time", F.col("timestamp")).select(*TELEMETRY_COLUMNS)
-        tables.write_telemetry(landed, f"{out_dir}/telemetry/{target}", grain="month", mode="overwrite")
-    finally:
-        checked.unpersist()
+
+    def elsewhere():
+        sink(msgsrc.publish_frame(accepted), batch_id)
+
+    used = publish(files if sink is None else elsewhere, attempts, pause_s)
+    msgsrc.quarantine_frame(rejected).write.mode("overwrite").parquet(f"{out_dir}/quarantine/{target}")
+    if used is None:
+        dead = accepted.withColumn("reject_reason", F.lit(PUBLISH_FAILED))
+        results = dead.withColumn("status_code", F.lit(validate.STATUS_SERVER_ERROR))
+        msgsrc.quarantine_frame(dead, attempts=attempts).write.mode("overwrite").parquet(
+            f"{out_dir}/dead_letter/{target}")
+    else:
+        results = accepted
+        write_partitions(landed_telemetry(accepted), f"{out_dir}/telemetry", batch_id)
+    (results.select("message_id", "status_code").unionByName(rejected.select("message_id", "status_code"))
+     .write.mode("overwrite").parquet(f"{out_dir}/results/{target}"))
+
+
+def write_partitions(rows: DataFrame, path: str, batch_id: int, time_col: str = "event_time") -> None:
+    """Lands a batch as ``event_month=…/batch_id=…``: month first, so readers
+    list and prune months; a replay replaces just its own partitions."""
+    (tables.with_time_partitions(rows, time_col).drop("event_date")
+     .withColumn("batch_id", F.lit(batch_id))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("event_month", "batch_id").parquet(path))
+
+
+def compact(spark: SparkSession, path: str, month: str, target: str) -> None:
+    """Rewrites one month's batches as few device-clustered files under ``target``."""
+    rows = spark.read.parquet(path).filter(F.col("event_month") == month).drop("event_month", "batch_id")
+    tables.write_telemetry(rows, target, grain="month", mode="append")
 
 
-def run_ingest(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str,
+def run_ingest(spark: SparkSession, source_dir: str | None, out_dir: str, checkpoint_dir: str,
                as_of=None, available_now: bool = True, processing_time: str | None = None,
-               max_files_per_trigger: int | None = None, dedup: bool = True):
+               max_files_per_trigger: int | None = msgsrc.FILES_PER_TRIGGER, dedup: bool = True,
+               fmt: str = "json", options: dict | None = None,
+               sink: Callable[[DataFrame, int], None] | None = None,
+               attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
     ``available_now`` processes what is there and stops (tests, backfills);
     otherwise ``processing_time`` (e.g. ``"5 seconds"``) keeps it running.
+    ``fmt`` and ``options`` choose the source (files or a broker).
     """
-    stream = msgsrc.read_messages(spark, source_dir, streaming=True,
+    stream = msgsrc.read_messages(spark, source_dir, streaming=True, fmt=fmt, options=options,
                                   max_files_per_trigger=max_files_per_trigger)
     if dedup:
         stream = deduplicated(stream)
     writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: process_ingest_batch(df, bid, out_dir, as_of))
+              .foreachBatch(lambda df, bid: process_ingest_batch(df, bid, out_dir, as_of, sink,
+                                                                 attempts, pause_s))
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
         writer = writer.trigger(availableNow=True)

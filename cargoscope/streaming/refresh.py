@@ -1,34 +1,60 @@
 """Dashboard refresh (G6) and streaming rate check (X2 on a stream).
 
 The reference polls the summary every 5 seconds. Here a refresh re-runs
-``shipments_summary`` over the landed tables and overwrites a small result
-table; ``start_refresh`` drives it from a rate source every
+``shipments_summary`` over the landed tables and writes a new version of a
+small result table; ``start_refresh`` drives it from a rate source every
 ``processing_time``.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cargoscope.operators import dashboard
 from cargoscope.operators.rates import RATE_LIMIT_COUNT, RATE_LIMIT_SECONDS, rate_violations
+from cargoscope.sources.tables import read_table
 
 REFRESH_EVERY = "5 seconds"
 PAGE_SIZE = 200
 
 
 def refresh_summary(load: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], out_path: str,
-                    limit: int = PAGE_SIZE, status: str | None = None) -> None:
-    """Recompute the summary page from freshly loaded tables and overwrite ``out_path``.
+                    limit: int = PAGE_SIZE, status: str | None = None,
+                    version: int | None = None) -> str:
+    """Recompute the summary page from freshly loaded tables.
 
     ``load`` returns (shipments, telemetry, anomaly_events) each time, so new
-    partitions landed by the streams are picked up.
+    partitions landed by the streams are picked up. Each refresh writes a new
+    folder and then its name; a reader takes the newest name
+    (:func:`read_page`), so it never sees a half-written or empty page.
     """
     shipments, telemetry, events = load()
     page = dashboard.shipments_summary(shipments, telemetry, events, status=status, limit=limit)
-    page.write.mode("overwrite").parquet(out_path)
+    version = time.time_ns() // 1000 if version is None else version
+    name = f"{version:020d}"
+    page.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/pages/{name}")
+    # Named only once it is whole; an appended file appears in one step.
+    page.sparkSession.createDataFrame([(name,)], "version string").coalesce(1).write.mode(
+        "append").json(f"{out_path}/versions")
+    return f"{out_path}/pages/{name}"
+
+
+def read_page(spark: SparkSession, out_path: str) -> DataFrame:
+    """The newest finished page."""
+    newest = spark.read.schema("version string").json(f"{out_path}/versions").select(
+        F.max("version")).head()[0]
+    return spark.read.parquet(f"{out_path}/pages/{newest}")
+
+
+def load_landed(spark: SparkSession, shipments: DataFrame, ingest_dir: str,
+                scoring_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The dashboard's tables over what the streams landed."""
+    return (shipments, read_table(spark, f"{ingest_dir}/telemetry", "telemetry"),
+            read_table(spark, f"{scoring_dir}/anomaly_events", "anomaly_events"))
 
 
 def start_refresh(spark: SparkSession, load, out_path: str, checkpoint_dir: str,
@@ -36,7 +62,7 @@ def start_refresh(spark: SparkSession, load, out_path: str, checkpoint_dir: str,
     """Run ``refresh_summary`` on every trigger of a 1-row-per-second rate source."""
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     return (ticks.writeStream
-            .foreachBatch(lambda _df, _bid: refresh_summary(load, out_path, limit))
+            .foreachBatch(lambda _df, bid: refresh_summary(load, out_path, limit, version=bid))
             .option("checkpointLocation", checkpoint_dir)
             .trigger(processingTime=processing_time).start())
 

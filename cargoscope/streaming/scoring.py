@@ -1,53 +1,63 @@
 """Scoring stream (G2): published telemetry -> features -> score -> flag -> emit.
 
 Malformed messages are skipped from the results but acknowledged (S18): the
-checkpoint commits them and they are counted in the quarantine sink. The
-scorer is the same pluggable one as in batch (a fitted pipeline is shipped
-to the executors once per batch, not called once per message).
+checkpoint commits them and they are counted in the skipped sink. The scorer
+is the same pluggable one as in batch (a fitted pipeline is shipped to the
+executors once per batch, not called once per message). Landed events have
+ids made from their message ids, so a replayed batch changes nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoscope.operators import scoring, validate
 from cargoscope.schemas import ANOMALY_THRESHOLD
 from cargoscope.sources import messages as msgsrc
-from cargoscope.streaming.ingest import deduplicated
+from cargoscope.streaming.ingest import deduplicated, write_partitions
 
 
 def process_scoring_batch(batch: DataFrame, batch_id: int, out_dir: str, scorer,
-                          threshold: float = ANOMALY_THRESHOLD, as_of=None) -> None:
-    decoded = validate.decode_features(batch).persist()
-    try:
-        target = f"batch_id={batch_id}"
-        ok = decoded.filter(F.col("decode_reason").isNull())
-        flagged = scoring.flag_anomalies(scoring.score(ok, scorer), threshold)
-        results = scoring.anomaly_results(flagged).persist()
-        try:
-            results.write.mode("overwrite").parquet(f"{out_dir}/results/{target}")
-            messages, events = scoring.emit_anomalies(results, as_of=as_of)
-            messages.write.mode("overwrite").json(f"{out_dir}/anomaly_messages/{target}")
-            events.write.mode("overwrite").parquet(f"{out_dir}/anomaly_events/{target}")
-        finally:
-            results.unpersist()
-        skipped = decoded.filter(F.col("decode_reason").isNotNull()).withColumnRenamed(
-            "decode_reason", "reject_reason")
-        msgsrc.quarantine_frame(skipped).write.mode("overwrite").parquet(f"{out_dir}/skipped/{target}")
-    finally:
-        decoded.unpersist()
-
-
-def run_scoring(spark: SparkSession, source_dir: str, out_dir: str, checkpoint_dir: str, scorer,
+                          threshold: float = ANOMALY_THRESHOLD, as_of=None,
+                          sink: Callable[[DataFrame, int], None] | None = None) -> None:
+    """One micro-batch: the decoded and scored batch is written once and read
+    by every sink."""
+    spark, target = batch.sparkSession, f"batch_id={batch_id}"
+    decoded = validate.decode_features(batch)
+    decoded.write.mode("overwrite").parquet(f"{out_dir}/decoded/{target}")
+    decoded = spark.read.parquet(f"{out_dir}/decoded/{target}")
+    if decoded.isEmpty():
+        return
+    ok = decoded.filter(F.col("decode_reason").isNull())
+    flagged = scoring.flag_anomalies(scoring.score(ok, scorer), threshold)
+    scoring.anomaly_results(flagged).write.mode("overwrite").parquet(f"{out_dir}/results/{target}")
+    results = spark.read.parquet(f"{out_dir}/results/{target}")
+    messages, events = scoring.emit_anomalies(results, as_of=as_of)
+    if sink is None:
+        messages.write.mode("overwrite").json(f"{out_dir}/anomaly_messages/{target}")
+    else:
+        sink(messages, batch_id)
+    write_partitions(events, f"{out_dir}/anomaly_events", batch_id)
+    skipped = decoded.filter(F.col("decode_reason").isNotNull()).withColumnRenamed(
+        "decode_reason", "reject_reason")
+    msgsrc.quarantine_frame(skipped).write.mode("overwrite").parquet(f"{out_dir}/skipped/{target}")
+
+
+def run_scoring(spark: SparkSession, source_dir: str | None, out_dir: str, checkpoint_dir: str, scorer,
                 threshold: float = ANOMALY_THRESHOLD, as_of=None, available_now: bool = True,
-                processing_time: str | None = None, max_files_per_trigger: int | None = None):
+                processing_time: str | None = None,
+                max_files_per_trigger: int | None = msgsrc.FILES_PER_TRIGGER, fmt: str = "json",
+                options: dict | None = None, sink: Callable[[DataFrame, int], None] | None = None):
     """Start the scoring stream over published telemetry messages."""
-    stream = deduplicated(msgsrc.read_messages(spark, source_dir, streaming=True,
+    stream = deduplicated(msgsrc.read_messages(spark, source_dir, streaming=True, fmt=fmt,
+                                               options=options,
                                                max_files_per_trigger=max_files_per_trigger))
     writer = (stream.writeStream
               .foreachBatch(lambda df, bid: process_scoring_batch(df, bid, out_dir, scorer,
-                                                                  threshold, as_of))
+                                                                  threshold, as_of, sink))
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
         writer = writer.trigger(availableNow=True)

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 
 from cargoscope.operators import evaluation, scoring, training, validate
 from cargoscope.sources.fixtures import AS_OF, Fixtures
+from cargoscope.session import plan_text
+from cargoscope.sources.messages import kafka_envelopes, kafka_records
+from cargoscope.sources.tables import read_table
 from cargoscope.streaming import ingest
 from cargoscope.streaming import scoring as stream_scoring
-from cargoscope.streaming.refresh import refresh_summary, stream_rate_violations
+from cargoscope.streaming.refresh import read_page, refresh_summary, stream_rate_violations
 from tests.conftest import SMOKE_DIR
 
+EARLY = "2024-01-01 00:00:00"  # nothing is stale yet
+
 
 def write_batches(spark, msgs, folder, parts):
     """Message envelopes as JSON-lines files, one folder write per batch."""
@@ -43,6 +48,7 @@ def test_ingest_stream_equals_batch_and_is_idempotent(spark, scratch):
     assert quarantined.count() == bad.count()
     assert sorted(r.message_id for r in published.collect()) == sorted(r.message_id for r in ok.collect())
     landed = ingest.read_landed(spark, out, "telemetry")
+    assert landed.filter("id is null").count() == 0
     assert landed.count() == ok.count() and "event_month" in landed.columns
 
     # Restart on the same checkpoint with nothing new: no output added.
@@ -59,6 +65,88 @@ def test_ingest_stream_equals_batch_and_is_idempotent(spark, scratch):
     assert ingest.read_landed(spark, out, "published").count() == ok.count()
 
 
+def test_no_message_is_lost_to_file_age_or_order(spark, scratch):
+    msgs = Fixtures(spark, SMOKE_DIR).messages().cache()
+    src, out, ckpt = f"{scratch}/src", f"{scratch}/out", f"{scratch}/ckpt"
+    os.makedirs(src)
+    write_batches(spark, msgs, src, 4)
+    for i, name in enumerate(sorted(n for n in os.listdir(src) if n.endswith(".json"))):
+        t = os.stat(f"{src}/{name}").st_mtime - [0, 72, 20 * 24, 1][i % 4] * 3600
+        os.utime(f"{src}/{name}", (t, t))
+    for _ in range(2):
+        ingest.run_ingest(spark, src, out, ckpt, as_of=AS_OF, max_files_per_trigger=1).awaitTermination()
+        published = ingest.read_landed(spark, out, "published").select("message_id")
+        quarantined = ingest.read_landed(spark, out, "quarantine").select("message_id")
+        both = [r.message_id for r in published.union(quarantined).collect()]
+        assert len(both) == len(set(both)) == msgs.count()
+
+
+def test_failed_publish_is_retried_then_dead_lettered(spark, scratch):
+    msgs = Fixtures(spark, SMOKE_DIR).messages().limit(200).cache()
+    src = f"{scratch}/src"
+    os.makedirs(src)
+    write_batches(spark, msgs, src, 1)
+    calls = []
+
+    def sink(fail_times):
+        def write(df, batch_id):
+            calls.append(batch_id)
+            if len(calls) <= fail_times:
+                raise OSError("broker is away")
+            df.write.mode("overwrite").json(f"{scratch}/broker{fail_times}/{batch_id}")
+        return write
+
+    for fails, dead in ((2, False), (5, True)):
+        calls.clear()
+        out = f"{scratch}/out{fails}"
+        ingest.run_ingest(spark, src, out, f"{scratch}/ckpt{fails}", as_of=EARLY, sink=sink(fails),
+                          pause_s=0.01).awaitTermination()
+        results = {r.status_code: r.n for r in spark.read.parquet(f"{out}/results").groupBy(
+            "status_code").agg(F.count("*").alias("n")).collect()}
+        assert sum(results.values()) == 200 and (500 in results) == dead and (202 in results) != dead
+        assert len(calls) == min(fails + 1, 5)
+        if dead:
+            letters = spark.read.parquet(f"{out}/dead_letter")
+            assert letters.count() == results[500]
+            assert {(r.attempts, r.reject_reason) for r in letters.collect()} == {(5, "publish_failed")}
+            assert not os.path.exists(f"{out}/telemetry")
+        else:
+            assert spark.read.parquet(f"{out}/telemetry").count() == results[202]
+
+
+def test_landed_tables_have_the_declared_schema_and_replay_to_the_same_rows(spark, scratch):
+    msgs = Fixtures(spark, SMOKE_DIR).messages().drop("id").limit(300)
+    for _ in range(2):
+        ingest.process_ingest_batch(msgs, 7, f"{scratch}/out", as_of=EARLY)
+        stream_scoring.process_scoring_batch(
+            spark.read.schema("message_id string, value string, attributes map<string,string>")
+            .json(f"{scratch}/out/published"), 3, f"{scratch}/scored",
+            scoring.linear_scorer([1 / 8, 0, 0, 0, 0, 0, 0], 0.0), as_of=AS_OF)
+        tel = read_table(spark, f"{scratch}/out/telemetry", "telemetry")
+        events = read_table(spark, f"{scratch}/scored/anomaly_events", "anomaly_events")
+        seen = ([r.id for r in tel.orderBy("id").collect()],
+                [r.event_id for r in events.orderBy("event_id").collect()])
+        assert None not in seen[0] and len(set(seen[0])) == len(seen[0]) > 0
+        assert len(set(seen[1])) == len(seen[1]) > 0
+        first = seen if _ == 0 else first
+        assert seen == first
+    plan = plan_text(tel.filter("event_month = '2024_01'"))
+    assert "PartitionFilters: [isnotnull(event_month" in plan
+
+
+def test_kafka_columns(spark):
+    raw = spark.createDataFrame(
+        [("t", 1, 5, b"{}", [("message_id", b"m1"), ("content_type", b"application/json")], AS_OF),
+         ("t", 1, 6, b"x", None, AS_OF)],
+        "topic string, partition int, offset long, value binary, "
+        "headers array<struct<key:string,value:binary>>, timestamp string")
+    a, b = kafka_envelopes(raw).collect()
+    assert (a.message_id, a.value, a.attributes["content_type"]) == ("m1", "{}", "application/json")
+    assert (b.message_id, b.attributes) == ("t-1-6", {})
+    back = kafka_records(kafka_envelopes(raw)).collect()[0]
+    assert (back.key, back.value, bytes(back.headers[0].value)) == ("m1", "{}", b"m1")
+
+
 def test_scoring_stream(spark, scratch):
     fx = Fixtures(spark, SMOKE_DIR)
     msgs = fx.messages().cache()
@@ -97,8 +185,10 @@ def test_stream_rate_violations(spark, scratch):
 
 def test_dashboard_refresh(spark, scratch):
     fx = Fixtures(spark, SMOKE_DIR)
-    refresh_summary(lambda: (fx.shipments(), fx.telemetry(), fx.anomaly_events()), f"{scratch}/page")
-    assert spark.read.parquet(f"{scratch}/page").count() == 200
+    for _ in range(2):  # a reader gets the newest finished version, never a half-written one
+        refresh_summary(lambda: (fx.shipments(), fx.telemetry(), fx.anomaly_events()), f"{scratch}/page")
+    os.makedirs(f"{scratch}/page/pages/99999999999999999999")
+    assert read_page(spark, f"{scratch}/page").count() == 200
 
 
 def test_train_score_save_load(spark, scratch):
