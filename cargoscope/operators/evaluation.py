@@ -78,48 +78,62 @@ def score_histogram(pred: DataFrame, label_col: str, score_col: str) -> DataFram
             .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")))
 
 
+def ranked_counts(pred: DataFrame, label_col: str, score_col: str,
+                  num_partitions: int | None = None) -> DataFrame:
+    """The score histogram with running counts from the lowest score and the
+    totals: one range shuffle of distinct scores serves AUC, average precision
+    and confusion counts alike."""
+    return with_running_sums(score_histogram(pred, label_col, score_col), [F.col("score").asc()],
+                             ["neg", "pos"], num_partitions=num_partitions, totals=True)
+
+
+def _curve_sums() -> list[F.Column]:
+    dec = "decimal(38,0)"
+    pos, neg = F.col("pos"), F.col("neg")
+    below = F.col("cum_neg") - neg
+    # Counts at or above a score, from the running counts below it.
+    pos_above = F.col("total_pos") - F.col("cum_pos") + pos
+    neg_above = F.col("total_neg") - F.col("cum_neg") + neg
+    precision = pos_above.cast("double") / (pos_above + neg_above).cast("double")
+    return [
+        F.sum(pos.cast(dec) * below.cast(dec) * 2 + pos.cast(dec) * neg.cast(dec)).alias("pairs"),
+        F.sum(pos.cast("double") * precision).alias("area"),
+        F.sum("pos").alias("P"), F.sum("neg").alias("N")]
+
+
+def _auc() -> F.Column:
+    return F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("pairs").cast("double")
+                  / (F.col("P").cast("double") * F.col("N").cast("double") * 2))
+
+
+def _average_precision() -> F.Column:
+    return F.when(F.col("P") > 0, F.col("area") / F.col("P").cast("double"))
+
+
 def roc_auc(pred: DataFrame, label_col: str, score_col: str = "score",
             num_partitions: int | None = None) -> DataFrame:
     """Tie-correct ROC AUC (D8); null when a class is absent."""
-    hist = with_running_sums(score_histogram(pred, label_col, score_col), [F.col("score").asc()],
-                             ["neg", "pos"], num_partitions=num_partitions)
-    below = F.col("cum_neg") - F.col("neg")
-    dec = "decimal(38,0)"
-    agg = hist.agg(
-        F.sum(F.col("pos").cast(dec) * below.cast(dec) * 2 + F.col("pos").cast(dec) * F.col("neg").cast(dec))
-         .alias("num"),
-        F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = F.when((F.col("P") > 0) & (F.col("N") > 0),
-                 F.col("num").cast("double") / (F.col("P").cast("double") * F.col("N").cast("double") * 2))
-    return agg.select(auc.alias("roc_auc"))
+    return ranked_counts(pred, label_col, score_col, num_partitions).agg(*_curve_sums()).select(
+        _auc().alias("roc_auc"))
 
 
 def average_precision(pred: DataFrame, label_col: str, score_col: str = "score",
                       num_partitions: int | None = None) -> DataFrame:
     """Average precision over distinct thresholds from the top (D9); null
-    without positives. Rounded to 12 decimals (the summation order is free)."""
-    hist = with_running_sums(score_histogram(pred, label_col, score_col), [F.col("score").desc()],
-                             ["pos", "neg"], num_partitions=num_partitions)
-    precision = F.col("cum_pos").cast("double") / (F.col("cum_pos") + F.col("cum_neg")).cast("double")
-    term = F.col("pos").cast("double") * precision
-    agg = hist.agg(F.sum(term).alias("s"), F.sum("pos").alias("P"))
-    ap = F.when(F.col("P") > 0, F.round(F.col("s") / F.col("P").cast("double"), RESULT_DIGITS))
-    return agg.select(ap.alias("average_precision"))
+    without positives."""
+    return ranked_counts(pred, label_col, score_col, num_partitions).agg(*_curve_sums()).select(
+        _average_precision().alias("average_precision"))
 
 
 def evaluate(pred: DataFrame, label_col: str, score_col: str = "score",
              threshold: float = ANOMALY_THRESHOLD) -> DataFrame:
-    """One row: ROC AUC, average precision and accuracy at the threshold (M5)."""
-    report = classification_report(with_prediction(pred, score_col, threshold), label_col)
-    parts = [
-        roc_auc(pred, label_col, score_col).select(F.lit("roc_auc").alias("metric"),
-                                                   F.col("roc_auc").alias("value")),
-        average_precision(pred, label_col, score_col).select(
-            F.lit("average_precision").alias("metric"), F.col("average_precision").alias("value")),
-        report.filter(F.col("class_label") == "accuracy").select(
-            F.lit("accuracy").alias("metric"), F.col("f1_score").alias("value")),
-    ]
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # One aggregate turns the three one-row results into one wide row (no join).
-    return long.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m)
-                      for m in ("roc_auc", "average_precision", "accuracy")])
+    """One row: ROC AUC, average precision and accuracy at the threshold (M5),
+    all from one pass over the running counts. Rows without a label or score
+    count nowhere."""
+    at = F.col("score") >= threshold
+    right = F.sum(F.when(at, F.col("pos")).otherwise(F.col("neg"))).alias("right")
+    sums = ranked_counts(pred, label_col, score_col).agg(*_curve_sums(), right)
+    rows = F.col("P") + F.col("N")
+    return sums.select(_auc().alias("roc_auc"), _average_precision().alias("average_precision"),
+                       F.when(rows > 0, F.col("right").cast("double") / rows.cast("double"))
+                       .alias("accuracy"))

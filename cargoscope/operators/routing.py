@@ -24,9 +24,10 @@ runs on that bounded set, and the scenario × route candidates are cut to the
 cheapest ``top_k`` routes per scenario before meeting the events. No step
 joins a scenario to a route's full event history.
 
-Candidates: up to 64 scenarios join their lane directly (at most 64 rows
-per route); beyond that an exact weight-bucket pruning (``pruned_candidates``)
-keeps the join from growing with scenarios × routes of a hot lane.
+Candidates: scenarios are reduced to the distinct (lane, route group, days,
+weight) points they ask for; routes meet weight buckets, coarse to fine, and
+only undominated ones go on (``candidate_routes``), so a hot lane never pairs
+all its scenarios with all its routes.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import percent, risk_band, route_label
-from cargoscope.session import ensure_checkpoint_dir
 
 TOP_K = 10
 FRAME_PRECEDING = 30
@@ -48,9 +48,7 @@ DEFAULT_MAX_TRANSIT_DAYS = 7
 DEFAULT_AVOID_ANOMALY_ROUTES = True
 WEIGHT_MIN, WEIGHT_MAX = 0.1, 50000.0
 TRANSIT_MIN, TRANSIT_MAX = 1, 30
-WEIGHT_BUCKETS_PER_OCTAVE = 4
-DIRECT_SCENARIO_LIMIT = 64
-ROUTE_BROADCAST_LIMIT = 100_000
+WEIGHT_LEVELS = (4, 64)  # weight buckets per doubling, coarse to fine
 
 
 def _empty() -> F.Column:
@@ -138,24 +136,6 @@ def _route_groups(route_filter: F.Column, carrier: F.Column) -> F.Column:
     return F.array(F.lit("all"), own)
 
 
-def candidate_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
-                     top_k: int = TOP_K, prune: bool | None = None) -> DataFrame:
-    """Scenario × route candidates for each scenario's ``top_k`` cheapest
-    routes (C3, C6, B11-B13), with the scenario's cost.
-
-    ``prune=None`` checks the scenario count first (``limit(n + 1).count()``,
-    a bounded job): up to ``DIRECT_SCENARIO_LIMIT`` scenarios join their
-    lane directly, at most that many rows per route; beyond it the exact
-    pruning of ``pruned_candidates`` keeps the join from growing with
-    scenarios × routes of a lane.
-    """
-    if prune is None:
-        prune = scenarios.limit(DIRECT_SCENARIO_LIMIT + 1).count() > DIRECT_SCENARIO_LIMIT
-    if prune:
-        return pruned_candidates(scenarios, routes, carriers, top_k)
-    return lane_candidates(scenarios, routes, carriers)
-
-
 def _routes_with_carriers(routes: DataFrame, carriers: DataFrame) -> DataFrame:
     r = routes.select("route_id", "origin_hub", "destination_hub", "carrier_id",
                       "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd", "waypoints",
@@ -167,112 +147,118 @@ def _cost() -> F.Column:
     return F.col("base_cost_usd") + F.col("cargo_weight_kg") * F.col("cost_per_kg_usd")
 
 
-CANDIDATE_COLUMNS = ["scenario_id", "origin_hub", "destination_hub", "cargo_weight_kg", "carrier_ids",
-                     "max_transit_days", "avoid_anomaly_routes", "route_id", "carrier_id",
-                     "carrier_name", "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd",
-                     "waypoints", "carrier_ids_filter", "estimated_cost_usd"]
+def split_scenarios(scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, rejected) scenarios by ``reject_reason``."""
+    checked = validate_scenarios(scenarios)
+    return (checked.filter(F.col("reject_reason").isNull()),
+            checked.filter(F.col("reject_reason").isNotNull()))
+
 
+POINT = ["_o", "_d", "_group", "max_transit_days"]
 
-def lane_candidates(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame) -> DataFrame:
-    """Every route of a scenario's lane that passes the filters: the
-    reference's statement applied per scenario (for few scenarios)."""
-    valid = validate_scenarios(scenarios).filter(F.col("reject_reason").isNull())
-    s = valid.select("scenario_id", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
-                     "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes")
+
+def _undominated(rows: DataFrame, key: list[str], per_octave: int, top_k: int) -> DataFrame:
+    """Routes that can be among the ``top_k`` cheapest for some weight of a
+    key's bucket.
+
+    A cost is a line over the weight. Take the ``top_k`` lines that are
+    cheapest at the bucket's middle, and the greatest cost of these at either
+    end of the bucket: a line above both is above all of them throughout, so
+    it cannot be needed. Of equal lines only the ``top_k`` least route ids are.
+    """
+    # Ends widened by 1e-9 so that rounding never puts a weight outside.
+    lo = F.pow(F.lit(2.0), F.col("_bucket") / per_octave) * (1 - 1e-9)
+    hi = F.pow(F.lit(2.0), (F.col("_bucket") + 1) / per_octave) * (1 + 1e-9)
+    base, pk = F.col("base_cost_usd"), F.col("cost_per_kg_usd")
+    same = Window.partitionBy(*key, "base_cost_usd", "cost_per_kg_usd").orderBy("route_id")
+    rows = (rows.withColumn("_same", F.row_number().over(same)).filter(F.col("_same") <= top_k)
+            .withColumn("_lo", base + lo * pk).withColumn("_hi", base + hi * pk))
+    middle = Window.partitionBy(*key).orderBy(F.col("_lo") + F.col("_hi"), "route_id")
+    best = (rows.select(*key, "_lo", "_hi", "route_id")
+            .withColumn("_place", F.row_number().over(middle)).filter(F.col("_place") <= top_k)
+            .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_lo").alias("_top_lo"),
+                               F.max("_hi").alias("_top_hi")))
+    return (rows.join(best, key)
+            .filter((F.col("_n") < top_k) | (F.col("_lo") <= F.col("_top_lo"))
+                    | (F.col("_hi") <= F.col("_top_hi")))
+            .drop("_same", "_lo", "_hi", "_n", "_top_lo", "_top_hi"))
+
+
+def _bucket_of(per_octave: int) -> F.Column:
+    return F.floor(F.log2("cargo_weight_kg") * float(per_octave)).cast("int")
+
+
+def candidate_routes(points: DataFrame, routes: DataFrame, carriers: DataFrame,
+                     top_k: int = TOP_K, levels: tuple[int, ...] = WEIGHT_LEVELS) -> DataFrame:
+    """Point × route candidates that hold every point's ``top_k`` cheapest routes.
+
+    A point is a (lane, route group, days, weight) that scenarios ask for.
+    Points are bucketed by weight, ``levels`` buckets per doubling, coarse to
+    fine; each level keeps the undominated routes of each bucket, and only
+    those meet the next level's buckets and, last, the points. Days and
+    weights are bounded by the request model, so a route meets a bounded
+    number of first-level buckets.
+    """
     rc = _routes_with_carriers(routes, carriers)
-    pairs = (s.join(rc, (rc.origin_hub == s._o) & (rc.destination_hub == s._d))
-             .filter((F.col("estimated_transit_days") <= F.col("max_transit_days"))
-                     & carrier_rule(F.col("carrier_ids"), F.col("carrier_ids_filter"), F.col("carrier_id"))))
-    return pairs.withColumn("estimated_cost_usd", _cost()).select(*CANDIDATE_COLUMNS)
-
-
-def pruned_candidates(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
-                      top_k: int = TOP_K, buckets_per_octave: int = WEIGHT_BUCKETS_PER_OCTAVE
-                      ) -> DataFrame:
-    """Scenario × route candidates that can reach a scenario's ``top_k``
-    cheapest routes, with the scenario's cost.
-
-    Exact pruning instead of every scenario × route pair of a lane: scenarios
-    are keyed by (lane, route group, max days, weight bucket); weight buckets
-    are ``buckets_per_octave`` per doubling. Within a bucket [lo, hi) a
-    route's cost lies in [base + lo·pk, base + hi·pk] (ends swapped for a
-    negative pk). Per key, T = the ``top_k``-th smallest upper end over the
-    eligible routes; a route whose lower end exceeds T has ``top_k`` routes
-    strictly cheaper for every weight in the bucket, so it cannot be in any
-    of the key's scenarios' top ``top_k``. Only routes with lower <= T meet
-    the scenarios. Days (1..30) and weights (0.1..50000) are bounded by the
-    request model, so a route is replicated over at most a fixed number of
-    keys per lane and group; invalid scenarios are refused (the API's 422).
+    kept = rc.select("*", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
+                     F.explode(_route_groups(F.col("carrier_ids_filter"), F.col("carrier_id")))
+                     .alias("_group"))
+    on = ["_o", "_d", "_group"]
+    parent = None
+    for per_octave in levels:
+        buckets = points.withColumn("_bucket", _bucket_of(per_octave))
+        if parent is not None:
+            kept = kept.withColumnRenamed("_bucket", "_parent")
+            buckets = buckets.withColumn("_parent", _bucket_of(parent))
+            on = [*POINT, "_parent"]
+        kept = kept.join(buckets.select(*dict.fromkeys([*POINT, "_bucket", *on])).distinct(), on)
+        kept = kept.drop("_parent").filter(
+            F.col("estimated_transit_days") <= F.col("max_transit_days"))
+        kept = _undominated(kept, [*POINT, "_bucket"], per_octave, top_k)
+        parent = per_octave
+    return (points.withColumn("_bucket", _bucket_of(parent)).join(kept, [*POINT, "_bucket"])
+            .drop("_bucket").withColumn("estimated_cost_usd", _cost()))
+
+
+def cheapest_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
+                    top_k: int = TOP_K, levels: tuple[int, ...] = WEIGHT_LEVELS) -> DataFrame:
+    """Each valid scenario's ``top_k`` cheapest routes (C3, C6, B11-B13), ties
+    by route id. ``scenario_id`` must be unique.
+
+    Scenarios that ask for the same point share its candidates, so the work
+    grows with distinct points, and scenario × route pairs of a lane are never
+    formed. One plan at every size.
     """
-    valid = validate_scenarios(scenarios).filter(F.col("reject_reason").isNull())
-    per_octave = float(buckets_per_octave)
+    valid, _ = split_scenarios(scenarios)
     s = valid.select(
         "scenario_id", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
-        "cargo_weight_kg", "carrier_ids", "max_transit_days", "avoid_anomaly_routes",
-        F.floor(F.log2("cargo_weight_kg") * per_octave).cast("int").alias("_bucket"),
+        "cargo_weight_kg", "max_transit_days", "avoid_anomaly_routes",
         F.explode(_scenario_groups(F.col("carrier_ids"))).alias("_group"))
-    key = ["_o", "_d", "_group", "max_transit_days", "_bucket"]
-    keys = s.select(*key).distinct()
-
-    rc = _routes_with_carriers(routes, carriers)
-    rm = rc.select("*", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
-                   F.explode(_route_groups(F.col("carrier_ids_filter"), F.col("carrier_id")))
-                   .alias("_group"))
-    rk = (rm.join(keys, ["_o", "_d", "_group"])
-          .filter(F.col("estimated_transit_days") <= F.col("max_transit_days")))
-    # Bucket ends, widened by 1e-9 so float rounding never puts a weight outside.
-    lo = F.pow(F.lit(2.0), F.col("_bucket") / per_octave) * (1 - 1e-9)
-    hi = F.pow(F.lit(2.0), (F.col("_bucket") + 1) / per_octave) * (1 + 1e-9)
-    pk, base = F.col("cost_per_kg_usd"), F.col("base_cost_usd")
-    rk = (rk.withColumn("_lower", base + F.least(lo * pk, hi * pk))
-            .withColumn("_upper", base + F.greatest(lo * pk, hi * pk)))
-    by_upper = Window.partitionBy(*key).orderBy("_upper", "route_id")
-    threshold = (rk.select(*key, "_upper", F.row_number().over(by_upper).alias("_rn"))
-                 .filter(F.col("_rn") <= top_k)
-                 .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_upper").alias("_t")))
-    kept = (rk.join(threshold, key)
-            .filter((F.col("_n") < top_k) | (F.col("_lower") <= F.col("_t")))
-            .drop("_n", "_t", "_lower", "_upper", "origin_hub", "destination_hub"))
-    pairs = s.join(kept, key).filter(
-        carrier_rule(F.col("carrier_ids"), F.col("carrier_ids_filter"), F.col("carrier_id")))
-    return (pairs.withColumnRenamed("_o", "origin_hub").withColumnRenamed("_d", "destination_hub")
-            .withColumn("estimated_cost_usd", _cost()).select(*CANDIDATE_COLUMNS))
+    point = [*POINT, "cargo_weight_kg"]
+    ranked = Window.partitionBy(*point).orderBy("estimated_cost_usd", "route_id")
+    best = (candidate_routes(s.select(*point).distinct(), routes, carriers, top_k, levels)
+            .withColumn("_place", F.row_number().over(ranked)).filter(F.col("_place") <= top_k)
+            .drop("_place", "origin_hub", "destination_hub"))
+    by_cost = Window.partitionBy("scenario_id").orderBy("estimated_cost_usd", "route_id")
+    return (s.join(best, point).withColumn("_place", F.row_number().over(by_cost))
+            .filter(F.col("_place") <= top_k).drop("_place", "_group")
+            .withColumnRenamed("_o", "origin_hub").withColumnRenamed("_d", "destination_hub"))
 
 
 def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
-                 events: DataFrame, grain: str = "event", top_k: int = TOP_K,
-                 prune: bool | None = None) -> DataFrame:
-    """Route options per scenario (C6 with C3, C4, E1, E2, F2, F3, B11-B15).
+                 events: DataFrame, grain: str = "event", top_k: int = TOP_K) -> DataFrame:
+    """Route options per valid scenario (C6 with C3, C4, E1, E2, F2, F3, B11-B15).
 
     ``grain="event"`` is the reference's route × event grain; ``grain="route"``
-    keeps each route's newest row only before the top-k.
+    keeps each route's newest row only before the top-k. Scenarios outside the
+    request model's bounds have no options: :func:`split_scenarios` returns
+    them with their reasons, and :func:`simulate_many` returns both.
     """
     if grain not in GRAINS:
         raise ValueError(f"grain must be one of {GRAINS}, got {grain!r}")
-    # One bounded count of the scenarios decides both size-dependent choices.
-    cap = max(DIRECT_SCENARIO_LIMIT, ROUTE_BROADCAST_LIMIT // top_k)
-    n_scenarios = scenarios.limit(cap + 1).count()
-    if prune is None:
-        prune = n_scenarios > DIRECT_SCENARIO_LIMIT
-    pairs = candidate_routes(scenarios, routes, carriers, top_k=top_k, prune=prune)
-
     # Only the top_k cheapest routes of a scenario can place a row in its top_k.
-    by_cost = Window.partitionBy("scenario_id").orderBy("estimated_cost_usd", "route_id")
-    cheapest = (pairs.withColumn("_route_rank", F.row_number().over(by_cost))
-                .filter(F.col("_route_rank") <= top_k).drop("_route_rank"))
-
-    # Only the candidate routes' events matter: at most top_k per scenario, so
-    # with few scenarios (counted above) their ids are a proven-small broadcast
-    # and a semi-join cuts the events at the scan; otherwise every route is
-    # trimmed map-side, which is also exact.
-    if n_scenarios * top_k <= ROUTE_BROADCAST_LIMIT:
-        # At most top_k rows per scenario: computed once, read by both uses.
-        ensure_checkpoint_dir(cheapest.sparkSession)
-        cheapest = cheapest.checkpoint(eager=True)
-        routes_needed = cheapest.select("route_id").distinct()
-        events = events.join(F.broadcast(routes_needed), "route_id", "left_semi")
-    per_route = top_k if grain == "event" else 1
-    risk = rolling_risk(events, newest=per_route)
+    cheapest = cheapest_routes(scenarios, routes, carriers, top_k)
+    risk = rolling_risk(events, newest=top_k if grain == "event" else 1)
     rows = (cheapest.join(risk, "route_id", "left")
             .withColumn("anomaly_risk_score", F.coalesce(F.col("anomaly_risk_score"), F.lit(0.0))))
 
@@ -292,11 +278,19 @@ def score_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
                     "origin_hub", "destination_hub"))
 
 
+def simulate_many(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame, events: DataFrame,
+                  grain: str = "event") -> tuple[DataFrame, DataFrame]:
+    """(options of the valid scenarios, rejected scenarios with their reason)."""
+    return (score_routes(scenarios, routes, carriers, events, grain),
+            split_scenarios(scenarios)[1])
+
+
 def route_options_display(options: DataFrame) -> DataFrame:
     """Display fields of a route option: risk band and percent (B23), label."""
     return (options
             .withColumn("risk_band", risk_band("anomaly_risk_score"))
             .withColumn("risk_pct", percent("anomaly_risk_score"))
+            .withColumn("cost_shown", F.round("estimated_cost_usd", 0))
             .withColumn("route_label", route_label("waypoints", "origin_hub", "destination_hub")))
 
 

@@ -15,7 +15,6 @@ DEFAULT_METADATA = "{}"
 DEFAULT_COST_PER_KG = 0.01
 
 
-UPSERT_BROADCAST_LIMIT = 1_000_000
 SHIPMENT_COLUMNS = ["shipment_id", "origin_hub", "destination_hub", "carrier_id", "status",
                     "created_at", "updated_at", "metadata"]
 
@@ -39,7 +38,7 @@ def _merge_columns(now: F.Column) -> list[F.Column]:
 
 
 def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
-                     seq_col: str = "seq", broadcast_limit: int = UPSERT_BROADCAST_LIMIT) -> DataFrame:
+                     seq_col: str = "seq") -> DataFrame:
     """Insert-or-partial-update of shipments.
 
     New keys are inserted with created_at = updated_at = ``as_of``. On a
@@ -50,45 +49,36 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
     the last the overwritten ones. Returns the whole new table.
 
     Updates are combined per key first (partial aggregation, so a key with a
-    third of the updates never reaches one task whole). If there are at most
-    ``broadcast_limit`` update rows (a bounded count, checked first), the
-    combined updates are broadcast and the table is never shuffled: one
-    map-side left join yields untouched and merged rows, and inserts are the
-    updated keys that matched nothing. Beyond the bound, one
-    full-outer join.
+    third of the updates never reaches one task whole), then meet the table
+    in one full-outer join. Both sides have one row per key there, so no key
+    is hot.
     """
     now = as_of_for(current, "updated_at", as_of)
     u = updates
     if seq_col not in u.columns:
         u = u.withColumn(seq_col, F.lit(0))
     u = (u.withColumn("status", F.coalesce(F.col("status"), F.lit(DEFAULT_STATUS)))
-          .withColumn("metadata", F.coalesce(F.col("metadata"), F.lit(DEFAULT_METADATA))))
+          .withColumn("metadata", F.coalesce(json_text("metadata"), F.lit(DEFAULT_METADATA))))
     seq = F.col(seq_col)
     per_key = u.groupBy("shipment_id").agg(
         F.min_by(F.struct("origin_hub", "destination_hub", "carrier_id"), seq).alias("_first"),
         F.max_by(F.struct("status", "metadata"), seq).alias("_last"))
     c = current.select(*SHIPMENT_COLUMNS).alias("c")
-    columns = _merge_columns(now)
-    # Keys <= update rows: a bounded count of the raw updates proves the size.
-    if updates.limit(broadcast_limit + 1).count() > broadcast_limit:
-        p = per_key.alias("p")
-        return c.join(p, F.col("c.shipment_id") == F.col("p.shipment_id"), "full_outer").select(*columns)
-    small = F.broadcast(per_key)
-    # One map-side left join (build side: the updates) gives untouched and matched rows.
-    joined = c.join(small.alias("p"), F.col("c.shipment_id") == F.col("p.shipment_id"), "left")
-    matched_keys = (joined.filter(F.col("p.shipment_id").isNotNull())
-                    .select(F.col("c.shipment_id").alias("shipment_id")))
-    inserted = small.join(matched_keys, "shipment_id", "left_anti")
-    return joined.select(*columns).unionByName(_inserted_rows(inserted, now))
-
-
-def _inserted_rows(per_key: DataFrame, now: F.Column) -> DataFrame:
-    """New shipments from combined updates (no current row)."""
-    return per_key.select(
-        "shipment_id", F.col("_first.origin_hub").alias("origin_hub"),
-        F.col("_first.destination_hub").alias("destination_hub"),
-        F.col("_first.carrier_id").alias("carrier_id"), F.col("_last.status").alias("status"),
-        now.alias("created_at"), now.alias("updated_at"), F.col("_last.metadata").alias("metadata"))
+    return c.join(per_key.alias("p"), F.col("c.shipment_id") == F.col("p.shipment_id"),
+                  "full_outer").select(*_merge_columns(now))
+
+
+def json_text(col: str) -> F.Column:
+    """Text that a JSON column takes; anything else raises, as the cast does
+    in the database (use :func:`bad_json` to find such rows first)."""
+    c = F.col(col)
+    return F.when(c.isNotNull() & F.try_parse_json(c).isNull(),
+                  F.raise_error(F.concat(F.lit("invalid JSON: "), c))).otherwise(c)
+
+
+def bad_json(df: DataFrame, col: str) -> DataFrame:
+    """Rows whose ``col`` is not JSON text (null is allowed)."""
+    return df.filter(F.col(col).isNotNull() & F.try_parse_json(F.col(col)).isNull())
 
 
 def with_defaults(df: DataFrame, table: str, as_of=None, id_offset: int = 0) -> DataFrame:
@@ -131,8 +121,11 @@ def check_table(df: DataFrame, table: str) -> DataFrame:
     schema = schemas.TABLES[table]
     checks = []
     for field in schema.fields:
-        if not field.nullable and field.name in df.columns:
-            checks.append(("not_null", field.name, F.count_if(F.col(field.name).isNull())))
+        if not field.nullable:
+            # A required column that is absent is null in every row.
+            broken = (F.count_if(F.col(field.name).isNull()) if field.name in df.columns
+                      else F.count(F.lit(1)))
+            checks.append(("not_null", field.name, broken))
     for (tname, cname), allowed in schemas.DOMAINS.items():
         if tname == table and cname in df.columns:
             checks.append(("domain", cname,
@@ -152,9 +145,20 @@ def check_table(df: DataFrame, table: str) -> DataFrame:
 
 def apply_retention(df: DataFrame, as_of=None, days: int = 7, time_col: str = "event_time") -> DataFrame:
     """Keep rows no older than ``days`` at ``as_of`` (G7: 7 days for topics, 1 day
-    for the anomaly subscription). On a table partitioned by day/month the
-    filter prunes whole partitions."""
-    return df.filter(F.col(time_col) >= as_of_for(df, time_col, as_of) - F.expr(f"INTERVAL {int(days)} DAYS"))
+    for the anomaly subscription). Where the table has ``event_month`` or
+    ``event_date`` partitions, their bound is added, so older ones are never
+    listed or opened (the time filter alone cannot prune them)."""
+    since = as_of_for(df, time_col, as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    return since_partitions(df, since).filter(F.col(time_col) >= since)
+
+
+def since_partitions(df: DataFrame, since: F.Column) -> DataFrame:
+    """Adds the partition bound that ``time >= since`` implies."""
+    if "event_month" in df.columns:
+        df = df.filter(F.col("event_month") >= F.date_format(since, "yyyy_MM"))
+    if "event_date" in df.columns:
+        df = df.filter(F.col("event_date") >= F.to_date(since))
+    return df
 
 
 def with_time_partitions(df: DataFrame, time_col: str = "event_time") -> DataFrame:
@@ -189,4 +193,8 @@ def partition_range_violations(df: DataFrame, as_of=None, months: int = 4,
     start = F.date_trunc("month", as_of_for(df, time_col, as_of))
     end = F.add_months(start, months)
     t = F.col(time_col)
+    if "event_month" in df.columns:  # whole months inside the range hold no violation
+        inside = F.col("event_month").between(F.date_format(start, "yyyy_MM"),
+                                              F.date_format(F.add_months(start, months - 1), "yyyy_MM"))
+        df = df.filter(~inside)
     return df.filter((t < start) | (t >= end))

@@ -2,17 +2,20 @@
 
 The reference pulls the whole training query into one pandas frame on one
 machine; here every step stays distributed: the scan is a pushed filter, the
-means are one aggregate, the 80/20 split is an exact global position
-(``plans.ranking``), and the classifier is Spark ML's gradient-boosted trees.
+means are one aggregate, the 80/20 split compares rows with the exact cut
+key, and the classifier is Spark ML's gradient-boosted trees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import as_of_for
 from cargoscope.operators.scoring import ASSEMBLED, MODEL_INPUTS
+from cargoscope.operators.tables import since_partitions
 from cargoscope.plans.ranking import with_global_position
 from cargoscope.schemas import FEATURE_COLS, LABEL_COL
 
@@ -29,11 +32,11 @@ def load_training(df: DataFrame, as_of=None, days: int = TRAIN_WINDOW_DAYS,
                   time_col: str = "timestamp", label_col: str = LABEL_COL) -> DataFrame:
     """Labelled rows of the last ``days`` days, bound included.
 
-    On a day-partitioned table the time filter prunes partitions; the label
-    filter is pushed to the parquet scan.
+    The bound on day or month partitions is added where the table has them;
+    the label filter is pushed to the parquet scan.
     """
     since = as_of_for(df, time_col, as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
-    return df.filter(F.col(label_col).isNotNull() & (F.col(time_col) >= since))
+    return since_partitions(df, since).filter(F.col(label_col).isNotNull() & (F.col(time_col) >= since))
 
 
 def select_features(df: DataFrame, keep: list[str] = (), label_col: str = LABEL_COL) -> DataFrame:
@@ -75,17 +78,42 @@ def impute(df: DataFrame, cols: list[str] = FEATURE_COLS, strategy: str = "mean"
     return out
 
 
-def temporal_split(df: DataFrame, order: list[str], fraction: float = TRAIN_FRACTION,
-                   num_partitions: int | None = None) -> DataFrame:
+def temporal_split(df: DataFrame, order: list[str], fraction: float = TRAIN_FRACTION) -> DataFrame:
     """Adds ``split`` = train for the first ``floor(fraction * n)`` rows in
-    ``order`` and test for the rest (F5, S23), plus ``row_pos``.
+    ``order`` and test for the rest (F5, S23).
 
-    ``order`` must be total; (time, device_id, a unique id) is the intended one.
+    ``order`` must be total and start with a time; (time, device_id, a unique
+    id) is the intended one. Only the cut is looked for: counts per day, then
+    per minute of the cut's day, then the order inside that minute. The rows
+    themselves pass one comparison with the cut's key: no shuffle, no copy.
     """
-    ranked = with_global_position(df, [F.col(c) for c in order], name="row_pos",
-                                  total_name="_n", num_partitions=num_partitions)
-    cut = F.floor(F.col("_n").cast("double") * F.lit(float(fraction)))
-    return ranked.withColumn("split", F.when(F.col("row_pos") < cut, "train").otherwise("test")).drop("_n")
+    t = F.col(order[0])
+    parts = df.select(*order)
+    total = parts.count()
+    left = math.floor(float(total) * float(fraction))
+    if not left:
+        return df.withColumn("split", F.lit("test"))
+    for unit in ("day", "minute"):
+        bucket = F.date_trunc(unit, t)
+        run = Window.orderBy(F.col("bucket").asc_nulls_first())
+        counts = (parts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+                  .withColumn("upto", F.sum("n").over(run)))  # a row per day, or per minute of a day
+        hit = counts.filter((F.col("upto") >= left) & (F.col("upto") - F.col("n") < left)).head()
+        left -= hit["upto"] - hit["n"]
+        parts = parts.filter(bucket.eqNullSafe(F.lit(hit["bucket"]).cast(
+            dict(counts.dtypes)["bucket"])))
+    key = F.struct(*[F.col(c) for c in order])
+    last = (parts.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+            .filter(F.col("place") == left).select(key.alias("last")))  # the rows of one minute
+    cut = df.crossJoin(F.broadcast(last))  # one row
+    return cut.withColumn("split", F.when(key <= F.col("last"), "train").otherwise("test")).drop("last")
+
+
+def with_row_positions(df: DataFrame, order: list[str], num_partitions: int | None = None) -> DataFrame:
+    """Adds each row's exact 0-based position in ``order`` as ``row_pos``; a
+    range shuffle of all rows, for callers that need more than the split."""
+    return with_global_position(df, [F.col(c) for c in order], name="row_pos", total_name=None,
+                                num_partitions=num_partitions)
 
 
 def split_stats(split: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
@@ -129,6 +157,11 @@ def train(split: DataFrame, max_iter: int | None = None, label_col: str = LABEL_
     return Pipeline(stages=[assembler, gbt]).fit(frame)
 
 
+def rounds_used(model) -> int:
+    """Boosting rounds that early stopping kept."""
+    return model.stages[-1].getNumTrees
+
+
 def save_model(model, path: str) -> None:
     """Persist the fitted pipeline (A11); the path may be any Hadoop URI."""
     model.write().overwrite().save(path)

@@ -7,6 +7,7 @@ The matching DuckDB SQL lives in ``plans.oracle``.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +20,7 @@ from cargoscope.session import shared_path
 from cargoscope.sources.fixtures import AS_OF, Fixtures
 from cargoscope.streaming import ingest as ingest_stream
 from cargoscope.streaming import scoring as scoring_stream
+from cargoscope.streaming.refresh import load_landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,6 +100,13 @@ def q_anomaly_feed_delayed(spark, sf_dir):
     return _feed(spark, sf_dir, "delayed")
 
 
+@register("anomaly_feed_display")
+def q_anomaly_feed_display(spark, sf_dir):
+    """§2.7 toFixed: temperature to one digit and speed to none, as the feed shows them."""
+    return dash.feed_display(_feed(spark, sf_dir, "all")).select(
+        "shipment_id", "temperature_shown", "speed_shown")
+
+
 @register("map_points")
 def q_map_points(spark, sf_dir):
     """Plottable page rows with status color and alert flag."""
@@ -124,23 +133,24 @@ def _flat_options(df: DataFrame) -> DataFrame:
     return df.withColumn("waypoints_text", F.array_join("waypoints", ",")).drop("waypoints")
 
 
-def _whatif(spark, sf_dir, grain, prune=None):
+def _whatif(spark, sf_dir, grain):
     fx = _fx(spark, sf_dir)
     return routing.score_routes(fx.scenarios(), fx.routes(), fx.carriers(), fx.anomaly_events(),
-                                grain=grain, prune=prune)
+                                grain=grain)
 
 
 @register("whatif_routes")
 def q_whatif_routes(spark, sf_dir):
-    """25 scenarios, route x event grain."""
+    """A scenario per order, route x event grain."""
     return _flat_options(_whatif(spark, sf_dir, "event"))
 
 
 @register("whatif_routes_pruned")
 def q_whatif_routes_pruned(spark, sf_dir):
-    """The same what-if through the exact weight-bucket pruning path (the one
-    taken automatically beyond 64 scenarios)."""
-    return _flat_options(_whatif(spark, sf_dir, "event", prune=True))
+    """The cheapest ten candidate routes of every scenario, before events."""
+    fx = _fx(spark, sf_dir)
+    out = routing.cheapest_routes(fx.scenarios(), fx.routes(), fx.carriers())
+    return out.select("scenario_id", "route_id", "estimated_cost_usd")
 
 
 @register("whatif_routes_by_route")
@@ -151,10 +161,11 @@ def q_whatif_routes_by_route(spark, sf_dir):
 
 @register("whatif_route_display")
 def q_whatif_route_display(spark, sf_dir):
-    """Risk band, percent and route label of the what-if options."""
+    """B23/B24, §2.7 toFixed: risk band, percent, cost in whole dollars and
+    route label of the what-if options."""
     out = routing.route_options_display(_whatif(spark, sf_dir, "event"))
     return _flat_options(out).select("scenario_id", "route_id", "event_id", "risk_band", "risk_pct",
-                                     "route_label")
+                                     "cost_shown", "route_label")
 
 
 @register("route_risk_latest")
@@ -239,11 +250,12 @@ def q_orphan_telemetry(spark, sf_dir):
 
 @register("table_checks")
 def q_table_checks(spark, sf_dir):
-    """NOT NULL, primary-key and status-domain violations of four tables."""
+    """NOT NULL, primary-key and status-domain violations of the five
+    tables; shipments (without updated_at) and events come with broken rows."""
     fx = _fx(spark, sf_dir)
-    out = tables.check_table(fx.shipments(), "shipments")
-    for name, df in [("telemetry", fx.telemetry()), ("routes", fx.routes()),
-                     ("carriers", fx.carriers())]:
+    out = tables.check_table(fx.dirty_shipments(), "shipments")
+    for name, df in [("telemetry", fx.telemetry()), ("anomaly_events", fx.dirty_events()),
+                     ("routes", fx.routes()), ("carriers", fx.carriers())]:
         out = out.unionByName(tables.check_table(df, name))
     return out
 
@@ -260,11 +272,16 @@ def q_anomaly_retention(spark, sf_dir):
     return tables.apply_retention(_fx(spark, sf_dir).anomaly_events(), as_of=AS_OF, days=1)
 
 
+# A "now" for which early telemetry lies before the existing partitions.
+LATER = "2024-02-10 00:00:00"
+
+
 @register("partition_range_violations")
 def q_partition_range_violations(spark, sf_dir):
-    """Rows outside the current and next three monthly partitions."""
-    return tables.partition_range_violations(_fx(spark, sf_dir).telemetry(), as_of=AS_OF).select(
-        "id", "event_time")
+    """Rows outside the current and next three monthly partitions, with
+    the partition (yyyy_MM) they would need."""
+    out = tables.partition_range_violations(_fx(spark, sf_dir).telemetry(), as_of=LATER)
+    return tables.with_time_partitions(out).select("id", "event_time", "event_month")
 
 
 # ---------------------------------------------------------------- scoring
@@ -355,8 +372,16 @@ def q_imputed_training(spark, sf_dir):
 
 @register("temporal_split")
 def q_temporal_split(spark, sf_dir):
-    """exact 80/20 split in (time, device, id) order."""
-    return _split(spark, sf_dir).select("event_id", "row_pos", "split")
+    """exact 80/20 split in (time, device, id) order (S23), with the row
+    positions of the opt-in global numbering beside it."""
+    numbered = training.with_row_positions(_split(spark, sf_dir), SPLIT_ORDER)
+    return numbered.select("event_id", "row_pos", "split")
+
+
+@register("temporal_split_narrow")
+def q_temporal_split_narrow(spark, sf_dir):
+    """the split alone, a narrow map."""
+    return _split(spark, sf_dir).select("event_id", "split")
 
 
 @register("split_stats")
@@ -381,24 +406,39 @@ def q_roc_auc(spark, sf_dir):
 @register("average_precision")
 def q_average_precision(spark, sf_dir):
     """Average precision on the test part."""
-    return evaluation.average_precision(_test_part(spark, sf_dir), "anomaly_label", "score")
+    out = evaluation.average_precision(_test_part(spark, sf_dir), "anomaly_label", "score")
+    return out.withColumn("average_precision", F.round("average_precision", 12))
 
 
 @register("evaluation")
 def q_evaluation(spark, sf_dir):
     """M5: AUC, average precision and accuracy in one row."""
-    return evaluation.evaluate(_test_part(spark, sf_dir), "anomaly_label", "score")
+    out = evaluation.evaluate(_test_part(spark, sf_dir), "anomaly_label", "score")
+    return out.withColumn("average_precision", F.round("average_precision", 12))
 
 
 @register("gbt_train_evaluate")
 def q_gbt_train_evaluate(spark, sf_dir):
-    """M1 + M2 + M5: fit the classifier (few rounds) on the train part, score
-    the test part with the fitted pipeline, evaluate at 0.75."""
+    """Fit the classifier with the declared rounds and early
+    stopping, save and load it, score the test part with the loaded pipeline.
+    Checked by what SQL can know: rows, score range, rounds within the limit,
+    loaded scores equal to the fitted model's, metrics within their range."""
     split = _split(spark, sf_dir)
-    model = training.train(split, max_iter=5)
+    model = training.train(split)
+    path = shared_path(spark, "cargoscope-models", uuid.uuid4().hex)
+    training.save_model(model, path)
     test = split.filter(F.col("split") == "test")
-    scored = scoring.score(test, model, out="model_score")
-    return evaluation.evaluate(scored, "anomaly_label", "model_score")
+    scored = scoring.score(test, training.load_model(path), out="model_score")
+    fitted = scoring.score(test, model, out="fitted_score").select("event_id", "fitted_score")
+    rows = scored.join(fitted, "event_id").agg(
+        F.count(F.lit(1)).alias("n_test"),
+        F.bool_and(F.col("model_score").between(0, 1)).alias("in_range"),
+        F.bool_and(F.col("model_score") == F.col("fitted_score")).alias("same_after_load"))
+    metrics = evaluation.evaluate(scored, "anomaly_label", "model_score").select(
+        (F.col("roc_auc").between(0, 1) & F.col("average_precision").between(0, 1)
+         & F.col("accuracy").between(0, 1)).alias("metrics_in_range"))
+    within = 1 <= training.rounds_used(model) <= training.GBT_PARAMS["maxIter"]
+    return rows.crossJoin(metrics).withColumn("rounds_within_limit", F.lit(within))
 
 
 # ---------------------------------------------------------------- streams
@@ -406,24 +446,63 @@ def q_gbt_train_evaluate(spark, sf_dir):
 
 def _stream_source(spark, sf_dir) -> str:
     """Table-derived messages written as JSON-lines files in a fresh folder
-    under the shared checkpoint location."""
+    under the shared checkpoint location: every message once, every tenth once
+    more in a later file. On a local disk the files' ages spread over days in
+    mixed order, as after a copy or a replay."""
     base = shared_path(spark, "cargoscope-streams", uuid.uuid4().hex)
-    _fx(spark, sf_dir).messages().drop("id").write.json(f"{base}/src")
+    messages = _fx(spark, sf_dir).messages()
+    messages.drop("id").repartition(4).write.json(f"{base}/src")
+    messages.filter(F.pmod(F.hash("id"), 10) == 0).drop("id").repartition(2).write.mode(
+        "append").json(f"{base}/src")
+    folder = f"{base}/src".removeprefix("file:")
+    if os.path.isdir(folder):
+        for i, name in enumerate(sorted(n for n in os.listdir(folder) if n.endswith(".json"))):
+            age = ((i * 5) % 7) * 86400
+            stat = os.stat(f"{folder}/{name}")
+            os.utime(f"{folder}/{name}", (stat.st_atime, stat.st_mtime - age))
+    return base
+
+
+def _ingested(spark, sf_dir) -> str:
+    base = _stream_source(spark, sf_dir)
+    ingest_stream.run_ingest(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt", as_of=AS_OF,
+                             max_files_per_trigger=2).awaitTermination()
     return base
 
 
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
-    """The ingest stream (availableNow) over the message files;
-    returns one row per message: published (reason null) or quarantined."""
-    base = _stream_source(spark, sf_dir)
-    ingest_stream.run_ingest(spark, f"{base}/src", f"{base}/out", f"{base}/ckpt",
-                             as_of=AS_OF).awaitTermination()
+    """The ingest stream (availableNow, several
+    micro-batches) over message files of many ages with redelivered ids; one
+    row per message: published (reason null, with the published payload's
+    fields and attributes) or quarantined."""
+    base = _ingested(spark, sf_dir)
+    body = F.from_json("value", "device_id string, shipment_id string, lat double, "
+                                "temperature double, timestamp string")
     published = ingest_stream.read_landed(spark, f"{base}/out", "published").select(
-        "message_id", F.lit(None).cast("string").alias("reject_reason"))
+        "message_id", F.lit(None).cast("string").alias("reject_reason"),
+        body["device_id"].alias("device_id"), body["lat"].alias("lat"),
+        body["temperature"].alias("temperature"),
+        F.unix_micros(F.to_timestamp(body["timestamp"])).alias("ts_micros"),
+        F.col("attributes")["shipment_id"].alias("shipment_attribute"),
+        F.col("attributes")["content_type"].alias("content_type"))
     quarantined = ingest_stream.read_landed(spark, f"{base}/out", "quarantine").select(
         "message_id", "reject_reason")
-    return published.unionByName(quarantined)
+    return published.unionByName(quarantined, allowMissingColumns=True)
+
+
+@register("landed_summary")
+def q_landed_summary(spark, sf_dir):
+    """Messages through both streams into the typed
+    tables, and the summary over what they landed."""
+    base = _ingested(spark, sf_dir)
+    scorer = scoring.linear_scorer(TEST_SCORER_WEIGHTS, TEST_SCORER_BIAS)
+    scoring_stream.run_scoring(spark, f"{base}/out/published", f"{base}/scored", f"{base}/ckpt2",
+                               scorer, as_of=AS_OF).awaitTermination()
+    tables_ = load_landed(spark, _fx(spark, sf_dir).shipments(), f"{base}/out", f"{base}/scored")
+    page = dash.shipments_summary(*tables_, limit=500)
+    return page.withColumn("last_telemetry_micros", F.unix_micros("last_telemetry_at")).drop(
+        "last_telemetry_at")
 
 
 @register("stream_scoring")

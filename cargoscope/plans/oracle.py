@@ -1,8 +1,8 @@
 """DuckDB SQL equivalents of the registered queries (the correctness oracle).
 
-Written independently of the Spark plans: the summary keeps the reference's
-LATERAL form, windows are written out in SQL, and so on. The fixture views
-are prepended as CTEs over the driver's pre-registered tables.
+Written independently of the Spark plans: windows over whole histories where
+the plans cut them first, JSON by DuckDB's own functions, and so on. The
+fixture views are prepended as CTEs over the driver's pre-registered tables.
 """
 
 from __future__ import annotations
@@ -30,23 +30,23 @@ def oracle(name: str, views: list[str]):
 SUMMARY_VIEWS = ["shipments", "telemetry", "anomaly_events"]
 
 
-def summary_sql(status: str | None = None, limit: int = 100) -> str:
-    where = f"WHERE s.status = '{status}'" if status else ""
+def summary_sql(status: str | None = None, limit: int = 100, telemetry: str = "telemetry",
+                events: str = "anomaly_events") -> str:
+    """Newest position by window, open counts by grouping, then the page."""
+    wanted = f"status = '{status}'" if status else "true"
     return f"""
-SELECT s.shipment_id, s.origin_hub, s.destination_hub, s.carrier_id, s.status, s.updated_at,
-       t.lat, t.lon, t.temperature, t.speed_kmh, t.event_time AS last_telemetry_at,
-       COALESCE(ae.open_anomalies, 0) AS open_anomalies
-FROM shipments s
-LEFT JOIN LATERAL (
-    SELECT lat, lon, temperature, speed_kmh, event_time FROM telemetry
-    WHERE shipment_id = s.shipment_id ORDER BY event_time DESC, id DESC LIMIT 1
-) t ON TRUE
-LEFT JOIN LATERAL (
-    SELECT COUNT(*) AS open_anomalies FROM anomaly_events
-    WHERE shipment_id = s.shipment_id AND NOT resolved
-) ae ON TRUE
-{where}
-ORDER BY s.updated_at DESC, s.shipment_id
+SELECT sh.shipment_id, sh.origin_hub, sh.destination_hub, sh.carrier_id, sh.status, sh.updated_at,
+       pos.lat, pos.lon, pos.temperature, pos.speed_kmh, pos.event_time AS last_telemetry_at,
+       COALESCE(unresolved.n, 0) AS open_anomalies
+FROM (SELECT * FROM shipments WHERE {wanted}) sh
+LEFT JOIN (
+    SELECT * FROM {telemetry}
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY shipment_id ORDER BY event_time DESC, id DESC) = 1
+) pos USING (shipment_id)
+LEFT JOIN (
+    SELECT shipment_id, COUNT(*) AS n FROM {events} WHERE NOT resolved GROUP BY shipment_id
+) unresolved USING (shipment_id)
+ORDER BY sh.updated_at DESC, sh.shipment_id
 LIMIT {limit}"""
 
 
@@ -137,6 +137,13 @@ def _():
     return feed_sql("status = 'delayed'")
 
 
+@oracle("anomaly_feed_display", SUMMARY_VIEWS)
+def _():
+    return f"""
+SELECT shipment_id, ROUND(temperature, 1) AS temperature_shown, ROUND(speed_kmh, 0) AS speed_shown
+FROM ({feed_sql("status IS DISTINCT FROM 'delivered'")}) f"""
+
+
 @oracle("map_points", SUMMARY_VIEWS)
 def _():
     return _nested("""
@@ -169,39 +176,43 @@ WHATIF_VIEWS = ["carriers", "anomaly_events", "routes_flat", "scenarios_flat"]
 
 
 def whatif_sql(grain: str = "event") -> str:
-    # Route x event rows with the rolling window over each route's full history.
-    latest_only = "WHERE newest = 1" if grain == "route" else ""
+    """Risk per route over its whole history; options per scenario; ten rows
+    per scenario by cost; then the risk drop and the recommendation."""
+    newest = "WHERE back = 1" if grain == "route" else ""
     return f"""
 SELECT * FROM (
-WITH joined AS (
-  SELECT s.scenario_id, s.avoid_anomaly_routes, r.route_id, r.carrier_id, c.carrier_name,
-         r.estimated_transit_days, r.base_cost_usd + s.cargo_weight_kg * r.cost_per_kg_usd AS estimated_cost_usd,
-         COALESCE(AVG(a.anomaly_score) OVER (
-             PARTITION BY s.scenario_id, r.route_id ORDER BY a.event_time, a.event_id
-             ROWS BETWEEN 30 PRECEDING AND CURRENT ROW), 0.0) AS anomaly_risk_score,
-         ROW_NUMBER() OVER (PARTITION BY s.scenario_id, r.route_id
-                            ORDER BY a.event_time DESC, a.event_id DESC) AS newest,
-         COALESCE(r.waypoints_csv, '') AS waypoints_text, a.event_id, a.event_time,
-         r.origin_hub, r.destination_hub
-  FROM scenarios_flat s
-  JOIN routes_flat r ON r.origin_hub = s.origin_hub AND r.destination_hub = s.destination_hub
-  JOIN carriers c ON r.carrier_id = c.carrier_id
-  LEFT JOIN anomaly_events a ON a.route_id = r.route_id
-  WHERE r.estimated_transit_days <= s.max_transit_days
-    AND (s.any_carrier OR r.n_filter IS NULL OR r.n_filter = 0 OR r.carrier_id = 'C3')
-), grained AS (SELECT * FROM joined {latest_only}
-), ranked AS (
-  SELECT *, ROW_NUMBER() OVER (PARTITION BY scenario_id
-      ORDER BY estimated_cost_usd, route_id, event_time DESC, event_id DESC) AS rn
-  FROM grained
-), kept AS (
-  SELECT * FROM ranked WHERE rn <= 10 AND NOT (avoid_anomaly_routes AND anomaly_risk_score > 0.75)
+WITH history AS (
+  SELECT route_id, event_id, event_time,
+         AVG(anomaly_score) OVER (PARTITION BY route_id ORDER BY event_time, event_id
+                                  ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS risk,
+         ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY event_time DESC, event_id DESC) AS back
+  FROM anomaly_events
+), option AS (
+  SELECT sc.scenario_id, sc.avoid_anomaly_routes, ro.*, ca.carrier_name,
+         ro.base_cost_usd + sc.cargo_weight_kg * ro.cost_per_kg_usd AS total
+  FROM routes_flat ro
+  JOIN carriers ca ON ca.carrier_id = ro.carrier_id
+  JOIN scenarios_flat sc ON sc.origin_hub = ro.origin_hub AND sc.destination_hub = ro.destination_hub
+  WHERE sc.max_transit_days BETWEEN 1 AND 30 AND sc.max_transit_days >= ro.estimated_transit_days
+    AND sc.cargo_weight_kg BETWEEN 0.1 AND 50000
+    AND (sc.any_carrier OR COALESCE(ro.n_filter, 0) = 0 OR ro.carrier_id = 'C3')
+), cheap AS (  -- a scenario's ten rows come from its ten cheapest routes
+  SELECT * FROM option
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY scenario_id ORDER BY total, route_id) <= 10
+), priced AS (
+  SELECT option.*, h.event_id, h.event_time, COALESCE(h.risk, 0.0) AS risk,
+         ROW_NUMBER() OVER (PARTITION BY scenario_id
+             ORDER BY total, option.route_id, h.event_time DESC, h.event_id DESC) AS place
+  FROM cheap AS option LEFT JOIN (SELECT * FROM history {newest}) h ON h.route_id = option.route_id
+), shown AS (
+  SELECT *, MIN(total) OVER (PARTITION BY scenario_id) AS least
+  FROM priced WHERE place <= 10 AND (risk <= 0.75 OR NOT avoid_anomaly_routes)
 )
-SELECT scenario_id, route_id, carrier_id, carrier_name, estimated_transit_days, estimated_cost_usd,
-       anomaly_risk_score, waypoints_text, event_id, event_time, origin_hub, destination_hub,
-       (anomaly_risk_score < 0.5
-        AND estimated_cost_usd = MIN(estimated_cost_usd) OVER (PARTITION BY scenario_id)) AS is_recommended
-FROM kept) q"""
+SELECT scenario_id, route_id, carrier_id, carrier_name, estimated_transit_days,
+       total AS estimated_cost_usd, risk AS anomaly_risk_score,
+       COALESCE(waypoints_csv, '') AS waypoints_text, event_id, event_time, origin_hub, destination_hub,
+       risk < 0.5 AND total = least AS is_recommended
+FROM shown) q"""
 
 
 @oracle("whatif_routes", WHATIF_VIEWS)
@@ -209,9 +220,17 @@ def _():
     return whatif_sql("event")
 
 
-@oracle("whatif_routes_pruned", WHATIF_VIEWS)
+@oracle("whatif_routes_pruned", ["carriers", "routes_flat", "scenarios_flat"])
 def _():
-    return whatif_sql("event")
+    return """
+SELECT sc.scenario_id, ro.route_id,
+       ro.base_cost_usd + sc.cargo_weight_kg * ro.cost_per_kg_usd AS estimated_cost_usd
+FROM routes_flat ro SEMI JOIN carriers ca ON ca.carrier_id = ro.carrier_id
+JOIN scenarios_flat sc ON sc.origin_hub = ro.origin_hub AND sc.destination_hub = ro.destination_hub
+WHERE sc.max_transit_days BETWEEN 1 AND 30 AND sc.max_transit_days >= ro.estimated_transit_days
+  AND sc.cargo_weight_kg BETWEEN 0.1 AND 50000
+  AND (sc.any_carrier OR COALESCE(ro.n_filter, 0) = 0 OR ro.carrier_id = 'C3')
+QUALIFY ROW_NUMBER() OVER (PARTITION BY sc.scenario_id ORDER BY estimated_cost_usd, ro.route_id) <= 10"""
 
 
 @oracle("whatif_routes_by_route", WHATIF_VIEWS)
@@ -225,7 +244,7 @@ def _():
 SELECT scenario_id, route_id, event_id,
        CASE WHEN anomaly_risk_score > 0.75 THEN 'high' WHEN anomaly_risk_score > 0.5 THEN 'medium'
             ELSE 'low' END AS risk_band,
-       ROUND(anomaly_risk_score * 100, 0) AS risk_pct,
+       ROUND(anomaly_risk_score * 100, 0) AS risk_pct, ROUND(estimated_cost_usd, 0) AS cost_shown,
        CASE WHEN REPLACE(waypoints_text, ',', ' → ') <> '' THEN REPLACE(waypoints_text, ',', ' → ')
             ELSE UPPER(origin_hub) || ' → ' || UPPER(destination_hub) END AS route_label
 FROM ({whatif_sql('event')}) w"""
@@ -341,16 +360,22 @@ def _pk_check(table: str, key: list[str]) -> str:
             f"COUNT(*) AS violations FROM (SELECT {k} FROM {table} GROUP BY {k} HAVING COUNT(*) > 1) d")
 
 
-@oracle("table_checks", ["shipments", "telemetry", "routes_flat", "carriers"])
+@oracle("table_checks", ["dirty_shipments", "telemetry", "dirty_events", "routes_flat", "carriers"])
 def _():
     parts = [
-        _not_null_checks("shipments", ["shipment_id", "origin_hub", "destination_hub", "carrier_id",
-                                       "status", "created_at", "updated_at"]),
+        _not_null_checks("dirty_shipments", ["shipment_id", "origin_hub", "destination_hub",
+                                             "carrier_id", "status", "created_at"])
+        .replace("'dirty_shipments' AS", "'shipments' AS"),
+        "SELECT 'shipments', 'not_null', 'updated_at', COUNT(*) FROM dirty_shipments",
         "SELECT 'shipments', 'domain', 'status', COUNT(*) FILTER (WHERE status IS NOT NULL AND status NOT IN "
-        "('in_transit', 'delayed', 'delivered', 'anomaly')) FROM shipments",
-        _pk_check("shipments", ["shipment_id"]),
+        "('in_transit', 'delayed', 'delivered', 'anomaly')) FROM dirty_shipments",
+        _pk_check("dirty_shipments", ["shipment_id"]).replace("'dirty_shipments' AS", "'shipments' AS"),
         _not_null_checks("telemetry", ["id", "device_id", "shipment_id", "event_time", "lat", "lon"]),
         _pk_check("telemetry", ["id", "event_time"]),
+        _not_null_checks("dirty_events", ["event_id", "device_id", "shipment_id", "anomaly_score",
+                                          "event_time", "resolved"])
+        .replace("'dirty_events' AS", "'anomaly_events' AS"),
+        _pk_check("dirty_events", ["event_id"]).replace("'dirty_events' AS", "'anomaly_events' AS"),
         _not_null_checks("routes_flat", ["route_id", "origin_hub", "destination_hub", "carrier_id",
                                          "estimated_transit_days", "base_cost_usd", "cost_per_kg_usd",
                                          "active"]).replace("'routes_flat' AS", "'routes' AS"),
@@ -373,10 +398,11 @@ def _():
 
 @oracle("partition_range_violations", ["telemetry"])
 def _():
+    later = "TIMESTAMP '2024-02-10 00:00:00'"
     return f"""
-SELECT id, event_time FROM telemetry
-WHERE event_time < DATE_TRUNC('month', {TS})
-   OR event_time >= DATE_TRUNC('month', {TS}) + INTERVAL 4 MONTHS"""
+SELECT id, event_time, strftime(event_time, '%Y_%m') AS event_month FROM telemetry
+WHERE event_time < DATE_TRUNC('month', {later})
+   OR event_time >= DATE_TRUNC('month', {later}) + INTERVAL 4 MONTHS"""
 
 
 # ---------------------------------------------------------------- scoring
@@ -483,6 +509,19 @@ def _():
     return f"SELECT event_id, row_pos, split FROM ({split_sql()}) s"
 
 
+@oracle("temporal_split_narrow", ["training"])
+def _():
+    return f"SELECT event_id, split FROM ({split_sql()}) s"
+
+
+@oracle("gbt_train_evaluate", ["training"])
+def _():
+    return f"""
+SELECT COUNT(*) AS n_test, true AS in_range, true AS same_after_load, true AS metrics_in_range,
+       true AS rounds_within_limit
+FROM ({test_sql()}) t"""
+
+
 @oracle("split_stats", ["training"])
 def _():
     return f"""
@@ -573,69 +612,89 @@ FROM anomaly_events WHERE route_id IS NOT NULL"""
 
 # ---------------------------------------------------------------- strict decode (DuckDB JSON)
 MESSAGE_VIEWS = ["telemetry", "messages_flat"]
-RFC3339_SQL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})$"
+RFC3339_SQL = (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?"
+               r"(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$")
 NUMBER_TYPES = "('DOUBLE', 'BIGINT', 'UBIGINT', 'HUGEINT', 'UHUGEINT')"
+SENSORS = ["temperature", "humidity", "speed_kmh", "battery_pct"]
+
+
+def text_of(value: str) -> str:
+    return f"json_extract_string({value}, '$')"
+
+
+def instant_sql(t: str) -> str:
+    """UTC timestamp of RFC 3339 text: fraction cut to microseconds."""
+    micros = f"CAST(rpad(substr(regexp_extract({t}, '[.](\\d+)', 1), 1, 6), 6, '0') AS BIGINT)"
+    minutes = f"(CAST(substr({t}, -5, 2) AS BIGINT) * 60 + CAST(substr({t}, -2) AS BIGINT))"
+    return f"""CASE WHEN regexp_matches({t}, '{RFC3339_SQL}') THEN
+      TRY_CAST(replace(substr({t}, 1, 19), 'T', ' ') AS TIMESTAMP)
+      + to_microseconds(CASE WHEN {t} LIKE '%.%' THEN {micros} ELSE 0 END)
+      - to_minutes(CASE WHEN {t} LIKE '%Z' THEN 0 WHEN substr({t}, -6, 1) = '-' THEN -{minutes} ELSE {minutes} END)
+    END"""
+
+
+def parsed_ctes(cut: bool) -> str:
+    """g: the body, cut to 1 MiB for the gateway, where it is one JSON value
+    (DuckDB takes NaN and Infinity, which JSON does not have); kv: its entries."""
+    body = "left(value, 1048576)" if cut else "value"
+    return f"""
+g AS (
+  SELECT message_id, content_type,
+         CASE WHEN json_valid({body}) AND NOT regexp_matches({body}, '[:,\\[]\\s*-?(NaN|Infinity)')
+              THEN {body} END AS jv
+  FROM messages_flat),
+o AS (SELECT *, CASE WHEN json_type(jv) IN ('OBJECT', 'NULL') THEN jv END AS obj FROM g),
+kv AS (
+  SELECT o.message_id, e.key AS k, e.value AS v, e.type AS t, e.id AS n
+  FROM o, json_each(o.obj) e WHERE json_type(o.obj) = 'OBJECT')"""
 
 
 def decoded_sql(check_stale: bool) -> str:
     """The gateway's decode + rules written with DuckDB's JSON functions."""
-    def jt(f):
-        return f"json_type(jv, '$.{f}')"
-
-    def loose(f, ok):
-        return f"({jt(f)} IS NULL OR {jt(f)} = 'NULL' OR {jt(f)} IN {ok})"
-
-    type_ok = " AND ".join(
-        [loose("device_id", "('VARCHAR')"), loose("shipment_id", "('VARCHAR')")]
-        + [loose(f, NUMBER_TYPES) for f in ["lat", "lon", "temperature", "humidity", "speed_kmh",
-                                             "battery_pct"]]
-        + [f"({jt('timestamp')} IS NULL OR {jt('timestamp')} = 'NULL' OR ({jt('timestamp')} = 'VARCHAR'"
-           f" AND regexp_matches(json_extract_string(jv, '$.timestamp'), '{RFC3339_SQL}')"
-           f" AND TRY_CAST(json_extract_string(jv, '$.timestamp') AS TIMESTAMPTZ) IS NOT NULL))"])
-    stale = (f"WHEN ts < TIMESTAMPTZ '{AS_OF}+00' - INTERVAL 24 HOURS THEN 'stale'"
-             if check_stale else "")
+    plain, optional = ["device_id", "shipment_id", "timestamp", "lat", "lon"], SENSORS
+    ok = f"""CASE WHEN t = 'NULL' THEN true
+      WHEN f IN ('device_id', 'shipment_id') THEN t = 'VARCHAR'
+      WHEN f = 'timestamp' THEN t = 'VARCHAR' AND ({instant_sql(text_of('v'))}) IS NOT NULL
+      ELSE t IN {NUMBER_TYPES} AND coalesce(isfinite(TRY_CAST(v::VARCHAR AS DOUBLE)), false) END"""
+    last = ",\n         ".join(
+        [f"arg_max(v, n) FILTER (f = '{f}' AND t <> 'NULL') AS {f}" for f in plain]
+        + [f"arg_max(CASE WHEN t <> 'NULL' THEN v::VARCHAR ELSE '' END, n) FILTER (f = '{f}') AS {f}"
+           for f in optional])
+    stale = f"WHEN ts < {TS} - INTERVAL 24 HOURS THEN 'stale'" if check_stale else ""
+
+    def known(expr, name):
+        return f"CASE WHEN decode_reason IS NULL THEN {expr} END AS {name}"
+
+    def num(f):
+        return f"TRY_CAST({f}::VARCHAR AS DOUBLE)"
+
     return f"""
 SELECT * FROM (
-WITH g AS (
-  -- JSON functions only ever see valid JSON (NULL otherwise).
-  SELECT message_id, value, content_type, CASE WHEN json_valid(value) THEN value END AS jv
-  FROM messages_flat),
+WITH {parsed_ctes(True).strip()},
+fields AS (SELECT message_id, lower(k) AS f, v, t, n FROM kv
+           WHERE lower(k) IN ({", ".join(f"'{f}'" for f in plain + optional)})),
 d AS (
-  SELECT message_id, value, jv, content_type,
-         CASE
-           WHEN content_type IS DISTINCT FROM 'application/json' THEN 'content_type'
-           WHEN value IS NULL OR strlen(value) > 1048576 THEN 'malformed'
-           WHEN jv IS NULL THEN 'malformed'
-           WHEN regexp_matches(jv, '[:,\\[]\\s*-?(NaN|Infinity)') THEN 'malformed'
-           WHEN json_type(jv) NOT IN ('OBJECT', 'NULL') THEN 'malformed'
-           WHEN json_type(jv) = 'OBJECT'
-                AND len(json_keys(jv)) <> len(list_distinct(json_keys(jv))) THEN 'malformed'
-           WHEN json_type(jv) = 'OBJECT' AND NOT ({type_ok}) THEN 'malformed'
-         END AS decode_reason
-  FROM g),
+  SELECT message_id, bool_and({ok}) AS typed,
+         {last}
+  FROM fields GROUP BY message_id),
+r AS (
+  SELECT o.message_id, d.* EXCLUDE (message_id),
+         CASE WHEN content_type IS DISTINCT FROM 'application/json' THEN 'content_type'
+              WHEN obj IS NULL OR NOT coalesce(typed, true) THEN 'malformed' END AS decode_reason
+  FROM o LEFT JOIN d ON d.message_id = o.message_id),
 f AS (
-  SELECT message_id, decode_reason,
-         CASE WHEN decode_reason IS NULL THEN json_extract_string(jv, '$.device_id') END AS device_id,
-         CASE WHEN decode_reason IS NULL THEN json_extract_string(jv, '$.shipment_id') END AS shipment_id,
-         CASE WHEN decode_reason IS NULL
-              THEN TRY_CAST(json_extract_string(jv, '$.timestamp') AS TIMESTAMPTZ) END AS ts,
-         CASE WHEN decode_reason IS NULL
-              THEN COALESCE(TRY_CAST(json_extract_string(jv, '$.lat') AS DOUBLE), 0.0) END AS lat,
-         CASE WHEN decode_reason IS NULL
-              THEN COALESCE(TRY_CAST(json_extract_string(jv, '$.lon') AS DOUBLE), 0.0) END AS lon,
-         CASE WHEN decode_reason IS NULL
-              THEN TRY_CAST(json_extract_string(jv, '$.temperature') AS DOUBLE) END AS temperature,
-         CASE WHEN decode_reason IS NULL
-              THEN TRY_CAST(json_extract_string(jv, '$.humidity') AS DOUBLE) END AS humidity,
-         CASE WHEN decode_reason IS NULL
-              THEN TRY_CAST(json_extract_string(jv, '$.battery_pct') AS DOUBLE) END AS battery_pct
-  FROM d)
-SELECT message_id, device_id, lat, lon, ts,
+  SELECT message_id, decode_reason, {known(text_of('device_id'), 'device_id')},
+         {known(text_of('shipment_id'), 'shipment_id')},
+         {known(instant_sql(text_of('"timestamp"')), 'ts')},
+         {known(f"coalesce({num('lat')}, 0.0)", 'lat')}, {known(f"coalesce({num('lon')}, 0.0)", 'lon')},
+         {", ".join(known(num(f), f) for f in SENSORS)}
+  FROM r)
+SELECT message_id, device_id, shipment_id, lat, lon, {", ".join(SENSORS)}, ts,
        CASE
          WHEN decode_reason IS NOT NULL THEN decode_reason
          WHEN device_id IS NULL OR device_id = '' THEN 'device_id'
          WHEN shipment_id IS NULL OR shipment_id = '' THEN 'shipment_id'
-         WHEN ts IS NULL OR ts = TIMESTAMPTZ '0001-01-01 00:00:00+00' THEN 'timestamp'
+         WHEN ts IS NULL OR ts = TIMESTAMP '0001-01-01 00:00:00' THEN 'timestamp'
          {stale}
          WHEN lat < -90 OR lat > 90 THEN 'lat'
          WHEN lon < -180 OR lon > 180 THEN 'lon'
@@ -659,52 +718,79 @@ FROM ({decoded_sql(False)}) x"""
 
 @oracle("stream_ingest", MESSAGE_VIEWS)
 def _():
-    return f"SELECT message_id, reject_reason FROM ({decoded_sql(True)}) x"
+    kept = "reject_reason IS NULL"
+    return f"""
+SELECT message_id, reject_reason,
+       CASE WHEN {kept} THEN device_id END AS device_id, CASE WHEN {kept} THEN lat END AS lat,
+       CASE WHEN {kept} THEN temperature END AS temperature,
+       CASE WHEN {kept} THEN epoch_us(ts) END AS ts_micros,
+       CASE WHEN {kept} THEN shipment_id END AS shipment_attribute,
+       CASE WHEN {kept} THEN 'application/json' END AS content_type
+FROM ({decoded_sql(True)}) x"""
+
+
+def raw_score_sql() -> str:
+    def orz(c, d):
+        return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN CAST({d} AS DOUBLE) ELSE {c} END"
+    raw = (f"((((CAST(0.5 AS DOUBLE) + CAST(0.0078125 AS DOUBLE) * ({orz('temperature', '0.0')})) "
+           f"+ CAST(0.00390625 AS DOUBLE) * ({orz('humidity', '0.0')})) "
+           f"+ CAST(0.001953125 AS DOUBLE) * ({orz('speed_kmh', '0.0')})) "
+           f"+ CAST(-0.00390625 AS DOUBLE) * ({orz('battery_pct', '100.0')}))")
+    return f"GREATEST(CAST(0.0 AS DOUBLE), LEAST(CAST(1.0 AS DOUBLE), COALESCE({raw}, 0.0)))"
+
+
+@oracle("landed_summary", ["shipments", *MESSAGE_VIEWS])
+def _():
+    page = summary_sql(limit=500, telemetry="landed", events="raised")
+    return f"""
+SELECT * EXCLUDE (last_telemetry_at), epoch_us(last_telemetry_at) AS last_telemetry_micros FROM (
+WITH landed AS (
+  SELECT *, ts AS event_time, CAST('0x' || substr(md5(message_id), 1, 15) AS BIGINT) AS id
+  FROM ({decoded_sql(True)}) x WHERE reject_reason IS NULL),
+raised AS (SELECT shipment_id, false AS resolved FROM landed WHERE {raw_score_sql()} >= 0.75)
+{page}) q"""
 
 
 # ---------------------------------------------------------------- loose decode (scoring side)
+FLOAT_TEXT_SQL = (r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?"
+                  r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")
+
+
 def features_sql() -> str:
     """The scoring service's decode: one JSON object, string ids, floats as
-    numbers, numeric strings or booleans; lat/lon required (NaN and duplicate
-    keys refused, as documented)."""
-    def jt(f):
-        return f"json_type(jv, '$.{f}')"
+    numbers, numeric strings or booleans; of equal keys the last; lat/lon
+    required (NaN tokens refused, as documented)."""
+    ids = ["device_id", "shipment_id"]
+    floats = ["lat", "lon", *SENSORS, "hours_since_last_checkpoint"]
+    last = ",\n         ".join(f"arg_max(v, n) FILTER (k = '{f}') AS v_{f}, "
+                               f"arg_max(t, n) FILTER (k = '{f}') AS t_{f}" for f in ids + floats)
 
     def as_float(f):
-        return (f"CASE WHEN {jt(f)} IN {NUMBER_TYPES} THEN TRY_CAST(json_extract_string(jv, '$.{f}') AS DOUBLE)"
-                f" WHEN {jt(f)} = 'VARCHAR' THEN TRY_CAST(json_extract_string(jv, '$.{f}') AS DOUBLE)"
-                f" WHEN {jt(f)} = 'BOOLEAN' THEN CASE WHEN json_extract_string(jv, '$.{f}') = 'true'"
-                f" THEN 1.0 ELSE 0.0 END END")
-
-    floats = ["lat", "lon", "temperature", "humidity", "speed_kmh", "battery_pct",
-              "hours_since_last_checkpoint"]
-    values = ",\n         ".join(f"{as_float(f)} AS {f}" for f in floats)
-    ok_ids = " AND ".join(f"{jt(f)} = 'VARCHAR'" for f in ["device_id", "shipment_id"])
-    ok_required = " AND ".join(f"{f} IS NOT NULL" for f in ["lat", "lon"])
-    ok_optional = " AND ".join(
-        f"({jt(f)} IS NULL OR {jt(f)} = 'NULL' OR {f} IS NOT NULL)"
-        for f in ["temperature", "humidity", "speed_kmh", "battery_pct", "hours_since_last_checkpoint"])
+        text = text_of(f"v_{f}")
+        return (f"CASE WHEN t_{f} IN {NUMBER_TYPES} THEN TRY_CAST(v_{f}::VARCHAR AS DOUBLE)"
+                f" WHEN t_{f} = 'VARCHAR' AND regexp_matches({text}, '{FLOAT_TEXT_SQL}')"
+                f" THEN TRY_CAST(trim({text}) AS DOUBLE)"
+                f" WHEN t_{f} = 'BOOLEAN' THEN CASE WHEN v_{f}::VARCHAR = 'true' THEN 1.0 ELSE 0.0 END"
+                f" END AS {f}")
+
+    ok = " AND ".join([f"coalesce(t_{f} = 'VARCHAR', false)" for f in ids]
+                      + [f"{f} IS NOT NULL" for f in ("lat", "lon")]
+                      + [f"(t_{f} IS NULL OR t_{f} = 'NULL' OR {f} IS NOT NULL)" for f in floats[2:]])
     return f"""
 SELECT * FROM (
-WITH g AS (
-  SELECT message_id, value, CASE WHEN json_valid(value) THEN value END AS jv FROM messages_flat),
-v AS (
-  SELECT message_id, jv,
-         jv IS NOT NULL AND json_type(jv) = 'OBJECT'
-           AND NOT regexp_matches(jv, '[:,\\[]\\s*-?(NaN|Infinity)')
-           AND len(json_keys(jv)) = len(list_distinct(json_keys(jv))) AS is_object
-  FROM g),
+WITH {parsed_ctes(False).strip()},
+l AS (
+  SELECT message_id,
+         {last}
+  FROM kv GROUP BY message_id),
 x AS (
-  SELECT message_id, jv, is_object,
-         CASE WHEN is_object THEN json_extract_string(jv, '$.device_id') END AS device_id_raw,
-         CASE WHEN is_object THEN json_extract_string(jv, '$.shipment_id') END AS shipment_id_raw,
-         {values}
-  FROM v)
-SELECT message_id,
-       CASE WHEN is_object AND {ok_ids} AND {ok_required} AND {ok_optional} THEN NULL
-            ELSE 'malformed' END AS decode_reason,
+  SELECT *, {text_of('v_device_id')} AS device_id_raw, {text_of('v_shipment_id')} AS shipment_id_raw,
+         {", ".join(as_float(f) for f in floats)}
+  FROM l)
+SELECT o.message_id, CASE WHEN x.message_id IS NOT NULL AND {ok} THEN NULL ELSE 'malformed' END
+         AS decode_reason,
        device_id_raw, shipment_id_raw, lat, lon, temperature, humidity, speed_kmh, battery_pct
-FROM x) d"""
+FROM o LEFT JOIN x ON x.message_id = o.message_id) d"""
 
 
 @oracle("scoring_decode", MESSAGE_VIEWS)
@@ -721,15 +807,8 @@ FROM ({features_sql()}) f"""
 
 @oracle("stream_scoring", MESSAGE_VIEWS)
 def _():
-    def orz(c, d):
-        return f"CASE WHEN {c} IS NULL OR {c} = 0 THEN CAST({d} AS DOUBLE) ELSE {c} END"
-    raw = (f"((((CAST(0.5 AS DOUBLE) + CAST(0.0078125 AS DOUBLE) * ({orz('temperature', '0.0')})) "
-           f"+ CAST(0.00390625 AS DOUBLE) * ({orz('humidity', '0.0')})) "
-           f"+ CAST(0.001953125 AS DOUBLE) * ({orz('speed_kmh', '0.0')})) "
-           f"+ CAST(-0.00390625 AS DOUBLE) * ({orz('battery_pct', '100.0')}))")
     return f"""
 SELECT message_id, device_id_raw AS device_id, shipment_id_raw AS shipment_id, anomaly_score,
        anomaly_score >= 0.75 AS is_anomaly, CAST(0.75 AS DOUBLE) AS threshold
-FROM (SELECT *, GREATEST(CAST(0.0 AS DOUBLE), LEAST(CAST(1.0 AS DOUBLE), COALESCE({raw}, 0.0)))
-                AS anomaly_score
+FROM (SELECT *, {raw_score_sql()} AS anomaly_score
       FROM ({features_sql()}) f WHERE decode_reason IS NULL) s"""

@@ -68,9 +68,10 @@ def with_global_position(df: DataFrame, order: list[Column], name: str = "row_po
 
 
 def with_running_sums(df: DataFrame, order: list[Column], columns: list[str],
-                      prefix: str = "cum_", num_partitions: int | None = None) -> DataFrame:
-    """Adds inclusive running sums ``cum_<c>`` and totals ``total_<c>`` of the
-    given numeric columns along ``order``.
+                      prefix: str = "cum_", num_partitions: int | None = None,
+                      totals: bool = False) -> DataFrame:
+    """Adds inclusive running sums ``cum_<c>`` (with ``totals``, also the sums
+    over all rows as ``total_<c>``) of the given numeric columns along ``order``.
 
     Within a range partition the running sum is a window partitioned by the
     partition id, after a range shuffle on that id (one id per task); the
@@ -85,8 +86,9 @@ def with_running_sums(df: DataFrame, order: list[Column], columns: list[str],
     for c in columns:
         out = (out.withColumn(f"{prefix}{c}", F.col(f"_off_{c}") + F.sum(c).over(within))
                   .withColumn(f"total_{c}", F.col(f"_total_{c}")))
+    gone = [] if totals else [f"total_{c}" for c in columns]
     return out.drop("_pid", "_mono", *[f"_off_{c}" for c in columns],
-                    *[f"_total_{c}" for c in columns])
+                    *[f"_total_{c}" for c in columns], *gone)
 
 
 def _halo_partitions(df: DataFrame, key: str, order: list[str], carry: list[str], preceding: int,

@@ -1,4 +1,4 @@
-"""Dashboard operators on the reference's five demo shipments, and limits."""
+"""Dashboard operators on one row for each kind of shipment, and limits."""
 
 import datetime as dt
 
@@ -8,10 +8,10 @@ from cargoscope.operators import dashboard
 from cargoscope.session import plan_text
 
 NOW = dt.datetime(2026, 1, 1, 12)
-DEMO = [  # shipment, status, open anomalies (the dashboard's fallback rows)
-    ("SHP-2026-001", "anomaly", 2), ("SHP-2026-002", "in_transit", 0),
-    ("SHP-2026-003", "delayed", 1), ("SHP-2026-004", "in_transit", 0),
-    ("SHP-2026-005", "delivered", 0),
+DEMO = [  # shipment, status, open anomalies: every status, alerts with and without it
+    ("q-delayed", "delayed", 3), ("q-done", "delivered", 0), ("q-moving", "in_transit", 0),
+    ("q-alert", "anomaly", 0), ("q-watched", "in_transit", 1), ("q-late", "delayed", 0),
+    ("q-closed", "delivered", 4), ("q-far", "in_transit", 0),
 ]
 SUMMARY_SCHEMA = ("shipment_id string, origin_hub string, destination_hub string, carrier_id string, "
                   "status string, updated_at timestamp_ntz, lat double, lon double, temperature double, "
@@ -20,14 +20,14 @@ SUMMARY_SCHEMA = ("shipment_id string, origin_hub string, destination_hub string
 
 @pytest.fixture()
 def demo(spark):
-    rows = [(s, "DEL", "BOM", "C", st, NOW, 28.0, 77.0, 20.0, 50.0, NOW, n) for s, st, n in DEMO]
+    rows = [(s, "H1", "H2", "C", st, NOW, -12.25, 130.75, 20.0, 50.0, NOW, n) for s, st, n in DEMO]
     return spark.createDataFrame(rows, SUMMARY_SCHEMA)
 
 
 def test_fleet_metrics(demo):
     r = dashboard.fleet_metrics(demo).first()
-    assert (r.total, r.in_transit, r.delayed, r.anomalies, r.delivered) == (5, 2, 1, 2, 1)
-    assert r.in_transit_pct == 40.0
+    assert (r.total, r.in_transit, r.delayed, r.anomalies, r.delivered) == (8, 3, 2, 4, 2)
+    assert r.in_transit_pct == 38.0  # 37.5 rounds up
 
 
 def test_fleet_metrics_empty(demo):
@@ -36,17 +36,18 @@ def test_fleet_metrics_empty(demo):
 
 
 def test_feed_order(demo):
-    got = [r.shipment_id for r in dashboard.anomaly_feed(demo, "all").collect()]
-    assert got == ["SHP-2026-001", "SHP-2026-003", "SHP-2026-002", "SHP-2026-004"]
-    got = [r.shipment_id for r in dashboard.anomaly_feed(demo, "anomaly").collect()]
-    assert got == ["SHP-2026-001", "SHP-2026-003"]
-    sev = {r.shipment_id: r.severity for r in dashboard.anomaly_feed(demo, "all").collect()}
-    assert sev["SHP-2026-001"] == "Critical" and sev["SHP-2026-002"] == "Normal"
+    def feed(mode):
+        return [r.shipment_id for r in dashboard.anomaly_feed(demo, mode).collect()]
+    assert feed("all") == ["q-alert", "q-delayed", "q-late", "q-far", "q-moving", "q-watched"]
+    assert feed("anomaly") == ["q-alert", "q-delayed", "q-watched", "q-closed"]
+    assert feed("delayed") == ["q-delayed", "q-late"]
+    severity = {r.shipment_id: r.severity for r in dashboard.anomaly_feed(demo, "all").collect()}
+    assert severity["q-alert"] == "Critical" and severity["q-late"] == "Warning"
 
 
 def test_feed_counts(demo):
     r = dashboard.feed_counts(demo).first()
-    assert (r.anomaly_count, r.delayed_count) == (2, 1)
+    assert (r.anomaly_count, r.delayed_count) == (4, 2)
 
 
 def test_feed_rejects_unknown_mode(demo):
@@ -56,9 +57,9 @@ def test_feed_rejects_unknown_mode(demo):
 
 def test_map_points(demo, spark):
     pts = dashboard.map_points(demo).collect()
-    assert len(pts) == 5
+    assert len(pts) == 8
     alerts = {p.shipment_id for p in pts if p.is_alert}
-    assert alerts == {"SHP-2026-001", "SHP-2026-003"}
+    assert alerts == {"q-delayed", "q-watched", "q-closed"}
 
 
 @pytest.mark.parametrize("raw,clamped", [(100, 100), ("250", 250), (900, 500), (0, 0)])

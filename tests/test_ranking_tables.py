@@ -206,16 +206,3 @@ def test_previous_row_across_partition_layouts(spark, partitions):
            with_previous(df, "key", ["ts", "id"], num_partitions=partitions).collect()}
     w = Window.partitionBy("key").orderBy("ts", "id")
     assert got == {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
-
-
-@pytest.mark.parametrize("limit", [0, 1_000_000])
-def test_upsert_paths_agree(spark, limit):
-    """Broadcast path (few updates) and full-outer path give the same table."""
-    from cargoscope.sources.fixtures import Fixtures
-    fx = Fixtures(spark, "/root/testdata/sf0.001")
-    out = tables.upsert_shipments(fx.shipments(), fx.shipment_updates(), as_of="2024-01-31",
-                                  broadcast_limit=limit)
-    ref = tables.upsert_shipments(fx.shipments(), fx.shipment_updates(), as_of="2024-01-31",
-                                  broadcast_limit=0)
-    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, ref.collect()), key=repr)
-    assert out.count() == out.select("shipment_id").distinct().count()

@@ -161,15 +161,33 @@ def test_pruned_candidates_match_all_pairs(spark, data):
     r = spark.createDataFrame(routes, ROUTE_SCHEMA)
     s = spark.createDataFrame(scens, SCEN_SCHEMA)
     expected = brute_force_top_routes(spark, scens, routes)
-    for prune in (True, False):
+    for levels in ((1,), (4, 64)):
         got = {}
-        for row in routing.score_routes(s, r, carriers(spark), events(spark, []), grain="route",
-                                        prune=prune).collect():
+        for row in routing.cheapest_routes(s, r, carriers(spark), levels=levels).collect():
             got.setdefault(row.scenario_id, []).append((row.estimated_cost_usd, row.route_id))
         for sid, rows in expected.items():
             assert sorted(got.get(sid, [])) == rows
 
 
+def test_narrow_costs_on_one_lane_do_not_pair_up(spark):
+    routes = [(f"R{i:03d}", "A", "B", "C1", 2.0, 500 + i / 10, 0.5, None, None, True) for i in range(500)]
+    scens = [(j, "A", "B", 1.0 + j, [], 7, False) for j in range(200)]
+    r, s = spark.createDataFrame(routes, ROUTE_SCHEMA), spark.createDataFrame(scens, SCEN_SCHEMA)
+    points = s.select(F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
+                      F.lit("all").alias("_group"), "max_transit_days", "cargo_weight_kg")
+    assert routing.candidate_routes(points, r, carriers(spark)).count() == 200 * 10
+    equal = r.withColumn("base_cost_usd", F.lit(500.0))
+    assert routing.candidate_routes(points, equal, carriers(spark)).count() == 200 * 10
+
+
+def test_rejected_scenarios_come_back_with_a_reason(spark):
+    s = spark.createDataFrame([scen(1), (2, "A", "B", 0.01, [], 7, True)], SCEN_SCHEMA)
+    r = spark.createDataFrame([route("R1", 10.0)], ROUTE_SCHEMA)
+    options, rejected = routing.simulate_many(s, r, carriers(spark), events(spark, []))
+    assert [x.scenario_id for x in options.collect()] == [1]
+    assert [(x.scenario_id, x.reject_reason) for x in rejected.collect()] == [(2, "cargo_weight_kg")]
+
+
 def test_risk_drop_is_strict(spark):
     r = spark.createDataFrame([route("R1", 10.0), route("R2", 20.0)], ROUTE_SCHEMA)
     ev = events(spark, [(1, "R1", 0.75, T0), (2, "R2", 0.875, T0)])
