@@ -128,6 +128,13 @@ def _is_instant(value: Column) -> Column:
     return _is_string(value) & _instant(F.try_variant_get(value, "$", "string")).isNotNull()
 
 
+def _fixed(staged: DataFrame, keep: list[str], fields: list[Column]) -> DataFrame:
+    """The kept columns and the decoded fields. Fields pass through a generator
+    of one row, which a later filter on them is not pushed below: it would
+    repeat the whole decode once for each reference."""
+    return staged.select(*keep, F.inline(F.array(F.struct(*fields))))
+
+
 def decode_telemetry(msgs: DataFrame, body_col: str = "value",
                      attributes_col: str | None = "attributes") -> DataFrame:
     """Strict decode of gateway messages (B1, B2). Adds the telemetry fields
@@ -166,16 +173,14 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
         value = _last(F.col(f"_a_{name}"), skip_null)
         return F.when(decoded, F.try_variant_get(value, "$", as_type))
 
-    return staged.select(
-        *[F.col(c) for c in msgs.columns],
+    return _fixed(staged, msgs.columns, [
         field("device_id", "string").alias("device_id"),
         field("shipment_id", "string").alias("shipment_id"),
         _instant(field("timestamp", "string")).alias("timestamp"),
         *[F.when(decoded, F.coalesce(field(f, "double"), F.lit(0.0))).alias(f)
           for f in ("lat", "lon")],
         *[field(f, "double", skip_null=False).alias(f) for f in OPTIONAL_SENSORS],
-        "decode_reason",
-    )
+        F.col("decode_reason")])
 
 
 def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
@@ -219,8 +224,8 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     staged = staged.withColumn("decode_reason", F.when(bad, "malformed"))
     decoded = F.col("decode_reason").isNull()
     # A skipped message has no fields.
-    return staged.select(*[F.col(c) for c in msgs.columns],
-                         *[F.when(decoded, c).alias(n) for n, c in fields.items()], "decode_reason")
+    return _fixed(staged, msgs.columns,
+                  [*[F.when(decoded, c).alias(n) for n, c in fields.items()], F.col("decode_reason")])
 
 
 # ---------------------------------------------------------------- validation

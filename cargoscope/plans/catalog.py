@@ -18,6 +18,7 @@ from cargoscope.operators import dashboard as dash
 from cargoscope.operators import evaluation, rates, routing, scoring, tables, training, validate
 from cargoscope.session import shared_path
 from cargoscope.sources.fixtures import AS_OF, Fixtures
+from cargoscope.sources.messages import pull, quarantine_frame
 from cargoscope.streaming import ingest as ingest_stream
 from cargoscope.streaming import scoring as scoring_stream
 from cargoscope.streaming.refresh import load_landed
@@ -223,6 +224,21 @@ def q_ingest_messages(spark, sf_dir):
                                                   "device_id", "lat", "lon", accepted_time)
 
 
+@register("bounded_pull")
+def q_bounded_pull(spark, sf_dir):
+    """One pull of at most 200 messages, in id order."""
+    return pull(_fx(spark, sf_dir).messages().orderBy("message_id"), 200).select("message_id", "value")
+
+
+@register("quarantine_rows")
+def q_quarantine_rows(spark, sf_dir):
+    """Every refused message with its reason and body snippet."""
+    decoded = validate.decode_telemetry(_fx(spark, sf_dir).messages())
+    checked = validate.validate_telemetry(decoded, as_of=AS_OF, time_col="timestamp")
+    return quarantine_frame(validate.split_valid(checked)[1]).select(
+        "message_id", "reject_reason", "body_snippet", "attempts")
+
+
 @register("scoring_decode")
 def q_scoring_decode(spark, sf_dir):
     """The scoring service's loose decode over the same bodies."""

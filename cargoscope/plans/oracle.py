@@ -716,6 +716,19 @@ SELECT message_id, reject_reason,
 FROM ({decoded_sql(False)}) x"""
 
 
+@oracle("bounded_pull", MESSAGE_VIEWS)
+def _():
+    return "SELECT message_id, value FROM messages_flat ORDER BY message_id LIMIT 200"
+
+
+@oracle("quarantine_rows", MESSAGE_VIEWS)
+def _():
+    return f"""
+SELECT message_id, reject_reason, CAST(1 AS INTEGER) AS attempts,
+       CASE WHEN length(value) <= 200 THEN value ELSE left(value, 200) || '...' END AS body_snippet
+FROM ({decoded_sql(True)}) x JOIN messages_flat USING (message_id) WHERE reject_reason IS NOT NULL"""
+
+
 @oracle("stream_ingest", MESSAGE_VIEWS)
 def _():
     kept = "reject_reason IS NULL"
