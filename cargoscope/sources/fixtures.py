@@ -1,6 +1,6 @@
 """Operator input tables derived from the driver's parquet tables.
 
-The SQL below is the specification of FIXTURES.md and runs unchanged on
+The SQL below (printed in FIXTURES.md) runs unchanged on
 Spark and DuckDB: Spark binds the ``{table}`` placeholders to DataFrames,
 the oracle side substitutes plain view names. It only shapes rows into the
 schemas the operators expect; it does none of the operators' work.
