@@ -306,16 +306,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
-    """Keeps one row of each component: the least id, of equal ids any one.
+    """Keeps one row of each component: the least id, of one id's texts the
+    least text hash, of equal rows any one.
 
-    All columns stay. Rows without words are kept. The table is written once
-    with a row number that ties each decision to its row.
+    All columns stay. Rows without words are kept. The table is not copied: a
+    row is known by its id and its text's hash.
     """
     own, place = set_aside(docs, ["__row"])
     rank = F.struct(F.col(f"`{place[id_col]}`").isNull().alias("none"),
                     F.col(f"`{place[id_col]}`").alias("id"),
-                    F.monotonically_increasing_id().alias("row"))
-    numbered = staged(own.withColumn("__row", rank), "dedup-rows")
-    found = near_duplicates(numbered, shingle, percent, "__row", place[text_col])
-    kept = numbered.join(found.filter("kept").select("__row"), "__row", "left_semi")
+                    F.xxhash64(f"`{place[text_col]}`").alias("text"))
+    keyed = own.withColumn("__row", rank)
+    found = staged(near_duplicates(keyed, shingle, percent, "__row", place[text_col])
+                   .filter("kept"), "dedup-kept")
+    kept = keyed.join(found.select("__row").distinct(), "__row", "left_semi")
+    repeated = found.filter("n_shingles > 0").groupBy("__row").count().filter(
+        "count > 1").select("__row")
+    if repeated.head(1):  # equal rows of one id: any one of them
+        kept = kept.join(repeated, "__row", "left_anti").unionByName(
+            kept.join(repeated, "__row", "left_semi").dropDuplicates(["__row"]))
     return kept.select(*[F.col(f"`{place[c]}`").alias(c) for c in docs.columns])

@@ -84,6 +84,10 @@ def test_edge_rows(spark):
     assert nd.near_duplicates(df.limit(0), 5).count() == 0
     kept = nd.deduplicate(df, 5)
     assert kept.columns == df.columns
+    twice = spark.createDataFrame([(20, "q w e r t y u", "a"), (20, "q w e r t y u", "b"), (20, "z x", "c"),
+                                   (21, None, "d"), (21, None, "d")], df.schema)
+    assert sorted(r["text"] or "-" for r in nd.deduplicate(twice, 5).collect()) == [
+        "-", "-", "q w e r t y u", "z x"]
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 2, 3, 5, 7, 8, 9, 11]
 
 
