@@ -80,7 +80,7 @@ def _slices(batch: pa.RecordBatch, index: int, max_bytes: int) -> Iterator[pa.Re
 
 def annotate(df: DataFrame, make: Callable[[], Callable[..., list[list]]],
              out: str, text_col: str = "text", keep: Sequence[str] | None = None,
-             given: Sequence[str] = (), slice_bytes: int = 8 << 20) -> DataFrame:
+             given: Sequence[str] = (), slice_bytes: int = 1 << 20) -> DataFrame:
     """Adds the columns ``out`` (a DDL list), computed from each row's text.
 
     ``make`` runs once per task and returns the function from a list of texts
@@ -109,5 +109,7 @@ def annotate(df: DataFrame, make: Callable[[], Callable[..., list[list]]],
                 added = [pa.array(col, type=arrow.field(len(names) + i).type)
                          for i, col in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(kept + added, schema=arrow)
+            del batch, part, kept, added
+            pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(run, schema)
