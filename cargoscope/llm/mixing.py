@@ -3,7 +3,7 @@
 1. Sizes are summed per source. Targets follow the weights, stop at
    ``max_repeats`` times a source's size, and the excess is shared again by
    weight (:func:`targets`).
-2. Documents are permuted by a seeded hash of their id. A source is cut into
+2. Documents are permuted by a seeded digest of their id. A source is cut into
    blocks of about ``block_words`` words along that permutation. It is taken
    ``floor(target / size)`` times whole, and once more up to a cutoff in the
    permutation, found by radix selection over sums (no sort of a source).
@@ -65,9 +65,9 @@ def targets(sizes: Sequence[int], weights: Sequence[float], max_repeats: float =
 
 
 def place(id_col: str, seed: int) -> Column:
-    """A document's place in the permutation: 48 bits of a seeded hash."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string")),
-                                64 - _BITS)
+    """A document's place in the permutation: 48 bits of a seeded digest."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long")
 
 
 def _records(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -31,6 +31,56 @@ def _sql_list(values) -> str:
 WORDS_SQL = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
 
 
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * c >= 80 * (p.n + q.n - c)
+), edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON r.other = e.a
+), least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+OP7_WORDS_SQL = rf"regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP7_SQL = rf"""
+WITH i AS (SELECT item_id, {OP7_WORDS_SQL} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k
+        FROM i WHERE len(w) > 0)
+), d AS (SELECT row_number() OVER () AS r, doc_id, {OP7_WORDS_SQL} AS w FROM documents
+), places AS (
+  SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k
+  FROM d CROSS JOIN (SELECT DISTINCT m FROM windows) WHERE len(w) >= m
+), hits AS (
+  SELECT r, k, p.m, item_id FROM (SELECT r, m, k, array_to_string(w[k:k + m - 1], ' ') AS g FROM places) p
+  JOIN windows v ON v.m = p.m AND v.g = p.g
+), covered AS (
+  SELECT r, count(DISTINCT c) AS n FROM (SELECT r, unnest(range(k, k + m)) AS c FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n, string_agg(t, ',' ORDER BY t) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS t FROM hits) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit,
+       coalesce(found.n, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       covered.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN found USING (r)
+"""
+
+
 @register("op1_license_scan")
 def op1_license_scan(spark, sf_dir):
     """Licence passages of every document, with the best Dice coefficient."""
@@ -47,7 +97,7 @@ def op1_license_scan(spark, sf_dir):
         .alias("spans"))
 
 
-@register("op2_near_dup")
+@register("op2_near_dup", OP2_SQL)
 def op2_near_dup(spark, sf_dir):
     """Components of documents linked by four-word shingles."""
     return near_dup.near_duplicates(tables(spark, sf_dir, "documents").select("doc_id", "text"),
@@ -109,7 +159,7 @@ def op6_html_extract(spark, sf_dir):
                                 keep=["page_id", "url"])
 
 
-@register("op7_decontaminate")
+@register("op7_decontaminate", OP7_SQL)
 def op7_decontaminate(spark, sf_dir):
     """Benchmark windows of ten words found in every document."""
     hits = decontaminate.find_hits(
@@ -119,9 +169,7 @@ def op7_decontaminate(spark, sf_dir):
     return hits.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.size("hits") > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("hits", lambda h: h["longest"])), F.lit(0))
-        .cast("long").alias("longest_match"))
+        (F.size("hits") > 0).alias("contaminated"))
 
 
 TOKEN_LIMIT = 512
@@ -184,12 +232,48 @@ def op9_quality_rules(spark, sf_dir):
         "base_failed", "kept")
 
 
-@register("op10_mixing")
+OP10_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS u
+  FROM documents
+), s AS (
+  SELECT source, n, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w,
+         sum(n) OVER () AS total
+  FROM (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source)
+), o AS (  -- sources by how soon they fill up; what is left for a source and those after it
+  SELECT *, row_number() OVER f AS k,
+         total - 3 * coalesce(sum(n) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights
+  FROM s WINDOW f AS (ORDER BY 3.0 * n / w, source NULLS LAST)
+), first_open AS (
+  SELECT CAST(rest AS DOUBLE) AS rest, weights, k FROM o
+  WHERE CAST(rest AS DOUBLE) * w / weights <= 3 * n ORDER BY k LIMIT 1
+), t AS (
+  SELECT o.source, o.n, CASE WHEN o.k < coalesce(p.k, o.k + 1) THEN 3.0::DOUBLE * o.n
+                             ELSE p.rest * o.w / p.weights END AS target
+  FROM o LEFT JOIN first_open p ON true
+), plan AS (
+  SELECT *, CASE WHEN n > 0 THEN least(3, floor(target / n + 1e-12))::BIGINT ELSE 0 END AS whole FROM t
+), extra AS (SELECT *, CASE WHEN whole < 3 THEN target - whole * n ELSE 0 END AS want FROM plan
+), run AS (
+  SELECT source, u, g, sum(g) OVER (PARTITION BY source ORDER BY u) AS upto
+  FROM (SELECT source, u, sum(size) AS g FROM d GROUP BY source, u)
+), cut AS (
+  SELECT e.source, CASE WHEN g - (want - (upto - g)) <= want - (upto - g) THEN u ELSE u - 1 END AS last
+  FROM extra e JOIN run ON run.source IS NOT DISTINCT FROM e.source
+  WHERE want > 0 AND upto >= want AND upto - g < want)
+SELECT doc_id, size, e.n AS source_size, e.target, size * (e.whole + coalesce(u <= last, false)::BIGINT) AS taken
+FROM d JOIN extra e ON e.source IS NOT DISTINCT FROM d.source
+LEFT JOIN cut ON cut.source IS NOT DISTINCT FROM d.source
+"""
+
+
+@register("op10_mixing", OP10_SQL)
 def op10_mixing(spark, sf_dir):
     """Words that the mix takes from every document."""
     mixed = mixing.mix(tables(spark, sf_dir, "documents").select("doc_id", "source", "text"),
-                       keep=["doc_id", "source"])
+                       keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target",
-                        (F.col("size") * F.col("copies")).alias("taken"), "source", "copies",
-                        F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")),
-                                     ",").alias("shards"))
+                        (F.col("size") * F.col("copies")).alias("taken"))
