@@ -231,8 +231,8 @@ def test_periodic_refresh_writes_page(spark, scratch):
                       f"{scratch}/ckpt", processing_time="1 second", limit=50)
     try:
         deadline = time.time() + 90
-        while time.time() < deadline and not os.path.exists(f"{out}/_SUCCESS"):
+        while time.time() < deadline and not os.path.exists(f"{out}/versions/_SUCCESS"):
             time.sleep(1)
     finally:
         q.stop()
-    assert spark.read.parquet(out).count() == 50
+    assert read_page(spark, out).count() == 50
