@@ -254,7 +254,9 @@ class Fixtures:
 
     def messages(self) -> DataFrame:
         """Gateway message envelopes (``messages_flat`` with an attribute map)."""
-        flat = self._sql("messages_flat")
+        # A topic arrives in many partitions; the driver tables are single files,
+        # which would leave the decode to one task.
+        flat = self._sql("messages_flat").repartition("id")
         return flat.select(
             "message_id", "value",
             F.create_map(F.lit("device_id"), F.col("device_id"), F.lit("shipment_id"),
