@@ -1,7 +1,7 @@
 """Language-model scoring: Katz back-off over bigrams and unigrams.
 
-Counts come from the training rows, discounts from Good-Turing counts of
-counts, back-off weights from exact sums over each history's continuations.
+Counts come from the training rows, discounts from Good-Turing over smoothed
+counts of counts (a line through log n_r), back-off weights from exact sums over each history's continuations.
 A token costs::
 
     P(w | h) = r* / c(h)          if r = c(h w) > 0
@@ -31,6 +31,7 @@ repeated rows count each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -238,25 +239,48 @@ def _add_up(pdf: pd.DataFrame) -> pd.DataFrame:
                                        "stats"])
 
 
+def slope(of: list[int]) -> float:
+    """Slope of log n_r over log r, each n_r first spread over the gap around
+    it (simple Good-Turing); NaN for fewer than two counts above zero."""
+    r = np.flatnonzero(of) + 1
+    if len(r) < 2:
+        return math.nan
+    before = np.append(0, r[:-1])
+    after = np.append(r[1:], 2 * r[-1] - r[-2])
+    x, y = np.log(r), np.log(2 * np.array(of)[r - 1] / (after - before))
+    x = x - x.mean()
+    return float(x @ y / (x @ x))
+
+
+def turing(of: list[int]) -> np.ndarray | None:
+    """Katz's discounts for r = 1 .. K from smoothed n_1 .. n_{K+1}.
+
+    On the line log n_r = a + b log r, r* / r is (1 + 1/r)^(b + 1). A count
+    loses a share of itself in proportion to 1 - r* / r, and all lose n_1
+    together. For b < -1 and some n_r above zero with 1 < r <= K every discount
+    lies strictly between 0 and r; otherwise there are none.
+    """
+    b = slope(of)
+    if not b < -1 or not of[0] or not any(of[1:K]):
+        return None
+    r = np.arange(1, K + 1)
+    share = 1 - (1 + 1 / r) ** (b + 1)
+    return r * share * (of[0] / (r * share @ np.array(of[:K])))
+
+
 def discounts(of: list[int]) -> np.ndarray:
     """r - r* for r = 0 .. K + 1 (the last for all counts above K).
 
-    Katz's discounts from n_1 .. n_{K+1}; where these do not give discounted
-    counts strictly between 0 and r, absolute discounting for r <= K.
+    Good-Turing from smoothed counts of counts; absolute discounting for
+    r <= K where these do not fall faster than 1/r.
     """
     n = [0, *of]
     out = np.zeros(K + 2)
     out[K + 1] = ABOVE
-    if min(n[1:K + 2]) > 0:
-        tail = (K + 1) * n[K + 1] / n[1]
-        if tail < 1:
-            r = np.arange(1, K + 1)
-            turing = np.array([(i + 1) * n[i + 1] / n[i] for i in r])
-            kept = (turing / r - tail) / (1 - tail)
-            if (kept > 0).all() and (kept < 1).all():
-                out[1:K + 1] = r * (1 - kept)
-                return out
-    out[1:K + 1] = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    good = turing(of)
+    if good is None:
+        good = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    out[1:K + 1] = good
     return out
 
 

@@ -126,6 +126,41 @@ def test_discounts():
     assert (katz.discounts([3, 0, 1, 0, 0, 9])[1:6] == 0.5).all()
 
 
+# n_1 .. n_6 of the training rows of sf0.1 (words, pairs): copies raise n_5
+COPIES = ([207344, 59772, 25017, 14274, 13493, 7080],
+          [1579638, 246704, 51653, 21705, 18939, 7580])
+
+
+def test_copies_keep_good_turing():
+    for of in COPIES:
+        assert 5 * of[4] > 4 * of[3]  # unsmoothed, r = 4 would gain
+        d = katz.discounts(of)
+        assert (d[1:6] == katz.turing(of)).all() and len(set(d[1:6])) == 5
+        assert (d[1:6] > 0).all() and (d[1:6] < range(1, 6)).all()
+        assert sum(n * x for n, x in zip(of, d[1:6])) == pytest.approx(of[0])
+        b = katz.slope(of)
+        kept = [(1 + 1 / r) ** (b + 1) for r in range(1, 6)]  # r* / r on the line
+        lost = [1 - x / r for r, x in zip(range(1, 6), r_star(d))]
+        assert [x / lost[0] for x in lost] == pytest.approx([(1 - x) / (1 - kept[0]) for x in kept])
+    assert katz.turing([3, 0, 1, 0, 0, 9]) is None and katz.turing([5, 0, 0, 0, 0, 0]) is None
+
+
+def r_star(d):
+    return [r - d[r] for r in range(1, 6)]
+
+
+def test_table_with_copies_takes_good_turing(spark):
+    texts = [t for i, t in enumerate(corpus(4)[:-1]) for _ in range(5 if i % 4 == 0 else 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = katz.fit_and_score(df, F.lit(True), shard_tokens=300)
+    m = Plain(texts)
+    of = [sum(v == r for v in m.c2.values()) for r in range(1, 7)]
+    assert 5 * of[4] > 4 * of[3]  # copies: unsmoothed, r = 4 would gain
+    assert (got.totals.bigram[1:6] == katz.turing(of)).all()
+    for r in got.scores.collect():
+        assert r["score"] == pytest.approx(m.score(texts[r["doc_id"]]), rel=1e-9)
+
+
 def test_query_equals_plain_model(spark):
     import __spark_entry__ as E
     texts = {r["doc_id"]: r["text"]
