@@ -1,16 +1,19 @@
 """Main text of HTML pages as a maximum-scoring subsequence.
 
 A page becomes a line of items in page order: blocks of words and tags. Words
-score positive, tags negative, and what stands in boilerplate elements zero;
-one linear scan finds the contiguous stretch with the greatest sum. The text
-is what that stretch holds outside boilerplate elements.
+score by the elements around them, tags negative, and what stands in
+boilerplate elements zero; one linear scan finds the contiguous stretch with
+the greatest sum. The text is what that stretch holds outside boilerplate
+elements.
 
 Weights come from labelled pages: pages that mark their main text themselves
-(``article`` or ``main`` elements). Words and tags inside against outside give
-log-odds per tag name and per ``name.class`` key; a key with a class, id or
-role whose words are almost never main text is learned as boilerplate, beside
-a fixed list of such elements. Pages without that markup are scored by the
-learned weights alone.
+(``article`` or ``main`` elements). What stands outside boilerplate elements
+gives log-odds, inside against outside the main text, per tag name, per
+nearest block element of words and per ``name.class`` key around words; a key
+with a class, id or role whose words are almost never main text is learned as
+boilerplate, beside a fixed list of such elements. The marks are labels only:
+every page is scored by the learned weights, and ``article`` and ``main``
+weigh as ``div`` does.
 
 Fitting reads at most about ``max_labelled`` labelled pages, picked by a hash
 of the page, and keeps the ``max_keys`` commonest keys; both are parameters.
@@ -73,17 +76,23 @@ MARKS = frozenset(
     "replies reply share sharing social related recommended pagination pager toolbar widget "
     "widgets hidden copyright".split())
 LABELS = frozenset(["article", "main"])
+BOUND = 3.0  # of learned log-odds
 
 
 @dataclass
 class Weights:
-    """Scores of words and tags; ``tags`` and ``blocked`` come from the fit."""
+    """Scores of words and tags; ``tags``, ``places`` and ``blocked`` come from the fit.
+
+    Words with a learned place score ``base`` plus what their places add, all
+    others ``word``.
+    """
 
     word: float = 1.0
     link: float = -0.5
-    outside: float = -1.0
     tag: float = -0.2
     tags: dict[str, float] = field(default_factory=dict)
+    base: float = 1.0
+    places: dict[str, float] = field(default_factory=dict)
     blocked: frozenset[str] = frozenset()
 
 
@@ -98,6 +107,17 @@ class Item:
     keys: tuple[str, ...] = ()
     labelled: bool = False
     dropped: bool = False
+    block: str = ""  # the nearest block element of a text
+
+
+def _plain(name: str) -> str:
+    """The name an element is weighed by."""
+    return "div" if name in LABELS else name
+
+
+def _places(item: Item) -> set[str]:
+    """Keys of the elements around a text, by which its words are weighed."""
+    return {"@" + item.block, *("@" + k for k in item.keys if k.partition(".")[0] not in LABELS)}
 
 
 def _keys(name: str, attrs: str) -> tuple[str, ...]:
@@ -136,7 +156,9 @@ def items_of(page: str, blocked: frozenset[str] = frozenset()) -> list[Item]:
             labelled, dropped = state()
             keys = tuple(k for e in stack for k in e[1])
             words = text.count(" ") + 1
-            out.append(Item("", text, words, min(words, links), keys, labelled, dropped))
+            block = next((e[0] for e in reversed(stack) if e[0] not in INLINE), "")
+            out.append(Item("", text, words, min(words, links), keys, labelled, dropped,
+                            _plain(block)))
 
     def pop_to(depth: int):
         if any(e[0] not in INLINE or e[3] != state()[1] for e in stack[depth:]):
@@ -156,11 +178,13 @@ def items_of(page: str, blocked: frozenset[str] = frozenset()) -> list[Item]:
         name, attrs = m["name"].lower(), m["attrs"]
         if m["close"]:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            labelled, dropped = state()
             if depth is not None:
+                labelled, dropped = stack[depth][2:]
                 pop_to(depth)
             elif name not in INLINE:
                 flush()
-            out.append(Item("/" + name, labelled=state()[0], dropped=state()[1]))
+            out.append(Item("/" + name, labelled=labelled, dropped=dropped))
             continue
         if name not in INLINE:
             flush()
@@ -194,17 +218,14 @@ def _close(stack, pop_to, names: set[str], stops: set[str]) -> None:
             return
 
 
-def score(item: Item, weights: Weights, marked: bool) -> float:
+def score(item: Item, weights: Weights) -> float:
     if item.dropped:
         return 0.0  # left out in any case, so it neither joins nor parts a stretch
     if item.name:
-        name = item.name.lstrip("/")
-        return min([weights.tags.get(name, weights.tag),
-                    *(weights.tags[k] for k in item.keys if k in weights.tags)])
-    if marked and not item.labelled:
-        return weights.outside * item.words
-    links = 0 if marked else item.links
-    return weights.word * (item.words - links) + weights.link * links
+        return weights.tags.get(_plain(item.name.lstrip("/")), weights.tag)
+    known = [weights.places[k] for k in _places(item) if k in weights.places]
+    word = max(-BOUND, min(BOUND, weights.base + sum(known))) if known else weights.word
+    return word * (item.words - item.links) + min(word, weights.link) * item.links
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
@@ -225,28 +246,34 @@ def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     items = items_of(page, weights.blocked)
-    marked = any(i.labelled and not i.name and not i.dropped for i in items)
-    first, last = best_stretch([score(i, weights, marked) for i in items])
-    return "\n".join(i.text for i in items[first:last] if not i.name and not i.dropped
-                     and (i.labelled or not marked))
+    first, last = best_stretch([score(i, weights) for i in items])
+    return "\n".join(i.text for i in items[first:last] if not i.name and not i.dropped)
 
 
 def page_counts(page: str) -> Iterator[tuple[str, int, int]]:
     """(key, count inside, count outside) of a labelled page's main text.
 
-    Keys: ``#word`` for words, ``#link`` for those in links, tag names, and ``name.class`` for the words of
-    elements that carry a class, id or role.
+    Keys: ``#word`` for words, ``#link`` for those in links, tag names, ``@name``
+    and ``@name.class`` for words by the elements around them, all outside
+    boilerplate elements; ``name.class`` for the words of elements that carry a
+    class, id or role, boilerplate or not.
     """
     items = items_of(page)
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for item in items:
-        side = 0 if item.labelled and not item.dropped else 1
+        if not item.name:
+            side = 0 if item.labelled and not item.dropped else 1
+            for key in set(item.keys):
+                counts[key][side] += item.words
+        if item.dropped:
+            continue
+        side = 0 if item.labelled else 1
         if item.name:
-            counts[item.name.lstrip("/")][side] += 1
+            counts[_plain(item.name.lstrip("/"))][side] += 1
         else:
             counts["#word"][side] += item.words
             counts["#link"][side] += item.links
-            for key in set(item.keys):
+            for key in _places(item):
                 counts[key][side] += item.words
     for key, (a, b) in counts.items():
         yield key, a, b
@@ -283,24 +310,37 @@ def fit(pages: DataFrame, max_labelled: int = 5000, max_keys: int = 20_000,
 
 
 def weights_from(counts: dict[str, tuple[int, int]], min_words: int = 50) -> Weights:
-    """Log-odds of words, and of each tag against all tags, within bounds.
+    """Log-odds of words, of their places against all words, and of each tag
+    against all tags, within ``BOUND``.
 
-    The bounds keep single tags weaker than a word, so that short blocks at
-    the ends of the main text are not cut off.
+    Tags of the main text stay weaker than a word, so that short blocks at its
+    ends are not cut off. Rare tags and places are drawn towards all of them.
     """
-    def odds(a: int, b: int) -> float:
+    def odds(a: float, b: float) -> float:
         return math.log((a + 0.5) / (b + 0.5))
 
-    tags = {k: v for k, v in counts.items() if k[0] != "#" and "." not in k}
-    all_in, all_out = (sum(v[i] for v in tags.values()) for i in (0, 1))
+    def bound(x: float) -> float:
+        return max(-BOUND, min(BOUND, x))
+
+    tags = {k: v for k, v in counts.items() if k[0] not in "#@" and "." not in k}
     words = counts.get("#word", (1, 1))
-    learned = {k: max(-0.4, min(-0.1, odds(*v) - odds(all_in, all_out) - 0.1))
-               for k, v in tags.items()}
+    base = bound(odds(*words))
+
+    def against(part: tuple[int, int], whole: tuple[int, int]) -> float:
+        share = (whole[0] + 0.5) / (sum(whole) + 1)
+        return bound(odds(part[0] + min_words * share, part[1] + min_words * (1 - share))) - bound(
+            odds(*whole))
+
+    every = tuple(sum(v[i] for v in tags.values()) for i in (0, 1))
+    learned = {k: max(-BOUND, min(-0.1, against(v, every) - 0.1)) for k, v in tags.items()}
+    places = {k: against(v, words) for k, v in counts.items() if k[0] == "@"}
     blocked = frozenset(k for k, (a, b) in counts.items()
-                        if "." in k and a + b >= min_words and a < 0.02 * (a + b))
-    word = max(0.5, min(3.0, odds(*words)))
-    link = max(-1.0, min(word, odds(*counts.get("#link", (0, 0)))))
-    return Weights(word, link, -word, -0.2, learned, blocked)
+                        if k[0] != "@" and "." in k and a + b >= min_words
+                        and a < 0.02 * (a + b))
+    word = max(0.5, base)
+    link = max(-1.0, min(word, odds(*counts["#link"]))) if any(
+        counts.get("#link", ())) else Weights.link
+    return Weights(word, link, -0.2, learned, base, places, blocked)
 
 
 def extract(pages: DataFrame, weights: Weights | None = None, html_col: str = "html",

@@ -77,6 +77,43 @@ def plain(page):
     return "\n".join(t for t in (" ".join(html.unescape(x).split()) for x in parts) if t)
 
 
+def fitted(pages):
+    counts = {}
+    for page in pages:
+        for k, a, b in hx.page_counts(page):
+            x = counts.get(k, (0, 0))
+            counts[k] = (x[0] + a, x[1] + b)
+    return hx.weights_from(counts)
+
+
+def renamed(page):
+    return re.sub(r"<(/?)article\b", r"<\1div", page)
+
+
+def test_renamed_articles_extract_alike(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SMOKE_DIR}/pages.parquet").collect()]
+    weights = fitted(pages)
+    for page in pages:
+        assert hx.main_text(renamed(page), weights) == plain(page)
+
+
+def test_learned_places_decide_without_marks():
+    side = "<section class=box>" + "<li>buy this now" * 8 + "</section>"
+    train = [f"{side}<article><h1>Some title</h1>{BODY * 6}</article>{side}"] * 30
+    weights = fitted(train)
+    weights.blocked = frozenset()  # by weights alone
+    want = "\n".join(["Some title"] + [BODY[3:-4]] * 6)
+    for page in train[:1]:
+        assert hx.main_text(page, weights) == hx.main_text(renamed(page), weights) == want
+
+
+def test_teaser_in_article_does_not_replace_the_body():
+    card = "<article><h3>More</h3><p>One short teaser.</p></article>"
+    page = "<div>" + BODY * 9 + "</div>" + card
+    for weights in (W, fitted(["<nav>Menu</nav><article>" + BODY * 5 + "</article>"] * 20)):
+        assert hx.main_text(page, weights).startswith("\n".join([BODY[3:-4]] * 9))
+
+
 def test_query_equals_marked_article(spark):
     import __spark_entry__ as E
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{SMOKE_DIR}/pages.parquet").collect()}
