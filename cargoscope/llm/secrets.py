@@ -6,8 +6,9 @@ name and a literal (``name = "x"``, ``name: x``, ``"name": "x"``,
 ``name => 'x'``, ``export NAME=x``, ``name="x"`` in tags), joins literals that
 are concatenated with ``+`` or stand side by side, follows names assigned to
 other names, and scores each literal by how sensitive the names are that it
-reaches and by how random it looks. Literals that score ``threshold`` or more
-and overlap no base span become spans of kind ``literal``.
+reaches and by how random it looks. Literals that score ``threshold`` or more,
+and those whose start a base span takes, become spans of kind ``literal``
+unless one base span covers them whole; base spans stay as they are.
 
 All work is per row: no shuffle, one text at a time. Only texts that hold a
 sensitive name next to an assignment sign are lexed.
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -131,15 +133,19 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str | None,
     return out
 
 
-def lexed_literals(text: str, threshold: float = 0.75) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that sensitive names receive.
+def lexed_literals(text: str, threshold: float = 0.75,
+                   begun: list[tuple[int, int]] = []) -> list[tuple[int, int, float]]:
+    """(start, end, score) of literals that sensitive names receive, and,
+    whatever their score, of those whose start one of ``begun`` takes: spans in
+    order, without overlaps, from before the literal into it.
 
     Names are followed both ways a constant travels: a literal named ``a``
     counts for ``secret`` after ``secret = a``, in any order, through chains
     and cycles.
     """
-    if not _GATE.search(text):
+    if not begun and not _GATE.search(text):
         return []
+    starts = [x for x, _ in begun]
     pairs = assignments(text)
     assigned = {name for name, *_ in pairs}
     gives: dict[str, set[str]] = {}
@@ -164,25 +170,27 @@ def lexed_literals(text: str, threshold: float = 0.75) -> list[tuple[int, int, f
         if source in assigned and not quoted:
             continue  # a reference, not a literal
         sensitive = reach(name)
-        if not sensitive:
+        before = bisect_left(starts, pieces[0][0])
+        cut = before > 0 and pieces[0][0] < begun[before - 1][1] < pieces[0][1]
+        if not sensitive and not cut:
             continue
         random = literal_score("".join(text[a:b] for a, b in pieces))
         if not quoted and not re.search(r"[0-9]", text[pieces[0][0]:pieces[-1][1]]):
             random = 0.0  # plain words after a colon are prose
         score = 0.5 * sensitive + 0.5 * random if random else 0.0
-        if score >= threshold:
-            for piece in pieces:
-                found[piece] = max(score, found.get(piece, 0.0))
+        for piece in pieces if score >= threshold or cut else ():
+            found[piece] = max(score, found.get(piece, 0.0))
     return [(a, b, s) for (a, b), s in sorted(found.items())]
 
 
 def all_spans(text: str | None, threshold: float = 0.75) -> list[tuple[int, int, str, float]]:
-    """Base spans (score 1) and the literals that overlap none of them."""
+    """Base spans (score 1) and the literals that none of them covers whole."""
     text = text or ""
     base = base_spans(text)
     out = [(a, b, kind, 1.0) for a, b, kind in base]
-    for a, b, score in lexed_literals(text, threshold):
-        if not any(x < b and a < y for x, y, _ in base):
+    begun = [(a, b) for a, b, kind in base if kind == "assign"]
+    for a, b, score in lexed_literals(text, threshold, begun):
+        if not any(x <= a and b <= y for x, y, _ in base):
             out.append((a, b, "literal", score))
     return _ordered(out)
 

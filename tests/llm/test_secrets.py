@@ -61,6 +61,26 @@ def test_literals(text, want):
     assert literals(text) == want
 
 
+@pytest.mark.parametrize("value", [
+    "Sup3rSecret!2024#prod", "hunter22 and more", "abcdef@host", "abcdef$1&2%3:4", "aaaaaa!aaaa",
+])
+@pytest.mark.parametrize("form", ['password = "{}"', "token: '{}', x = 1", '{{"api_key": "{}"}}'])
+def test_quoted_secret_is_wholly_redacted(form, value):
+    text = form.format(value)
+    spans = secrets.all_spans(text)
+    assert [s[:3] for s in spans if s[2] != "literal"] == secrets.base_spans(text)
+    assert value in literals(text)
+    left = secrets.redact_text(text, [s[:2] for s in spans], "<S>")
+    assert left.count("<S>") == 1 and left.endswith(text[text.index(value) + len(value):])
+    assert not any(value[i:i + 3] in left for i in range(len(value) - 2))
+
+
+def test_text_around_a_quoted_assignment_stays():
+    text = 'note = "set password=hunter22 before the first run, then go on"'
+    left = secrets.redact_text(text, [s[:2] for s in secrets.all_spans(text)], "<S>")
+    assert left == 'note = "set <S> before the first run, then go on"'
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(i, t, 1, "h") for i, t in enumerate(TEXTS)],
                                "doc_id long, text string, n_chars int, __hit string")
