@@ -44,16 +44,20 @@ SENSITIVE = {
 }
 _PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|changeme|example|placeholder"
                           r"|your[ _-].*|none|null|true|false)\Z", _FLAGS)
-_GATE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key"
-                   r"|private[_-]?key|auth[_-]?key|credential|bearer|authorization)"
-                   r"""[A-Za-z0-9_.-]*["'\]]*[ \t]*(?::=|=>|[:=])""", _FLAGS)
-_LEX = re.compile(r"""
+#: From this score on, a quoted value counts whatever its spaces.
+STRONG = 0.9
+_SIGN = r":=|=>|->|(?<![=!<>])=(?!=)|:(?![:/])"
+#: A sensitive name and all that can stand between it and an assignment sign.
+_GATE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)"
+                   r"[^A-Za-z0-9\s]*key|credential|bearer|authorization)"
+                   rf"""(?:(?!{_SIGN})\S)*+(?:["')\]]|[^\S\n])*+(?P<sign>{_SIGN})?""", _FLAGS)
+_LEX = re.compile(rf"""
     (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
   | (?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)
-  | (?P<assign>:=|=>|->|(?<![=!<>])=(?!=)|:(?![:/]))
+  | (?P<assign>{_SIGN})
   | (?P<plus>\+(?!=))
   | (?P<line>\n|;)
-  | (?P<bare>[^\s"'=:;,+()\[\]{}<>&|]+)
+  | (?P<bare>[^\s"'=:;,+()\[\]{{}}<>&|]+)
   | (?P<other>[^\s])
 """, re.VERBOSE)
 _UNQUOTED = re.compile(r"""[^\s"';,()\[\]{}<>]+""")
@@ -81,9 +85,10 @@ def name_score(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts + joined), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 for empty, short, spaced-out or placeholder values; up to 1 for random ones."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or value.count(" ") > 2:
+def literal_score(value: str, spaced: bool = False) -> float:
+    """0 for empty, short or placeholder values, and for spaced-out ones unless
+    ``spaced``; up to 1 for random ones."""
+    if len(value) < 6 or _PLACEHOLDER.match(value) or not spaced and value.count(" ") > 2:
         return 0.0
     counts = Counter(value)
     entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in counts.values())
@@ -105,7 +110,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[int, int]], str | None,
         left, a, b = tokens[j]
         if left == "string":
             a, b = a + 1, b - 1
-        if left not in ("name", "string") or b - a > 80 or " " in text[a:b]:
+        if left not in ("name", "string") or " " in text[a:b]:
             continue
         name, pieces, source, quoted = text[a:b], [], None, False
         k, glued = i + 1, True
@@ -143,7 +148,7 @@ def lexed_literals(text: str, threshold: float = 0.75,
     counts for ``secret`` after ``secret = a``, in any order, through chains
     and cycles.
     """
-    if not begun and not _GATE.search(text):
+    if not begun and not any(m["sign"] for m in _GATE.finditer(text)):
         return []
     starts = [x for x, _ in begun]
     pairs = assignments(text)
@@ -174,7 +179,8 @@ def lexed_literals(text: str, threshold: float = 0.75,
         cut = before > 0 and pieces[0][0] < begun[before - 1][1] < pieces[0][1]
         if not sensitive and not cut:
             continue
-        random = literal_score("".join(text[a:b] for a, b in pieces))
+        random = literal_score("".join(text[a:b] for a, b in pieces),
+                               quoted and sensitive >= STRONG)
         if not quoted and not re.search(r"[0-9]", text[pieces[0][0]:pieces[-1][1]]):
             random = 0.0  # plain words after a colon are prose
         score = 0.5 * sensitive + 0.5 * random if random else 0.0

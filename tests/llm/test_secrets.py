@@ -75,6 +75,19 @@ def test_quoted_secret_is_wholly_redacted(form, value):
     assert not any(value[i:i + 3] in left for i in range(len(value) - 2))
 
 
+@pytest.mark.parametrize("text, want", [
+    (".".join(["section"] * 20) + '.db_pwd = "tr0ub4dor&3xY"', ["tr0ub4dor&3xY"]),
+    ('{"' + "part-" * 30 + 'passphrase": "Zx9-41 qP!"}', ["Zx9-41 qP!"]),
+    ('passphrase = "correct horse battery staple"', ["correct horse battery staple"]),
+    ('db_pwd -> "tr0ub4dor&3xY"', ["tr0ub4dor&3xY"]),
+    ('conf["private.key"] -> "tr0ub4dor&3xY"', ["tr0ub4dor&3xY"]),
+    ('set(db_pwd) = "tr0ub4dor&3xY"', ["tr0ub4dor&3xY"]),
+    ("the passphrase: some plain words follow here", []), ('title = "a b c d e f 1 2 3"', []),
+])
+def test_lexer_has_no_silent_cuts(text, want):
+    assert literals(text) == want
+
+
 def test_text_around_a_quoted_assignment_stays():
     text = 'note = "set password=hunter22 before the first run, then go on"'
     left = secrets.redact_text(text, [s[:2] for s in secrets.all_spans(text)], "<S>")
