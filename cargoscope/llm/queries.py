@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import (decontaminate, html_extract, katz, license_scan, mixing, near_dup,
-                            quality_knn, quality_rules, secrets, token_counts)
+from cargoscope.llm import (decontaminate, html_extract, katz, language_id, license_scan, mixing,
+                            near_dup, quality_knn, quality_rules, secrets, token_counts)
 from cargoscope.llm.common import crc_mod, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,3 +277,11 @@ def op10_mixing(spark, sf_dir):
                        keep=["doc_id"])
     return mixed.select("doc_id", "size", "source_size", "target",
                         (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@register("op13_language_id")
+def op13_language_id(spark, sf_dir):
+    """Language of every document, learnt outside the held-out fifth."""
+    docs = tables(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.predict(docs, language_id.fit(docs, ~_held_out(5, 0)), keep=["doc_id"]).select(
+        "doc_id", _held_out(5, 0).alias("held_out"), "lang_pred", "score")
