@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import (decontaminate, html_extract, katz, language_id, license_scan, mixing,
-                            near_dup, quality_knn, quality_rules, secrets, token_counts)
+from cargoscope.llm import (decontaminate, html_extract, katz, language_id, license_scan, merkle,
+                            mixing, near_dup, quality_knn, quality_rules, secrets, token_counts)
 from cargoscope.llm.common import crc_mod, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,6 +279,77 @@ def op10_mixing(spark, sf_dir):
                         (F.col("size") * F.col("copies")).alias("taken"))
 
 
+CRC32_SQL = """
+  list_reduce([4294967295] || flatten(list_transform(range(1, strlen(CAST({0} AS VARCHAR)) + 1),
+      lambda i: [ord(substr(CAST({0} AS VARCHAR), i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda s, e: CASE WHEN e >= 0 THEN xor(s, e)
+                      WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END)
+"""  # the register before its final inversion; crc32 = 4294967295 - this
+
+
+def _field_sql(col: str) -> str:
+    return (f"CASE WHEN {col} IS NULL THEN '-' ELSE CAST(strlen(CAST({col} AS VARCHAR)) AS VARCHAR)"
+            f" || ':' || CAST({col} AS VARCHAR) END")
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_field_sql(c) for c in (*merkle.FIELDS[:-1], text)) + ")"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("text")} AS leaf,
+         CASE WHEN (4294967295 - {CRC32_SQL.format("doc_id")}) % 2 = 0
+              THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql("text")} END AS found
+  FROM documents
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d
+), low(source, k, l) AS (  -- the nodes of each level of a source's tree
+  SELECT source, 0, list(leaf ORDER BY i) FROM p GROUP BY source
+  UNION ALL
+  SELECT source, k + 1, list_transform(range(0, len(l), 3), lambda j: sha256(array_to_string(l[j + 1:j + 3], '')))
+  FROM low WHERE len(l) > 1
+), subroot AS (
+  SELECT source, l[1] AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS i
+  FROM low WHERE len(l) = 1
+), high(k, l) AS (
+  SELECT 0, list(subroot ORDER BY i) FROM subroot
+  UNION ALL
+  SELECT k + 1, list_transform(range(0, len(l), 3), lambda j: sha256(array_to_string(l[j + 1:j + 3], '')))
+  FROM high WHERE len(l) > 1
+), climb(r, source, i, k, folded, proof) AS (
+  SELECT r, source, i, 0, found, '' FROM p
+  UNION ALL
+  SELECT r, c.source, i // 3, c.k + 1,
+         sha256(array_to_string(l[i // 3 * 3 + 1:i], '') || folded || array_to_string(l[i + 2:i // 3 * 3 + 3], '')),
+         proof || array_to_string(l[i // 3 * 3 + 1:i], '') || array_to_string(l[i + 2:i // 3 * 3 + 3], '')
+  FROM climb c JOIN low ON low.source IS NOT DISTINCT FROM c.source AND low.k = c.k WHERE len(l) > 1
+), at_subroot AS (
+  SELECT r, s.source, s.i, s.subroot, c.folded, c.proof FROM (
+    SELECT r, max(k) AS k FROM climb GROUP BY r) m JOIN climb c USING (r, k)
+  JOIN subroot s ON s.source IS NOT DISTINCT FROM c.source
+), rise(r, subroot, i, k, folded, proof) AS (
+  SELECT r, subroot, i, 0, folded, proof FROM at_subroot
+  UNION ALL
+  SELECT r, subroot, i // 3, c.k + 1,
+         sha256(array_to_string(l[i // 3 * 3 + 1:i], '') || folded || array_to_string(l[i + 2:i // 3 * 3 + 3], '')),
+         proof || array_to_string(l[i // 3 * 3 + 1:i], '') || array_to_string(l[i + 2:i // 3 * 3 + 3], '')
+  FROM rise c JOIN high ON high.k = c.k WHERE len(l) > 1
+)
+SELECT doc_id, leaf, subroot, l[1] AS root, sha256(proof) AS proof_sha256, folded AS folded_root,
+       folded = l[1] AS verified
+FROM rise JOIN high USING (k) JOIN p USING (r) WHERE len(l) = 1
+"""
+
+
+@register("op12_merkle", OP12_SQL)
+def op12_merkle(spark, sf_dir):
+    """Merkle proof of every document; every second one is changed before it is folded."""
+    docs = tables(spark, sf_dir, "documents").select(*merkle.FIELDS)
+    changed = F.when(crc_mod("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle.manifest(docs, changes={"text": changed})
+
+
 @register("op13_language_id")
 def op13_language_id(spark, sf_dir):
     """Language of every document, learnt outside the held-out fifth."""
