@@ -145,7 +145,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[tupl
 
 def _by_block(nodes: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """Nodes (grp, place, n, ...) dealt out by block, each block's path first."""
-    rows = nodes.withColumn("block", F.floor(F.col("place") / FANOUT ** LEVELS).cast("long"))
+    rows = nodes.withColumn("block", F.expr(f"place div {FANOUT ** LEVELS}"))
     if paths is not None:
         rows = rows.unionByName(paths.withColumnRenamed("place", "block").withColumn(
             "place", F.lit(-1).cast("long")), allowMissingColumns=True)

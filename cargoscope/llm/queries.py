@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cargoscope.llm import (decontaminate, html_extract, katz, language_id, license_scan, merkle,
-                            mixing, near_dup, quality_knn, quality_rules, secrets, token_counts)
+from cargoscope.llm import (conversation_trie, decontaminate, html_extract, katz, language_id,
+                            license_scan, merkle, mixing, near_dup, quality_knn, quality_rules, secrets, token_counts)
 from cargoscope.llm.common import crc_mod, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -287,6 +287,42 @@ CRC32_SQL = """
 """  # the register before its final inversion; crc32 = 4294967295 - this
 
 
+OP11_SQL = rf"""
+WITH o AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+                            ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), e AS (
+  SELECT c, l, ((4294967295 - {CRC32_SQL.format("c")}) % 4)::BIGINT AS h FROM o
+), rebuilt AS (
+  SELECT e.c, list_concat(coalesce(b.l[1:e.h], []), e.l[e.h + 1:]) AS l FROM e LEFT JOIN o b ON b.c = e.c - e.c % 20
+), path AS (  -- a conversation's prefixes, each by the text of its turns
+  SELECT c, d, len(l) AS n, CASE WHEN d = 0 THEN '' ELSE l[d].t END AS t,
+         array_to_string(list_transform(l[1:d], lambda x: len(x.r) || ':' || len(x.t) || ':' || x.r || x.t), '') AS k
+  FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT d, k, min(c) AS c, count(*) AS n_convs, count(*) FILTER (n = d) AS n_ends,
+         (count(*) - 1) * len(regexp_extract_all(any_value(t), '[^ 	-]+')) AS saved,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '') AS ends
+  FROM path GROUP BY d, k
+), below AS (  -- every node with each of its ancestors and itself, through its smallest member
+  SELECT a.d, a.k, sum(v.saved) AS saved, count(*) FILTER (v.n_convs = v.n_ends) AS n_leaves,
+         count(*) FILTER (v.d = a.d + 1) AS n_children
+  FROM node v JOIN path a ON a.c = v.c AND a.d <= v.d GROUP BY a.d, a.k
+)
+SELECT node.c AS conv_id, node.d AS depth, parent.c AS parent_conv_id, node.n_convs, below.n_children,
+       below.n_leaves, below.saved::BIGINT AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node JOIN below USING (d, k) LEFT JOIN path up ON up.c = node.c AND up.d = node.d - 1
+LEFT JOIN node parent ON parent.d = up.d AND parent.k = up.k
+"""
+
+
+@register("op11_conversation_trie", OP11_SQL)
+def op11_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return conversation_trie.build(tables(spark, sf_dir, "conversations")).drop("last_turn")
+
+
 def _field_sql(col: str) -> str:
     return (f"CASE WHEN {col} IS NULL THEN '-' ELSE CAST(strlen(CAST({col} AS VARCHAR)) AS VARCHAR)"
             f" || ':' || CAST({col} AS VARCHAR) END")
