@@ -533,6 +533,49 @@ def q_stream_scoring(spark, sf_dir):
         "message_id", "device_id", "shipment_id", "anomaly_score", "is_anomaly", "threshold")
 
 
+REPLAYED_LATER = "2024-03-15 00:00:00"  # past a month end, when every message is stale
+
+
+@register("stream_replay")
+def q_stream_replay(spark, sf_dir):
+    """One ingest and one scoring batch, each tried three times: an attempt
+    that dies before its commit, one that commits, and a replay at a later date.
+    One row per message: how often it landed, was quarantined and raised an
+    event, and that event's time."""
+    base = shared_path(spark, "cargoscope-replay", uuid.uuid4().hex)
+    messages = _fx(spark, sf_dir).messages().drop("id")
+    scorer = scoring.linear_scorer(TEST_SCORER_WEIGHTS, TEST_SCORER_BIAS)
+
+    def attempts(process, out):
+        def dies(batch, _):
+            raise KeyboardInterrupt("the driver is gone")
+
+        try:
+            process(out, REPLAYED_LATER, sink=dies)
+        except KeyboardInterrupt:
+            pass
+        process(out, AS_OF)
+        process(out, REPLAYED_LATER)
+
+    attempts(lambda out, as_of, **more: ingest_stream.process_ingest_batch(
+        messages, 0, out, as_of=as_of, **more), f"{base}/out")
+    published = ingest_stream.read_landed(spark, f"{base}/out", "published").drop("batch")
+    attempts(lambda out, as_of, **more: scoring_stream.process_scoring_batch(
+        published, 0, out, scorer, as_of=as_of, **more), f"{base}/scored")
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    landed = ingest_stream.read_landed(spark, f"{base}/out", "telemetry").select(
+        "message_id", one.alias("landed"), none.alias("quarantined"), none.alias("events"),
+        F.lit(None).cast("long").alias("event_micros"))
+    quarantined = ingest_stream.read_landed(spark, f"{base}/out", "quarantine").select(
+        "message_id", none, one, none, F.lit(None).cast("long")).toDF(*landed.columns)
+    raised = ingest_stream.read_landed(spark, f"{base}/scored", "anomaly_events").select(
+        F.get_json_object("details", "$.message_id"), none, none, one,
+        F.unix_micros(F.col("event_time").cast("timestamp"))).toDF(*landed.columns)
+    return landed.unionByName(quarantined).unionByName(raised).groupBy("message_id").agg(
+        F.sum("landed").alias("n_landed"), F.sum("quarantined").alias("n_quarantined"),
+        F.sum("events").alias("n_events"), F.max("event_micros").alias("event_micros"))
+
+
 @register("route_risk_all")
 def q_route_risk_all(spark, sf_dir):
     """E1 over every anomaly event (no newest-n cut)."""

@@ -764,6 +764,16 @@ raised AS (SELECT shipment_id, false AS resolved FROM landed WHERE {raw_score_sq
 {page}) q"""
 
 
+@oracle("stream_replay", MESSAGE_VIEWS)
+def _():
+    raised = f"reject_reason IS NULL AND {raw_score_sql()} >= 0.75"
+    return f"""
+SELECT message_id, (reject_reason IS NULL)::BIGINT AS n_landed,
+       (reject_reason IS NOT NULL)::BIGINT AS n_quarantined, ({raised})::BIGINT AS n_events,
+       CASE WHEN {raised} THEN epoch_us({TS}) END AS event_micros
+FROM ({decoded_sql(True)}) x"""
+
+
 # ---------------------------------------------------------------- loose decode (scoring side)
 FLOAT_TEXT_SQL = (r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?"
                   r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")

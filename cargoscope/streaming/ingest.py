@@ -1,11 +1,14 @@
 """Ingest stream (G1, G3, G4, G5): messages -> decode -> validate -> sinks.
 
-* Exactly-once (G4): the source offsets live in the checkpoint; each sink
-  writes its batch's own folder or partitions in overwrite mode, so a replayed
-  batch replaces its output. Redelivered message ids are dropped within
-  ``DEDUP_WINDOW``, measured by the time the stream itself reads a message.
-  That time never runs back, so no message is ever late for the watermark,
-  whatever its file's age, its broker timestamp or its telemetry time.
+* Exactly-once (G4): the source offsets live in the checkpoint, and a batch
+  counts once the commit log (``streaming.commits``) names its files. Readers
+  follow the log; a batch that is in it is not processed again. The batch's
+  "now" is the read time that Spark stores with its offsets, so an attempt
+  after a crash judges lateness as the first one did. Redelivered message ids
+  are dropped within ``DEDUP_WINDOW``, measured by the read time, which never
+  runs back, so no message is ever late for the watermark, whatever its
+  file's age, its broker timestamp or its telemetry time. Topics
+  (``published``, a broker) may get a message twice, with the same id.
 * Late data (G3) is a rule with a recorded reason (``stale``).
 * Delivery attempts (G5): publishing is retried with doubling pauses. What
   still fails after ``MAX_ATTEMPTS`` goes to the dead-letter folder with that
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from cargoscope import schemas
 from cargoscope.operators import tables, validate
 from cargoscope.sources import messages as msgsrc
+from cargoscope.streaming.commits import Batch, CommitLog, stream_identity
 
 DEDUP_WINDOW = "24 hours"
 MAX_ATTEMPTS = 5  # deliveries before a message counts as dead (fixed value)
@@ -31,13 +35,26 @@ FIRST_PAUSE_S = 1.0
 PUBLISH_FAILED = "publish_failed"
 
 
+def with_read_time(messages: DataFrame) -> DataFrame:
+    """Adds the time at which the batch was first read (Spark keeps it with the
+    batch's offsets, so a replay has the same). A message without an id is known
+    by its body, which a redelivery repeats."""
+    body = F.sha2(F.coalesce("value", F.lit("")).cast("binary"), 256)
+    return messages.withColumns({"read_time": F.current_timestamp(),
+                                 "message_id": F.coalesce("message_id", body)})
+
+
 def deduplicated(messages: DataFrame, window: str = DEDUP_WINDOW) -> DataFrame:
     """Drops message ids that the stream has read within ``window``."""
-    return (messages.withColumn("read_time", F.current_timestamp())
-            .withWatermark("read_time", window)
+    return (with_read_time(messages).withWatermark("read_time", window)
             .dropDuplicatesWithinWatermark(["message_id"]))
 
 
+def now_of(batch: DataFrame, as_of=None):
+    """The batch's "now": ``as_of``, else its read time, else the clock."""
+    return F.col("read_time") if as_of is None and "read_time" in batch.columns else as_of
+
+
 def landed_telemetry(accepted: DataFrame) -> DataFrame:
     """Accepted messages as rows of the telemetry table (declared schema and
     types). The id is a digest of the message id, so a replay lands the same
@@ -64,54 +81,54 @@ def publish(write: Callable[[], None], attempts: int = MAX_ATTEMPTS,
 
 def process_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, as_of=None,
                          sink: Callable[[DataFrame, int], None] | None = None,
-                         attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S) -> None:
-    """One micro-batch: decode, validate, then the idempotent sinks.
+                         attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S,
+                         stream: str = "", log: CommitLog | None = None) -> None:
+    """One micro-batch: decode, validate, write every sink, commit. Does
+    nothing if (``stream``, ``batch_id``) is committed already.
 
     ``sink(messages, batch_id)`` publishes elsewhere than to files, e.g. to a
-    broker. The checked batch is written once and read by every sink.
+    broker. The checked batch is written once, read by every sink and removed.
     """
-    target = f"batch_id={batch_id}"
-    checked_dir = f"{out_dir}/checked/{target}"
-    decoded = validate.decode_telemetry(batch)
-    checked = validate.validate_telemetry(decoded, as_of=as_of, time_col="timestamp")
-    validate.ingest_result(checked).drop("body_snippet").write.mode("overwrite").parquet(checked_dir)
-    checked = batch.sparkSession.read.parquet(checked_dir)
-    if checked.isEmpty():  # a trigger that only moves the dedup window
+    log = log or CommitLog(batch.sparkSession, out_dir)
+    if log.committed(stream, batch_id):
         return
-    accepted, rejected = validate.split_valid(checked)
-
-    def files():
-        msgsrc.publish_frame(accepted).write.mode("overwrite").json(f"{out_dir}/published/{target}")
-
-    def elsewhere():
-        sink(msgsrc.publish_frame(accepted), batch_id)
-
-    used = publish(files if sink is None else elsewhere, attempts, pause_s)
-    msgsrc.quarantine_frame(rejected).write.mode("overwrite").parquet(f"{out_dir}/quarantine/{target}")
-    if used is None:
-        dead = accepted.withColumn("reject_reason", F.lit(PUBLISH_FAILED))
-        results = dead.withColumn("status_code", F.lit(validate.STATUS_SERVER_ERROR))
-        msgsrc.quarantine_frame(dead, attempts=attempts).write.mode("overwrite").parquet(
-            f"{out_dir}/dead_letter/{target}")
-    else:
-        results = accepted
-        write_partitions(landed_telemetry(accepted), f"{out_dir}/telemetry", batch_id)
-    (results.select("message_id", "status_code").unionByName(rejected.select("message_id", "status_code"))
-     .write.mode("overwrite").parquet(f"{out_dir}/results/{target}"))
-
-
-def write_partitions(rows: DataFrame, path: str, batch_id: int, time_col: str = "event_time") -> None:
-    """Lands a batch as ``event_month=…/batch_id=…``: month first, so readers
-    list and prune months; a replay replaces just its own partitions."""
-    (tables.with_time_partitions(rows, time_col).drop("event_date")
-     .withColumn("batch_id", F.lit(batch_id))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("event_month", "batch_id").parquet(path))
+    with log.batch(stream, batch_id) as out:
+        decoded = validate.decode_telemetry(batch)
+        checked = validate.validate_telemetry(decoded, as_of=now_of(batch, as_of), time_col="timestamp")
+        checked = out.stage(validate.ingest_result(checked).drop("body_snippet"))
+        if checked.isEmpty():  # a trigger that only moves the dedup window
+            return
+        accepted, rejected = validate.split_valid(checked)
+
+        def files():
+            out.write("published", msgsrc.publish_frame(accepted), fmt="json")
+
+        def elsewhere():
+            sink(msgsrc.publish_frame(accepted), batch_id)
+
+        used = publish(files if sink is None else elsewhere, attempts, pause_s)
+        out.write("quarantine", msgsrc.quarantine_frame(rejected))
+        if used is None:
+            dead = accepted.withColumn("reject_reason", F.lit(PUBLISH_FAILED))
+            results = dead.withColumn("status_code", F.lit(validate.STATUS_SERVER_ERROR))
+            out.write("dead_letter", msgsrc.quarantine_frame(dead, attempts=attempts))
+        else:
+            results = accepted
+            write_partitions(out, "telemetry", landed_telemetry(accepted))
+        out.write("results", results.select("message_id", "status_code").unionByName(
+            rejected.select("message_id", "status_code")))
+
+
+def write_partitions(out: Batch, sink: str, rows: DataFrame, time_col: str = "event_time") -> None:
+    """Lands a batch's rows by ``event_month``, so readers prune months."""
+    out.write(sink, tables.with_time_partitions(rows, time_col).drop("event_date"), by=["event_month"])
 
 
 def compact(spark: SparkSession, path: str, month: str, target: str) -> None:
-    """Rewrites one month's batches as few device-clustered files under ``target``."""
-    rows = spark.read.parquet(path).filter(F.col("event_month") == month).drop("event_month", "batch_id")
+    """Rewrites one month's batches of a committed sink (``<folder>/<sink>``) as
+    few device-clustered files under ``target``."""
+    root, _, sink = path.rstrip("/").rpartition("/")
+    rows = CommitLog(spark, root).read(sink).filter(F.col("event_month") == month).drop("event_month", "batch")
     tables.write_telemetry(rows, target, grain="month", mode="append")
 
 
@@ -129,11 +146,14 @@ def run_ingest(spark: SparkSession, source_dir: str | None, out_dir: str, checkp
     """
     stream = msgsrc.read_messages(spark, source_dir, streaming=True, fmt=fmt, options=options,
                                   max_files_per_trigger=max_files_per_trigger)
-    if dedup:
-        stream = deduplicated(stream)
-    writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: process_ingest_batch(df, bid, out_dir, as_of, sink,
-                                                                 attempts, pause_s))
+    stream = deduplicated(stream) if dedup else with_read_time(stream)
+    log = CommitLog(spark, out_dir)
+
+    def step(df, bid):
+        process_ingest_batch(df, bid, out_dir, as_of, sink, attempts, pause_s,
+                             stream_identity(spark, checkpoint_dir), log)
+
+    writer = (stream.writeStream.foreachBatch(step)
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
         writer = writer.trigger(availableNow=True)
@@ -143,8 +163,5 @@ def run_ingest(spark: SparkSession, source_dir: str | None, out_dir: str, checkp
 
 
 def read_landed(spark: SparkSession, out_dir: str, sink: str) -> DataFrame:
-    """Read one sink of the ingest stream back as a table."""
-    if sink == "published":
-        return spark.read.schema("message_id string, value string, attributes map<string,string>") \
-            .json(f"{out_dir}/published")
-    return spark.read.parquet(f"{out_dir}/{sink}")
+    """One sink of the ingest stream as a table: the committed batches' files."""
+    return CommitLog(spark, out_dir).read(sink)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cargoscope.operators import dashboard
 from cargoscope.operators.rates import RATE_LIMIT_COUNT, RATE_LIMIT_SECONDS, rate_violations
-from cargoscope.sources.tables import read_table
+from cargoscope.streaming.commits import CommitLog
 
 REFRESH_EVERY = "5 seconds"
 PAGE_SIZE = 200
@@ -53,8 +53,8 @@ def read_page(spark: SparkSession, out_path: str) -> DataFrame:
 def load_landed(spark: SparkSession, shipments: DataFrame, ingest_dir: str,
                 scoring_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The dashboard's tables over what the streams landed."""
-    return (shipments, read_table(spark, f"{ingest_dir}/telemetry", "telemetry"),
-            read_table(spark, f"{scoring_dir}/anomaly_events", "anomaly_events"))
+    return (shipments, CommitLog(spark, ingest_dir).read("telemetry"),
+            CommitLog(spark, scoring_dir).read("anomaly_events"))
 
 
 def start_refresh(spark: SparkSession, load, out_path: str, checkpoint_dir: str,

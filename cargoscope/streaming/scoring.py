@@ -3,12 +3,14 @@
 Malformed messages are skipped from the results but acknowledged (S18): the
 checkpoint commits them and they are counted in the skipped sink. The scorer
 is the same pluggable one as in batch (a fitted pipeline is shipped to the
-executors once per batch, not called once per message). Landed events have
-ids made from their message ids, so a replayed batch changes nothing.
+executors once per batch, not called once per message). Sinks are committed
+batch by batch (``streaming.commits``), as in the ingest stream; landed events
+have ids made from their message ids.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,33 +19,44 @@ from pyspark.sql import functions as F
 from cargoscope.operators import scoring, validate
 from cargoscope.schemas import ANOMALY_THRESHOLD
 from cargoscope.sources import messages as msgsrc
+from cargoscope.streaming.commits import CommitLog, stream_identity
 from cargoscope.streaming.ingest import deduplicated, write_partitions
 
+EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+MESSAGE_ONLY = ("attributes", "arrival_time")  # not needed once a message is decoded
+
 
 def process_scoring_batch(batch: DataFrame, batch_id: int, out_dir: str, scorer,
                           threshold: float = ANOMALY_THRESHOLD, as_of=None,
-                          sink: Callable[[DataFrame, int], None] | None = None) -> None:
-    """One micro-batch: the decoded and scored batch is written once and read
-    by every sink."""
-    spark, target = batch.sparkSession, f"batch_id={batch_id}"
-    decoded = validate.decode_features(batch)
-    decoded.write.mode("overwrite").parquet(f"{out_dir}/decoded/{target}")
-    decoded = spark.read.parquet(f"{out_dir}/decoded/{target}")
-    if decoded.isEmpty():
+                          sink: Callable[[DataFrame, int], None] | None = None,
+                          stream: str = "", log: CommitLog | None = None) -> None:
+    """One micro-batch: the decoded batch is staged once and read by every
+    sink; does nothing if the batch is committed already. An event's time is
+    the batch's read time, so it is the same in every attempt."""
+    log = log or CommitLog(batch.sparkSession, out_dir)
+    if log.committed(stream, batch_id):
         return
-    ok = decoded.filter(F.col("decode_reason").isNull())
-    flagged = scoring.flag_anomalies(scoring.score(ok, scorer), threshold)
-    scoring.anomaly_results(flagged).write.mode("overwrite").parquet(f"{out_dir}/results/{target}")
-    results = spark.read.parquet(f"{out_dir}/results/{target}")
-    messages, events = scoring.emit_anomalies(results, as_of=as_of)
-    if sink is None:
-        messages.write.mode("overwrite").json(f"{out_dir}/anomaly_messages/{target}")
-    else:
-        sink(messages, batch_id)
-    write_partitions(events, f"{out_dir}/anomaly_events", batch_id)
-    skipped = decoded.filter(F.col("decode_reason").isNotNull()).withColumnRenamed(
-        "decode_reason", "reject_reason")
-    msgsrc.quarantine_frame(skipped).write.mode("overwrite").parquet(f"{out_dir}/skipped/{target}")
+    with log.batch(stream, batch_id) as out:
+        decoded = out.stage(validate.decode_features(batch).drop(*MESSAGE_ONLY))
+        if decoded.isEmpty():
+            return
+        ok = decoded.filter(F.col("decode_reason").isNull())
+        flagged = scoring.flag_anomalies(scoring.score(ok, scorer), threshold)
+        now = as_of
+        if as_of is None and "read_time" in decoded.columns:  # one time in all rows of a batch
+            micros = decoded.select(F.unix_micros(F.max("read_time")).alias("t")).first()["t"]
+            now = EPOCH + dt.timedelta(microseconds=micros)
+        results = out.stage(scoring.anomaly_results(flagged))
+        out.write("results", results)
+        messages, events = scoring.emit_anomalies(results, as_of=now)
+        if sink is None:
+            out.write("anomaly_messages", messages, fmt="json")
+        else:
+            sink(messages, batch_id)
+        write_partitions(out, "anomaly_events", events)
+        skipped = decoded.filter(F.col("decode_reason").isNotNull()).withColumnRenamed(
+            "decode_reason", "reject_reason")
+        out.write("skipped", msgsrc.quarantine_frame(skipped))
 
 
 def run_scoring(spark: SparkSession, source_dir: str | None, out_dir: str, checkpoint_dir: str, scorer,
@@ -55,9 +68,13 @@ def run_scoring(spark: SparkSession, source_dir: str | None, out_dir: str, check
     stream = deduplicated(msgsrc.read_messages(spark, source_dir, streaming=True, fmt=fmt,
                                                options=options,
                                                max_files_per_trigger=max_files_per_trigger))
-    writer = (stream.writeStream
-              .foreachBatch(lambda df, bid: process_scoring_batch(df, bid, out_dir, scorer,
-                                                                  threshold, as_of, sink))
+    log = CommitLog(spark, out_dir)
+
+    def step(df, bid):
+        process_scoring_batch(df, bid, out_dir, scorer, threshold, as_of, sink,
+                              stream_identity(spark, checkpoint_dir), log)
+
+    writer = (stream.writeStream.foreachBatch(step)
               .option("checkpointLocation", checkpoint_dir))
     if available_now:
         writer = writer.trigger(availableNow=True)
