@@ -10,13 +10,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import as_of_for
 from cargoscope.operators.scoring import ASSEMBLED, MODEL_INPUTS
 from cargoscope.operators.tables import since_partitions
-from cargoscope.plans.ranking import with_global_position
+from cargoscope.plans.ranking import kth_key, with_global_position
 from cargoscope.schemas import FEATURE_COLS, LABEL_COL
 
 TRAIN_WINDOW_DAYS = 90
@@ -82,31 +82,18 @@ def temporal_split(df: DataFrame, order: list[str], fraction: float = TRAIN_FRAC
     """Adds ``split`` = train for the first ``floor(fraction * n)`` rows in
     ``order`` and test for the rest (F5, S23).
 
-    ``order`` must be total and start with a time; (time, device_id, a unique
-    id) is the intended one. Only the cut is looked for: counts per day, then
-    per minute of the cut's day, then the order inside that minute. The rows
-    themselves pass one comparison with the cut's key: no shuffle, no copy.
+    ``order`` must be total; (time, device_id, a unique id) is the intended
+    one. Only the cut is looked for, by selection on the whole key
+    (``plans.ranking.kth_key``), so it makes no difference how many rows share
+    a day, a minute or an instant. The rows themselves pass one comparison with
+    the cut's key: no shuffle, no copy.
     """
-    t = F.col(order[0])
-    parts = df.select(*order)
-    total = parts.count()
-    left = math.floor(float(total) * float(fraction))
-    if not left:
+    total = df.count()
+    last = kth_key(df, order, math.floor(float(total) * float(fraction)))
+    if last is None:
         return df.withColumn("split", F.lit("test"))
-    for unit in ("day", "minute"):
-        bucket = F.date_trunc(unit, t)
-        run = Window.orderBy(F.col("bucket").asc_nulls_first())
-        counts = (parts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-                  .withColumn("upto", F.sum("n").over(run)))  # a row per day, or per minute of a day
-        hit = counts.filter((F.col("upto") >= left) & (F.col("upto") - F.col("n") < left)).head()
-        left -= hit["upto"] - hit["n"]
-        parts = parts.filter(bucket.eqNullSafe(F.lit(hit["bucket"]).cast(
-            dict(counts.dtypes)["bucket"])))
     key = F.struct(*[F.col(c) for c in order])
-    last = (parts.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-            .filter(F.col("place") == left).select(key.alias("last")))  # the rows of one minute
-    cut = df.crossJoin(F.broadcast(last))  # one row
-    return cut.withColumn("split", F.when(key <= F.col("last"), "train").otherwise("test")).drop("last")
+    return df.withColumn("split", F.when(key <= last, "train").otherwise("test"))
 
 
 def with_row_positions(df: DataFrame, order: list[str], num_partitions: int | None = None) -> DataFrame:

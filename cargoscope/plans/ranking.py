@@ -153,3 +153,82 @@ def with_rolling_mean(df: DataFrame, key: str, order: list[str], value: str, nam
     combined, cols = _halo_partitions(df, key, order, [value], preceding, num_partitions)
     frame = Window.partitionBy("_target", key).orderBy(*cols).rowsBetween(-preceding, 0)
     return _own_rows(combined.withColumn(name, F.avg(value).over(frame)))
+
+
+PIVOTS = 63  # keys that one round of the selection compares with
+FEW = 4096  # rows that are sorted outright
+
+
+def _taken(column: str, dtype: str) -> Column:
+    """A key column in a form that a driver value carries exactly."""
+    if dtype == "timestamp":
+        return F.unix_micros(column).alias(column)
+    return F.col(column).cast("string").alias(column) if dtype in ("timestamp_ntz", "date") else F.col(column)
+
+
+def _given(value, dtype: str) -> Column:
+    """The literal of a value that ``_taken`` brought to the driver."""
+    if dtype == "timestamp" and value is not None:
+        return F.timestamp_micros(F.lit(value))
+    return F.lit(value).cast(dtype)
+
+
+def _interval_of(key: Column, pivots: list[Column], first: int = 0) -> Column:
+    """2i for a key between pivots i-1 and i, 2i+1 for one equal to pivot i,
+    by binary search over the sorted pivots."""
+    if not pivots:
+        return F.lit(2 * first)
+    mid = len(pivots) // 2
+    return (F.when(key < pivots[mid], _interval_of(key, pivots[:mid], first))
+            .when(key == pivots[mid], F.lit(2 * (first + mid) + 1))
+            .otherwise(_interval_of(key, pivots[mid + 1:], first + mid + 1)))
+
+
+def kth_key(df: DataFrame, order: list[str], k: int) -> Column | None:
+    """The key (a struct literal of the ``order`` columns, nulls first) of the
+    ``k``-th row of ``df`` in ``order``, counting from 1; None if there is none.
+
+    Selection, not sorting: each round draws ``PIVOTS`` keys (those of least
+    hash), counts the rows between them in one partial aggregation, and goes on
+    with the one interval that holds the row, so rows shrink by about the
+    number of pivots a round. Its bounds on the first column are plain
+    comparisons, which reach the scan. No round moves rows: what is shuffled is
+    at most a count per interval and task. Equal keys, even of all rows, are
+    one pivot and end the search.
+    """
+    types = [dict(df.dtypes)[c] for c in order]
+    key = F.struct(*[F.col(f"`{c}`") for c in order])
+    parts = df.select(*[F.col(f"`{c}`") for c in order])
+
+    def literal(row) -> Column:
+        return F.struct(*[_given(v, t).alias(c) for v, t, c in zip(row, types, order)])
+
+    rows = parts.count()
+    if not 1 <= k <= rows:
+        return None
+    while rows > FEW:
+        drawn = (parts.orderBy(F.xxhash64(*order)).limit(PIVOTS).distinct().orderBy(*order)
+                 .select(*[_taken(c, t) for c, t in zip(order, types)]).collect())
+        pivots = [literal(r) for r in drawn]
+        counts = {r["at"]: r["n"] for r in parts.groupBy(_interval_of(key, pivots).alias("at")).agg(
+            F.count(F.lit(1)).alias("n")).collect()}
+        for at in range(2 * len(pivots) + 1):
+            rows = counts.get(at, 0)
+            if k <= rows:
+                break
+            k -= rows
+        if at % 2:
+            return pivots[at // 2]
+        low, high = at // 2 - 1, at // 2
+        if low >= 0:
+            parts = parts.filter(key > pivots[low])
+            if drawn[low][0] is not None:
+                parts = parts.filter(F.col(f"`{order[0]}`") >= _given(drawn[low][0], types[0]))
+        if high < len(pivots):
+            parts = parts.filter(key < pivots[high])
+            if drawn[high][0] is not None:
+                first = F.col(f"`{order[0]}`")
+                parts = parts.filter(first.isNull() | (first <= _given(drawn[high][0], types[0])))
+    last = (parts.orderBy(*order).limit(k).orderBy(*[F.col(f"`{c}`").desc() for c in order]).limit(1)
+            .select(*[_taken(c, t) for c, t in zip(order, types)]).collect())
+    return literal(last[0])
