@@ -25,17 +25,20 @@ cheapest ``top_k`` routes per scenario before meeting the events. No step
 joins a scenario to a route's full event history.
 
 Candidates: scenarios are reduced to the distinct (lane, route group, days,
-weight) points they ask for; routes meet weight buckets, coarse to fine, and
-only undominated ones go on (``candidate_routes``), so a hot lane never pairs
-all its scenarios with all its routes.
+weight) points they ask for; routes meet stretches of weights, cut finer where
+many routes are needed (``candidate_routes``), so a hot lane never pairs all
+its scenarios with all its routes, wherever their costs cross.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import percent, risk_band, route_label
+from cargoscope.session import ensure_checkpoint_dir
 
 TOP_K = 10
 FRAME_PRECEDING = 30
@@ -48,7 +51,9 @@ DEFAULT_MAX_TRANSIT_DAYS = 7
 DEFAULT_AVOID_ANOMALY_ROUTES = True
 WEIGHT_MIN, WEIGHT_MAX = 0.1, 50000.0
 TRANSIT_MIN, TRANSIT_MAX = 1, 30
-WEIGHT_LEVELS = (4, 64)  # weight buckets per doubling, coarse to fine
+WEIGHT_LEVELS = (0.5, 4)  # grids of weight stretches per doubling, coarse to fine
+CROWDED = 3  # a stretch that keeps more than this times top_k routes is cut again
+SPLIT = 8
 
 
 def _empty() -> F.Column:
@@ -155,73 +160,96 @@ def split_scenarios(scenarios: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 POINT = ["_o", "_d", "_group", "max_transit_days"]
+STRETCH = [*POINT, "_stretch"]  # some of a key's weights, from _from to _to
 
 
-def _undominated(rows: DataFrame, key: list[str], per_octave: int, top_k: int) -> DataFrame:
-    """Routes that can be among the ``top_k`` cheapest for some weight of a
-    key's bucket.
+def _needed(rows: DataFrame, top_k: int) -> DataFrame:
+    """Routes that can be among the ``top_k`` cheapest for some weight of their
+    stretch.
 
     A cost is a line over the weight. Take the ``top_k`` lines that are
-    cheapest at the bucket's middle, and the greatest cost of these at either
-    end of the bucket: a line above both is above all of them throughout, so
-    it cannot be needed. Of equal lines only the ``top_k`` least route ids are.
+    cheapest at the stretch's middle, and the greatest cost of these at either
+    end: a line above both is above all of them throughout, so it is not
+    needed. On a stretch of one weight just the ``top_k`` cheapest are.
     """
-    # Ends widened by 1e-9 so that rounding never puts a weight outside.
-    lo = F.pow(F.lit(2.0), F.col("_bucket") / per_octave) * (1 - 1e-9)
-    hi = F.pow(F.lit(2.0), (F.col("_bucket") + 1) / per_octave) * (1 + 1e-9)
     base, pk = F.col("base_cost_usd"), F.col("cost_per_kg_usd")
-    same = Window.partitionBy(*key, "base_cost_usd", "cost_per_kg_usd").orderBy("route_id")
-    rows = (rows.withColumn("_same", F.row_number().over(same)).filter(F.col("_same") <= top_k)
-            .withColumn("_lo", base + lo * pk).withColumn("_hi", base + hi * pk))
-    middle = Window.partitionBy(*key).orderBy(F.col("_lo") + F.col("_hi"), "route_id")
-    best = (rows.select(*key, "_lo", "_hi", "route_id")
-            .withColumn("_place", F.row_number().over(middle)).filter(F.col("_place") <= top_k)
-            .groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.max("_lo").alias("_top_lo"),
-                               F.max("_hi").alias("_top_hi")))
-    return (rows.join(best, key)
-            .filter((F.col("_n") < top_k) | (F.col("_lo") <= F.col("_top_lo"))
-                    | (F.col("_hi") <= F.col("_top_hi")))
-            .drop("_same", "_lo", "_hi", "_n", "_top_lo", "_top_hi"))
+    rows = (rows.withColumn("_lo", base + F.col("_from") * pk)
+            .withColumn("_hi", base + F.col("_to") * pk))
+    middle = Window.partitionBy(*STRETCH).orderBy(F.col("_lo") + F.col("_hi"), "route_id")
+    best = (rows.select(*STRETCH, "_lo", "_hi", "route_id")
+            .withColumn("_place", F.row_number().over(middle)).filter(F.col("_place") <= top_k))
+    last = best.groupBy(*STRETCH).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_lo").alias("_top_lo"), F.max("_hi").alias("_top_hi"),
+        F.max_by("route_id", F.struct(F.col("_lo") + F.col("_hi"), "route_id")).alias("_last_id"))
+
+    def within(cost: str, top: str) -> F.Column:
+        """Not above, with room for the rounding of costs in between."""
+        return F.col(cost) <= F.col(top) + 1e-9 * (1 + F.abs(top))
+
+    one = (F.col("_lo") < F.col("_top_lo")) | ((F.col("_lo") == F.col("_top_lo"))
+                                               & (F.col("route_id") <= F.col("_last_id")))
+    some = within("_lo", "_top_lo") | within("_hi", "_top_hi")
+    return (rows.join(last, STRETCH)
+            .filter((F.col("_n") < top_k) | F.when(F.col("_from") == F.col("_to"), one).otherwise(some))
+            .drop("_lo", "_hi", "_n", "_top_lo", "_top_hi", "_last_id"))
 
 
-def _bucket_of(per_octave: int) -> F.Column:
-    return F.floor(F.log2("cargo_weight_kg") * float(per_octave)).cast("int")
+def _grid(per_octave: float) -> F.Column:
+    return F.floor(F.log2("cargo_weight_kg") * float(per_octave)).cast("string")
 
 
 def candidate_routes(points: DataFrame, routes: DataFrame, carriers: DataFrame,
-                     top_k: int = TOP_K, levels: tuple[int, ...] = WEIGHT_LEVELS) -> DataFrame:
+                     top_k: int = TOP_K, levels: tuple[float, ...] = WEIGHT_LEVELS) -> DataFrame:
     """Point × route candidates that hold every point's ``top_k`` cheapest routes.
 
-    A point is a (lane, route group, days, weight) that scenarios ask for.
-    Points are bucketed by weight, ``levels`` buckets per doubling, coarse to
-    fine; each level keeps the undominated routes of each bucket, and only
-    those meet the next level's buckets and, last, the points. Days and
-    weights are bounded by the request model, so a route meets a bounded
-    number of first-level buckets.
+    A point is a (lane, route group, days, weight) that scenarios ask for. A
+    key's weights are cut into stretches, and each stretch keeps the lines it
+    can need. One that keeps more than ``CROWDED * top_k`` is cut again, first
+    by the next grid of ``levels`` (stretches per doubling), then into
+    ``SPLIT`` equal parts of the range of its own weights, which always parts
+    the least from the greatest; a stretch of one weight keeps ``top_k``. So a
+    point ends with at most ``CROWDED * top_k`` routes, however many lines
+    cross near it, and lines go on only where stretches are crowded.
     """
+    ensure_checkpoint_dir(points.sparkSession)
     rc = _routes_with_carriers(routes, carriers)
-    kept = rc.select("*", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
-                     F.explode(_route_groups(F.col("carrier_ids_filter"), F.col("carrier_id")))
-                     .alias("_group"))
-    on = ["_o", "_d", "_group"]
-    parent = None
-    for per_octave in levels:
-        buckets = points.withColumn("_bucket", _bucket_of(per_octave))
-        if parent is not None:
-            kept = kept.withColumnRenamed("_bucket", "_parent")
-            buckets = buckets.withColumn("_parent", _bucket_of(parent))
-            on = [*POINT, "_parent"]
-        kept = kept.join(buckets.select(*dict.fromkeys([*POINT, "_bucket", *on])).distinct(), on)
-        kept = kept.drop("_parent").filter(
-            F.col("estimated_transit_days") <= F.col("max_transit_days"))
-        kept = _undominated(kept, [*POINT, "_bucket"], per_octave, top_k)
-        parent = per_octave
-    return (points.withColumn("_bucket", _bucket_of(parent)).join(kept, [*POINT, "_bucket"])
-            .drop("_bucket").withColumn("estimated_cost_usd", _cost()))
+    lines = rc.select("*", F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
+                      F.explode(_route_groups(F.col("carrier_ids_filter"), F.col("carrier_id")))
+                      .alias("_group"))
+    # Of equal lines only the top_k least route ids can be needed.
+    same = Window.partitionBy("_o", "_d", "_group", "estimated_transit_days", "base_cost_usd",
+                              "cost_per_kg_usd").orderBy("route_id")
+    lines = lines.withColumn("_same", F.row_number().over(same)).filter(
+        F.col("_same") <= top_k).drop("_same")
+    fits = F.col("estimated_transit_days") <= F.col("max_transit_days")
+    on, grids, done = ["_o", "_d", "_group"], list(levels), []
+    todo = points.withColumn("_stretch", _grid(grids.pop(0))).checkpoint()
+    while True:
+        stretches = todo.groupBy(*dict.fromkeys([*STRETCH, *on])).agg(
+            F.min("cargo_weight_kg").alias("_from"), F.max("cargo_weight_kg").alias("_to"))
+        kept = _needed(lines.join(stretches, on).filter(fits).drop("_parent"), top_k).checkpoint()
+        crowded = (kept.groupBy(*STRETCH, "_from", "_to").agg(F.count(F.lit(1)).alias("_n"))
+                   .filter((F.col("_n") > CROWDED * top_k) & (F.col("_from") < F.col("_to")))
+                   .drop("_n").checkpoint())
+        if crowded.isEmpty():
+            done.append(todo.join(kept.drop("_from", "_to"), STRETCH))
+            break
+        done.append(todo.join(kept.drop("_from", "_to").join(
+            crowded.select(*STRETCH), STRETCH, "left_anti"), STRETCH))
+        lines = (kept.drop("_from", "_to").join(crowded.select(*STRETCH), STRETCH)
+                 .withColumnRenamed("_stretch", "_parent"))
+        share = (F.col("cargo_weight_kg") - F.col("_from")) / (F.col("_to") - F.col("_from"))
+        part = _grid(grids.pop(0)) if grids else F.least(
+            F.floor(share * SPLIT), F.lit(SPLIT - 1)).cast("string")
+        todo = (todo.join(crowded, STRETCH).withColumn("_parent", F.col("_stretch"))
+                .withColumn("_stretch", F.concat_ws("/", "_parent", part)).drop("_from", "_to"))
+        on = [*POINT, "_parent"]
+    out = reduce(DataFrame.unionByName, [d.drop("_parent") for d in done])
+    return out.drop("_stretch").withColumn("estimated_cost_usd", _cost())
 
 
 def cheapest_routes(scenarios: DataFrame, routes: DataFrame, carriers: DataFrame,
-                    top_k: int = TOP_K, levels: tuple[int, ...] = WEIGHT_LEVELS) -> DataFrame:
+                    top_k: int = TOP_K, levels: tuple[float, ...] = WEIGHT_LEVELS) -> DataFrame:
     """Each valid scenario's ``top_k`` cheapest routes (C3, C6, B11-B13), ties
     by route id. ``scenario_id`` must be unique.
 

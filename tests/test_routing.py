@@ -180,6 +180,29 @@ def test_narrow_costs_on_one_lane_do_not_pair_up(spark):
     assert routing.candidate_routes(points, equal, carriers(spark)).count() == 200 * 10
 
 
+@pytest.mark.parametrize("through_one_point", [True, False])
+def test_crossing_costs_keep_few_routes_per_weight(spark, through_one_point):
+    """400 lines cross inside one narrow range of 400 weights, in one point or in many."""
+    n = 400
+    routes = []
+    for i in range(n):
+        pk = 1.0 + i / n
+        at = 1000.0 if through_one_point else 1000.0 + (i % 97) / 97
+        routes.append((f"R{i:03d}", "A", "B", "C1", 2.0, 5000.0 - at * pk + (0 if through_one_point else i / 40),
+                       pk, None, None, True))
+    scens = [(j, "A", "B", 1000.0 + j / n, [], 7, False) for j in range(n)]
+    r, s = spark.createDataFrame(routes, ROUTE_SCHEMA), spark.createDataFrame(scens, SCEN_SCHEMA)
+    points = s.select(F.col("origin_hub").alias("_o"), F.col("destination_hub").alias("_d"),
+                      F.lit("all").alias("_group"), "max_transit_days", "cargo_weight_kg")
+    per_point = routing.candidate_routes(points, r, carriers(spark)).groupBy("cargo_weight_kg").count()
+    assert per_point.agg(F.max("count")).first()[0] <= routing.CROWDED * routing.TOP_K
+    expected = brute_force_top_routes(spark, scens, routes)
+    got = {}
+    for row in routing.cheapest_routes(s, r, carriers(spark)).collect():
+        got.setdefault(row.scenario_id, []).append((row.estimated_cost_usd, row.route_id))
+    assert {k: sorted(v) for k, v in got.items()} == expected
+
+
 def test_rejected_scenarios_come_back_with_a_reason(spark):
     s = spark.createDataFrame([scen(1), (2, "A", "B", 0.01, [], 7, True)], SCEN_SCHEMA)
     r = spark.createDataFrame([route("R1", 10.0)], ROUTE_SCHEMA)
