@@ -68,6 +68,23 @@ def upsert_shipments(current: DataFrame, updates: DataFrame, as_of=None,
                   "full_outer").select(*_merge_columns(now))
 
 
+def shipments_table(spark, path: str, buckets: int = 256):
+    """The shipments table in buckets by shipment, for :func:`upsert_buckets`."""
+    from cargoscope.sources.buckets import BucketedTable, hashed
+    return BucketedTable(spark, path, hashed("shipment_id", buckets=buckets))
+
+
+def upsert_buckets(table, updates: DataFrame, as_of=None, seq_col: str = "seq") -> list[int]:
+    """:func:`upsert_shipments` into a bucketed table: reads and rewrites the
+    buckets that hold an update's shipment; the others' files stay. Returns
+    the buckets rewritten."""
+    def combine(current, changes):
+        if current is None:
+            current = changes.sparkSession.createDataFrame([], schemas.SHIPMENTS)
+        return upsert_shipments(current, changes, as_of, seq_col)
+    return table.merge(updates, combine)
+
+
 def json_text(col: str) -> F.Column:
     """Text that a JSON column takes; anything else raises, as the cast does
     in the database (use :func:`bad_json` to find such rows first)."""

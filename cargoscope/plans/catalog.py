@@ -21,6 +21,7 @@ from cargoscope.sources.fixtures import AS_OF, Fixtures
 from cargoscope.sources.messages import pull, quarantine_frame
 from cargoscope.streaming import ingest as ingest_stream
 from cargoscope.streaming import scoring as scoring_stream
+from cargoscope.streaming.maintained import MaintainedSummary
 from cargoscope.streaming.refresh import load_landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -257,6 +258,17 @@ def q_shipments_upsert(spark, sf_dir):
     return tables.upsert_shipments(fx.shipments(), fx.shipment_updates(), as_of=AS_OF)
 
 
+@register("shipments_upsert_buckets")
+def q_shipments_upsert_buckets(spark, sf_dir):
+    """The same upsert into a bucketed table, in two merges (the load,
+    then the updates); only the updates' buckets are rewritten."""
+    fx = _fx(spark, sf_dir)
+    table = tables.shipments_table(spark, shared_path(spark, "cargoscope-buckets", uuid.uuid4().hex))
+    table.merge(fx.shipments(), lambda _, rows: rows.select(*tables.SHIPMENT_COLUMNS))
+    tables.upsert_buckets(table, fx.shipment_updates(), as_of=AS_OF)
+    return table.read()
+
+
 @register("orphan_telemetry")
 def q_orphan_telemetry(spark, sf_dir):
     """Telemetry rows whose shipment does not exist."""
@@ -355,6 +367,19 @@ def q_rate_violations(spark, sf_dir):
     return rates.rate_violations(ev, "user_id", threshold=3, seconds=86400, time_col="ts")
 
 
+@register("rate_violations_maintained")
+def q_rate_violations_maintained(spark, sf_dir):
+    """The same counts kept in a table from batches in mixed order of time,
+    one of them applied twice; late rows correct their windows."""
+    events = _fx(spark, sf_dir).table("events")
+    table = rates.counts_table(spark, shared_path(spark, "cargoscope-rates", uuid.uuid4().hex))
+    for batch, part in enumerate((2, 0, 1, 1)):
+        rows = events.filter(F.pmod("event_id", F.lit(3)) == part)
+        table.merge(rates.rate_counts(rows, "user_id", 86400, "ts"), rates.add_counts,
+                    {"events": min(batch, 2)})
+    return rates.over_limit(table.read(), threshold=3, seconds=86400)
+
+
 # ---------------------------------------------------------------- training & evaluation
 TRAIN_KEEP = ["event_id", "device_id", "event_time", "score"]
 SPLIT_ORDER = ["event_time", "device_id", "event_id"]
@@ -486,6 +511,23 @@ def _ingested(spark, sf_dir) -> str:
     return base
 
 
+@register("maintained_summary")
+def q_maintained_summary(spark, sf_dir):
+    """The page of 200 kept up to date over three batches of telemetry,
+    events and changed shipments; anomalies resolved later are taken off."""
+    fx = _fx(spark, sf_dir)
+    kept = MaintainedSummary(spark, shared_path(spark, "cargoscope-page", uuid.uuid4().hex))
+    events, telemetry, shipments = fx.anomaly_events(), fx.telemetry(), fx.shipments()
+    for part in range(3):
+        mine = F.pmod(F.xxhash64("shipment_id"), F.lit(3)) == part
+        arrived = events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part)
+        rows = telemetry.filter(F.pmod("id", F.lit(3)) == part)
+        for _ in range(2):  # the second try of a batch changes nothing
+            kept.apply(rows, arrived.withColumn("resolved", F.lit(False)), shipments.filter(mine),
+                       arrived.filter("resolved"), progress={"batch": part})
+    return kept.page()
+
+
 @register("stream_ingest")
 def q_stream_ingest(spark, sf_dir):
     """The ingest stream (availableNow, several

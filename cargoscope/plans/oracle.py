@@ -835,3 +835,9 @@ SELECT message_id, device_id_raw AS device_id, shipment_id_raw AS shipment_id, a
        anomaly_score >= 0.75 AS is_anomaly, CAST(0.75 AS DOUBLE) AS threshold
 FROM (SELECT *, {raw_score_sql()} AS anomaly_score
       FROM ({features_sql()}) f WHERE decode_reason IS NULL) s"""
+
+
+# The same results by other ways: kept from batches, or in buckets.
+ORACLE["shipments_upsert_buckets"] = ORACLE["shipments_upsert"]
+ORACLE["rate_violations_maintained"] = ORACLE["rate_violations"]
+ORACLE["maintained_summary"] = with_views(SUMMARY_VIEWS, summary_sql(limit=200))
