@@ -68,7 +68,7 @@ STATUS_SERVER_ERROR = 500  # a failed publish
 _STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
-def _entries(body: Column) -> Column:
+def _entries(body: Column, any_case: bool = False) -> Column:
     """Key-value pairs (in text order, repeats kept) of a body that is exactly
     one JSON object; an empty array for ``null``; null for anything else.
 
@@ -81,16 +81,63 @@ def _entries(body: Column) -> Column:
                           "array<map<string,variant>>", _STRICT_JSON)
     alone = (F.size(wrapped) == 2) & F.map_contains_key(F.get(wrapped, F.lit(1)), digest)
     first = F.get(wrapped, F.lit(0))
-    return (F.when(alone & first.isNotNull(), F.map_entries(first))
+    pairs = F.map_entries(first)
+    if any_case:
+        pairs = F.transform(pairs, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    return (F.when(alone & first.isNotNull(), pairs)
             .when(alone & body.rlike("^[ \\t\\n\\r]*null[ \\t\\n\\r]*$"),
                   F.array().cast("array<struct<key:string,value:variant>>")))
 
 
-def _values(name: str, any_case: bool) -> Column:
+# A flat body: one object whose values are texts, numbers of at most 15 digits on
+# either side of the point (no negative zero), truth values or nulls.
+_WS = r"[ \t\n\r]*+"
+_TEXT = r'"(?:[^"\\\x00-\x1f]++|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*+"'
+_NUMBER = r"(?!-0(?:\.0*+)?[^\d.])-?(?:0|[1-9]\d{0,14})(?:\.\d{1,15})?(?:[eE][+-]?\d{1,2})?"
+_PAIR = rf'{_WS}"[A-Za-z0-9_]++"{_WS}:{_WS}(?:{_TEXT}|{_NUMBER}|null|true|false){_WS}'
+FLAT_BODY = rf"^{_WS}\{{{_PAIR}(?:,{_PAIR})*+\}}{_WS}$"
+FLAT_BODY_CHARS = 4096  # longer bodies take the general way, with the same result
+
+
+def _typed(msgs: DataFrame, body: Column, texts: list[str], numbers: list[str],
+           strict: bool) -> DataFrame:
+    """Adds ``_plain``, ``_s``, the typed fields of a plain body, and ``_e``, the
+    entries of any other. ``strict``: known keys match in any case (the entries'
+    keys are lower-case), and a flat body with a known key of another type has no
+    entries, as one that does not parse.
+
+    A flat body is parsed straight into typed fields. That decodes it as the
+    general way does if no text field has a value of another type, and every
+    known key with a value gave a field of its own: a key that comes twice, in
+    another case or with a value of another type makes the two numbers differ.
+    In a flat body a quoted name before a colon is always a key.
+    """
+    schema = ", ".join([f"{c} string" for c in texts] + [f"{c} double" for c in numbers])
+    case, colon = "(?i)" if strict else "", rf'"{_WS}:{_WS}'
+    text, number = (rf'"(?:{"|".join(names)}){colon}' for names in (texts, numbers))
+    given = rf'{case}{text}"|{number}[^n \t\n\r]'
+    other = rf'{case}{text}[^"n \t\n\r]' + (rf'|{number}["tf]' if strict else "")
+    fields = sum((F.col("_s")[c].isNotNull().cast("int") for c in texts + numbers), F.lit(0))
+    flat = F.coalesce((F.length(body) <= FLAT_BODY_CHARS) & body.rlike(FLAT_BODY), F.lit(False))
+    typed = msgs.withColumn("_s", F.when(flat, F.from_json(body, schema))).withColumn(
+        "_other", F.col("_s").isNotNull() & body.rlike(other))
+    plain = (F.col("_s").isNotNull() & ~F.col("_other")
+             & (F.regexp_count(body, F.lit(given)) == fields))
+    entries = F.when(~F.col("_plain") & ~(F.col("_other") & F.lit(strict)), _entries(body, strict))
+    return typed.withColumn("_plain", plain).withColumn("_e", entries)
+
+
+def _values(name: str) -> Column:
     """The values of a key, in text order."""
-    def same(e):
-        return (F.lower(e["key"]) if any_case else e["key"]) == name
-    return F.transform(F.filter("_e", same), lambda e: e["value"])
+    return F.transform(F.filter("_e", lambda e: e["key"] == name), lambda e: e["value"])
+
+
+def _every(values: Column, check, check_one=None) -> Column:
+    """``check`` of every value; a single one (or none) is checked outside the
+    array, where the check compiles (by ``check_one``, if given)."""
+    one = F.get(values, F.lit(0))
+    return (F.when(F.size(values) <= 1, one.isNull() | (check_one or check)(one))
+            .otherwise(F.forall(values, check)))
 
 
 def _last(values: Column, skip_null: bool = False) -> Column:
@@ -140,8 +187,9 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
     """Strict decode of gateway messages (B1, B2). Adds the telemetry fields
     and ``decode_reason`` (``content_type`` / ``malformed`` / null).
 
-    The body is parsed once per row: entries, then the values of each field,
-    are separate projections, which Catalyst keeps apart.
+    A plain body is parsed once into typed fields (:func:`_typed`); any other
+    into its entries, and then the values of each field, in separate
+    projections, which Catalyst keeps apart.
     """
     body = F.col(body_col)
     cut = F.when(F.octet_length(body) > MAX_BODY_BYTES,
@@ -153,30 +201,41 @@ def decode_telemetry(msgs: DataFrame, body_col: str = "value",
                                 == CONTENT_TYPE, F.lit(False))
     kinds = {"device_id": _is_string, "shipment_id": _is_string, "timestamp": _is_instant,
              **{f: _is_number for f in ("lat", "lon", *OPTIONAL_SENSORS)}}
-    staged = msgs.withColumn("_e", _entries(cut))
-    staged = staged.select("*", *[_values(f, any_case=True).alias(f"_a_{f}") for f in kinds])
+    texts = ["device_id", "shipment_id", "timestamp"]
+    staged = _typed(msgs, cut, texts, ["lat", "lon", *OPTIONAL_SENSORS], strict=True)
+    staged = staged.select("*", *[_values(f).alias(f"_a_{f}") for f in kinds])
 
     def null_or(kind):
         return lambda v: F.is_variant_null(v) | kind(v)
 
+    # The time's text and the time are used several times: projections of their own.
+    at = _last(F.col("_a_timestamp"), skip_null=True)
+    staged = staged.withColumn("_text", F.when(F.col("_plain"), F.col("_s")["timestamp"]).otherwise(
+        F.try_variant_get(at, "$", "string"))).withColumn("_time", _instant(F.col("_text")))
+
+    def known_time(value):
+        return F.is_variant_null(value) | (_is_string(value) & F.col("_time").isNotNull())
+
     typed = F.lit(True)
     for f, kind in kinds.items():
-        typed = typed & F.forall(f"_a_{f}", null_or(kind))
+        typed = typed & _every(F.col(f"_a_{f}"), null_or(kind), known_time if f == "timestamp" else None)
     # The gateway checks the content type first, so 415 wins over any body defect.
     reason = (F.when(~content_ok, "content_type")
-              .when(F.col("_e").isNull() | ~F.coalesce(typed, F.lit(False)), "malformed"))
+              .when(F.when(F.col("_plain"), F.col("_text").isNotNull() & F.col("_time").isNull())
+                    .otherwise(F.col("_e").isNull() | ~F.coalesce(typed, F.lit(False))), "malformed"))
     staged = staged.withColumn("decode_reason", reason)
     decoded = F.col("decode_reason").isNull()
 
     def field(name, as_type, skip_null=True):
         # A message that does not decode has no fields (the gateway stops there).
         value = _last(F.col(f"_a_{name}"), skip_null)
-        return F.when(decoded, F.try_variant_get(value, "$", as_type))
+        return F.when(decoded & F.col("_plain"), F.col("_s")[name]).when(
+            decoded, F.try_variant_get(value, "$", as_type))
 
     return _fixed(staged, msgs.columns, [
         field("device_id", "string").alias("device_id"),
         field("shipment_id", "string").alias("shipment_id"),
-        _instant(field("timestamp", "string")).alias("timestamp"),
+        F.when(decoded, F.col("_time")).alias("timestamp"),
         *[F.when(decoded, F.coalesce(field(f, "double"), F.lit(0.0))).alias(f)
           for f in ("lat", "lon")],
         *[field(f, "double", skip_null=False).alias(f) for f in OPTIONAL_SENSORS],
@@ -190,13 +249,13 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     several equal keys the last wins. ``decode_reason`` is ``malformed`` for
     skipped messages (they are still acknowledged, S18).
 
-    Parse once, then last values, in separate projections.
+    Plain bodies by a typed parse, the others by entries and last values.
     """
     ids = ["device_id", "shipment_id"]
     required = ["lat", "lon"]
     optional = [*OPTIONAL_SENSORS, "hours_since_last_checkpoint"]
-    staged = msgs.withColumn("_e", _entries(F.col(body_col)))
-    staged = staged.select("*", *[_last(_values(f, any_case=False)).alias(f"_l_{f}")
+    staged = _typed(msgs, F.col(body_col), ids, required + optional, strict=False)
+    staged = staged.select("*", *[_last(_values(f)).alias(f"_l_{f}")
                                   for f in ids + required + optional])
     staged = staged.select("*", *[F.schema_of_variant(f"_l_{f}").alias(f"_t_{f}")
                                   for f in ids + required + optional])
@@ -213,6 +272,7 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
         return F.col(f"_t_{f}").isNull() | (F.col(f"_t_{f}") == "VOID")
 
     # An empty entry list is JSON null or {}: either lacks the required fields.
+    plain, incomplete = F.col("_plain"), F.lit(False)
     bad = F.col("_e").isNull()
     fields = {}
     for f in ids:
@@ -221,7 +281,10 @@ def decode_features(msgs: DataFrame, body_col: str = "value") -> DataFrame:
     for f in required + optional:
         fields[f] = value(f)
         bad = bad | (fields[f].isNull() if f in required else ~missing(f) & fields[f].isNull())
-    staged = staged.withColumn("decode_reason", F.when(bad, "malformed"))
+    for f in ids + required:
+        incomplete = incomplete | F.col("_s")[f].isNull()
+    fields = {f: F.when(plain, F.col("_s")[f]).otherwise(c) for f, c in fields.items()}
+    staged = staged.withColumn("decode_reason", F.when(F.when(plain, incomplete).otherwise(bad), "malformed"))
     decoded = F.col("decode_reason").isNull()
     # A skipped message has no fields.
     return _fixed(staged, msgs.columns,

@@ -230,3 +230,43 @@ def test_ingest_request_handler_cases(spark):
                                    as_of=AS_OF)[0] == 400
     assert validate.ingest_request(spark, ok, content_type="text/plain", as_of=AS_OF) == (
         415, {"error": "Content-Type must be application/json"})
+
+
+def random_body(rnd):
+    """Flat objects with repeated, re-cased and mistyped keys, and broken ones."""
+    def value():
+        return rnd.choice(['"d"', '""', "null", "5", "-0", "-0.0", "-0.5", "0", "12.25", "1e3", "1E-2", "1e400",
+                           "true", "false", '"12.5"', '" 7 "', '"2024-01-30T23:00:00Z"', '"x\\"lat\\":1"',
+                           '"\\u0041\\n"', "01", "NaN", "[1]", '{"lat":1}', "123456789012345678",
+                           "0.1234567890123456789", '"lat"', "-", '"{"'])
+    keys = ["device_id", "shipment_id", "timestamp", "lat", "lon", "temperature", "humidity", "speed_kmh",
+            "battery_pct", "hours_since_last_checkpoint", "Lat", "DEVICE_ID", "extra", "a1", "lat "]
+    good = {"device_id": '"d"', "shipment_id": '"s"', "timestamp": '"2024-01-30T23:00:00Z"', "lat": "1.5",
+            "lon": "-2"}
+    pairs = list(good.items())
+    for _ in range(rnd.randrange(4)):
+        pairs.insert(rnd.randrange(len(pairs) + 1), (rnd.choice(keys), value()))
+    gap = rnd.choice(["", " ", "\n\t"])
+    body = "{" + ("," + gap).join(f'{gap}"{k}"{gap}:{gap}{v}' for k, v in pairs) + "}"
+    return rnd.choice(["", "", "", " "]) + body + rnd.choice(["", "", "", "\n", "x", ",{}", "}"])
+
+
+def test_typed_and_general_decode_agree(spark, monkeypatch):
+    import random
+    rnd = random.Random(11)
+    rows = [(str(i), random_body(rnd), {"content_type": "application/json"}) for i in range(4000)]
+    msgs = spark.createDataFrame(rows, "message_id string, value string, attributes map<string,string>").cache()
+
+    def both():
+        return ({r.message_id: r for r in validate.decode_telemetry(msgs).collect()},
+                {r.message_id: r for r in validate.decode_features(msgs).collect()})
+
+    typed = both()
+    plain = validate._typed(msgs, F.col("value"), ["device_id", "shipment_id", "timestamp"],
+                            ["lat", "lon", *validate.OPTIONAL_SENSORS], True)
+    assert 400 < plain.filter("_plain").count() < 3600
+    monkeypatch.setattr(validate, "FLAT_BODY_CHARS", -1)
+    general = both()
+    for a, b in zip(typed, general):
+        assert {k: str(v) for k, v in a.items()} == {k: str(v) for k, v in b.items()}
+    assert {r.decode_reason for r in typed[0].values()} == {None, "malformed"}
