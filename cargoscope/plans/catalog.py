@@ -7,6 +7,7 @@ The matching DuckDB SQL lives in ``plans.oracle``.
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import uuid
 from collections.abc import Callable
@@ -21,6 +22,7 @@ from cargoscope.sources.fixtures import AS_OF, Fixtures
 from cargoscope.sources.messages import pull, quarantine_frame
 from cargoscope.streaming import ingest as ingest_stream
 from cargoscope.streaming import scoring as scoring_stream
+from cargoscope.streaming.delivery import RetryPolicy, retry_pass
 from cargoscope.streaming.maintained import MaintainedSummary
 from cargoscope.streaming.refresh import load_landed
 
@@ -618,6 +620,31 @@ def q_stream_replay(spark, sf_dir):
         F.sum("events").alias("n_events"), F.max("event_micros").alias("event_micros"))
 
 
+BAD_MESSAGES = "680"  # the stand-in broker refuses frames with an id that ends so
+
+
+@register("delivery_retries")
+def q_delivery_retries(spark, sf_dir):
+    """A batch whose publish fails, then passes over the retry queue: the
+    broker is away for the first, later it refuses some messages. Response
+    status of every message."""
+    policy = RetryPolicy(groups=4, deliveries=3)
+    out = shared_path(spark, "cargoscope-delivery", uuid.uuid4().hex)
+    start = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
+    away = {"now": True}
+
+    def broker(frame, _name):
+        if away["now"] or not frame.filter(F.endswith("message_id", F.lit(BAD_MESSAGES))).isEmpty():
+            raise OSError("refused")
+
+    ingest_stream.process_ingest_batch(_fx(spark, sf_dir).messages().drop("id"), 0, out, as_of=AS_OF,
+                                       sink=broker, retry=policy, now=start)
+    for seconds in (600, 1300, 2600, 3900):
+        away["now"] = seconds == 600
+        retry_pass(spark, out, broker, policy, now=start + dt.timedelta(seconds=seconds))
+    return ingest_stream.read_landed(spark, out, "results").select("message_id", "status_code")
+
+
 @register("route_risk_all")
 def q_route_risk_all(spark, sf_dir):
     """E1 over every anomaly event (no newest-n cut)."""

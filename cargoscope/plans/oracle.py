@@ -774,6 +774,15 @@ SELECT message_id, (reject_reason IS NULL)::BIGINT AS n_landed,
 FROM ({decoded_sql(True)}) x"""
 
 
+@oracle("delivery_retries", MESSAGE_VIEWS)
+def _():
+    return f"""
+SELECT message_id, CAST(CASE WHEN reject_reason = 'content_type' THEN 415
+                             WHEN reject_reason IS NOT NULL THEN 400
+                             WHEN message_id LIKE '%680' THEN 500 ELSE 202 END AS INTEGER) AS status_code
+FROM ({decoded_sql(True)}) x"""
+
+
 # ---------------------------------------------------------------- loose decode (scoring side)
 FLOAT_TEXT_SQL = (r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?"
                   r"|[iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])\s*$")

@@ -10,14 +10,17 @@
   file's age, its broker timestamp or its telemetry time. Topics
   (``published``, a broker) may get a message twice, with the same id.
 * Late data (G3) is a rule with a recorded reason (``stale``).
-* Delivery attempts (G5): publishing is retried with doubling pauses. What
-  still fails after ``MAX_ATTEMPTS`` goes to the dead-letter folder with that
-  count and a result of 500, and the stream goes on. Rejected messages go to
-  the quarantine sink with reason and snippet.
+* Delivery attempts (G5): with a ``RetryPolicy``, messages that could not be
+  published wait in a durable queue (``streaming.delivery``). Without one,
+  publishing is retried on the spot with doubling pauses, and what still fails
+  after ``MAX_ATTEMPTS`` goes to the dead-letter sink with that count and a
+  result of 500. Rejected messages go to the quarantine sink with reason and
+  snippet.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import time
 from collections.abc import Callable
 
@@ -28,11 +31,12 @@ from cargoscope import schemas
 from cargoscope.operators import tables, validate
 from cargoscope.sources import messages as msgsrc
 from cargoscope.streaming.commits import Batch, CommitLog, stream_identity
+from cargoscope.streaming.delivery import (PUBLISH_FAILED, QUEUE, RetryPolicy, queued, retry_pass,
+                                           ticks_like)
 
 DEDUP_WINDOW = "24 hours"
 MAX_ATTEMPTS = 5  # deliveries before a message counts as dead (fixed value)
 FIRST_PAUSE_S = 1.0
-PUBLISH_FAILED = "publish_failed"
 
 
 def with_read_time(messages: DataFrame) -> DataFrame:
@@ -82,12 +86,15 @@ def publish(write: Callable[[], None], attempts: int = MAX_ATTEMPTS,
 def process_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, as_of=None,
                          sink: Callable[[DataFrame, int], None] | None = None,
                          attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S,
-                         stream: str = "", log: CommitLog | None = None) -> None:
+                         stream: str = "", log: CommitLog | None = None,
+                         retry: RetryPolicy | None = None, now=None) -> None:
     """One micro-batch: decode, validate, write every sink, commit. Does
     nothing if (``stream``, ``batch_id``) is committed already.
 
     ``sink(messages, batch_id)`` publishes elsewhere than to files, e.g. to a
     broker. The checked batch is written once, read by every sink and removed.
+    With ``retry`` a failed publish is not tried again here: the accepted
+    messages wait in the retry queue (``streaming.delivery``).
     """
     log = log or CommitLog(batch.sparkSession, out_dir)
     if log.committed(stream, batch_id):
@@ -106,9 +113,12 @@ def process_ingest_batch(batch: DataFrame, batch_id: int, out_dir: str, as_of=No
         def elsewhere():
             sink(msgsrc.publish_frame(accepted), batch_id)
 
-        used = publish(files if sink is None else elsewhere, attempts, pause_s)
+        used = publish(files if sink is None else elsewhere, 1 if retry else attempts, pause_s)
         out.write("quarantine", msgsrc.quarantine_frame(rejected))
-        if used is None:
+        if used is None and retry:
+            results = accepted.limit(0)  # known once the queue is through with them
+            out.write(QUEUE, queued(accepted, now or dt.datetime.now(dt.timezone.utc), retry))
+        elif used is None:
             dead = accepted.withColumn("reject_reason", F.lit(PUBLISH_FAILED))
             results = dead.withColumn("status_code", F.lit(validate.STATUS_SERVER_ERROR))
             out.write("dead_letter", msgsrc.quarantine_frame(dead, attempts=attempts))
@@ -137,9 +147,14 @@ def run_ingest(spark: SparkSession, source_dir: str | None, out_dir: str, checkp
                max_files_per_trigger: int | None = msgsrc.FILES_PER_TRIGGER, dedup: bool = True,
                fmt: str = "json", options: dict | None = None,
                sink: Callable[[DataFrame, int], None] | None = None,
-               attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S):
+               attempts: int = MAX_ATTEMPTS, pause_s: float = FIRST_PAUSE_S,
+               retry: RetryPolicy | None = None):
     """Start the ingest stream; returns the ``StreamingQuery``.
 
+    With ``retry`` (and a ``sink``) failed deliveries go to the retry queue,
+    which every trigger looks at first; a continuous stream triggers without
+    new messages, too.
+
     ``available_now`` processes what is there and stops (tests, backfills);
     otherwise ``processing_time`` (e.g. ``"5 seconds"``) keeps it running.
     ``fmt`` and ``options`` choose the source (files or a broker).
@@ -147,11 +162,15 @@ def run_ingest(spark: SparkSession, source_dir: str | None, out_dir: str, checkp
     stream = msgsrc.read_messages(spark, source_dir, streaming=True, fmt=fmt, options=options,
                                   max_files_per_trigger=max_files_per_trigger)
     stream = deduplicated(stream) if dedup else with_read_time(stream)
+    if retry and not available_now:
+        stream = stream.unionByName(ticks_like(stream))
     log = CommitLog(spark, out_dir)
 
     def step(df, bid):
+        if retry and sink:
+            retry_pass(spark, out_dir, sink, retry, log=log)
         process_ingest_batch(df, bid, out_dir, as_of, sink, attempts, pause_s,
-                             stream_identity(spark, checkpoint_dir), log)
+                             stream_identity(spark, checkpoint_dir), log, retry)
 
     writer = (stream.writeStream.foreachBatch(step)
               .option("checkpointLocation", checkpoint_dir))
