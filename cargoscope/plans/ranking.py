@@ -89,48 +89,77 @@ def with_running_sums(df: DataFrame, order: list[Column], columns: list[str],
                     *[f"_total_{c}" for c in columns])
 
 
+DRAWN = 64  # keys drawn per range: ranges are then within about an eighth of equal
+
+
+def _bounds(df: DataFrame, order: list[str], ranges: int) -> list[Column]:
+    """Lower bounds (key structs, ascending, all of them rows of ``df``) of the
+    second and later of ``ranges`` ranges with about equally many rows.
+
+    The quantiles of a sketch: the ``DRAWN * ranges`` keys of least hash, which
+    combines over partitions. Being literals, they are the same in every task
+    and in every recomputation.
+    """
+    drawn = df.select(*[F.col(f"`{c}`") for c in order]).orderBy(F.xxhash64(*order)).limit(DRAWN * ranges)
+    place = F.row_number().over(Window.orderBy(*order))  # over the sketch
+    every = F.greatest(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / ranges, F.lit(1.0))
+    types = [dict(df.dtypes)[c] for c in order]
+    rows = (drawn.select("*", place.alias("_place"), every.alias("_every"))
+            .filter((F.col("_place") > 1) & (F.floor((F.col("_place") - 1) / F.col("_every"))
+                                             > F.floor((F.col("_place") - 2) / F.col("_every"))))
+            .select(*[_taken(c, t) for c, t in zip(order, types)]).distinct().orderBy(*order).collect())
+    return [F.struct(*[_given(v, t).alias(c) for v, t, c in zip(r, types, order)]) for r in rows]
+
+
+def _range_of(key: Column, bounds: list[Column], first: int = 0) -> Column:
+    """How many bounds are not above the key, by binary search."""
+    if not bounds:
+        return F.lit(first)
+    mid = len(bounds) // 2
+    return F.when(key < bounds[mid], _range_of(key, bounds[:mid], first)).otherwise(
+        _range_of(key, bounds[mid + 1:], first + mid + 1))
+
+
 def _halo_partitions(df: DataFrame, key: str, order: list[str], carry: list[str], preceding: int,
                      num_partitions: int | None) -> tuple[DataFrame, list]:
-    """Range-partitioned rows plus, per partition, the ``preceding`` rows of
-    its first key that lie in earlier partitions (the halo).
-
-    Rows are range-partitioned on (key, order) and checkpointed. Only a
-    partition's last key can continue into later partitions, so the rows a
-    partition's first key needs from before it are among the last
-    ``preceding`` rows of the last key of the ``preceding`` previous non-empty
-    partitions (each holds at least one row). Those boundary rows (at most
-    ``preceding`` per partition, so bounded by the partition count) are sent
-    to the partitions whose first key matches. Own rows and halo rows (flag
-    ``_halo``, carrying ``key``, ``order`` and ``carry`` only) are
-    range-partitioned on the target partition id, one id per partition, so a
-    window over (``_target``, key) needs no further shuffle and no task holds
-    more than one partition plus its halo. Extra older halo rows are harmless
-    to a frame of ``preceding`` rows.
+    """Rows in ranges of (key, order), one range a task, each with the
+    ``preceding`` rows of its first key that lie in earlier ranges (the halo).
+
+    The ranges' bounds are literals (``_bounds``), so a row's range is an
+    expression over the row: whole rows move once, straight to their range, and
+    nothing is written in between. Only a range's last key can continue, so the
+    halo comes from the last ``preceding`` rows of each range of the next
+    bound's key; it is found over ``key``, ``order`` and ``carry`` alone, cut
+    before it is shuffled, and sent to the next ranges that start in the same
+    key (a bound is a row, so no range is empty, and ``preceding`` of them
+    suffice). A window over (``_target``, key) then needs no further shuffle
+    and no task holds more than a range and its halo. Older halo rows are
+    harmless to a frame of ``preceding`` rows.
     """
     cols = [F.col(c) for c in order]
-    n = _partitions(df, num_partitions)
-    staged = _staged(df, [F.col(key), *cols], n)
-    # Non-empty partitions, densely numbered, with their first and last key (<= n rows).
-    ends = staged.groupBy("_pid").agg(F.min(key).alias("_first_key"), F.max(key).alias("_last_key"))
-    ends = F.broadcast(ends.withColumn("_seq", F.row_number().over(Window.orderBy("_pid"))))
-    last_rows = (staged.join(ends.select("_pid", F.col("_last_key").alias(key), "_seq"), ["_pid", key])
-                 .withColumn("_from_end", F.row_number().over(
-                     Window.partitionBy("_pid").orderBy(*[c.desc() for c in cols])))
-                 .filter(F.col("_from_end") <= preceding))
-    targets = ends.select(F.col("_pid").alias("_target"), F.col("_first_key").alias(key),
-                          F.col("_seq").alias("_target_seq"))
-    halo = (last_rows.select(key, *order, *carry, "_seq",
-                             F.explode(F.sequence(F.col("_seq") + 1, F.col("_seq") + preceding))
-                             .alias("_target_seq"))
-            .join(targets, [key, "_target_seq"])
+    total = [key, *order]
+    bounds = _bounds(df, total, _partitions(df, num_partitions))
+    target = _range_of(F.struct(*[F.col(f"`{c}`") for c in total]), bounds)
+    own = df.withColumn("_target", target).withColumn("_halo", F.lit(False))
+    if not bounds:
+        return own.repartitionById(1, F.col("_target")), cols
+    first_keys = F.array(*[b[key] for b in bounds])  # of ranges 1, 2, ...
+    part = df.select(key, *order, *carry).withColumn("_range", target)
+    from_end = Window.partitionBy("_range").orderBy(*[c.desc() for c in cols])
+    halo = (part.filter(F.get(first_keys, F.col("_range")).eqNullSafe(F.col(key))
+                        & (F.col("_range") < len(bounds)))
+            .withColumn("_from_end", F.row_number().over(from_end))
+            .filter(F.col("_from_end") <= preceding)
+            .withColumn("_target", F.explode(F.sequence(
+                F.col("_range") + 1, F.least(F.col("_range") + preceding, F.lit(len(bounds))))))
+            .filter(F.get(first_keys, F.col("_target") - 1).eqNullSafe(F.col(key)))
             .select("_target", key, *order, *carry, F.lit(True).alias("_halo")))
-    own = staged.withColumn("_target", F.col("_pid")).withColumn("_halo", F.lit(False))
-    combined = own.unionByName(halo, allowMissingColumns=True).repartitionByRange(n, "_target")
-    return combined, cols
+    combined = own.unionByName(halo, allowMissingColumns=True)
+    return combined.repartitionById(len(bounds) + 1, F.col("_target")), cols
 
 
 def _own_rows(df: DataFrame) -> DataFrame:
-    return df.filter(~F.col("_halo")).drop("_pid", "_mono", "_target", "_halo")
+    return df.filter(~F.col("_halo")).drop("_target", "_halo")
 
 
 def with_previous(df: DataFrame, key: str, order: list[str], name: str = "prev",

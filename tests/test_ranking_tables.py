@@ -206,3 +206,33 @@ def test_previous_row_across_partition_layouts(spark, partitions):
            with_previous(df, "key", ["ts", "id"], num_partitions=partitions).collect()}
     w = Window.partitionBy("key").orderBy("ts", "id")
     assert got == {r.id: r.p for r in df.select("id", F.lag("id").over(w).alias("p")).collect()}
+
+
+def test_whole_rows_move_once_and_ranges_are_even(spark):
+    """One exchange of whole rows, nothing written in between, and a hot
+    key's ranges hold at most twice their share."""
+    from cargoscope.plans.ranking import with_previous
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"),
+        (F.col("id") * 7919 % 20_000).alias("ts"), "id", F.lit("payload").alias("payload"))
+    out = with_previous(df, "key", ["ts", "id"], num_partitions=64)
+    plan = plan_text(out).split("== Physical Plan ==")[1]
+    assert "ExistingRDD" not in plan and plan.count("shufflepartitionidpassthrough") == 1
+    assert sum("Exchange" in line for line in plan.splitlines()) == 2  # the halo's cut rows, the rows
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 60 and max(sizes) <= 2 * 20_000 / 64
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 200])
+def test_previous_with_null_keys_equal_times_and_many_ranges(spark, n):
+    from cargoscope.plans.ranking import with_previous
+    rng = random.Random(n)
+    rows = [(rng.choice([None, "a", "b"]), rng.choice([None, 1, 2]), i) for i in range(150)]
+    df = spark.createDataFrame(rows, "key string, ts int, id long")
+    got = {r.id: (None if r.prev is None else r.prev.id) for r in
+           with_previous(df, "key", ["ts", "id"], num_partitions=n).collect()}
+    want = {}
+    for k in (None, "a", "b"):
+        ids = [i for _, _, _, i in sorted((t is not None, t or 0, i, i) for key, t, i in rows if key == k)]
+        want.update(dict(zip(ids, [None, *ids])))
+    assert got == want
