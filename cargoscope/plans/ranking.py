@@ -132,9 +132,9 @@ def _halo_partitions(df: DataFrame, key: str, order: list[str], carry: list[str]
     bound's key; it is found over ``key``, ``order`` and ``carry`` alone, cut
     before it is shuffled, and sent to the next ranges that start in the same
     key (a bound is a row, so no range is empty, and ``preceding`` of them
-    suffice). A window over (``_target``, key) then needs no further shuffle
-    and no task holds more than a range and its halo. Older halo rows are
-    harmless to a frame of ``preceding`` rows.
+    suffice), each of which keeps the nearest ``preceding``. A window over
+    (``_target``, key) then needs no further shuffle and no task holds more
+    than a range and its halo.
     """
     cols = [F.col(c) for c in order]
     total = [key, *order]
@@ -154,6 +154,10 @@ def _halo_partitions(df: DataFrame, key: str, order: list[str], carry: list[str]
                 F.col("_range") + 1, F.least(F.col("_range") + preceding, F.lit(len(bounds))))))
             .filter(F.get(first_keys, F.col("_target") - 1).eqNullSafe(F.col(key)))
             .select("_target", key, *order, *carry, F.lit(True).alias("_halo")))
+    if preceding > 1:  # several earlier ranges may have sent theirs
+        nearest = Window.partitionBy("_target").orderBy(*[c.desc() for c in cols])
+        halo = halo.withColumn("_near", F.row_number().over(nearest)).filter(
+            F.col("_near") <= preceding).drop("_near")
     combined = own.unionByName(halo, allowMissingColumns=True)
     return combined.repartitionById(len(bounds) + 1, F.col("_target")), cols
 
