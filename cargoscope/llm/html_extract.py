@@ -1,28 +1,33 @@
 """Main text of HTML pages as a maximum-scoring subsequence.
 
 A page becomes a line of items in page order: blocks of words and tags. Words
-score by the elements around them, tags negative, and what stands in
-boilerplate elements zero; one linear scan finds the contiguous stretch with
-the greatest sum. The text is what that stretch holds outside boilerplate
-elements.
+score by the elements around them, tags negative; one linear scan finds the
+contiguous stretch with the greatest sum. The text is what that stretch holds
+outside elements learned as boilerplate.
 
 Weights come from labelled pages: pages that mark their main text themselves
-(``article`` or ``main`` elements). What stands outside boilerplate elements
-gives log-odds, inside against outside the main text, per tag name, per
-nearest block element of words and per ``name.class`` key around words; a key
-with a class, id or role whose words are almost never main text is learned as
-boilerplate, beside a fixed list of such elements. The marks are labels only:
-every page is scored by the learned weights, and ``article`` and ``main``
-weigh as ``div`` does.
+(``article`` or ``main`` elements, less the elements in them that HTML sets
+apart from main content: ``APART``). Text outside is put down to the outermost
+element that holds no main text, by its name and by each ``name.class`` of its
+classes, id and role; main text to all elements around it. That gives log-odds
+per such mark and per tag name. A mark whose words are almost never main text
+is learned as boilerplate: each block of its words counts against a stretch as
+a tag does, and is left out inside one. No class or id is known beforehand; ``APART`` elements and
+``header`` start as boilerplate and pages may teach otherwise. The marks are
+labels only: every page is scored by the learned weights, and ``article`` and
+``main`` weigh as ``div`` does. Only what HTML never shows as reading text
+(``UNREAD``: scripts, styles, form controls, hidden elements) goes by rule.
 
 Fitting reads at most about ``max_labelled`` labelled pages, picked by a hash
 of the page, and keeps the ``max_keys`` commonest keys; both are parameters.
-Extraction is per row: no shuffle.
+Extraction is per row, in time linear in the page however deep it nests: no
+shuffle.
 
 Edge cases: null, empty and text-free pages give an empty text; unclosed,
-stray and truncated tags are tolerated; repeated rows give repeated results;
-an empty table, or one without labelled pages, uses the built-in weights;
-extra columns pass through, and give way to a new column of their name.
+stray and truncated tags are tolerated; very long and very deep pages are read
+whole; repeated rows give repeated results; an empty table, or one without
+labelled pages, uses the built-in weights; extra columns pass through, and give
+way to a new column of their name.
 """
 
 from __future__ import annotations
@@ -49,7 +54,6 @@ _MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
                     re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|=|/|\Z)|aria-hidden\s*=\s*["']?true"""
                      r"""|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.IGNORECASE)
-_PART = re.compile(r"[a-z]+")
 
 #: Fixed values of HTML: elements by how they behave.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,19 +67,17 @@ CLOSES_P = frozenset(
     "ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
             "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements that never hold main text.
-BOILERPLATE = frozenset(
-    "head nav footer aside form script style noscript iframe template button select option "
-    "textarea dialog menu svg canvas object embed audio video map datalist fieldset search".split())
-#: Words in a class, id or role that mark an element as boilerplate.
-MARKS = frozenset(
-    "ad ads adv advert advertisement adverts adsense sponsor sponsored promo promotion banner "
-    "navigation navbar nav menu breadcrumb breadcrumbs sidebar footer masthead contentinfo "
-    "complementary notice notices cookie cookies consent gdpr disclaimer alert popup modal overlay "
-    "newsletter subscribe subscription signup login paywall comment comments disqus respond "
-    "replies reply share sharing social related recommended pagination pager toolbar widget "
-    "widgets hidden copyright".split())
+#: Elements whose text is never shown for reading, and form controls.
+UNREAD = frozenset(
+    "head script style noscript iframe template svg canvas object embed audio video map "
+    "button select option optgroup textarea label legend output datalist".split())
+#: Elements that HTML defines as apart from the main content.
+APART = frozenset("nav footer aside menu search dialog".split())
+#: Elements whose name says nothing where a class, id or role does.
+GENERIC = frozenset("div span section".split())
 LABELS = frozenset(["article", "main"])
+_P_STOPS = ("button", "td", "th", "div", "section", *LABELS)
+_LIST_STOPS = ("ul", "ol", "dl", "table", "menu", "select")
 BOUND = 3.0  # of learned log-odds
 
 
@@ -93,21 +95,37 @@ class Weights:
     tags: dict[str, float] = field(default_factory=dict)
     base: float = 1.0
     places: dict[str, float] = field(default_factory=dict)
-    blocked: frozenset[str] = frozenset()
+    blocked: frozenset[str] = APART | {"header"}
 
 
-@dataclass
+@dataclass(slots=True, eq=False)
+class Node:
+    """An open or closed element; ``fresh`` are its marks that no element around it has."""
+
+    name: str
+    parent: Node | None = None
+    marks: tuple[str, ...] = ()
+    fresh: tuple[str, ...] = ()
+    labelled: bool = False  # main text by the page's own marks
+    unread: bool = False
+    dropped: bool = False  # boilerplate, or unread
+    linked: bool = False
+    holds: bool = False  # a label stands in it
+    top: Node | None = None  # outermost element around it that holds no main text
+    words: int = 0
+    place: float = 0.0
+    known: bool = False
+
+
+@dataclass(slots=True)
 class Item:
-    """A block of text (``name`` empty) or a tag."""
+    """A block of text (``name`` empty) or a tag, and the element it belongs to."""
 
     name: str
+    node: Node
     text: str = ""
     words: int = 0
     links: int = 0
-    keys: tuple[str, ...] = ()
-    labelled: bool = False
-    dropped: bool = False
-    block: str = ""  # the nearest block element of a text
 
 
 def _plain(name: str) -> str:
@@ -115,116 +133,136 @@ def _plain(name: str) -> str:
     return "div" if name in LABELS else name
 
 
-def _places(item: Item) -> set[str]:
-    """Keys of the elements around a text, by which its words are weighed."""
-    return {"@" + item.block, *("@" + k for k in item.keys if k.partition(".")[0] not in LABELS)}
-
-
-def _keys(name: str, attrs: str) -> tuple[str, ...]:
-    if not attrs:
+def _marks(name: str, attrs: str) -> tuple[str, ...]:
+    """What an element is known by: its name and each of its classes, id and role."""
+    if name in INLINE and not attrs or name in ("html", "body"):
         return ()
-    values = [a or b or c for a, b, c in _MARKS.findall(attrs)]
-    return tuple(f"{name}.{v}" for v in dict.fromkeys(" ".join(values).lower().split()))
-
+    own = []
+    if attrs and name not in LABELS:
+        values = [a or b or c for a, b, c in _MARKS.findall(attrs)]
+        own = [f"{name}.{v}" for v in dict.fromkeys(" ".join(values).lower().split())]
+    if name not in INLINE and not (own and name in GENERIC):
+        own.append(_plain(name))
+    return tuple(own)
 
-def _boilerplate(name: str, keys: tuple[str, ...], attrs: str, inside: bool,
-                 blocked: frozenset[str]) -> bool:
-    if name in BOILERPLATE or name == "header" and not inside:
-        return True
-    if name in ("html", "body", *LABELS):
-        return False
-    return (any(k in blocked or not MARKS.isdisjoint(_PART.findall(k.partition(".")[2]))
-                for k in keys) or bool(attrs and _HIDDEN.search(attrs)))
 
+def parse(page: str, blocked: frozenset[str] | None = None) -> tuple[list[Item], list[Node]]:
+    """Blocks and tags in page order, and the elements in the order they open.
 
-def items_of(page: str, blocked: frozenset[str] = frozenset()) -> list[Item]:
-    """Blocks and tags in page order."""
+    Inline elements part a block where they are ``blocked``; without that set,
+    where they have marks.
+    """
+    root = Node("")
     out: list[Item] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # name, keys, labelled, dropped
+    nodes = [root]
+    stack = [root]
+    open_at: dict[str, list[int]] = defaultdict(list)  # places in the stack by name
+    around: Counter[str] = Counter()  # marks of the open elements
     buffer: list[str] = []
     linked = [0]  # words of the buffer that stand in links
     at, n = 0, len(page)
 
-    def state() -> tuple[bool, bool]:
-        return stack[-1][2:] if stack else (False, False)
-
     def flush():
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         links, linked[0] = linked[0], 0
-        if text:
-            labelled, dropped = state()
-            keys = tuple(k for e in stack for k in e[1])
+        if text and not stack[-1].unread:
             words = text.count(" ") + 1
-            block = next((e[0] for e in reversed(stack) if e[0] not in INLINE), "")
-            out.append(Item("", text, words, min(words, links), keys, labelled, dropped,
-                            _plain(block)))
+            out.append(Item("", stack[-1], text, words, min(words, links)))
+
+    def parts(e: Node) -> bool:
+        return bool(e.marks) if blocked is None else e.dropped != e.parent.dropped
 
     def pop_to(depth: int):
-        if any(e[0] not in INLINE or e[3] != state()[1] for e in stack[depth:]):
+        if any(e.name not in INLINE or parts(e) for e in stack[depth:]):
             flush()
+        for e in reversed(stack[depth:]):
+            open_at[e.name].pop()
+            around.subtract(e.marks)
         del stack[depth:]
 
+    def last(names) -> int:
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=-1)
+
+    def close(names, stops):
+        found = last(names)
+        if found > last(stops):
+            pop_to(found)
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         if m["text"] is not None:
             buffer.append(m["text"])
-            if any(e[0] == "a" for e in stack):
+            if stack[-1].linked:
                 linked[0] += len(m["text"].split())
             continue
         if m["name"] is None:
             continue
         name, attrs = m["name"].lower(), m["attrs"]
         if m["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            labelled, dropped = state()
-            if depth is not None:
-                labelled, dropped = stack[depth][2:]
+            depth, node = last([name]), stack[-1]
+            if depth >= 0:
+                node = stack[depth]
                 pop_to(depth)
             elif name not in INLINE:
                 flush()
-            out.append(Item("/" + name, labelled=labelled, dropped=dropped))
+            out.append(Item("/" + name, node))
             continue
-        if name not in INLINE:
-            flush()
         if name in CLOSES_P:
-            _close(stack, pop_to, {"p"}, {"button", "td", "th", "div", "section", *LABELS})
+            flush()
+            close(("p",), _P_STOPS)
         elif name in SIBLINGS:
-            _close(stack, pop_to, SIBLINGS[name], {"ul", "ol", "dl", "table", "menu", "select"})
-        labelled, dropped = state()
-        keys = _keys(name, attrs)
-        drop = dropped or _boilerplate(name, keys, attrs, labelled, blocked)
-        if drop != dropped:
             flush()
-        labelled = labelled or name in LABELS
-        out.append(Item(name, keys=keys, labelled=labelled, dropped=drop))
+            close(SIBLINGS[name], _LIST_STOPS)
+        up = stack[-1]
+        marks = _marks(name, attrs)
+        unread = up.unread or name in UNREAD or bool(attrs and _HIDDEN.search(attrs))
+        node = Node(name, up, marks, tuple(k for k in marks if not around[k]),
+                    (up.labelled or name in LABELS) and name not in APART,
+                    unread, up.dropped or unread or any(k in (blocked or ()) for k in marks),
+                    up.linked or name == "a")
+        if name not in INLINE or unread != up.unread or parts(node):
+            flush()
+        if name in LABELS:
+            held = node
+            while held is not None and not held.holds:
+                held.holds = True
+                held = held.parent
+        out.append(Item(name, node))
+        nodes.append(node)
         if name in VOID or m["end"] == "/>" and name in ("svg", "path", "img"):
             continue
         if name in RAW:
             end = re.compile(f"</{name}", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
-        stack.append((name, keys, labelled, drop))
+        open_at[name].append(len(stack))
+        stack.append(node)
+        around.update(marks)
     flush()
-    return out
+    return out, nodes
 
 
-def _close(stack, pop_to, names: set[str], stops: set[str]) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in names:
-            pop_to(i)
-            return
-        if stack[i][0] in stops:
-            return
+def weigh(nodes: list[Node], weights: Weights) -> None:
+    """Gives every element what the places around its words add."""
+    for node in nodes[1:]:
+        up = node.parent
+        node.place, node.known = up.place, up.known
+        for mark in node.fresh:
+            more = weights.places.get("@" + mark)
+            if more is not None:
+                node.place, node.known = node.place + more, True
 
 
 def score(item: Item, weights: Weights) -> float:
-    if item.dropped:
-        return 0.0  # left out in any case, so it neither joins nor parts a stretch
+    node = item.node
+    if node.dropped:  # against a stretch, but the words behind it are not lost for it
+        return 0.0 if item.name else weights.tag
     if item.name:
         return weights.tags.get(_plain(item.name.lstrip("/")), weights.tag)
-    known = [weights.places[k] for k in _places(item) if k in weights.places]
-    word = max(-BOUND, min(BOUND, weights.base + sum(known))) if known else weights.word
+    word = weights.word
+    if node.known:
+        word = max(-BOUND, min(BOUND, weights.base + node.place))
     return word * (item.words - item.links) + min(word, weights.link) * item.links
 
 
@@ -245,36 +283,45 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
-    items = items_of(page, weights.blocked)
+    items, nodes = parse(page, weights.blocked)
+    weigh(nodes, weights)
     first, last = best_stretch([score(i, weights) for i in items])
-    return "\n".join(i.text for i in items[first:last] if not i.name and not i.dropped)
+    return "\n".join(i.text for i in items[first:last] if not i.name and not i.node.dropped)
 
 
 def page_counts(page: str) -> Iterator[tuple[str, int, int]]:
     """(key, count inside, count outside) of a labelled page's main text.
 
-    Keys: ``#word`` for words, ``#link`` for those in links, tag names, ``@name``
-    and ``@name.class`` for words by the elements around them, all outside
-    boilerplate elements; ``name.class`` for the words of elements that carry a
-    class, id or role, boilerplate or not.
+    Keys: ``#word`` for words, ``#link`` for those in links, tag names, and
+    ``@mark`` for the words of elements. Outside, words and tags count for the
+    outermost element that holds no main text, and not for those in it.
     """
-    items = items_of(page)
+    items, nodes = parse(page)
+    for node in nodes[1:]:
+        node.top = node.parent.top
+        if node.top is None and not node.holds and not node.labelled:
+            node.top = node
     counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
     for item in items:
-        if not item.name:
-            side = 0 if item.labelled and not item.dropped else 1
-            for key in set(item.keys):
-                counts[key][side] += item.words
-        if item.dropped:
+        node = item.node
+        if node.unread:
             continue
-        side = 0 if item.labelled else 1
+        side = 0 if node.labelled else 1
         if item.name:
-            counts[_plain(item.name.lstrip("/"))][side] += 1
-        else:
-            counts["#word"][side] += item.words
-            counts["#link"][side] += item.links
-            for key in _places(item):
-                counts[key][side] += item.words
+            if node.labelled or node.top is node:
+                counts[_plain(item.name.lstrip("/"))][side] += 1
+            continue
+        counts["#word"][side] += item.words
+        counts["#link"][side] += item.links
+        if node.labelled:
+            node.words += item.words
+        elif node.top is not None:
+            for mark in node.top.marks:
+                counts["@" + mark][1] += item.words
+    for node in reversed(nodes[1:]):
+        node.parent.words += node.words
+        for mark in node.fresh if node.words else ():
+            counts["@" + mark][0] += node.words
     for key, (a, b) in counts.items():
         yield key, a, b
 
@@ -322,7 +369,11 @@ def weights_from(counts: dict[str, tuple[int, int]], min_words: int = 50) -> Wei
     def bound(x: float) -> float:
         return max(-BOUND, min(BOUND, x))
 
-    tags = {k: v for k, v in counts.items() if k[0] not in "#@" and "." not in k}
+    counts = dict(counts)
+    for name in APART | {"header"}:  # what HTML says of them, for pages to overrule
+        a, b = counts.get("@" + name, (0, 0))
+        counts["@" + name] = (a, b + min_words)
+    tags = {k: v for k, v in counts.items() if k[0] not in "#@"}
     words = counts.get("#word", (1, 1))
     base = bound(odds(*words))
 
@@ -334,9 +385,8 @@ def weights_from(counts: dict[str, tuple[int, int]], min_words: int = 50) -> Wei
     every = tuple(sum(v[i] for v in tags.values()) for i in (0, 1))
     learned = {k: max(-BOUND, min(-0.1, against(v, every) - 0.1)) for k, v in tags.items()}
     places = {k: against(v, words) for k, v in counts.items() if k[0] == "@"}
-    blocked = frozenset(k for k, (a, b) in counts.items()
-                        if k[0] != "@" and "." in k and a + b >= min_words
-                        and a < 0.02 * (a + b))
+    blocked = frozenset(k[1:] for k, (a, b) in counts.items()
+                        if k[0] == "@" and a + b >= min_words and a < 0.02 * (a + b))
     word = max(0.5, base)
     link = max(-1.0, min(word, odds(*counts["#link"]))) if any(
         counts.get("#link", ())) else Weights.link
