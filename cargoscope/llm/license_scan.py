@@ -8,12 +8,18 @@ threshold t a passage needs I >= t B / (2 - t) bigrams in common, and may
 hold at most A <= (2 - t) B / t bigrams. Templates that a text cannot reach
 are dropped before any passage is tried.
 
+A passage starts at a bigram it does not repeat and ends at one it did not hold
+before, since a longer one with the same bigrams scores the same. So all
+passages of a template together cover each word at most once per bigram of the
+template, and a text of many copies of one licence takes linear time.
+
 Passages that reach the threshold are chosen greedily, most common bigrams
-first, without overlap. All work is per row: no shuffle. The templates are a
+first, without overlap. Within a passage that equals its template no other is
+looked for, unless that one is not chosen. All work is per row: no shuffle. The templates are a
 fixed list; their index is built once per task.
 
-Edge cases: null and empty texts match nothing; very long texts are scanned
-whole; repeated rows give repeated results; ties go to the earlier passage,
+Edge cases: null and empty texts match nothing; very long texts and long runs
+of copies are scanned whole; repeated rows give repeated results; ties go to the earlier passage,
 then to the earlier template; templates of fewer than two words are refused;
 an empty table gives no rows; extra columns pass through, and give way to a
 new column of their name.
@@ -23,9 +29,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from cargoscope.llm.common import annotate
@@ -60,9 +68,11 @@ class Index:
         self.firsts = {w for b in self.of for w in b} | {a for a, b in _SAME.items()
                                                          if any(b in x for x in self.of)}
 
-    def passages(self, words: list[bytes]) -> list[tuple[int, int, int, int, float]]:
+    def passages(self, words: list[bytes], skip: bool = False
+                 ) -> list[tuple[int, int, int, int, float]]:
         """(common, first word, past the last word, template, Dice) of the best
-        passage from each starting bigram, for every template in reach."""
+        passage from each starting bigram, for every template in reach; with
+        ``skip``, none from inside a passage equal to its template."""
         known = self.firsts
         at = [i for i, w in enumerate(words) if w in known]
         hits: dict[int, list[int]] = defaultdict(list)
@@ -79,38 +89,63 @@ class Index:
         if not reach:
             return []
         grams = bigrams(words)
-        out = []
-        for k in reach:
-            out += self._windows(grams, hits[k], k)
-        return out
-
-    def _windows(self, grams, at: list[int], k: int):
-        own, least, most = self.sets[k], self.least[k], self.most[k]
-        for i, begin in enumerate(at):
-            # A passage repeats none of its start's bigram usefully, but may hold repeats.
-            all_, common, best, pos = set(), set(), None, begin
-            for stop in at[i:]:
-                if len(all_) + 1 > most:
+        place: dict[tuple[bytes, bytes], int] = {}
+        before = np.full(len(grams), -1)  # where each bigram stood last
+        after = np.full(len(grams), len(grams))  # and stands next
+        for i, gram in enumerate(grams):
+            j = place.get(gram)
+            if j is not None:
+                before[i], after[j] = j, i
+            place[gram] = i
+        return [p for k in reach for p in self._windows(before, after, np.array(hits[k]), k, skip)]
+
+    def _windows(self, before: np.ndarray, after: np.ndarray, at: np.ndarray, k: int,
+                 skip: bool) -> Iterator[tuple[int, int, int, int, float]]:
+        size, least, most = len(self.sets[k]), self.least[k], self.most[k]
+        own = np.zeros(len(before), dtype=bool)
+        own[at] = True
+        # A start needs enough of the template's bigrams before its own comes again.
+        enough = np.searchsorted(at, after[at]) - np.arange(len(at)) >= least
+        free = 0
+        for begin in at[enough].tolist():
+            if begin < free:
+                continue
+            limit, width = int(after[begin]), 2 * most
+            while True:
+                stop = min(begin + width, limit)
+                new = before[begin:stop] < begin
+                held = np.cumsum(new)
+                if held[-1] > most or stop == limit:
                     break
-                while pos <= stop:
-                    all_.add(grams[pos])
-                    pos += 1
-                common.add(grams[stop])
-                if len(common) >= least and len(all_) <= most:
-                    dice = 2 * len(common) / (len(all_) + len(own))
-                    if dice >= self.threshold and (best is None or dice > best[4]):
-                        best = (len(common), begin, stop + 2, k, dice)
-            if best:
-                yield best
+                width *= 2
+            new &= own[begin:stop]
+            common = np.cumsum(new)
+            ends = np.flatnonzero(new & (common >= least) & (held <= most))
+            if not len(ends):
+                continue
+            dice = 2 * common[ends] / (held[ends] + size)
+            best = int(dice.argmax())
+            if dice[best] >= self.threshold:
+                end = begin + int(ends[best]) + 2
+                yield int(common[ends[best]]), begin, end, k, float(dice[best])
+                if skip and common[ends[best]] == held[ends[best]] == size:
+                    free = end
 
     def match(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
         """Chosen passages: (first word, past the last word, template, Dice)."""
-        chosen: list[tuple[int, int, int, float]] = []
-        for _, a, b, k, dice in sorted(self.passages(words),
-                                       key=lambda p: (-p[0], -p[4], p[1], p[3])):
-            if all(b <= x or y <= a for x, y, *_ in chosen):
-                chosen.append((a, b, k, dice))
-        return sorted(chosen)
+        for skip in (True, False):
+            chosen: list[tuple[int, int, int, float]] = []
+            whole = True
+            for _, a, b, k, dice in sorted(self.passages(words, skip),
+                                           key=lambda p: (-p[0], -p[4], p[1], p[3])):
+                i = bisect_left(chosen, (a,))
+                if (i == 0 or chosen[i - 1][1] <= a) and (i == len(chosen) or b <= chosen[i][0]):
+                    insort(chosen, (a, b, k, dice))
+                elif dice == 1.0:
+                    whole = False
+            if whole:
+                break
+        return chosen
 
 
 def find_licenses(docs: DataFrame, pairs: Sequence[tuple[str, str]] | None = None,

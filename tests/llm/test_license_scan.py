@@ -37,6 +37,34 @@ def test_best_passage_equals_brute_force(seed):
             assert got == pytest.approx(brute(text, pairs, threshold))
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_skipping_chooses_as_without(seed):
+    rnd = random.Random(seed)
+    pairs = [(f"L{i}", " ".join(rnd.choices("abcd", k=rnd.choice([2, 3, 4, 6])))) for i in range(6)]
+    index = ls.Index(pairs, 0.8)
+    full = ls.Index(pairs, 0.8)
+    full.passages = lambda words, skip: ls.Index.passages(full, words, False)
+    for _ in range(60):
+        text = " ".join(rnd.choice([rnd.choice("abcdz"), rnd.choice(pairs)[1]]) for _ in range(30))
+        words = normalized_words(text)
+        got, want = index.match(words), full.match(words)
+        assert got == want
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("edit", [("xyzzy", "xyzzy"), ("Software", "Work")])
+def test_many_copies_in_linear_time(edit):
+    """1,000 copies in one text, as they are and each edited, all found."""
+    import time
+    copy = TEXTS["MIT"].replace(*edit)
+    index = ls.Index(templates())
+    words = normalized_words((copy + "\nzz\n") * 1000)
+    start = time.process_time()
+    found = index.match(words)
+    assert [index.ids[k] for _, _, k, _ in found] == ["MIT"] * 1000
+    assert time.process_time() - start < (4 if edit[0] == "xyzzy" else 40)
+
+
 def test_texts_notices_and_edits():
     index = ls.Index(templates())
     ids = lambda t: [index.ids[k] for _, _, k, _ in index.match(normalized_words(t))]
