@@ -16,8 +16,9 @@ other. A special string without white space cannot span such a position;
 tokenizers whose special strings hold white space, or that normalise or
 pre-tokenise by another scheme, are not chunked but encoded whole.
 
-Edge cases: null and empty texts have no tokens and no bytes; repeated rows
-count each; extra columns pass through, and give way to a new column of
+Edge cases: null and empty texts have no tokens and no bytes; very long texts
+are held whole but encoded by chunk; repeated rows count each; an empty table
+gives no rows; extra columns pass through, and give way to a new column of
 their name.
 """
 
@@ -77,8 +78,8 @@ def splices(tokenizer, text: str, chunk: int, overlap: int) -> Iterator[tuple[in
             width *= 2
 
 
-def count_tokens(docs: DataFrame, tokenizer_file: str, chunk_chars: int = 1 << 20,
-                 overlap_chars: int = 1 << 12, text_col: str = "text",
+def count_tokens(docs: DataFrame, tokenizer_file: str, chunk_chars: int = 1 << 15,
+                 overlap_chars: int = 1 << 9, text_col: str = "text",
                  keep: list[str] | None = None) -> DataFrame:
     """Adds n_bytes (UTF-8) and n_tokens (no added special tokens).
 

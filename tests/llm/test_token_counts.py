@@ -59,3 +59,16 @@ def test_query_equals_library(spark, tokenizer):
     for r in rows:
         n = whole(tokenizer, texts[r["doc_id"]])
         assert (r["n_tokens"], r["over_limit"]) == (n, n > 512)
+
+
+def test_long_documents_of_the_tables_are_chunked(spark, tokenizer):
+    """Every text above the default chunk size, with as many splices as it takes."""
+    from pyspark.sql import functions as F
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter(
+        F.length("text") > 1 << 15).select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(texts) > 1
+    for r in tc.count_tokens(docs, FILE).collect():
+        assert r["n_tokens"] == whole(tokenizer, texts[r["doc_id"]])
+    for text in texts.values():
+        assert len(list(tc.splices(tokenizer, text, 1 << 15, 1 << 9))) > 1
