@@ -9,8 +9,9 @@ key, and the classifier is Spark ML's gradient-boosted trees.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoscope.functions.columns import as_of_for
@@ -26,6 +27,7 @@ TRAIN_FRACTION = 0.8
 GBT_PARAMS = {"maxDepth": 6, "stepSize": 0.05, "maxIter": 500, "subsamplingRate": 0.8,
               "featureSubsetStrategy": "0.8", "minInstancesPerNode": 10, "seed": 42}
 POSITIVE_WEIGHT = 10.0
+PATIENCE = 20
 
 
 def load_training(df: DataFrame, as_of=None, days: int = TRAIN_WINDOW_DAYS,
@@ -123,8 +125,8 @@ def train(split: DataFrame, max_iter: int | None = None, label_col: str = LABEL_
     """Fit ``VectorAssembler -> GBTClassifier`` on the split frame (M1).
 
     The test part is the validation set for early stopping when
-    ``early_stopping`` (Spark stops on a validation tolerance, not after a
-    number of rounds). Returns the fitted ``PipelineModel``.
+    ``early_stopping`` (Spark stops on a validation tolerance; ``train_best``
+    stops after a number of rounds). Returns the fitted ``PipelineModel``.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
@@ -144,8 +146,97 @@ def train(split: DataFrame, max_iter: int | None = None, label_col: str = LABEL_
     return Pipeline(stages=[assembler, gbt]).fit(frame)
 
 
+def best_round(losses: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(round with the least loss, counted from 1; True if ``patience`` rounds
+    passed after it without a lesser one). Of equal losses the first counts;
+    what comes after the patience has run out is not looked at."""
+    best, least = 0, math.inf
+    for i, loss in enumerate(losses, 1):
+        if loss < least:
+            best, least = i, loss
+        elif i - best >= patience:
+            return best, True
+    return best, False
+
+
+def held_out_losses(model, split: DataFrame, label_col: str = LABEL_COL) -> list[float]:
+    """Mean log loss of the test part after each round, rows weighted as in
+    training; all rounds in one pass."""
+    test = model.stages[0].transform(
+        training_frame(split, label_col).filter(F.col("is_validation")))
+    # Spark's logistic loss is 2 ln(1 + exp(-2 y F)), twice the log loss of its probabilities.
+    return [x / 2 for x in model.stages[-1].evaluateEachIteration(test)]
+
+
+def test_losses(model, split: DataFrame, label_col: str = LABEL_COL) -> DataFrame:
+    """One row: ``loss``, the model's weighted log loss on the test part, and
+    ``constant_loss``, that of giving every row the train part's weighted share
+    of positives."""
+    from pyspark.ml.functions import vector_to_array
+
+    frame = training_frame(split, label_col)
+    p = vector_to_array("probability")[1]
+    scored = model.transform(frame.filter(F.col("is_validation"))).agg(
+        (-F.sum(F.col("weight") * F.when(F.col("label") == 1, F.log(p)).otherwise(F.log(1 - p)))
+         / F.sum("weight")).alias("loss"))
+    held, up = F.col("is_validation"), F.col("label") == 1
+
+    def weight(rows):
+        return F.sum(F.when(rows, F.col("weight")).otherwise(0.0))
+
+    share = weight(~held & up) / weight(~held)
+    constant = frame.agg((-(weight(held & up) * F.log(share) + weight(held & ~up) * F.log(1 - share))
+                          / weight(held)).alias("constant_loss"))
+    return scored.crossJoin(constant)  # one row each
+
+
+def first_rounds(model, n: int):
+    """The fitted pipeline with its first ``n`` trees only."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassificationModel
+
+    gbt = model.stages[-1]
+    if n >= gbt.getNumTrees:
+        return model
+    gateway = SparkSession.active().sparkContext._gateway
+    jvm = gateway.jvm
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(gbt.trees[:n], gbt.treeWeights[:n])):
+        trees[i], weights[i] = tree._java_obj, weight
+    cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        gbt.uid, trees, weights))
+    cut._resetUid(gbt.uid)
+    return PipelineModel([*model.stages[:-1], gbt._copyValues(cut)])
+
+
+def train_best(split: DataFrame, patience: int = PATIENCE, max_iter: int | None = None,
+               label_col: str = LABEL_COL, **overrides) -> tuple[object, int, list[float]]:
+    """Fit on the train part, stop ``patience`` rounds after the least held-out
+    log loss and keep the rounds up to it (M1). Returns the pipeline, its best
+    round and the losses of all rounds fitted.
+
+    Spark's trainer has no such rule, so fits of 2, 4, 8, ... times the
+    patience are tried until one shows the stop or reaches ``max_iter``; all of
+    them together take at most twice the rounds of the last. Without test rows
+    all rounds are kept and there are no losses.
+    """
+    most = GBT_PARAMS["maxIter"] if max_iter is None else int(max_iter)
+    if split.filter(F.col("split") == "test").isEmpty():
+        model = train(split, most, label_col, early_stopping=False, **overrides)
+        return model, rounds_used(model), []
+    rounds = min(most, 2 * patience)
+    while True:
+        model = train(split, rounds, label_col, early_stopping=False, **overrides)
+        losses = held_out_losses(model, split, label_col)
+        best, stopped = best_round(losses, patience)
+        if stopped or rounds >= most:
+            return first_rounds(model, max(best, 1)), max(best, 1), losses
+        rounds = min(most, 2 * rounds)
+
+
 def rounds_used(model) -> int:
-    """Boosting rounds that early stopping kept."""
+    """Boosting rounds that the model kept."""
     return model.stages[-1].getNumTrees
 
 

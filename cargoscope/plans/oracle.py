@@ -7,6 +7,7 @@ fixture views are prepended as CTEs over the driver's pre-registered tables.
 
 from __future__ import annotations
 
+from cargoscope.schemas import FEATURE_COLS
 from cargoscope.sources.fixtures import AS_OF, view_sql_for_oracle
 
 ORACLE: dict[str, str] = {}
@@ -518,10 +519,19 @@ def _():
 def _():
     return f"""
 SELECT COUNT(*) AS n_test, true AS in_range, true AS same_after_load, true AS metrics_in_range,
-       true AS rounds_within_limit
+       true AS rounds_within_limit, true AS best_round_kept
 FROM ({test_sql()}) t"""
 
 
+@oracle("gbt_learns_rule", ["training"])
+def _():
+    x, y = FEATURE_COLS[:2]
+    return f"""
+SELECT COUNT(*) AS n_test, CAST(SUM(CAST({x} > mx + 0.001 AND {y} > my + 0.001 AS INT)) AS BIGINT) AS n_positive,
+       true AS beats_constant, true AS beats_base_rate, true AS ranks_well
+FROM ({test_sql()}) t, (SELECT AVG({x}) AS mx, AVG({y}) AS my FROM ({split_sql()}) s) m"""
+
+
 @oracle("split_stats", ["training"])
 def _():
     return f"""
