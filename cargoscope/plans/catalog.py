@@ -23,6 +23,7 @@ from cargoscope.sources.fixtures import AS_OF, Fixtures
 from cargoscope.sources.messages import pull, quarantine_frame
 from cargoscope.streaming import ingest as ingest_stream
 from cargoscope.streaming import scoring as scoring_stream
+from cargoscope.streaming.commits import CommitLog
 from cargoscope.streaming.delivery import RetryPolicy, retry_pass
 from cargoscope.streaming.maintained import MaintainedSummary
 from cargoscope.streaming.refresh import load_landed
@@ -297,6 +298,21 @@ def q_telemetry_retention(spark, sf_dir):
     return tables.apply_retention(_fx(spark, sf_dir).telemetry(), as_of=AS_OF, days=7)
 
 
+@register("retention_drop")
+def q_retention_drop(spark, sf_dir):
+    """Telemetry landed by day in two committed batches; the days past
+    the 7-day retention are dropped as files, the rest filtered."""
+    log = CommitLog(spark, shared_path(spark, "cargoscope-retention", uuid.uuid4().hex))
+    telemetry = _fx(spark, sf_dir).telemetry()
+    rows = tables.with_time_partitions(telemetry).drop("event_month")
+    odd = F.crc32(F.col("id").cast("string")) % 2 == 1
+    for batch_id, part in enumerate((rows.filter(odd), rows.filter(~F.coalesce(odd, F.lit(False))))):
+        with log.batch("retention", batch_id) as batch:
+            batch.write("telemetry", part, by=["event_date"])
+    ingest_stream.drop_expired(log, "telemetry", AS_OF, days=7, by="event_date")
+    return tables.apply_retention(log.read("telemetry"), as_of=AS_OF, days=7).select(*telemetry.columns)
+
+
 @register("anomaly_retention")
 def q_anomaly_retention(spark, sf_dir):
     """Anomaly events within the 1-day subscription retention."""

@@ -392,6 +392,11 @@ def _():
     return f"SELECT * FROM telemetry WHERE event_time >= {TS} - INTERVAL 7 DAYS"
 
 
+@oracle("retention_drop", ["telemetry"])
+def _():
+    return f"SELECT * FROM telemetry WHERE event_time >= {TS} - INTERVAL 7 DAYS"
+
+
 @oracle("anomaly_retention", ["anomaly_events"])
 def _():
     return f"SELECT * FROM anomaly_events WHERE event_time >= {TS} - INTERVAL 1 DAYS"

@@ -13,7 +13,9 @@ stores with a checkpoint, so a new checkpoint, whose ids start at 0 again,
 is not mistaken for a replay. A log has one writer: the stream's driver.
 
 ``compact`` folds the entries into one snapshot; ``vacuum`` removes what
-failed attempts left behind.
+failed attempts left behind. ``expire`` drops whole partitions of a sink: the
+files are named in the log first, from when on no reader sees them, and
+removed then; what a run that died in between left goes with the next one.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from cargoscope.sources import storage
 
 ENTRY = ("seq long, stream string, batch long, attempt string, sink string, fmt string, "
          "schema string, file string")
+DROP = "sink string, file string"
 VACUUM_AFTER_H = 48
 
 
@@ -134,8 +137,18 @@ class CommitLog:
         if rows is None:
             return self.spark.createDataFrame([], ENTRY)
         first = F.min(F.struct("seq", "attempt")).over(Window.partitionBy("stream", "batch"))
-        return rows.withColumn("_first", first).filter(
+        rows = rows.withColumn("_first", first).filter(
             F.struct("seq", "attempt") == F.col("_first")).drop("_first")
+        if not storage.exists(self.spark, f"{self.root}/commits/drops"):
+            return rows
+        drops = self._drops().distinct().withColumn("_gone", F.lit(True))
+        gone = F.col("_gone").isNotNull()  # the batch stays known, without the file
+        return (rows.join(drops, ["sink", "file"], "left")
+                .withColumn("file", F.when(~gone, F.col("file"))).drop("_gone")
+                .select("seq", "stream", "batch", "attempt", "sink", "fmt", "schema", "file").distinct())
+
+    def _drops(self) -> DataFrame:
+        return self.spark.read.schema(DROP).json(f"{self.root}/commits/drops")
 
     def last_seq(self) -> int:
         return self.entries().agg(F.max("seq").alias("s")).first()["s"] or 0
@@ -162,6 +175,22 @@ class CommitLog:
         return not self.entries().filter((F.col("sink") == sink) & (F.col("seq") > after)).isEmpty()
 
     # --------------------------------------------------------- housekeeping
+    def expire(self, sink: str, keep_from: str, by: str = "event_month") -> int:
+        """Drops the partitions of a sink whose value is less than ``keep_from``,
+        as text; the one of null values stays. Returns the number of files
+        dropped. Rows are neither read nor written."""
+        value = F.regexp_extract("file", f"/{by}=([^/]+)/", 1)
+        old = (self.entries().filter((F.col("sink") == sink) & (value != "") & (value < keep_from)
+                                     & (value != "__HIVE_DEFAULT_PARTITION__"))
+               .select("sink", "file").distinct().collect())  # names, as any file index holds
+        if old:
+            self.spark.createDataFrame(old, DROP).coalesce(1).write.mode("append").json(
+                f"{self.root}/commits/drops")
+        if storage.exists(self.spark, f"{self.root}/commits/drops"):
+            for row in self._drops().filter(F.col("sink") == sink).distinct().collect():
+                storage.remove(self.spark, f"{self.root}/{row['file']}")
+        return len(old)
+
     def compact(self) -> None:
         """Folds all entries into one snapshot and drops their files."""
         folder = f"{self.root}/commits/entries"
@@ -175,10 +204,20 @@ class CommitLog:
         storage.publish_version(self.spark, f"{self.root}/commits", version)
         for file in files:
             storage.remove(self.spark, file)
+        self._forget_drops()
         if version > 1:
             storage.remove(self.spark, f"{self.root}/commits/snapshot-{version - 1}")
         self._load()
 
+    def _forget_drops(self) -> None:
+        """Removes dropped files that are still there, and the list of them: the
+        snapshot does not name them any more."""
+        folder = f"{self.root}/commits/drops"
+        if storage.exists(self.spark, folder):
+            for row in self._drops().distinct().collect():
+                storage.remove(self.spark, f"{self.root}/{row['file']}")
+            storage.remove(self.spark, folder)
+
     def vacuum(self, sinks: Sequence[str], hours: float = VACUUM_AFTER_H) -> list[str]:
         """Removes the folders of attempts that never committed and are older
         than ``hours``; returns their paths."""

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoscope import schemas
+from cargoscope.functions.columns import as_of_col
 from cargoscope.operators import tables, validate
 from cargoscope.sources import messages as msgsrc
 from cargoscope.streaming.commits import Batch, CommitLog, stream_identity
@@ -142,6 +143,17 @@ def compact(spark: SparkSession, path: str, month: str, target: str) -> None:
     tables.write_telemetry(rows, target, grain="month", mode="append")
 
 
+def drop_expired(log: CommitLog, sink: str, as_of, days: int = 7, by: str = "event_month") -> int:
+    """Drops the partitions of a committed sink that hold only rows older than
+    ``days`` at ``as_of`` (G7); ``tables.apply_retention`` filters the rest of
+    the oldest one kept. Returns the number of files dropped."""
+    now = dt.datetime.now(dt.timezone.utc) if as_of is None else as_of  # partitions are in UTC
+    since = as_of_col(now) - F.expr(f"INTERVAL {int(days)} DAYS")
+    text = F.date_format(since, "yyyy_MM") if by == "event_month" else F.to_date(since).cast("string")
+    keep_from = log.spark.range(1).select(text.alias("t")).first()["t"]
+    return log.expire(sink, keep_from, by)
+
+
 def run_ingest(spark: SparkSession, source_dir: str | None, out_dir: str, checkpoint_dir: str,
                as_of=None, available_now: bool = True, processing_time: str | None = None,
                max_files_per_trigger: int | None = msgsrc.FILES_PER_TRIGGER, dedup: bool = True,
