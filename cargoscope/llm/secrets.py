@@ -10,11 +10,18 @@ reaches and by how random it looks. Literals that score ``threshold`` or more,
 and those whose start a base span takes, become spans of kind ``literal``
 unless one base span covers them whole; base spans stay as they are.
 
+Pairs that stand in other forms are read by a pattern each (``FORMS``): texts
+in triple quotes, block scalars, macro definitions, command-line options,
+elements of a tag, comparisons, arguments of setters and of calls whose result
+a name receives, several names assigned at once. A password in a URL and a PEM
+private key count without a name.
+
 All work is per row: no shuffle, one text at a time. Only texts that hold a
 sensitive name next to an assignment sign are lexed.
 
 Edge cases: null text scans as empty; very long texts are scanned whole;
-repeated rows give repeated results; offsets are code points, end exclusive.
+repeated rows give repeated results; an empty table gives no rows; extra columns
+pass through, and give way to a new column of their name; offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +49,8 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "secret": 0.9, "token": 0.8,
     "apikey": 0.9, "accesskey": 0.9, "privatekey": 1.0, "secretkey": 1.0, "authkey": 0.9,
     "credential": 0.8, "credentials": 0.8, "bearer": 0.8, "authorization": 0.7,
+    "signingkey": 0.9, "encryptionkey": 0.9, "masterkey": 0.9, "sessionkey": 0.8, "sshkey": 0.9,
+    "dbpass": 0.9, "userpass": 0.9, "passcode": 0.9, "passkey": 0.9, "jwt": 0.8,
 }
 _PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|changeme|example|placeholder"
                           r"|your[ _-].*|none|null|true|false)\Z", _FLAGS)
@@ -48,7 +58,8 @@ _PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*\}|changeme|exampl
 STRONG = 0.9
 _SIGN = r":=|=>|->|(?<![=!<>])=(?!=)|:(?![:/])"
 #: A sensitive name and all that can stand between it and an assignment sign.
-_GATE = re.compile(r"(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|auth)"
+_GATE = re.compile(r"(?:pass(?:word|wd|phrase|code|key)|(?:db|user)_?pass|pwd|secret|token|jwt"
+                   r"|(?:api|access|private|auth|signing|encryption|master|session|ssh)"
                    r"[^A-Za-z0-9\s]*key|credential|bearer|authorization)"
                    rf"""(?:(?!{_SIGN})\S)*+(?:["')\]]|[^\S\n])*+(?P<sign>{_SIGN})?""", _FLAGS)
 _LEX = re.compile(rf"""
@@ -60,6 +71,42 @@ _LEX = re.compile(rf"""
   | (?P<bare>[^\s"'=:;,+()\[\]{{}}<>&|]+)
   | (?P<other>[^\s])
 """, re.VERBOSE)
+_NAME = r"(?<![\w$.-])(?P<name>[A-Za-z_$][\w$.-]*+)"
+_QUOTED = r"""(?:"(?P<a>(?:[^"\\\n]|\\.)*+)"|'(?P<b>(?:[^'\\\n]|\\.)*+)')"""
+_GAP = r"[^\S\n]*+"
+#: One pattern per form: ``name``, and the literal as ``a`` or ``b``, or bare as ``c``.
+FORMS = [re.compile(p, re.MULTILINE | re.DOTALL) for p in (
+    # name = """text"""
+    rf"""{_NAME}["')\]]*+{_GAP}(?:{_SIGN}){_GAP}[A-Za-z]{{0,2}}"""
+    r"""(?:\"{3}(?P<a>.*?)\"{3}|'{3}(?P<b>.*?)'{3})""",
+    # name: | and the deeper lines that follow
+    rf"""^(?P<ind>[ \t]*+)(?:-[ \t]+)?["']?(?P<name>[A-Za-z_][\w.-]*+)["']?:{_GAP}[|>][-+0-9]*+{_GAP}\n"""
+    r"(?P<a>(?:(?P=ind)[ \t]++[^\s][^\n]*+(?:\n|\Z)|[ \t]*+\n)++)",
+    # define a macro
+    rf"^{_GAP}#{_GAP}define[ \t]++(?P<name>\w++)[ \t]++(?:{_QUOTED}|(?P<c>\S++))",
+    # option and value
+    rf"(?<!\S)--(?P<name>[A-Za-z][\w-]*+)[ \t]++(?:{_QUOTED}|(?P<c>[^\s\"'-]\S*+))",
+    # <name>text</name>
+    r"<(?P<name>[A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>(?P<a>[^<>]++)</(?P=name)\s*+>",
+    # name == "text"
+    rf"""{_NAME}["')\]]*+{_GAP}[=!]==?{_GAP}{_QUOTED}""",
+    # set_name("text"), obj.name("text")
+    rf"{_NAME}(?P<call>\(){_GAP}{_QUOTED}{_GAP}\)",
+    # name = call("text"
+    rf"""{_NAME}["')\]]*+{_GAP}(?:{_SIGN}){_GAP}(?:new[ \t]++)?(?P<of>[A-Za-z_$][\w$.]*+)\({_GAP}{_QUOTED}""",
+    # the password of scheme://user:password@host
+    r"""(?<=://)[^\s/:@"'<>]*+:(?P<url>[^\s/@"'<>]++)@""",
+    r"(?P<pem>-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY-----(?:(?!-----)[A-Za-z0-9+/=\s:,\\-])++"
+    r"-----END (?:[A-Z0-9]++ )*?PRIVATE KEY-----)",
+)]
+_TUPLE = re.compile(rf"^{_GAP}(?P<names>[A-Za-z_$][\w$.]*+(?:{_GAP},{_GAP}[A-Za-z_$][\w$.]*+)++){_GAP}=(?!=)"
+                    rf"{_GAP}\(?", re.MULTILINE)
+_VALUE = re.compile(rf"{_GAP}(?:{_QUOTED}|[^,\n\"'()]*+){_GAP}(?P<more>,)?")
+#: Texts without any of these hold none of the forms.
+_HINT = re.compile(r"pass|pwd|secret|token|key|credential|bearer|authorization|jwt|://", _FLAGS)
+#: Calls that look a value up by the name they are given.
+_LOOKUP = re.compile(r"get|env|load|read|fetch|find|look|input|prompt|has|is_|check|require|delete|remove"
+                     r"|print|log|error|exception|raise|assert|len|ask", _FLAGS)
 _UNQUOTED = re.compile(r"""[^\s"';,()\[\]{}<>]+""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -189,6 +236,50 @@ def lexed_literals(text: str, threshold: float = 0.75,
     return [(a, b, s) for (a, b), s in sorted(found.items())]
 
 
+def form_literals(text: str, threshold: float = 0.75) -> list[tuple[int, int, float]]:
+    """(start, end, score) of literals that the patterned forms give to sensitive names."""
+    if not _HINT.search(text):
+        return []
+    out: dict[tuple[int, int], float] = {}
+
+    def add(name: str, a: int, b: int, quoted: bool) -> None:
+        sensitive = name_score(name)
+        while a < b and text[a].isspace():
+            a += 1
+        while a < b and text[b - 1].isspace():
+            b -= 1
+        if not sensitive or not quoted and not re.search(r"[0-9]", text[a:b]):
+            return
+        random = literal_score(text[a:b], quoted and sensitive >= STRONG)
+        if random and 0.5 * sensitive + 0.5 * random >= threshold:
+            out[a, b] = 0.5 * sensitive + 0.5 * random
+
+    for form in FORMS:
+        for m in form.finditer(text):
+            got = m.groupdict()
+            if got.get("pem"):
+                out[m.span("pem")] = 1.0
+            elif got.get("url"):
+                add("password", *m.span("url"), True)
+            elif got.get("call") and _LOOKUP.match(got["name"].rpartition(".")[2]):
+                continue
+            elif not (got.get("of") and _LOOKUP.search(got["of"])):
+                kind = next((k for k in "abc" if got.get(k)), None)
+                if kind:
+                    add(got["name"], *m.span(kind), kind != "c")
+    for m in _TUPLE.finditer(text):
+        at = m.end()
+        for name in re.split(r"[^\S\n]*,[^\S\n]*", m["names"]):
+            value = _VALUE.match(text, at)
+            for kind in "ab":
+                if value[kind]:
+                    add(name, *value.span(kind), True)
+            if not value["more"]:
+                break
+            at = value.end()
+    return [(a, b, s) for (a, b), s in sorted(out.items())]
+
+
 def all_spans(text: str | None, threshold: float = 0.75) -> list[tuple[int, int, str, float]]:
     """Base spans (score 1) and the literals that none of them covers whole."""
     text = text or ""
@@ -198,6 +289,12 @@ def all_spans(text: str | None, threshold: float = 0.75) -> list[tuple[int, int,
     for a, b, score in lexed_literals(text, threshold, begun):
         if not any(x <= a and b <= y for x, y, _ in base):
             out.append((a, b, "literal", score))
+    held = sorted((a, b) for a, b, _, _ in out)
+    reach = list(accumulate((b for _, b in held), max))
+    for a, b, score in form_literals(text, threshold):
+        i = bisect_left(held, (a + 1,))  # spans that start at or before a
+        if i == 0 or reach[i - 1] < b:
+            out.append((a, b, "literal", score))
     return _ordered(out)
 
 
