@@ -1,10 +1,13 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A document of up to ``chunk_chars`` characters is encoded as it stands. A
-longer one is encoded in chunks that overlap, with offsets; neighbouring
-chunks are spliced at a boundary that both encodings have and that is proven
-stable. Where an overlap has no such boundary it is doubled and encoded
-again, up to the rest of the document.
+A document of up to ``chunk_chars`` characters is cut at its stable
+boundaries into words with the white space before them; its count is the sum
+of theirs. The library encodes a word that comes again once, and the words
+not yet met again as one text per document. A longer document is encoded in
+chunks that overlap, with offsets; neighbouring chunks are spliced at a
+boundary that both encodings have and that is proven stable. Where an overlap
+has no such boundary it is doubled and encoded again, up to the rest of the
+document.
 
 Why a boundary is stable. The byte-level tokenizer first finds special
 strings, then cuts the text into pieces by one pattern, and merges bytes
@@ -14,7 +17,9 @@ between the two is the start of a piece in every text that holds them,
 whatever surrounds them: tokens before and after it do not depend on each
 other. A special string without white space cannot span such a position;
 tokenizers whose special strings hold white space, or that normalise or
-pre-tokenise by another scheme, are not chunked but encoded whole.
+pre-tokenise by another scheme, are not cut but encoded whole. U+001C to
+U+001F, which Python counts as white space and the pattern does not, are no
+white space where words are cut.
 
 Edge cases: null and empty texts have no tokens and no bytes; very long texts
 are held whole but encoded by chunk; repeated rows count each; an empty table
@@ -26,12 +31,16 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 
 from cargoscope.llm.common import annotate
 
+#: A word with the white space before it, or the white space that ends a text.
+SEGMENT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+
 
 def chunkable(spec: dict) -> bool:
     """True for the pieces-by-pattern byte-level scheme the proof covers."""
@@ -78,6 +87,51 @@ def splices(tokenizer, text: str, chunk: int, overlap: int) -> Iterator[tuple[in
             width *= 2
 
 
+def segment_counter(tokenizer, most: int = 1 << 17,
+                    longest: int = 64) -> Callable[[list[str]], list[int]]:
+    """Function from texts to their token counts, for a chunkable tokenizer.
+
+    Segments met a second time are encoded alone and their counts kept; all
+    others of a text go to the library joined, which leaves their counts as
+    they are. Texts without repeated segments so cost one encoding, as whole
+    texts do. ``most`` bounds the counts kept and the segments remembered (by
+    one call's more), ``longest`` their characters: full tables start anew.
+    """
+    known: dict[str, int] = {}
+    met: set[str] = set()
+
+    def lengths(texts: list[str]) -> list[int]:
+        return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def count(texts: list[str]) -> list[int]:
+        totals, rests, again = [], [], set()
+        for text in texts:
+            total, rest = 0, []
+            for segment in SEGMENT.findall(text):
+                n = known.get(segment)
+                if n is not None:
+                    total += n
+                    continue
+                rest.append(segment)
+                if segment in met:
+                    again.add(segment)
+                elif len(segment) <= longest:
+                    met.add(segment)
+            totals.append(total)
+            rests.append(rest)
+        if len(known) + len(again) > most:
+            known.clear()
+        fresh = list(again)
+        known.update(zip(fresh, lengths(fresh)))
+        met.difference_update(fresh)
+        if len(met) > most:
+            met.clear()
+        joined = lengths(["".join([s for s in rest if s not in known]) for rest in rests])
+        return [total + n + sum([known[s] for s in rest if s in known])
+                for total, n, rest in zip(totals, joined, rests)]
+    return count
+
+
 def count_tokens(docs: DataFrame, tokenizer_file: str, chunk_chars: int = 1 << 15,
                  overlap_chars: int = 1 << 9, text_col: str = "text",
                  keep: list[str] | None = None) -> DataFrame:
@@ -94,16 +148,19 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, chunk_chars: int = 1 << 1
         tokenizer.no_truncation()
         tokenizer.no_padding()
         with open(tokenizer_file, encoding="utf-8") as f:
-            limit = chunk_chars if chunkable(json.load(f)) else None
+            cut = chunkable(json.load(f))
+        count = segment_counter(tokenizer)
 
         def run(texts):
             texts = [t or "" for t in texts]
-            short = [t for t in texts if limit is None or len(t) <= limit]
-            counts = iter([len(e) for e in
-                           tokenizer.encode_batch_fast(short, add_special_tokens=False)])
-            tokens = [next(counts) if limit is None or len(t) <= limit
-                      else sum(n for n, _ in splices(tokenizer, t, limit, overlap_chars))
-                      for t in texts]
+            if cut:
+                counts = iter(count([t for t in texts if len(t) <= chunk_chars]))
+                tokens = [next(counts) if len(t) <= chunk_chars
+                          else sum(n for n, _ in splices(tokenizer, t, chunk_chars, overlap_chars))
+                          for t in texts]
+            else:
+                tokens = [len(e) for e in
+                          tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return [[len(t.encode("utf-8", "surrogatepass")) for t in texts], tokens]
         return run
 
